@@ -53,15 +53,22 @@ def all_of(conditions):
 
 
 class ChunkCache(dict):
-    """chunk -> encoding, computed once for each distinct chunk; emptied when it has ``most`` entries, so a
-    worker's memory stays bounded whatever vocabulary the corpus has."""
+    """chunk -> encoding, made once for each chunk that stays in use. Two generations of at most ``most`` entries
+    are kept: a full one becomes the old one, from which what is used again moves on. A worker's memory stays bounded
+    whatever vocabulary the corpus has."""
 
-    def __init__(self, make, most: int = 300_000):
+    def __init__(self, make, most: int = 150_000):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, chunk):
+        if (value := self.old.get(chunk)) is None:
+            value = self.make(chunk)
+        return self.put(chunk, value)
+
+    def put(self, chunk, value):
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        value = self[chunk] = self.make(chunk)
+        self[chunk] = value
         return value

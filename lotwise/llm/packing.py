@@ -9,7 +9,9 @@ records. Only the last window can be short, so padding is less than one window f
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+import os
+import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,14 +32,51 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-@functools.lru_cache(maxsize=2)
-def chunk_encoder(path: str) -> ChunkCache:
-    """Chunks between ASCII whitespace -> ids as little-endian unsigned 32-bit bytes. The vocabulary drops
-    whitespace before it merges, so a text's ids are the chunks' ids in turn."""
-    from tokenizers import Tokenizer
+#: A chunk of letters and a tail of other ASCII signs (no apostrophe, which may begin a contraction).
+WORD = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+)([!-&(-/:-@\\[-`{-~]*)")
+
+
+class ChunkEncoder:
+    """Chunks between ASCII whitespace -> ids as little-endian unsigned 32-bit bytes.
+
+    The vocabulary drops whitespace before it merges, so a text's ids are its chunks' ids in turn; it lower-cases and
+    merges letters apart from other signs, so most chunks' ids are those of a lower-cased word and a tail. What has
+    not been seen yet is tokenized a batch at a time.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.words, self.chunks = ChunkCache(self.ids), ChunkCache(self.split)
 
-    tok = Tokenizer.from_file(path)
-    return ChunkCache(lambda b: np.array(tok.encode(b.decode(), add_special_tokens=False).ids, "<u4").tobytes())
+    def ids(self, part: str) -> bytes:
+        return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
+
+    @staticmethod
+    def parts(chunk: bytes) -> tuple[str, ...]:
+        text = chunk.decode()
+        m = WORD.fullmatch(text)
+        return (m[1].lower(), m[2]) if m and m[2] else (m[1].lower(),) if m else (text,)
+
+    def split(self, chunk: bytes) -> bytes:
+        return b"".join(map(self.words.__getitem__, self.parts(chunk)))
+
+    def encode(self, texts: Iterable[str]) -> list[bytes]:
+        chunks = [t.encode().split() for t in texts]
+        known, old = self.chunks, self.chunks.old
+        new = {c for own in chunks for c in own if c not in known and c not in old}
+        words = {w for c in new for w in self.parts(c)}
+        words = [w for w in words if w not in self.words and w not in self.words.old]
+        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+            self.words.put(w, np.array(e.ids, "<u4").tobytes())
+        return [b"".join(map(known.__getitem__, own)) for own in chunks]
+
+
+@functools.lru_cache(maxsize=2)
+def chunk_encoder(path: str) -> ChunkEncoder:
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a worker for each core already
+    return ChunkEncoder(path)
 
 
 def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
@@ -46,10 +85,10 @@ def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, part, before = chunk_encoder(path), TaskContext.get().partitionId(), 0
+        encoder, part, before = chunk_encoder(path), TaskContext.get().partitionId(), 0
         for whole in batches:
             for batch in batches_of(whole, BATCH_ROWS):
-                ids = [b"".join(map(cache.__getitem__, t.encode().split())) + end for t in texts(batch, "text")]
+                ids = [x + end for x in encoder.encode(texts(batch, "text"))]
                 n = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
                 starts = before + np.cumsum(n) - n
                 before += int(n.sum())

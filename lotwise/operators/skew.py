@@ -13,7 +13,7 @@ SALTS = 64
 
 def hot_keys(counts: DataFrame, on: list[str], n: str, total: int) -> DataFrame:
     """The keys of ``counts`` (key columns and row count ``n``) with over 1/HOT_SHARE of ``total`` rows."""
-    return counts.filter(F.col(n) > max(1000, total // HOT_SHARE)).select(*on)
+    return counts.filter(F.col(n) > max(50, total // HOT_SHARE)).select(*on)
 
 
 def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
