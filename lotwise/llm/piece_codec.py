@@ -46,7 +46,8 @@ class PieceCodec:
         if len(self.bytes) != 256 or any(re.search(f"[^{SPACE}]{SPACE}|.\n|\n.", p, re.S) for p in self.score):
             raise ValueError("the vocabulary needs byte fallback and pieces that stay within chunks")
         back = {i: bytes([b]) for b, i in self.bytes.items()}
-        self.text = [b"" if special[i] else back[i] if i in back else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
+        unknown = " \u2047 ".encode()  # what the library writes for an unknown piece
+        self.text = [unknown if sp.is_unknown(i) else b"" if special[i] else back[i] if i in back else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
         self.dummy = np.array([not special[i] and p.startswith(SPACE) for i, p in enumerate(pieces)])
         self.end = np.array([sp.eos_id()], "<i4").tobytes()
         self.beside = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}

@@ -4,6 +4,14 @@ from __future__ import annotations
 
 from lotwise.llm.packing import op7_packing
 from lotwise.llm.piece_codec import op10_sentencepiece
+from lotwise.llm.quality_model import op6_quality
+from lotwise.llm.quality_rules import op8_quality_rules
+from lotwise.llm.secret_scan import op3_secrets
+from lotwise.llm.simhash import op2_simhash
+from lotwise.llm.suffix_dedup import op5_suffix_dedup
+from lotwise.llm.topk import op9_top_k
+from lotwise.llm.url_filter import op4_url_filter
+from lotwise.llm.warc import op1_warc
 
-QUERIES = {f.__name__: f for f in (op7_packing, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_simhash, op3_secrets, op4_url_filter, op5_suffix_dedup, op6_quality, op7_packing, op8_quality_rules, op9_top_k, op10_sentencepiece)}
 ORACLE_SQL: dict[str, str] = {}

@@ -190,9 +190,10 @@ def cover(n: int, spans: list[tuple[int, int]], length: int) -> list[tuple[int,
     return out
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False) -> DataFrame:
     """(doc, n_bytes, n_removed, spans, kept) for every row: each byte that lies in a string of ``length`` bytes
-    which starts anywhere else too, in the same or another row, is removed; kept has the rest, as bytes.
+    which starts anywhere else too, in the same or another row, is removed; kept has the rest, as bytes or, with
+    ``as_text``, as text without what is left of characters that were cut.
 
     Nulls: a null text is empty; null ids stay; repeated rows are other places, so their long strings all go. Texts
     under ``length`` bytes never change. No rows: no rows. Other columns are not read.
@@ -216,13 +217,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                     size.append(len(data))
                     gone.append(len(data) - len(kept[-1]))
                     cuts.append([{"start": a, "stop": b} for a, b in cut])
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(cuts, kinds), pa.array(kept, pa.binary())], names=["doc", "n_bytes", "n_removed", "spans", "kept"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(cuts, kinds), pa.array([k.decode(errors="ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())], names=["doc", "n_bytes", "n_removed", "spans", "kept"])
 
     joined = packed.join(of, docs_key, "left").select("doc", "raw", "spans")
-    return joined.mapInArrow(run, f"doc {kind}, n_bytes bigint, n_removed bigint, spans array<struct<start:int,stop:int>>, kept binary")
+    return joined.mapInArrow(run, f"doc {kind}, n_bytes bigint, n_removed bigint, spans array<struct<start:int,stop:int>>, kept {'string' if as_text else 'binary'}")
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents"))
     return out.select(F.col("doc").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
-

@@ -77,7 +77,7 @@ def level(number: int, keys: DataFrame, n: int, rate: float) -> Level:
     hashes = max(1, round(-math.log2(rate)))
     bits = max(64, math.ceil(n * hashes / math.log(2) / WORD) * WORD)
     at = keys.select(F.explode(F.array(*positions(F.col("key"), number, bits, hashes))).alias("p"))
-    cells = at.groupBy(F.floor(F.col("p") / WORD).alias("cell")).agg(F.bit_or(F.shiftleft(F.lit(1), F.pmod("p", F.lit(WORD)).cast("int"))).alias("byte"))
+    cells = at.groupBy(F.floor(F.col("p") / WORD).alias("cell")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.pmod("p", F.lit(WORD)).cast("int"))).alias("byte"))
     data = bytearray(bits // WORD)  # the size was checked by the caller
     for row in cells.toLocalIterator():
         data[row["cell"]] = row["byte"]
