@@ -197,9 +197,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec
         none = F.udf(lambda x: np.full(len(x) // 8, -np.inf).tobytes(), "binary")
         seed = written(head.crossJoin(own.withColumn("q_least", none("q_lengths"))).mapInArrow(task, FOUND), "seed")  # one block by one group
         ranked = seed.withColumn("r", F.row_number().over(Window.partitionBy("q_at").orderBy(F.desc("score"), "vec_id", "at"))).filter(F.col("r") == k)
-        least = own.select("q_block", "q_at").join(spark.createDataFrame([], "q int"), how="left_anti", on=F.lit(True))
         limits = {r["q_at"]: float(r["score"]) for r in ranked.select("q_at", "score").toLocalIterator()}
-        del least
         fill = F.udf(lambda a, limits=limits: np.array([limits.get(x, -np.inf) for x in np.frombuffer(a, np.int64).tolist()]).tobytes(), "binary")
         reach = F.udf(lambda a, b: float(np.min(np.frombuffer(a) / np.maximum(np.frombuffer(b), 1e-9))), "double")
         ready = own.withColumn("q_least", fill("q_at")).withColumn("q_reach", reach("q_least", "q_lengths"))
