@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -47,6 +48,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished steps: Spark deletes them when the driver's garbage collector finds
+    that nothing refers to them, which a driver with little to do may not run for half an hour."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a table of ours that nothing will read again."""
     jvm = spark._jvm
@@ -54,4 +62,4 @@ def remove_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-__all__ = ["fresh_path", "local_session", "remove_path", "shared_dir", "written"]
+__all__ = ["fresh_path", "local_session", "release_shuffles", "remove_path", "shared_dir", "written"]
