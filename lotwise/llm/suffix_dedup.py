@@ -11,7 +11,11 @@ where a bucket still has two members:
    with one run are done: their windows occur once.
 2. Runs of one bucket are refined by the identifiers of their first and last window. A run equal to another run is
    done: all its windows repeat.
-3. Only runs left in shared buckets (where a repeat begins or ends) are refined window by window.
+3. Only runs left in shared buckets (where a repeat begins or ends, or a Q-gram is common) are refined further. A run
+   falls into pieces of at most PIECE windows, cut at distances from the least Q-gram, so that equal windows lie in
+   pieces that share their core: the bytes common to all windows such a piece can have. A core that occurs once has
+   no repeats; pieces that share core and extent repeat as a whole.
+4. The windows of the remaining pieces are told apart by core, place and the PIECE-1 bytes around the core.
 
 Every step counts with map-side combination; nothing is gathered by bucket, and hot ones are spread before joins.
 """
@@ -28,9 +32,9 @@ from pyspark.sql import functions as F
 
 from lotwise.llm.common import batches_of, small_batches, table
 from lotwise.operators.skew import HOT_SHARE, skew_join
-from lotwise.session import written
+from lotwise.session import release_shuffles, written
 
-LENGTH, Q = 200, 32
+LENGTH, Q, PIECE = 200, 32, 32
 RUN = "doc_key bigint, text_key bigint, first int, last int, bucket bigint, tie boolean, extent bigint"
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -128,21 +132,41 @@ def _runs(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame
     return _keyed(docs, id_col, text_col).select("doc_key", "text_key", "text").mapInArrow(run, RUN)
 
 
-def _window_ids(rows: DataFrame, length: int) -> DataFrame:
-    """(doc_key, text_key, at, bucket, window) for every window of the runs listed with each text."""
+PIECES = "doc_key bigint, text_key bigint, first int, last int, core bigint, lead int, edge binary"
+
+
+def pieces_of(data: bytes, runs: list[tuple[int, int, int]], length: int = LENGTH, q: int = Q, most: int = PIECE) -> Iterator[tuple[int, int, int, int, bytes]]:
+    """(first, last, core, lead, edge) of the pieces of runs (first, last, bucket): lead is how far the core begins
+    behind ``first``, edge has the bytes of all windows before and after the core."""
+    size = length - most + 1
+    grams, cores = identifiers(data, (q, size))
+    for first, last, bucket in runs:
+        at = first + np.flatnonzero(grams[first : last + length - q + 1].view(np.int64) == bucket)
+        starts = np.arange(first, last + 1)
+        anchor = at[np.searchsorted(at, starts)]  # a window's leftmost Q-gram of the bucket
+        place = anchor - (anchor - starts) // most * most
+        cut = np.flatnonzero(place[1:] != place[:-1]) + 1
+        for a, b in zip([0, *cut.tolist()], [*(cut - 1).tolist(), last - first], strict=True):
+            core = int(place[a])
+            yield first + a, first + b, int(cores[core].view(np.int64)), core - first - a, data[first + a : core] + data[core + size : first + b + length]
+
+
+def _pieces(rows: DataFrame, length: int, most: int) -> DataFrame:
+    """PIECES of the runs listed with each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor()
-        for batch in batches:
-            for row in batch.to_pylist():
-                (ids,) = identifiers(expand.decompress(row["raw"]), (length,))
-                own = {(r["first"], r["last"], r["bucket"]) for r in row["runs"]}
-                at = np.concatenate([np.arange(a, b + 1) for a, b, _ in own])
-                bucket = np.concatenate([np.full(b - a + 1, k, np.int64) for a, b, k in own])
-                key, text_key = (np.full(len(at), row[k], np.int64) for k in ("doc_key", "text_key"))
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(text_key), pa.array(at.astype(np.int32)), pa.array(bucket), pa.array(ids[at].view(np.int64))], names=["doc_key", "text_key", "at", "bucket", "window"])
+        schema = pa.schema([(n, {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[k]) for n, k in (x.split() for x in PIECES.split(", "))])
+        for whole in batches:
+            for batch in batches_of(whole, 16):
+                out = []
+                for row in batch.to_pylist():
+                    runs = sorted({(r["first"], r["last"], r["bucket"]) for r in row["runs"]})
+                    out += [(row["doc_key"], row["text_key"], *x) for x in pieces_of(expand.decompress(row["raw"]), runs, length, most=most)]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    return rows.mapInArrow(run, "doc_key bigint, text_key bigint, at int, bucket bigint, window bigint")
+    return rows.mapInArrow(run, PIECES)
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -156,6 +180,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     hot = shared.filter(F.col("n") > max(50, total // HOT_SHARE)).select("bucket")
     one = (F.col("lo") == F.col("hi")) & ~F.col("any_tie")
     inside = written(skew_join(runs, shared.select("bucket", "n", "lo", "hi", F.col("tie").alias("any_tie")), ["bucket"], hot=hot).select(*docs_key, "first", "last", "bucket", "extent", "any_tie", one.alias("one")), "shared")
+    release_shuffles(docs.sparkSession)
     done = inside.filter("one").select(*docs_key, "first", "last")
     # 2. The rest by extent: equal runs are done, one of them stands for all in step 3. A tie or a run of its own
     #    in a bucket is open.
@@ -165,17 +190,32 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     hot_extents = extents.filter(F.col("n") > max(50, total // HOT_SHARE)).select("bucket", "extent")
     known = written(skew_join(mixed, extents, ["bucket", "extent"], hot=hot_extents), "known")
     equal = known.filter("n > 1").select(*docs_key, "first", "last")
+    release_shuffles(docs.sparkSession)
     stands = known.filter(F.col("stand") == F.struct(*docs_key, "first"))
     stands = skew_join(stands, open_, ["bucket"], hot=hot).filter((F.col("least") == 1) | F.col("any_tie"))
-    # 3. Window by window.
+    # 3. Piece by piece.
     todo = stands.groupBy(*docs_key).agg(F.collect_list(F.struct("first", "last", "bucket")).alias("runs"))
     packed = _packed(docs, id_col, text_col)
-    windows = written(_window_ids(packed.select(*docs_key, "raw").join(todo, docs_key).dropDuplicates(docs_key), length), "windows")
-    again = written(windows.groupBy("bucket", "window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "repeated")
+    most = min(PIECE, length - Q)
+    pieces = _pieces(packed.select(*docs_key, "raw").join(todo, docs_key).dropDuplicates(docs_key), length, most)
+    pieces = written(pieces.withColumn("extent", F.xxhash64("core", "lead", "edge")), "pieces")
+    release_shuffles(docs.sparkSession)
+    cores = written(pieces.groupBy("core").agg(F.count(F.lit(1)).alias("n"), F.min("extent").alias("lo"), F.max("extent").alias("hi")).filter("n > 1"), "cores")
+    total = cores.agg(F.sum("n")).first()[0] or 0
+    hot = cores.filter(F.col("n") > max(50, total // HOT_SHARE)).select("core")
+    shared_pieces = written(skew_join(pieces, cores.select("core", (F.col("lo") == F.col("hi")).alias("one")), ["core"], hot=hot), "shared")
+    whole = shared_pieces.filter("one").select(*docs_key, "first", "last")
+    # 4. Window by window.
+    windows = shared_pieces.filter("not one").withColumn("at", F.explode(F.sequence("first", "last")))
+    around = F.substring("edge", F.col("at") - F.col("first") + 1, F.lit(most - 1))
+    windows = windows.select(*docs_key, "at", "core", F.xxhash64("core", F.col("first") + F.col("lead") - F.col("at"), around).alias("window"))
+    again = written(windows.groupBy("core", "window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "repeated")
     total = again.agg(F.sum("n")).first()[0] or 0
-    hot = again.filter(F.col("n") > max(50, total // HOT_SHARE)).select("bucket", "window")
-    single = skew_join(windows, again.select("bucket", "window"), ["bucket", "window"], hot=hot).select(*docs_key, F.col("at").alias("first"), F.col("at").alias("last"))
-    return packed, done.unionAll(equal).unionAll(single)
+    hot = again.filter(F.col("n") > max(50, total // HOT_SHARE)).select("core", "window")
+    single = skew_join(windows, again.select("core", "window"), ["core", "window"], hot=hot).select(*docs_key, F.col("at").alias("first"), F.col("at").alias("last"))
+    single = written(single, "single")
+    release_shuffles(docs.sparkSession)
+    return packed, done.unionAll(equal).unionAll(whole).unionAll(single)
 
 
 def cover(n: int, spans: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
