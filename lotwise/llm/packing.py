@@ -32,45 +32,50 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-#: A chunk of letters and a tail of other ASCII signs (no apostrophe, which may begin a contraction).
-WORD = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+)([!-&(-/:-@\\[-`{-~]*)")
-
-
 class ChunkEncoder:
     """Chunks between ASCII whitespace -> ids as little-endian unsigned 32-bit bytes.
 
-    The vocabulary drops whitespace before it merges, so a text's ids are its chunks' ids in turn; it lower-cases and
-    merges letters apart from other signs, so most chunks' ids are those of a lower-cased word and a tail. What has
-    not been seen yet is tokenized a batch at a time.
+    The vocabulary drops whitespace before it merges, so a text's ids are its chunks' ids in turn. A batch's distinct
+    chunks that the cache does not have are tokenized together, a word between them whose one id tells them apart.
     """
 
+    TOGETHER = 2000
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.words, self.chunks = ChunkCache(self.ids), ChunkCache(self.split)
-
-    def ids(self, part: str) -> bytes:
-        return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
-
-    @staticmethod
-    def parts(chunk: bytes) -> tuple[str, ...]:
-        text = chunk.decode()
-        m = WORD.fullmatch(text)
-        return (m[1].lower(), m[2]) if m and m[2] else (m[1].lower(),) if m else (text,)
-
-    def split(self, chunk: bytes) -> bytes:
-        return b"".join(map(self.words.__getitem__, self.parts(chunk)))
+        self.tokenizer, self.cache = Tokenizer.from_file(path), ChunkCache(None, 300_000)
+        words = (w[:-4] for w, _ in sorted(self.tokenizer.get_vocab().items(), key=lambda x: -x[1]) if re.fullmatch("[a-z]{9,}</w>", w))
+        self.between = next(w for w in words if len(self.tokenizer.encode(w, add_special_tokens=False).ids) == 1)
+        self.mark = self.tokenizer.encode(self.between, add_special_tokens=False).ids[0]
+
+    def tokenize(self, chunks: list[bytes]) -> Iterator[bytes]:
+        """The ids of each chunk."""
+        groups = [[c.decode() for c in chunks[i : i + self.TOGETHER]] for i in range(0, len(chunks), self.TOGETHER)]
+        made = self.tokenizer.encode_batch_fast([f" {self.between} ".join(g) for g in groups], add_special_tokens=False)
+        for group, e in zip(groups, made, strict=True):
+            ids = np.array(e.ids, "<u4")
+            cut = np.flatnonzero(ids == self.mark)
+            if len(cut) != len(group) - 1:  # a chunk has the word itself
+                yield from (np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(group, add_special_tokens=False))
+                continue
+            raw, ends = ids.tobytes(), (4 * cut).tolist()
+            for a, b in zip([0, *(x + 4 for x in ends)], [*ends, len(raw)], strict=True):
+                yield raw[a:b]
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         chunks = [t.encode().split() for t in texts]
-        known, old = self.chunks, self.chunks.old
-        new = {c for own in chunks for c in own if c not in known and c not in old}
-        words = {w for c in new for w in self.parts(c)}
-        words = [w for w in words if w not in self.words and w not in self.words.old]
-        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self.words.put(w, np.array(e.ids, "<u4").tobytes())
-        return [b"".join(map(known.__getitem__, own)) for own in chunks]
+        ids, new, cache, old = {}, [], self.cache, self.cache.old
+        for c in set().union(*chunks):
+            if (value := cache.get(c)) is None:
+                if (value := old.get(c)) is None:
+                    new.append(c)
+                    continue
+                cache.put(c, value)
+            ids[c] = value
+        for c, value in zip(new, self.tokenize(new), strict=True):
+            ids[c] = cache.put(c, value)
+        return [b"".join(map(ids.__getitem__, own)) for own in chunks]
 
 
 @functools.lru_cache(maxsize=2)

@@ -177,8 +177,10 @@ def test_chunk_encoder():
     from tokenizers import Tokenizer
 
     tok, own = Tokenizer.from_file(packing.tokenizer_path()), packing.ChunkEncoder(packing.tokenizer_path())
-    own.chunks.most = own.words.most = 3
+    own.cache.most = 3
     odd = ["It's WE'LL don't", "Éa!!! ÇA; x'y", "a<|endoftext|>b <|startoftext|>", "x\x1cy\x85z\xa0w", "İstanbul ΣΑΣ Σ", "e\u0301 \u0301a", "1234 a1b2 ½²", "ﬁ \u2028 \u200b", "***a###", "()", ""]
+    odd += [own.between, f"a {own.between.upper()}! b"] * (len(own.between) > 0)
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(odd[:-2])] == [tok.encode(x, add_special_tokens=False).ids for x in odd[:-2]]
     assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(odd)] == [tok.encode(x, add_special_tokens=False).ids for x in odd]
 
 
