@@ -31,7 +31,7 @@ def tokens(norm: Column) -> Column:
 def isin_ok(isin: Column) -> Column:
     """Form and check digit: letters become 10..35, then Luhn over all digits."""
     digits = F.array_join(F.transform(F.split(isin, ""), lambda c: F.when(c.rlike("[A-Z]"), (F.ascii(c) - 55).cast("string")).otherwise(c)), "")
-    return F.coalesce(isin.rlike("^[A-Z]{2}[A-Z0-9]{9}[0-9]$") & F.luhn_check(digits), F.lit(False))
+    return F.coalesce(isin.rlike("^[A-Z]{2}[A-Z0-9]{9}[0-9]$") & F.call_function("luhn_check", digits), F.lit(False))
 
 
 def parse_number(text: Column) -> Column:
