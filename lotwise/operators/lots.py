@@ -45,10 +45,10 @@ def segments(ledger: DataFrame, by: list[str], order: list[str | Column], overso
     rows = ledger.withColumns({"__b": F.sum(F.when(buy, F.col("qty")).otherwise(0)).over(w), "__s": F.sum(F.when(buy, 0).otherwise(F.col("qty"))).over(w), "__n": F.row_number().over(Window.partitionBy(*by).orderBy(*order))})
     short = F.greatest(F.lit(0), F.max(F.col("__s") - F.col("__b")).over(w)) if oversold == "drop" else F.lit(0)
     rows = rows.withColumn("__at", F.when(buy, F.col("__b")).otherwise(F.col("__s") - short))
-    line = Window.partitionBy(*by).orderBy("__at", "__n")
-    ahead = line.rowsBetween(0, Window.unboundedFollowing)
+    line = Window.partitionBy(*by).orderBy(F.desc("__at"), F.desc("__n"))  # backwards, so that what lies ahead is a growing frame
+    ahead = line.rowsBetween(Window.unboundedPreceding, 0)
     item = F.struct(*keep)
-    out = rows.withColumns({"lot": F.first(F.when(buy, item), ignorenulls=True).over(ahead), "sale": F.first(F.when(~buy, item), ignorenulls=True).over(ahead), "__d": F.col("__at") - F.coalesce(F.lag("__at").over(line), F.lit(0))})
+    out = rows.withColumns({"lot": F.last(F.when(buy, item), ignorenulls=True).over(ahead), "sale": F.last(F.when(~buy, item), ignorenulls=True).over(ahead), "__d": F.col("__at") - F.coalesce(F.lead("__at").over(line), F.lit(0))})
     return out.filter("__d > 0").select(*by, "lot", "sale", F.col("__d").alias("qty"))
 
 
