@@ -177,12 +177,10 @@ def top_n_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _weights(spark, sf_dir).filter("rank <= 10").select("portfolio", "key", "rank", F.round(F.sum("weight").over(w), 8).alias("cumulative"))
 
 
-@REGISTER(f"""WITH {LE} SELECT DISTINCT key FROM le WHERE side='BUY' AND key NOT IN (SELECT key FROM le GROUP BY key HAVING sum(CASE WHEN side='BUY' THEN qty ELSE -qty END) > 2500)""")
+@REGISTER(f"""WITH {CROSS} SELECT portfolio, key FROM p WHERE bought > 0 AND net <= 0""")
 def sold_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seen once, not held (with more than 2500 shares, as every key here still holds some)."""
-    le = _events(spark, sf_dir)
-    held = le.groupBy("key").agg(F.sum(F.when(F.col("side") == "BUY", F.col("qty")).otherwise(-F.col("qty"))).alias("n")).filter("n > 2500")
-    return le.filter("side = 'BUY'").select("key").distinct().join(held, "key", "left_anti")
+    """Bought once, not held."""
+    return _positions(spark, sf_dir).filter("bought > 0 and net <= 0").select("portfolio", "key")
 
 
 @REGISTER(f"""WITH {LE}, w AS (SELECT key, CAST(sum(qty) // 3 AS BIGINT) AS wanted FROM le WHERE side='BUY' GROUP BY key),

@@ -16,7 +16,7 @@ NOTE = f"""{LI}, note AS (SELECT l_orderkey AS note, row_number() OVER (PARTITIO
   {r2("sum(brokerage) OVER (PARTITION BY l_orderkey) * 0.18")} AS gst FROM li)"""
 
 
-def _note(spark: SparkSession, sf_dir: str) -> DataFrame:
+def note_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = Window.partitionBy("l_orderkey")
     order = ["l_linenumber", "key", "portfolio", "trade_date", "ord", "qty", "turnover", "brokerage", "stt"]
     li = ledger.ledger_lines(spark, sf_dir)
@@ -27,14 +27,14 @@ def _note(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT note, CAST(pos AS INTEGER) AS pos, {r2("raw + CASE WHEN pos = coalesce(lastpos, maxpos) THEN gst - sum(raw) OVER (PARTITION BY note) ELSE 0 END")} AS share FROM a""")
 def alloc_prorata_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GST over the lines by brokerage, the rest on the last line that has any."""
-    return allocate.pro_rata(_note(spark, sf_dir), ["note"], "brokerage", "gst", ["pos"]).select("note", "pos", "share")
+    return allocate.pro_rata(note_lines(spark, sf_dir), ["note"], "brokerage", "gst", ["pos"]).select("note", "pos", "share")
 
 
 @REGISTER(f"""WITH {NOTE}, a AS (SELECT *, {r2("gst * turnover / sum(turnover) OVER (PARTITION BY note)")} AS raw FROM note), b AS (SELECT *, row_number() OVER (PARTITION BY note ORDER BY raw DESC, pos) AS k FROM a)
 SELECT note, CAST(pos AS INTEGER) AS pos, {r2("raw + CASE WHEN k = 1 THEN gst - sum(raw) OVER (PARTITION BY note) ELSE 0 END")} AS share FROM b""")
 def alloc_tieout_largest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By turnover, the drift on the largest line."""
-    return allocate.pro_rata(_note(spark, sf_dir), ["note"], "turnover", "gst", ["pos"], "largest").select("note", "pos", "share")
+    return allocate.pro_rata(note_lines(spark, sf_dir), ["note"], "turnover", "gst", ["pos"], "largest").select("note", "pos", "share")
 
 
 @REGISTER(f"""WITH {NOTE}, a AS (SELECT *, 100.0 * qty / sum(qty) OVER (PARTITION BY note) AS e FROM note), b AS (SELECT *, floor(e + 1e-9) AS f FROM a),
@@ -42,7 +42,7 @@ c AS (SELECT *, row_number() OVER (PARTITION BY note ORDER BY round(e - f, 9) DE
 SELECT note, CAST(pos AS INTEGER) AS pos, CAST(f + CASE WHEN k <= l THEN 1 ELSE 0 END AS BIGINT) AS share FROM c""")
 def alloc_largest_remainder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One hundred shares over the lines by quantity."""
-    rows = _note(spark, sf_dir).withColumn("units", F.lit(100.0))
+    rows = note_lines(spark, sf_dir).withColumn("units", F.lit(100.0))
     return allocate.largest_remainder(rows, ["note"], "qty", "units", ["pos"]).select("note", "pos", "share")
 
 
@@ -53,7 +53,7 @@ SELECT note, key, {r2("0.001 * (CASE WHEN b > 0 THEN bt * (b - least(b, s)) / b
 def stt_statutory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q8 without a printed total: a tenth of a percent of delivery turnover, a fortieth of matched sales."""
     of = lambda side, c: F.sum(F.when(F.col("side") == side, F.col(c)).otherwise(0))
-    t = _note(spark, sf_dir).groupBy("note", "key").agg(of("BUY", "qty").alias("b"), of("SELL", "qty").alias("s"), of("BUY", "turnover").alias("bt"), of("SELL", "turnover").alias("st"))
+    t = note_lines(spark, sf_dir).groupBy("note", "key").agg(of("BUY", "qty").alias("b"), of("SELL", "qty").alias("s"), of("BUY", "turnover").alias("bt"), of("SELL", "turnover").alias("st"))
     m = F.least("b", "s")
     part = lambda n, v, q: F.when(F.col(n) > 0, F.col(v) * q / F.col(n)).otherwise(0.0)
     return t.select("note", "key", half_up(0.001 * (part("b", "bt", F.col("b") - m) + part("s", "st", F.col("s") - m))).alias("delivery"), half_up(0.00025 * part("s", "st", m)).alias("intraday"))
@@ -65,7 +65,7 @@ SELECT note, {r2("net")} AS net, {r2("charges")} AS charges, CASE WHEN abs(abs(n
 def note_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The note's obligation against its printed total, then its tax."""
     sell = F.col("side") == "SELL"
-    n = _note(spark, sf_dir).groupBy("note").agg(F.sum(F.when(sell, F.col("turnover")).otherwise(-F.col("turnover"))).alias("net"), F.sum(F.col("brokerage") + F.col("stt")).alias("charges"), F.sum("stt").alias("stt"), F.sum("turnover").alias("turnover"))
+    n = note_lines(spark, sf_dir).groupBy("note").agg(F.sum(F.when(sell, F.col("turnover")).otherwise(-F.col("turnover"))).alias("net"), F.sum(F.col("brokerage") + F.col("stt")).alias("charges"), F.sum("stt").alias("stt"), F.sum("turnover").alias("turnover"))
     o = ledger.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("note"), F.col("o_totalprice").alias("printed"))
     status = F.when(F.abs(F.abs("net") - F.col("printed")) > F.col("charges") + 1, "OBLIGATION").when(F.col("stt") > 0.05 * F.col("turnover"), "STT").otherwise("PASSED")
     return n.join(o, "note").select("note", half_up(F.col("net")).alias("net"), half_up(F.col("charges")).alias("charges"), status.alias("status"))
@@ -79,13 +79,15 @@ def charge_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     rates = (0.01, 0.02, 0.03, 0.04, 0.05, 0.06)  # the candidate table is part of the query
     fits = [F.when(F.abs(F.col("stt") - half_up(F.col("turnover") * r)) < 0.006, i + 1) for i, r in enumerate(rates)]
     hit = F.coalesce(*fits, F.when(F.col("stt") == 0, 0).otherwise(-1))
-    return _note(spark, sf_dir).groupBy(hit.alias("rate_id")).agg(F.count(F.lit(1)).alias("n"))
+    return note_lines(spark, sf_dir).groupBy(hit.alias("rate_id")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@REGISTER(f"""WITH {NOTE} SELECT count(DISTINCT note) AS notes, count(DISTINCT note) AS conserved FROM note""")
+@REGISTER(f"""WITH {NOTE}, a AS (SELECT *, CASE WHEN brokerage > 0 THEN {r2("gst * brokerage / sum(brokerage) OVER (PARTITION BY note)")} ELSE 0 END AS raw, max(CASE WHEN brokerage > 0 THEN pos END) OVER (PARTITION BY note) AS lastpos, max(pos) OVER (PARTITION BY note) AS maxpos FROM note),
+b AS (SELECT note, gst, {r2("raw + CASE WHEN pos = coalesce(lastpos, maxpos) THEN gst - sum(raw) OVER (PARTITION BY note) ELSE 0 END")} AS share FROM a), n AS (SELECT note, abs(sum(share) - max(gst)) < 0.005 AS ok FROM b GROUP BY note)
+SELECT count(*) AS notes, count(CASE WHEN ok THEN 1 END) AS conserved FROM n""")
 def charge_conservation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q13: allocated shares add up to the charge in every note."""
-    rows = allocate.pro_rata(_note(spark, sf_dir), ["note"], "brokerage", "gst", ["pos"])
+    rows = allocate.pro_rata(note_lines(spark, sf_dir), ["note"], "brokerage", "gst", ["pos"])
     g = rows.groupBy("note").agg(F.sum("share").alias("s"), F.max("gst").alias("t"))
     return g.agg(F.count(F.lit(1)).alias("notes"), F.count_if(F.abs(F.col("s") - F.col("t")) < 0.005).alias("conserved"))
 
@@ -93,5 +95,5 @@ def charge_conservation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTER(f"WITH {NOTE} SELECT note, key, side, CAST(sum(qty) AS BIGINT) AS qty, {r2('sum(turnover)')} AS turnover, {r2('sum(turnover) / sum(qty)')} AS price FROM note GROUP BY note, key, side")
 def fill_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A4: fills of one name and side together at the weighted price."""
-    g = _note(spark, sf_dir).groupBy("note", "key", "side").agg(F.sum("qty").alias("qty"), F.sum("turnover").alias("t"))
+    g = note_lines(spark, sf_dir).groupBy("note", "key", "side").agg(F.sum("qty").alias("qty"), F.sum("turnover").alias("t"))
     return g.select("note", "key", "side", "qty", half_up(F.col("t")).alias("turnover"), half_up(F.col("t") / F.col("qty")).alias("price"))
