@@ -94,3 +94,31 @@ def average_cost(ledger: DataFrame, by: list[str], order: list[str]) -> DataFram
         return F.when(r["side"] == "BUY", bought).when(s["qty"] > 0, cut).otherwise(F.struct((s["qty"] - r["qty"]).alias("qty"), s["cost"].alias("cost")))
 
     return rows.select(*by, F.aggregate("rows", zero, step).alias("s")).select(*by, "s.qty", "s.cost")
+
+
+def statement_average(events: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """(by, qty, avg_cost) of statement rows (kind, qty, price, num, den) by weighted averages: a purchase that meets a
+    deficit sets the average to its price, ratios spread the cost over more shares, rights add theirs at their price.
+    A fold over a key's own rows."""
+    rows = events.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*order, "kind", F.col("qty").cast("double").alias("qty"), F.col("price").cast("double").alias("price"), (F.col("num") / F.nullif("den", F.lit(0.0))).alias("ratio")))).alias("rows"))
+
+    def to(qty: Column, cost: Column) -> Column:
+        return F.struct(qty.alias("q"), F.when(qty > 0, cost / F.when(qty == 0, 1.0).otherwise(qty)).otherwise(0.0).alias("a"))
+
+    def step(s: Column, r: Column) -> Column:
+        q, worth, more = s["q"], s["q"] * s["a"], s["q"] * F.coalesce(r["ratio"], F.lit(0.0))
+        bought = to(q + r["qty"], F.when(q < 0, (q + r["qty"]) * r["price"]).otherwise(worth + r["qty"] * r["price"]))
+        sold = F.struct((q - r["qty"]).alias("q"), F.when(q - r["qty"] <= 1e-9, 0.0).otherwise(s["a"]).alias("a"))
+        added = F.when(more > 1e-9, to(q + more, worth + F.when(r["kind"] == "RIGHT", more * r["price"]).otherwise(0.0))).otherwise(s)
+        split = F.when((more > 0) & (q > 1e-9), to(more, worth)).otherwise(s)
+        return F.when(r["kind"] == "BUY", bought).when(r["kind"] == "SELL", sold).when(r["kind"] == "SPLIT", split).when(r["kind"].isin("BONUS", "RIGHT"), added).otherwise(s)
+
+    zero = F.struct(F.lit(0.0).alias("q"), F.lit(0.0).alias("a"))
+    return rows.select(*by, F.aggregate("rows", zero, step).alias("s")).select(*by, F.col("s.q").alias("qty"), F.col("s.a").alias("avg_cost"))
+
+
+def settled_quantity(replayed: Column, balance: Column, rights: Column) -> Column:
+    """The broker's balance, unless nothing but a wrong entry explains it: without rights, off by a factor over three
+    or held where the replay has none. A null balance (never printed) leaves the replay."""
+    wild = F.when(replayed > 1e-9, (balance > replayed * 3) | (balance < replayed / 3)).otherwise(F.abs(balance) > 1)
+    return F.when(balance.isNotNull() & (rights | ~wild), balance).otherwise(replayed)

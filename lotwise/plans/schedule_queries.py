@@ -10,7 +10,7 @@ from lotwise.operators import actions, allocate, lots, schedules
 from lotwise.plans.ledger_queries import GAINS
 from lotwise.plans.note_queries import NOTE, note_lines
 from lotwise.plans.register import LI, LINE_ORDER, Register, r2, r6
-from lotwise.sources import ledger
+from lotwise.sources import ledger, notes
 
 REGISTER = Register()
 BY = ["portfolio", "key"]
@@ -160,3 +160,54 @@ def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = ledger.table(spark, sf_dir, "lineitem")
     glyphs = li.select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").cast("double").alias("x"), F.col("l_quantity").cast("double").alias("y"), F.col("l_extendedprice").alias("seq"), F.col("l_partkey").cast("string").alias("text"))
     return schedules.text_lines(glyphs, ["page"])
+
+
+def statement_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statement of events with dates, prices and ratios, in the columns of actions.EVENT."""
+    day = ledger.table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("ts").cast("date").alias("at"), F.col("value").alias("price"))
+    rows = _statement(spark, sf_dir).join(day, "seq").filter("kind <> 'OTHER' and price is not null")
+    num = F.when(F.col("kind") == "BONUS", 1.0).when(F.col("kind") == "SPLIT", 2.0)
+    den = F.when(F.col("kind") == "BONUS", F.col("qty").cast("double")).when(F.col("kind") == "SPLIT", 1.0)
+    return rows.select("key", "at", "seq", "kind", F.col("qty").cast("double").alias("qty"), "price", num.alias("num"), den.alias("den"), F.lit(None).cast("bigint").alias("to_key"), F.lit(None).cast("double").alias("cost"))
+
+
+@REGISTER()
+def statement_lots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Surviving lots of statements with resolved ratios; what is sold beyond the lots is forgotten."""
+    out = actions.replay(statement_events(spark, sf_dir), "drop").filter("acquired is not null")
+    return out.select("key", "acquired", half_up(F.col("qty"), 6).alias("qty"), half_up(F.col("cost")).alias("cost"))
+
+
+@REGISTER()
+def statement_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two slices, the first's lots carried into the second; equal to statement_lots."""
+    events, cut = statement_events(spark, sf_dir), F.lit("2024-01-16").cast("date")
+    first = actions.replay(events.filter(F.col("at") < cut), "drop").filter("acquired is not null")
+    # lots that are carried in come before the slice's own rows and keep their order
+    seeds = first.select("key", F.col("acquired").alias("at"), F.col("lot").alias("seq"), F.lit("BUY").alias("kind"), "qty", (F.col("cost") / F.col("qty")).alias("price"))
+    out = actions.replay(events.filter(F.col("at") >= cut).unionByName(seeds, allowMissingColumns=True), "drop").filter("acquired is not null")
+    return out.select("key", "acquired", half_up(F.col("qty"), 6).alias("qty"), half_up(F.col("cost")).alias("cost"))
+
+
+@REGISTER()
+def statement_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Average cost by the replay, quantity as the broker settled it where that is credible."""
+    avg = lots.statement_average(statement_events(spark, sf_dir).withColumn("rank", F.when(F.col("kind") == "BUY", 0).when(F.col("kind") == "SELL", 2).otherwise(1)), ["key"], ["at", "rank", "seq"])
+    last = _statement(spark, sf_dir).groupBy("key").agg(F.when(F.max(F.col("balance") != 0), F.max_by("balance", "seq")).cast("double").alias("balance"))
+    qty = lots.settled_quantity(F.col("qty"), F.col("balance"), F.lit(False))
+    return avg.join(last, "key").select("key", half_up(qty, 6).alias("qty"), half_up(F.col("avg_cost"), 6).alias("avg_cost")).filter("qty > 1e-9")
+
+
+def report_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(note, text): orders written as transaction reports, a dividend row first."""
+    row = F.concat_ws(" ", F.date_format("trade_date", "dd-MM-yyyy"), "side", F.concat(F.lit("SCRIP "), F.col("key"), F.lit(" LTD")), F.format_number(F.col("qty").cast("double"), 0), F.format_number("turnover", 2), F.format_number("brokerage", 2), F.format_number("stt", 2), F.lit("1,000"))
+    li = ledger.ledger_lines(spark, sf_dir).groupBy(F.col("l_orderkey").alias("note")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    head = "Transaction Report\nDATE TRANS TYPE ASSET NAME QTY PRICE BROKERAGE AMOUNT BAL QTY\n01-01-2000 DIVIDEND SCRIP LTD 1 1.00 0.00 1.00 1\n"
+    return li.select("note", F.concat(F.lit(head), F.array_join("rows", "\n")).alias("text"))
+
+
+@REGISTER(f"WITH {LI} SELECT l_orderkey AS note, trade_date, side, 'SCRIP ' || key || ' LTD' AS name, CAST(qty AS DOUBLE) AS qty, turnover AS price, brokerage, stt AS amount, 1000.0::DOUBLE AS balance FROM li")
+def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of the orders comes back from its report's text, dividends left out."""
+    texts = report_texts(spark, sf_dir).filter(notes.sender(F.col("text")) == "transaction-report")
+    return notes.report_rows(texts).drop("pos")

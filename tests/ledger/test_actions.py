@@ -4,8 +4,9 @@ from collections import defaultdict
 from datetime import date
 
 import pytest
-from lotwise.operators import actions, schedules
+from lotwise.operators import actions, lots, schedules
 from lotwise.plans import schedule_queries
+from lotwise.sources import notes
 from pyspark.sql import functions as F
 
 DIR = "/root/testdata/sf0.001"
@@ -100,3 +101,30 @@ def test_announcements(spark):
     rows = [("Bonus 1:1", "BONUS", 2.0), ("BONUS ISSUE - 2:5 of shares", "BONUS", 1.4), ("Bonus 0:1", None, None), ("Face Value Split From Rs 10/- Per Share To Rs 2/- Per Share", "SPLIT", 5.0), ("Sub-Division from Re 1 to Rs. 10", None, None), ("Dividend", None, None), (None, None, None)]
     frame = spark.createDataFrame(rows, "said string, kind string, factor double").withColumn("r", schedules.announced_ratio(F.col("said")))
     assert [(r["r"]["kind"], r["r"]["factor"]) if r["r"] else (None, None) for r in frame.collect()] == [(k, f) for _, k, f in rows]
+
+
+def test_slices_are_the_whole(spark):
+    rows = [sorted(map(tuple, q(spark, DIR).collect())) for q in (schedule_queries.statement_lots, schedule_queries.statement_slices)]
+    assert rows[0] and [r[:2] for r in rows[0]] == [r[:2] for r in rows[1]]
+    assert all(a[2:] == pytest.approx(b[2:], abs=0.011) for a, b in zip(*rows, strict=True))
+
+
+def test_statement_average(spark):
+    kinds = [("BUY", 10, 6, None, None), ("RIGHT", 0, 3, 1.0, 2.0), ("SPLIT", 0, 0, 2.0, 1.0), ("SELL", 40, 0, None, None), ("BUY", 30, 5, None, None)]
+    got = {}
+    for n in range(1, 6):
+        frame = spark.createDataFrame([(1, i, k, float(q), float(p), a, b) for i, (k, q, p, a, b) in enumerate(kinds[:n])], "key int, seq int, kind string, qty double, price double, num double, den double")
+        got[n] = tuple(lots.statement_average(frame, ["key"], ["seq"]).first())[1:]
+    assert got == {1: (10.0, 6.0), 2: (15.0, 5.0), 3: (30.0, 2.5), 4: (-10.0, 0.0), 5: (20.0, 5.0)}
+
+
+def test_senders_and_contracts(spark):
+    texts = [("Date Trans Type Asset Name Bal Qty Brokerage", "transaction-report"), ("ZERODHA Broking", "zerodha"), ("Axis Securities Limited Security/Contract Buy/Sell", "axis"), ("Security/Contract Buy/Sell", "integrated"), ("Nuvama Wealth and Investment", "nuvama-v2"), ("Nuvama Wealth: WAP Mkt Rate", "nuvama-v3"), ("Edelweiss Broking Ltd", "nuvama-v1"), ("", "zerodha"), (None, "zerodha")]
+    frame = spark.createDataFrame(texts, "t string, s string")
+    assert [r[0] for r in frame.select(notes.sender(F.col("t"))).collect()] == [s for _, s in texts]
+    names = [("NIFTY03NOV202621550PE", True), ("ULTRACEMCO25AUG2026", True), ("BF ABC25AUG2026 FUT", True), ("NIFTY(OPTIDX-1)", True), ("NIFTYBEES", False), ("May 2024 Ltd", False), (None, False)]
+    frame = spark.createDataFrame(names, "n string, d boolean")
+    assert frame.filter(notes.is_derivative(F.col("n")) != F.col("d")).count() == 0
+    text = "1 NIFTY(OPTIDX-21550-PE) 5 1,200.50\n2 X(FUTSTK-A) n/a\n3 RELIANCE 9 99.0\nTrade Date : 03-11-2026 x"
+    got = spark.createDataFrame([(text,)], "t string").select(notes.derivative_tax(F.col("t")), notes.trade_date(F.col("t"))).first()
+    assert tuple(got) == (1200.5, "03-11-2026")
