@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotwise.functions.values import half_up
+from lotwise.operators.folds import fold
 
 
 def square_off(ledger: DataFrame, by: list[str], day: str = "trade_date") -> DataFrame:
@@ -83,38 +84,42 @@ def transfer_plan(lots: DataFrame, wanted: DataFrame, by: list[str], order: list
 
 def average_cost(ledger: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """(by, qty, cost) by weighted-average release, as in the NAV engine: a sale beyond the position is cut off, one
-    without a position makes it negative. The recursion is a fold over a key's own rows."""
-    rows = ledger.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*order, "side", F.col("qty").cast("double").alias("qty"), "price"))).alias("rows"))
-    zero = F.struct(F.lit(0.0).alias("qty"), F.lit(0.0).alias("cost"))
+    without a position makes it negative."""
 
-    def step(s: Column, r: Column) -> Column:
-        bought = F.struct((s["qty"] + r["qty"]).alias("qty"), (s["cost"] + r["qty"] * r["price"]).alias("cost"))
-        sold = F.least(r["qty"], s["qty"])
-        cut = F.struct((s["qty"] - sold).alias("qty"), (s["cost"] - s["cost"] * sold / F.when(s["qty"] == 0, 1.0).otherwise(s["qty"])).alias("cost"))
-        return F.when(r["side"] == "BUY", bought).when(s["qty"] > 0, cut).otherwise(F.struct((s["qty"] - r["qty"]).alias("qty"), s["cost"].alias("cost")))
+    def step(state: tuple, r: dict) -> tuple:
+        q, c = state
+        if r["side"] == "BUY":
+            return q + r["qty"], c + r["qty"] * r["price"]
+        if q > 0:
+            sold = min(q, r["qty"])
+            return q - sold, c - c * sold / q
+        return q - r["qty"], c
 
-    return rows.select(*by, F.aggregate("rows", zero, step).alias("s")).select(*by, "s.qty", "s.cost")
+    return fold(ledger, by, order, ["side", "qty", "price"], (0.0, 0.0), step, ["qty", "cost"])
 
 
 def statement_average(events: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """(by, qty, avg_cost) of statement rows (kind, qty, price, num, den) by weighted averages: a purchase that meets a
     deficit sets the average to its price, ratios spread the cost over more shares, rights add theirs at their price.
-    A fold over a key's own rows."""
-    rows = events.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*order, "kind", F.col("qty").cast("double").alias("qty"), F.col("price").cast("double").alias("price"), (F.col("num") / F.nullif("den", F.lit(0.0))).alias("ratio")))).alias("rows"))
-
-    def to(qty: Column, cost: Column) -> Column:
-        return F.struct(qty.alias("q"), F.when(qty > 0, cost / F.when(qty == 0, 1.0).otherwise(qty)).otherwise(0.0).alias("a"))
-
-    def step(s: Column, r: Column) -> Column:
-        q, worth, more = s["q"], s["q"] * s["a"], s["q"] * F.coalesce(r["ratio"], F.lit(0.0))
-        bought = to(q + r["qty"], F.when(q < 0, (q + r["qty"]) * r["price"]).otherwise(worth + r["qty"] * r["price"]))
-        sold = F.struct((q - r["qty"]).alias("q"), F.when(q - r["qty"] <= 1e-9, 0.0).otherwise(s["a"]).alias("a"))
-        added = F.when(more > 1e-9, to(q + more, worth + F.when(r["kind"] == "RIGHT", more * r["price"]).otherwise(0.0))).otherwise(s)
-        split = F.when((more > 0) & (q > 1e-9), to(more, worth)).otherwise(s)
-        return F.when(r["kind"] == "BUY", bought).when(r["kind"] == "SELL", sold).when(r["kind"] == "SPLIT", split).when(r["kind"].isin("BONUS", "RIGHT"), added).otherwise(s)
-
-    zero = F.struct(F.lit(0.0).alias("q"), F.lit(0.0).alias("a"))
-    return rows.select(*by, F.aggregate("rows", zero, step).alias("s")).select(*by, F.col("s.q").alias("qty"), F.col("s.a").alias("avg_cost"))
+    A row without a ratio that needs one changes nothing."""
+
+    def step(state: tuple, r: dict) -> tuple:
+        q, avg = state
+        kind, ratio = r["kind"], r["num"] / r["den"] if r["num"] and r["den"] else 0.0
+        if kind == "SELL":
+            left = q - r["qty"]
+            return left, avg if left > 1e-9 else 0.0
+        if kind == "BUY":
+            total, worth = q + r["qty"], (q + r["qty"]) * r["price"] if q < 0 else q * avg + r["qty"] * r["price"]
+        elif kind == "SPLIT" and q * ratio > 0 and q > 1e-9:
+            total, worth = q * ratio, q * avg
+        elif kind in ("BONUS", "RIGHT") and q * ratio > 1e-9:
+            total, worth = q + q * ratio, q * avg + (q * ratio * r["price"] if kind == "RIGHT" else 0.0)
+        else:
+            return state
+        return total, worth / total if total > 0 else 0.0
+
+    return fold(events, by, order, ["kind", "qty", "price", "num", "den"], (0.0, 0.0), step, ["qty", "avg_cost"])
 
 
 def settled_quantity(replayed: Column, balance: Column, rights: Column) -> Column:
