@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm import packing, quality_model, secret_scan, simhash, suffix_dedup
+from lotwise.llm import near_texts, packing, quality_model, secret_scan, suffix_dedup
 from lotwise.session import written
 
 
@@ -36,12 +36,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the smallest id, those without an id last. Of rows
-    that repeat id and text one stays; empty texts are a group of their own."""
+    """One document of each group of near duplicates (5-word shingles, similarity near_texts.SIMILARITY or more, checked
+    exactly): that with the smallest id, those without an id last. Of rows that repeat id and text one stays; texts
+    without words are a group of their own."""
     text = F.coalesce("text", F.lit(""))
     key = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.xxhash64(text).alias("text"))
-    groups = simhash.near_duplicates(docs.select(key.alias("key"), "text"), id_col="key")
-    kept = groups.filter(F.col("doc") == F.col("component")).select(F.col("doc.id").alias("id"), F.col("doc.text").alias("h")).distinct()
+    groups = near_texts.one_of_each(docs.select(key.alias("key"), "text"), id_col="key")
+    kept = groups.select(F.col("doc.id").alias("id"), F.col("doc.text").alias("h"))
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64(text).alias("h"))
     same = rows["id"].eqNullSafe(kept["id"]) & (rows["h"] == kept["h"])
     return rows.join(kept, same, "left_semi").dropDuplicates(["id", "h"]).select("row.*")

@@ -31,21 +31,32 @@ BUCKET = 2048
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
-def fingerprint(text: str, words: int = WORDS) -> int:
-    """The SimHash of a whole text over its ``words``-word shingles, repeats included."""
+def shingles(text: str, words: int = WORDS) -> np.ndarray:
+    """The hashes of a whole text's ``words``-word shingles in their order, repeats included."""
     parts = text.encode().translate(LOWER).split()
     if not parts:
-        return 0
+        return np.zeros(0, "<u8")
     joined, ends = b" ".join(parts), np.cumsum([len(p) + 1 for p in parts]) - 1
     k = min(words, len(parts))
     stops = ends[k - 1 :].tolist()
     starts = [0, *(ends[: len(parts) - k] + 1).tolist()]
     digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)), "<u8", len(starts))
+
+
+def folded(hashes: np.ndarray) -> int:
+    """The SimHash of shingle hashes."""
+    if not len(hashes):
+        return 0
     total = np.zeros(64, np.int64)
-    for at in range(0, len(starts), 8192):
-        h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at : at + 8192], stops[at : at + 8192], strict=True)], "<u8")
-        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * total > len(starts), bitorder="little").view("<u8")[0])
+    for at in range(0, len(hashes), 8192):
+        total += np.unpackbits(hashes[at : at + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str, words: int = WORDS) -> int:
+    """The SimHash of a whole text over its ``words``-word shingles, repeats included."""
+    return folded(shingles(text, words))
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
