@@ -26,10 +26,11 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 SENSITIVE = ("password", "passwd", "secret", "token", "apikey", "api_key", "api-key", "credential", "bearer", "private_key", "private-key", "access_key", "access-key", "auth_key", "passphrase", "client_id")
 CONTEXT = re.compile("|".join(SENSITIVE), re.A | re.I)
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
-#: A candidate lies at most REACH characters behind its sensitive word; AROUND characters on either side prime it.
+LEAST = 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=-]{{{LEAST},}}")
+#: A candidate begins at most REACH characters behind its sensitive word; AROUND characters on either side prime it.
 REACH, AROUND = 48, 256
-#: Bytes that a character of a candidate must cost at least.
+#: Bytes that a character of a candidate must cost at least (see costly() for long ones).
 NOVELTY = 0.55
 IDENTIFIERS = (
     "username password passwd secret token api_key apikey access_key secret_key private_key public_key client_id client_secret "
@@ -68,17 +69,26 @@ def base_spans(text: str, low: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def costly(text: str, start: int, end: int, novelty: float = NOVELTY) -> bool:
+    """Whether each character costs ``novelty`` bytes or, in a string of over 100, what random digits cost at least:
+    zstandard stores short strings as they are and codes longer ones down to their entropy (0.415 for digits)."""
+    return marginal(text, start, end) >= min(novelty, 0.42 + 13 / (end - start))
+
+
 def novel_spans(text: str, low: str, novelty: float = NOVELTY) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of incompressible candidates in a sensitive context."""
-    out: dict[int, tuple[int, int, int]] = {}
+    """(start, kind, end) of incompressible candidates in a sensitive context; a candidate begins within REACH and
+    ends where its run of characters does, however long."""
+    tried: dict[int, tuple[int, bool]] = {}
     if any(w in low for w in SENSITIVE):
         for m in CONTEXT.finditer(text):
-            for c in CANDIDATE.finditer(text, m.end(), min(len(text), m.end() + REACH + 512)):
-                if c.start() - m.end() > REACH:
-                    break
-                if c.start() not in out and len(set(c[0])) >= 8 and re.search("[0-9]", c[0]) and re.search("[A-Za-z]", c[0]) and marginal(text, c.start(), c.end()) >= novelty:
-                    out[c.start()] = (c.start(), 3, c.end())
-    return sorted(out.values())
+            at = m.end()
+            while c := CANDIDATE.search(text, at, m.end() + REACH + LEAST):
+                start = c.start()
+                if start not in tried:
+                    end = CANDIDATE.match(text, start).end()
+                    tried[start] = (end, costly(text, start, end, novelty))
+                at = tried[start][0]
+    return sorted((start, 3, end) for start, (end, yes) in tried.items() if yes)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", novelty: float = NOVELTY, keep: tuple[str, ...] = ()) -> DataFrame:
