@@ -117,48 +117,102 @@ def parse(data: bytes, at: int) -> Record:
     return Record(at, stop + 4, fields, http, payload)
 
 
-def inflate(data: bytes, at: int, step: int = 1 << 16) -> tuple[bytes, int]:
-    """The content of the gzip member at ``at``, and where the member ends."""
+def inflate(data: bytes, at: int, step: int = 1 << 16) -> tuple[bytes, int, str]:
+    """The content of the gzip member at ``at``, where the member ends, and what is wrong with it ("" if nothing):
+    of a damaged or truncated member, the content before the error and where its bytes were no longer read."""
     z, out, pos = zlib.decompressobj(31), [], at
-    try:
-        while not z.eof:
-            if pos >= len(data):
-                raise Broken("member cut short")
+    while not z.eof:
+        if pos >= len(data):
+            return b"".join(out), len(data), "member cut short"
+        before = z.copy()
+        try:
             out.append(z.decompress(data[pos : pos + step]))
-            pos += step
-    except zlib.error as e:
-        raise Broken("member") from e
-    return b"".join(out), min(pos, len(data)) - len(z.unused_data)
+        except zlib.error:  # the bytes of this step one by one, up to the error
+            for i in range(pos, min(pos + step, len(data))):
+                try:
+                    out.append(before.decompress(data[i : i + 1]))
+                except zlib.error:
+                    return b"".join(out), i, "member"
+            return b"".join(out), min(pos + step, len(data)), "member"
+        pos += step
+    return b"".join(out), min(pos, len(data)) - len(z.unused_data), ""
+
+
+def records_in(data: bytes) -> Iterator[Record | Gap]:
+    """All records of uncompressed content that pass every check, and the gaps between them."""
+    at, bad, why = 0, None, ""
+    while at < len(data):
+        try:
+            one = parse(data, at)
+        except Broken as e:
+            if bad is None:
+                bad, why = at, str(e)
+            ahead = data.find(VERSION, at + 1)
+            at = ahead if ahead >= 0 else len(data)
+            continue
+        if bad is not None:
+            yield Gap(bad, at, why)
+            bad = None
+        yield one
+        at = one.stop
+    if bad is not None:
+        yield Gap(bad, len(data), why)
+
+
+def next_start(data: bytes, at: int, end: int) -> int:
+    """The first place after ``at`` and before ``end`` at which a record or a member with one begins, or ``end``."""
+    for m in re.compile(rb"\x1f\x8b\x08|WARC/1\.").finditer(data, at + 1, end + len(VERSION)):
+        if m.start() >= end:
+            break
+        found = records_in(inflate(data, m.start())[0]) if m[0] == MAGIC else records_in_place(data, m.start())
+        if any(isinstance(x, Record) for x in found):
+            return m.start()
+    return end
+
+
+def records_in_place(data: bytes, at: int) -> list[Record]:
+    """The record whose version line is at ``at``, if it passes."""
+    with contextlib.suppress(Broken):
+        return [parse(data, at)]
+    return []
 
 
 def salvage(data: bytes) -> Iterator[Record | Gap]:
-    """All records of an archive that pass every check, compressed or not, and the gaps between them."""
+    """All records of an archive that pass every check, compressed or not, and the gaps between them.
+
+    A record of a gzip member has the member's start and stop. Records are searched for within the content of a member
+    too, also in what comes before an error of its own; a gap inside a member is empty, lies at the member's stop and
+    says where in the content it is. A damaged member stops where the next record or member begins in it, or else
+    where its bytes were no longer read; a gap, maybe empty, follows it."""
     at, bad, why = 0, None, ""
     while at < len(data):
-        try:
-            if data.startswith(MAGIC, at):
-                content, end = inflate(data, at)
-                found, inner = [], 0
-                while inner < len(content):
-                    found.append(one := parse(content, inner))
-                    inner = one.stop
-                if not found:
-                    raise Broken("empty member")
-                found = [r._replace(start=at, stop=end) for r in found]
+        found: list[Record | Gap] = []
+        wrong, reason, end = "", "", at
+        if data.startswith(MAGIC, at):
+            content, end, wrong = inflate(data, at)
+            inner = list(records_in(content))
+            if any(isinstance(x, Record) for x in inner):
+                end = next_start(data, at, end) if wrong else end
+                found = [x._replace(start=at, stop=end) if isinstance(x, Record) else Gap(end, end, f"{x.reason} in the content at {x.start} to {x.stop}") for x in inner]
             else:
+                reason = wrong or next((x.reason for x in inner), "empty member")
+        else:
+            try:
                 found = [parse(data, at)]
                 end = found[0].stop
-        except Broken as e:
+            except Broken as e:
+                reason = str(e)
+        if not found:
             if bad is None:
-                bad, why = at, str(e)
+                bad, why = at, reason
             ahead = [i for i in (data.find(MAGIC, at + 1), data.find(VERSION, at + 1)) if i >= 0]
             at = min(ahead, default=len(data))
             continue
         if bad is not None:
             yield Gap(bad, at, why)
-            bad = None
         yield from found
         at = end
+        bad, why = (end, wrong) if wrong else (None, "")
     if bad is not None:
         yield Gap(bad, len(data), why)
 
