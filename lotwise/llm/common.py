@@ -8,18 +8,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 #: The whitespace of the word rule [^\x20\x09-\x0D]+ (bytes.split() splits at the same bytes).
 SPACES = " \t\n\x0b\x0c\r"
-#: Documents a batch that goes to Python at once; long documents make a batch large, so it is kept small.
+#: Rows of a slice that a Python task works on at once. Spark bounds the batches it sends (64 MB of Arrow data by
+#: default), slices bound what is made from them; the session's settings stay the caller's.
 BATCH_ROWS = 256
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Few documents go to a Python worker at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+def shape(*fields: tuple[str, DataType | str]) -> StructType:
+    """A schema from (name, type) pairs. Types go to Spark as objects, so that fields of nested columns may have any
+    name."""
+    return StructType([StructField(n, DataType.fromDDL(t) if isinstance(t, str) else t) for n, t in fields])
+
+
+def column(name: str) -> Column:
+    """The column of that name, whatever signs it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lotwise.llm import simhash
-from lotwise.llm.common import BATCH_ROWS, batches_of, small_batches, texts
+from lotwise.llm.common import BATCH_ROWS, batches_of, texts
 from lotwise.operators.graph import connected_components
 from lotwise.operators.skew import hot_keys, skew_join
 from lotwise.session import written
@@ -63,7 +63,6 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * (batch.num_rows + 1), BANDS, dtype=np.int32)), flat)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps.view(np.int64)), lists], names=["doc", "h", "fp", "bands"])
 
-    small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("h"), text.alias("text")).mapInArrow(run, f"doc {kind}, h bigint, fp bigint, bands array<bigint>")
 
@@ -138,7 +137,6 @@ def near_links(sets: DataFrame, similarity: float = SIMILARITY, block: int = BLO
     that root, h, own)."""
     spark, edge = sets.sparkSession, "src bigint, dst bigint"
     members = F.collect_list(F.struct("h", "own")).alias("members")
-    small_batches(spark, 16)
     found = sets.filter(F.col("n") <= block).groupBy("root").agg(members).select("members").mapInArrow(near_edges(similarity), edge)
     large = sets.filter(F.col("n") > block)
     roots = large.select("root", "n").distinct()
@@ -178,7 +176,6 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("__h"), text.alias("text"))
     same = own["id"].eqNullSafe(checked["doc"]) & (own["__h"] == checked["h"])
-    small_batches(docs.sparkSession)
     sets = written(shingle_sets(own.join(checked, same).select("root", "n", "h", "text")).dropDuplicates(["h"]), "sets")
     linked = connected_components(near_links(sets, similarity, block))
     named = rooted.select("h", "doc").join(linked.select(F.col("node").alias("h"), F.col("root").alias("group")), "h", "left")

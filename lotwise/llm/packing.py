@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lotwise.llm.common import BATCH_ROWS, ChunkCache, batches_of, small_batches, table, texts
+from lotwise.llm.common import BATCH_ROWS, ChunkCache, batches_of, table, texts
 from lotwise.session import written
 
 WINDOW = 2048
@@ -99,7 +99,6 @@ def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 before += int(n.sum())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(ids), part, np.int32)), pa.array(starts), pa.array(n), pa.array(ids, pa.binary())], names=["doc", "part", "before", "n", "ids"])
 
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     return rows.mapInArrow(encode, f"doc {kind}, part int, before bigint, n bigint, ids binary")
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm.common import BATCH_ROWS, ChunkCache, batches_of, lists, small_batches, table, texts
+from lotwise.llm.common import BATCH_ROWS, ChunkCache, batches_of, lists, table, texts
 
 SPACE = "▁"
 CHUNK = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
@@ -149,7 +149,6 @@ def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
                 back = [own.decode(np.frombuffer(x, "<i4")) for x in ids]
                 yield pa.RecordBatch.from_arrays([batch.column(0), lists(ids, np.int32, pa.int32()), pa.array(back, pa.string())], names=["doc", "ids", "decoded"])
 
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"doc {kind}, ids array<int>, decoded string")
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm.common import BATCH_ROWS, batches_of, small_batches, table, texts
+from lotwise.llm.common import BATCH_ROWS, batches_of, table, texts
 
 PASSAGE, FIT_DOCS, FOLDS, THRESHOLD = 64, 4000, 5, 0.3
 HIDDEN, ATTENTION = 16, 8
@@ -154,7 +154,6 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
             f = [features(t) for t in texts(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("__y"), pa.array([x.tobytes() for x in f], pa.binary())], names=["id", "y", "f"])
 
-    small_batches(docs.sparkSession)
     made = rows.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, y double, f binary")
     sample = sorted((r["id"], r["y"], bytes(r["f"])) for r in made.collect())
     if not sample:
@@ -173,7 +172,6 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 p = scores(model, [features(t) for t in texts(batch, "__text")])
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64()), *batch.columns[2:]], names=["doc", "score", *(f"__{i}" for i in range(len(keep)))])
 
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("__text"), *(F.col(c).alias(f"__{i}") for i, c in enumerate(keep)))
     out = rows.mapInArrow(run, ", ".join([f"doc {docs.schema[id_col].dataType.simpleString()}, score double", *(f"__{i} {t}" for i, t in enumerate(more))]))
     return out.select("doc", "score", *(F.col(f"__{i}").alias(c) for i, c in enumerate(keep)))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm.common import BATCH_ROWS, batches_of, small_batches, table, texts
+from lotwise.llm.common import BATCH_ROWS, batches_of, table, texts
 
 KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
@@ -116,7 +116,6 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", novelt
                 own = [pa.array(rows, spans_of) for rows in both] + [pa.array(clean, pa.string())]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *own, *batch.columns[2:]], names=["doc", "base", "spans", "clean", *(f"__{i}" for i in range(len(keep)))])
 
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text"), *(F.col(c).alias(f"__{i}") for i, c in enumerate(keep)))
     span = "array<struct<kind:string,start:int,stop:int>>"
     out = rows.mapInArrow(run, ", ".join([f"doc {kind}, base {span}, spans {span}, clean string", *(f"__{i} {f.dataType.simpleString()}" for i, f in enumerate(more))]))

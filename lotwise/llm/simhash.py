@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm.common import BATCH_ROWS, batches_of, small_batches, table, texts
+from lotwise.llm.common import BATCH_ROWS, batches_of, table, texts
 from lotwise.operators.graph import connected_components
 from lotwise.operators.skew import HOT_SHARE, skew_join
 from lotwise.session import written
@@ -69,7 +69,6 @@ def fingerprints(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", te
                 fps = np.array([fingerprint(t, words) for t in texts(batch, "text")], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc", "fp"])
 
-    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, f"doc {kind}, fp bigint")
 
 

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm.common import batches_of, small_batches, table
+from lotwise.llm.common import batches_of, table
 from lotwise.operators.skew import HOT_SHARE, skew_join
 from lotwise.session import release_shuffles, written
 
@@ -128,7 +128,6 @@ def _runs(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame
                         c.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=[x.split()[0] for x in RUN.split(", ")])
 
-    small_batches(docs.sparkSession)
     return _keyed(docs, id_col, text_col).select("doc_key", "text_key", "text").mapInArrow(run, RUN)
 
 
