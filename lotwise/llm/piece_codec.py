@@ -3,14 +3,17 @@
 The agenda holds adjacent symbol pairs whose concatenation is a piece; the best score (leftmost on ties) merges
 first, and the new symbol's pairs enter the agenda. No symbol can span two characters that stand side by side in no
 piece, so a text falls apart there (before U+2581, at line feeds, between most letters and signs) and a worker merges
-each distinct part once. The first whole text of every Arrow batch is checked against the sentencepiece library.
+each distinct part once. Every text is checked against the sentencepiece library, its ids and what they decode to; the
+library's answer stands where the two should ever differ.
 """
 
 from __future__ import annotations
 
+import codecs
 import functools
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,9 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm.common import BATCH_ROWS, ChunkCache, batches_of, lists, table, texts
+from lotwise.llm.common import BATCH_ROWS, ChunkCache, batches_of, column, lists, shape, table, texts
 
 SPACE = "▁"
+#: Parts of up to that many characters have their agenda in a list; a pair that is no piece has the score NONE.
+SHORT, NONE = 40, float("-inf")
 CHUNK = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 
 
@@ -51,11 +56,29 @@ class PieceCodec:
         self.dummy = np.array([not special[i] and p.startswith(SPACE) for i, p in enumerate(pieces)])
         self.end = np.array([sp.eos_id()], "<i4").tobytes()
         self.beside = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
-        self.chunks, self.parts = ChunkCache(self._chunk), ChunkCache(self._part)
-
-    def merge(self, chunk: str) -> list[str]:
-        """The chunk's symbols when no pair of the agenda is left."""
-        symbol, n = list(chunk), len(chunk)
+        self.chunks, self.parts = ChunkCache(self._chunk, 400_000), ChunkCache(self._part, 200_000)
+
+    def merge(self, part: str) -> list[str]:
+        """The part's symbols when no pair of the agenda is left."""
+        return self._merge_short(part) if len(part) <= SHORT else self._merge_long(part)
+
+    def _merge_short(self, part: str) -> list[str]:
+        """The agenda as a list of every adjacent pair's score: one pass finds the best, the leftmost of equals."""
+        symbol, known = list(part), self.score.get
+        agenda = [known(a + b, NONE) for a, b in zip(symbol, symbol[1:])]
+        while agenda and (top := max(agenda)) != NONE:
+            i = agenda.index(top)
+            symbol[i : i + 2] = [symbol[i] + symbol[i + 1]]
+            del agenda[i]
+            if i:
+                agenda[i - 1] = known(symbol[i - 1] + symbol[i], NONE)
+            if i < len(agenda):
+                agenda[i] = known(symbol[i] + symbol[i + 1], NONE)
+        return symbol
+
+    def _merge_long(self, part: str) -> list[str]:
+        """The agenda as a heap, for parts of any length."""
+        symbol, n = list(part), len(part)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
         agenda: list[tuple[float, int, int, str]] = []
 
@@ -80,8 +103,8 @@ class PieceCodec:
 
     def _chunk(self, chunk: str) -> bytes:
         beside, out, at = self.beside, [], 0
-        for i in range(1, len(chunk)):
-            if chunk[i - 1 : i + 1] not in beside:
+        for i, pair in enumerate(map(str.__add__, chunk, chunk[1:]), 1):
+            if pair not in beside:
                 out.append(self.parts[chunk[at:i]])
                 at = i
         out.append(self.parts[chunk[at:]])
@@ -89,9 +112,13 @@ class PieceCodec:
 
     def _part(self, part: str) -> bytes:
         ids: list[int] = []
+        known = self.id
         for s in self.merge(part):
-            ids += [self.id[s]] if s in self.id else [self.bytes[b] for b in s.encode()]
-        return np.array(ids, "<i4").tobytes()
+            if s in known:
+                ids.append(known[s])
+            else:
+                ids += [self.bytes[b] for b in s.encode()]
+        return array("i", ids).tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian signed 32-bit items, the end id last."""
@@ -99,6 +126,14 @@ class PieceCodec:
             return self.end
         return b"".join(map(self.chunks.__getitem__, CHUNK.findall(SPACE + text.replace(" ", SPACE)))) + self.end
 
+    def checked(self, rows: list[str]) -> tuple[list[bytes], list[str]]:
+        """Ids and decoded text of every row, compared with the library's, which stand where they differ."""
+        ids = [self.encode(t) for t in rows]
+        want = self.library.encode(rows, add_eos=True, num_threads=1)
+        ids = [a if a == b else b for a, b in zip(ids, (array("i", x).tobytes() for x in want), strict=True)]
+        back = [self.decode(np.frombuffer(x, "<i4")) for x in ids]
+        return ids, [a if a == b else b for a, b in zip(back, self.library.decode(want, num_threads=1), strict=True)]
+
     def decode(self, ids: np.ndarray) -> str:
         """The text: pieces in turn, bytes put together as UTF-8 (a byte that fits nowhere is U+FFFD), the dummy
         prefix gone."""
@@ -111,17 +146,16 @@ class PieceCodec:
             return loose(raw)
 
 
+def _single(error: UnicodeError) -> tuple[str, int]:
+    return "\ufffd", error.start + 1
+
+
+codecs.register_error("lotwise-single", _single)
+
+
 def loose(raw: bytes) -> str:
     """UTF-8 with U+FFFD for every single byte that is no part of a character."""
-    out, at = [], 0
-    while at < len(raw):
-        try:
-            out.append(raw[at:].decode())
-            break
-        except UnicodeDecodeError as e:
-            out += [raw[at : at + e.start].decode(), "�"]
-            at += e.start + 1
-    return "".join(out)
+    return raw.decode(errors="lotwise-single")
 
 
 @functools.lru_cache(maxsize=2)
@@ -136,21 +170,16 @@ def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
     no rows. Other columns are not read.
     """
     path = path or model_path()
-    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for whole in batches:
             for batch in batches_of(whole, BATCH_ROWS // 4):
-                rows = list(texts(batch, "text"))
-                ids = [own.encode(t) for t in rows]
-                if rows and np.frombuffer(ids[0], "<i4").tolist() != own.library.encode(rows[0], add_eos=True):
-                    raise ValueError("agenda and library differ on a whole text")
-                back = [own.decode(np.frombuffer(x, "<i4")) for x in ids]
+                ids, back = own.checked(list(texts(batch, "text")))
                 yield pa.RecordBatch.from_arrays([batch.column(0), lists(ids, np.int32, pa.int32()), pa.array(back, pa.string())], names=["doc", "ids", "decoded"])
 
-    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc {kind}, ids array<int>, decoded string")
+    rows = docs.select(column(id_col).alias("doc"), column(text_col).alias("text"))
+    return rows.mapInArrow(run, shape(("doc", docs.schema[id_col].dataType), ("ids", "array<int>"), ("decoded", "string")))
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
