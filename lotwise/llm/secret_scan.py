@@ -2,13 +2,15 @@
 
 A candidate is a long unbroken string in a sensitive context (a word such as password, bearer or credential shortly
 before it). Its novelty is its marginal cost: the bytes zstandard needs for context and candidate together, less
-those for the context alone, with a dictionary of common identifiers and the document's own surroundings as prefix.
+those for the context alone, with a dictionary of identifiers and the document's own surroundings as prefix. The
+dictionary holds the corpus's most frequent identifiers, counted over all texts, behind a few that every code base has.
 Names, words and repeated strings cost little; random keys cost about as much as they are long.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm.common import BATCH_ROWS, batches_of, table, texts
+from lotwise.llm.common import BATCH_ROWS, batches_of, column, shape, table, texts
 
 KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
@@ -43,17 +45,38 @@ IDENTIFIERS = (
 )
 
 
-@functools.lru_cache(maxsize=1)
-def compressor():
+#: Bytes of identifiers that the corpus gives to the dictionary, which goes to every task: its bound at any size.
+DICTIONARY_BYTES = 16 << 10
+#: Texts are dealt to 64 classes by their content. An identifier has to stand in texts of SPREAD classes, so that what
+#: stands in copies of one text only, a key say, never becomes a known name.
+SPREAD = 8
+
+
+def corpus_identifiers(docs: DataFrame, text_col: str = "text", most: int = DICTIONARY_BYTES, spread: int = SPREAD) -> str:
+    """The most frequent identifiers (4 to 24 letters and underscores) by how many texts hold them, rarest first, as
+    near ends of a dictionary are cheapest to point at; ``most`` bytes of them at most. Nulls hold none."""
+    text = F.coalesce(column(text_col), F.lit(""))
+    words = F.array_distinct(F.filter(F.split(text, "[^A-Za-z0-9_]+"), lambda w: w.rlike("^[A-Za-z_]{4,24}$")))
+    rows = docs.select(F.pmod(F.xxhash64(text), F.lit(64)).cast("int").alias("at"), words.alias("words"))
+    each = rows.select(F.explode("words").alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("at")).alias("bit"))
+    counts = each.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.bit_or("bit").alias("classes")).filter(F.bit_count("classes") >= spread)
+    top = counts.orderBy(F.desc("n"), "word").limit(most // 5).collect()  # names of four letters and a blank, at most
+    size = list(itertools.accumulate(len(r["word"]) + 1 for r in top))
+    return " ".join(r["word"] for r, n in reversed(list(zip(top, size, strict=True))) if n <= most)
+
+
+@functools.lru_cache(maxsize=4)
+def compressor(dictionary: str = IDENTIFIERS):
     import zstandard
 
-    primed = zstandard.ZstdCompressionDict(IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    primed = zstandard.ZstdCompressionDict(dictionary.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    primed.precompute_compress(level=9)
     return zstandard.ZstdCompressor(level=9, dict_data=primed, write_content_size=False, write_checksum=False)
 
 
-def marginal(text: str, start: int, end: int) -> float:
+def marginal(text: str, start: int, end: int, dictionary: str = IDENTIFIERS) -> float:
     """Compressed bytes that text[start:end] adds to its surroundings, for each of its characters."""
-    size = compressor().compress
+    size = compressor(dictionary).compress
     around = (text[max(0, start - AROUND) : start] + text[end : end + AROUND]).encode()
     return (len(size(around + b"\n" + text[start:end].encode())) - len(size(around + b"\n"))) / (end - start)
 
@@ -69,13 +92,13 @@ def base_spans(text: str, low: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def costly(text: str, start: int, end: int, novelty: float = NOVELTY) -> bool:
+def costly(text: str, start: int, end: int, novelty: float = NOVELTY, dictionary: str = IDENTIFIERS) -> bool:
     """Whether each character costs ``novelty`` bytes or, in a string of over 100, what random digits cost at least:
     zstandard stores short strings as they are and codes longer ones down to their entropy (0.415 for digits)."""
-    return marginal(text, start, end) >= min(novelty, 0.42 + 13 / (end - start))
+    return marginal(text, start, end, dictionary) >= min(novelty, 0.42 + 13 / (end - start))
 
 
-def novel_spans(text: str, low: str, novelty: float = NOVELTY) -> list[tuple[int, int, int]]:
+def novel_spans(text: str, low: str, novelty: float = NOVELTY, dictionary: str = IDENTIFIERS) -> list[tuple[int, int, int]]:
     """(start, kind, end) of incompressible candidates in a sensitive context; a candidate begins within REACH and
     ends where its run of characters does, however long."""
     tried: dict[int, tuple[int, bool]] = {}
@@ -86,7 +109,7 @@ def novel_spans(text: str, low: str, novelty: float = NOVELTY) -> list[tuple[int
                 start = c.start()
                 if start not in tried:
                     end = CANDIDATE.match(text, start).end()
-                    tried[start] = (end, costly(text, start, end, novelty))
+                    tried[start] = (end, costly(text, start, end, novelty, dictionary))
                 at = tried[start][0]
     return sorted((start, 3, end) for start, (end, yes) in tried.items() if yes)
 
@@ -98,8 +121,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", novelt
 
     Nulls: a null text is empty and has no spans; null and repeated ids stay. No rows: no rows.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    more = [docs.schema[c] for c in keep]
+    dictionary = f"{IDENTIFIERS} {corpus_identifiers(docs, text_col)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans_of = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))
@@ -109,16 +131,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", novelt
                 for t in texts(batch, "__text"):
                     low = t.lower()
                     base = base_spans(t, low)
-                    every = sorted({*base, *novel_spans(t, low, novelty)})
+                    every = sorted({*base, *novel_spans(t, low, novelty, dictionary)})
                     for rows, spans in zip(both, (base, every), strict=True):
                         rows.append([{"kind": KINDS[k], "start": a, "stop": b} for a, k, b in spans])
                     clean.append(masked(t, every))
                 own = [pa.array(rows, spans_of) for rows in both] + [pa.array(clean, pa.string())]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *own, *batch.columns[2:]], names=["doc", "base", "spans", "clean", *(f"__{i}" for i in range(len(keep)))])
 
-    rows = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text"), *(F.col(c).alias(f"__{i}") for i, c in enumerate(keep)))
+    rows = docs.select(column(id_col).alias("__doc"), column(text_col).alias("__text"), *(column(c).alias(f"__{i}") for i, c in enumerate(keep)))
     span = "array<struct<kind:string,start:int,stop:int>>"
-    out = rows.mapInArrow(run, ", ".join([f"doc {kind}, base {span}, spans {span}, clean string", *(f"__{i} {f.dataType.simpleString()}" for i, f in enumerate(more))]))
+    out = rows.mapInArrow(run, shape(("doc", docs.schema[id_col].dataType), ("base", span), ("spans", span), ("clean", "string"), *((f"__{i}", docs.schema[c].dataType) for i, c in enumerate(keep))))
     return out.select("doc", "base", "spans", "clean", *(F.col(f"__{i}").alias(c) for i, c in enumerate(keep)))
 
 
