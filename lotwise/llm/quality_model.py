@@ -3,7 +3,8 @@
 A document is a bag of passages of PASSAGE words. Every passage is encoded (counts of character classes and words,
 then a learned layer); learned gated attention weights, softmax(w . (tanh(V h) * sigmoid(U h))), say how much each
 passage counts, and the weighted passage representation gives the score. Only document labels are learned from. The
-model is fitted with numpy on a bounded sample of labelled documents, FIT_DOCS; every whole text is scored.
+model is fitted with numpy on a bounded sample: FIT_DOCS labelled documents, of each up to FIT_PASSAGES passages dealt
+evenly over its whole text. Every passage of every text is scored.
 """
 
 from __future__ import annotations
@@ -16,9 +17,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm.common import BATCH_ROWS, batches_of, table, texts
+from lotwise.llm.common import BATCH_ROWS, batches_of, column, shape, table, texts
 
-PASSAGE, FIT_DOCS, FOLDS, THRESHOLD = 64, 4000, 5, 0.3
+PASSAGE, FIT_DOCS, FIT_PASSAGES, FOLDS, THRESHOLD = 64, 4000, 256, 5, 0.3
 HIDDEN, ATTENTION = 16, 8
 CLASSES = ("\n", "\t\x0b\x0c\r ", "#*$%&|<>", "!", ".", ",;:?", "\"'()[]{}", "-_/\\=+@~^`")
 
@@ -69,6 +70,11 @@ def features(text: str) -> np.ndarray:
     return np.column_stack((np.sqrt(counts / lengths[:, None]), *more)).astype(np.float32)
 
 
+def spread(passages: np.ndarray, most: int = FIT_PASSAGES) -> np.ndarray:
+    """All passages, or ``most`` of them at even distances."""
+    return passages if len(passages) <= most else passages[np.linspace(0, len(passages) - 1, most).astype(int)]
+
+
 class Model(NamedTuple):
     """Standardization of the features and the weights."""
 
@@ -135,27 +141,29 @@ def scores(model: Model, bags: list[np.ndarray]) -> np.ndarray:
 
 def fold(id_col: str) -> Column:
     """crc32 of the id as text, modulo FOLDS (0: held out); a null id is held out."""
-    return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(FOLDS)), F.lit(0).cast("bigint"))
+    return F.coalesce(F.pmod(F.crc32(column(id_col).cast("string")), F.lit(FOLDS)), F.lit(0).cast("bigint"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", most: int = FIT_DOCS) -> Model:
     """A model of the labelled documents that are not held out: all of them, or ``most``, taken by a hash of the id.
 
     Rows of ``labels`` with a null id or label are left out, as are labels without a document; a document that is
-    labelled twice counts twice. Without any labelled document the model scores everything alike.
+    labelled twice, or stands in ``docs`` twice, counts twice. At most ``most`` rows of at most FIT_PASSAGES passages
+    reach the driver, however often ids repeat. Without any labelled document the model scores everything alike.
     """
-    known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (fold(id_col) != 0))
-    order = [F.xxhash64(F.lit("fit"), F.col(id_col)), F.col(id_col), F.col(label_col)]
-    chosen = known.orderBy(*order).limit(most).select(F.col(id_col).alias("__id"), F.col(label_col).cast("double").alias("__y"))
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "__id")  # ``most`` rows at most
+    known = labels.filter(column(label_col).isNotNull() & column(id_col).isNotNull() & (fold(id_col) != 0))
+    order = [F.xxhash64(F.lit("fit"), column(id_col)), column(id_col), column(label_col)]
+    chosen = known.orderBy(*order).limit(most).select(column(id_col).alias("__id"), column(label_col).cast("double").alias("__y"))
+    rows = docs.select(column(id_col).alias("__id"), column(text_col).alias("text")).join(F.broadcast(chosen), "__id")  # ``most`` rows at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            f = [features(t) for t in texts(batch, "text")]
+            f = [spread(features(t)) for t in texts(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("__y"), pa.array([x.tobytes() for x in f], pa.binary())], names=["id", "y", "f"])
 
-    made = rows.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, y double, f binary")
-    sample = sorted((r["id"], r["y"], bytes(r["f"])) for r in made.collect())
+    made = rows.mapInArrow(run, shape(("id", docs.schema[id_col].dataType), ("y", "double"), ("f", "binary")))
+    one = made.orderBy(F.xxhash64(F.lit("fit"), "id"), "id", "y", F.xxhash64("f")).limit(most)
+    sample = sorted((r["id"], r["y"], bytes(r["f"])) for r in one.collect())
     if not sample:
         sample = [(0, 1.0, features("").tobytes())]
     return train([np.frombuffer(f, np.float32).reshape(-1, N_FEATURES) for _, _, f in sample], np.array([y for _, y, _ in sample]))
@@ -164,7 +172,6 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc, score, *keep) for every row. Only the text is looked at; a null text is empty and gets the score of an
     empty text. Null and repeated ids stay. No rows: no rows."""
-    more = [docs.schema[c].dataType.simpleString() for c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -172,8 +179,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 p = scores(model, [features(t) for t in texts(batch, "__text")])
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64()), *batch.columns[2:]], names=["doc", "score", *(f"__{i}" for i in range(len(keep)))])
 
-    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("__text"), *(F.col(c).alias(f"__{i}") for i, c in enumerate(keep)))
-    out = rows.mapInArrow(run, ", ".join([f"doc {docs.schema[id_col].dataType.simpleString()}, score double", *(f"__{i} {t}" for i, t in enumerate(more))]))
+    rows = docs.select(column(id_col).alias("doc"), column(text_col).alias("__text"), *(column(c).alias(f"__{i}") for i, c in enumerate(keep)))
+    out = rows.mapInArrow(run, shape(("doc", docs.schema[id_col].dataType), ("score", "double"), *((f"__{i}", docs.schema[c].dataType) for i, c in enumerate(keep))))
     return out.select("doc", "score", *(F.col(f"__{i}").alias(c) for i, c in enumerate(keep)))
 
 
