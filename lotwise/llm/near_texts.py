@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lotwise.llm import simhash
-from lotwise.llm.common import BATCH_ROWS, batches_of, texts
+from lotwise.llm.common import BATCH_ROWS, batches_of, column, shape, texts
 from lotwise.operators.graph import connected_components
 from lotwise.operators.skew import hot_keys, skew_join
 from lotwise.session import written
@@ -50,7 +50,6 @@ def bands(hashes: np.ndarray) -> np.ndarray:
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, h: the text's hash, fp, bands) for every row; a null text is empty."""
-    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -63,8 +62,8 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * (batch.num_rows + 1), BANDS, dtype=np.int32)), flat)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps.view(np.int64)), lists], names=["doc", "h", "fp", "bands"])
 
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("h"), text.alias("text")).mapInArrow(run, f"doc {kind}, h bigint, fp bigint, bands array<bigint>")
+    text = F.coalesce(column(text_col), F.lit(""))
+    return docs.select(column(id_col).alias("doc"), F.xxhash64(text).alias("h"), text.alias("text")).mapInArrow(run, shape(("doc", docs.schema[id_col].dataType), ("h", "bigint"), ("fp", "bigint"), ("bands", "array<bigint>")))
 
 
 def shingle_sets(rows: DataFrame) -> DataFrame:
@@ -173,8 +172,8 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "
     rooted = written(nodes.select("h", "doc", "fp").join(proposed.select(F.col("node").alias("fp"), "root"), "fp", "left").select("h", "doc", F.coalesce("root", "fp").alias("root")), "rooted")
     sizes = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     checked = written(skew_join(rooted, sizes, ["root"]).select("root", "n", "h", "doc"), "checked")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("__h"), text.alias("text"))
+    text = F.coalesce(column(text_col), F.lit(""))
+    own = docs.select(column(id_col).alias("id"), F.xxhash64(text).alias("__h"), text.alias("text"))
     same = own["id"].eqNullSafe(checked["doc"]) & (own["__h"] == checked["h"])
     sets = written(shingle_sets(own.join(checked, same).select("root", "n", "h", "text")).dropDuplicates(["h"]), "sets")
     linked = connected_components(near_links(sets, similarity, block))

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lotwise.llm.common import BATCH_ROWS, ChunkCache, batches_of, table, texts
+from lotwise.llm.common import BATCH_ROWS, ChunkCache, batches_of, column, shape, table, texts
 from lotwise.session import written
 
 WINDOW = 2048
@@ -86,7 +86,6 @@ def chunk_encoder(path: str) -> ChunkEncoder:
 
 def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
     """Pass one, lazily: (doc, part, before, n, ids) with the ids' raw bytes, ``end_id`` included."""
-    kind = docs.schema[id_col].dataType.simpleString()
     end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,8 +98,8 @@ def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 before += int(n.sum())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(ids), part, np.int32)), pa.array(starts), pa.array(n), pa.array(ids, pa.binary())], names=["doc", "part", "before", "n", "ids"])
 
-    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(encode, f"doc {kind}, part int, before bigint, n bigint, ids binary")
+    rows = docs.select(column(id_col).alias("doc"), column(text_col).alias("text"))
+    return rows.mapInArrow(encode, shape(("doc", docs.schema[id_col].dataType), ("part", "int"), ("before", "bigint"), ("n", "bigint"), ("ids", "binary")))
 
 
 def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm.common import BATCH_ROWS, batches_of, table, texts
+from lotwise.llm.common import BATCH_ROWS, batches_of, column, shape, table, texts
 from lotwise.operators.graph import connected_components
 from lotwise.operators.skew import HOT_SHARE, skew_join
 from lotwise.session import written
@@ -61,7 +61,6 @@ def fingerprint(text: str, words: int = WORDS) -> int:
 
 def fingerprints(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, fp bigint: the 64 bits as a signed number) for every row; a null text is empty."""
-    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -69,7 +68,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", te
                 fps = np.array([fingerprint(t, words) for t in texts(batch, "text")], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc", "fp"])
 
-    return docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, f"doc {kind}, fp bigint")
+    return docs.select(column(id_col).alias("doc"), column(text_col).alias("text")).mapInArrow(run, shape(("doc", docs.schema[id_col].dataType), ("fp", "bigint")))
 
 
 def masks(radius: int, family: int = 0, bits: int = 64) -> list[int]:
@@ -130,7 +129,8 @@ def star_edges(radius: int):
 def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, families: int = 3) -> DataFrame:
     """(src, dst) over the distinct fingerprints ``fps``: edges with the same components as all pairs within
     the radius."""
-    found, inside = [], fps
+    # Each fingerprint becomes as many rows as there are masks, so few input partitions are dealt out first.
+    found, inside = [], fps.repartition("fp")
     for family in range(families):
         rows = keyed(inside, radius, family)
         sized = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1"), "buckets")
