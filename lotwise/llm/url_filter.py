@@ -8,18 +8,20 @@ universe, so urls are judged by looking bits up in a few literals, without a joi
 
 Level one's false-positive rate is set so that about as many keys pass it wrongly as are listed; later levels have a
 rate of one half. A cascade's size therefore grows with the listed keys times the logarithm of the universe's share,
-never with the universe; it is checked against MOST_BYTES, and a list beyond that is cut into parts with a cascade each.
+never with the universe. It is checked against MOST_BYTES; a list beyond that is cut by a hash of the key into parts with
+a cascade each over that part's universe, and the urls are judged by one part after the other.
 """
 
 from __future__ import annotations
 
 import base64
 import math
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm.common import table
+from lotwise.llm.common import column, table
 from lotwise.session import written
 
 #: The rules of the query: (action, host, path).
@@ -27,13 +29,16 @@ RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow",
 #: A cascade's literals go to every task; larger ones are built in parts.
 MOST_BYTES = 32 << 20
 WORD = 8  # bits of a filter are kept in bytes
+#: Bytes of a filter that Spark joins into one row before the driver puts the rows together.
+CHUNK = 4096
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path of a url; both empty for null or without ``://``."""
-    rest = F.when(F.instr(url, "://") > 0, F.expr("substring({0}, instr({0}, '://') + 3)".format("url"))).otherwise("")
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    host = F.translate(F.regexp_extract(rest, r"^([^/?#]*)", 1), upper, lower)
+    at = F.instr(url, "://")
+    rest = F.when(at > 0, url.substr(at + 3, F.length(url))).otherwise("")
+    host = F.translate(F.regexp_extract(rest, r"^([^/?#]*)", 1), UPPER, LOWER)
     path = F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)
     return host, path
 
@@ -73,29 +78,37 @@ def positions(key: Column, number: int, bits: int, hashes: int) -> list[Column]:
 
 
 def level(number: int, keys: DataFrame, n: int, rate: float) -> Level:
-    """The filter of ``n`` keys with a false-positive rate of about ``rate``."""
+    """The filter of ``n`` keys with a false-positive rate of about ``rate``. Spark sets the bits and joins the bytes;
+    the driver gets one row for each CHUNK bytes."""
     hashes = max(1, round(-math.log2(rate)))
-    bits = max(64, math.ceil(n * hashes / math.log(2) / WORD) * WORD)
-    at = keys.select(F.explode(F.array(*positions(F.col("key"), number, bits, hashes))).alias("p"))
-    cells = at.groupBy(F.floor(F.col("p") / WORD).alias("cell")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.pmod("p", F.lit(WORD)).cast("int"))).alias("byte"))
-    data = bytearray(bits // WORD)  # the size was checked by the caller
-    for row in cells.toLocalIterator():
-        data[row["cell"]] = row["byte"]
-    return Level(number, bits, hashes, bytes(data))
+    size = max(WORD, math.ceil(n * hashes / math.log(2) / WORD))
+    at = keys.select(F.explode(F.array(*positions(F.col("key"), number, size * WORD, hashes))).alias("p"))
+    bit = F.call_function("shiftleft", F.lit(1), F.pmod("p", F.lit(WORD)).cast("int"))
+    unset = keys.sparkSession.range(size).select(F.col("id").alias("cell"), F.lit(0).alias("byte"))
+    cells = at.select(F.floor(F.col("p") / WORD).alias("cell"), bit.alias("byte")).unionAll(unset).groupBy("cell").agg(F.bit_or("byte").alias("byte"))
+    text = F.transform(F.array_sort(F.collect_list(F.struct("cell", "byte"))), lambda c: F.lpad(F.hex(c["byte"]), 2, "0"))
+    rows = cells.groupBy(F.floor(F.col("cell") / CHUNK).alias("chunk")).agg(F.array_join(text, "").alias("hex")).orderBy("chunk")
+    return Level(number, size * WORD, hashes, b"".join(bytes.fromhex(r["hex"]) for r in rows.toLocalIterator()))  # ``size`` bytes, checked by the caller
+
+
+def bytes_of(listed: int, others: int) -> float:
+    """About what the cascade of so many listed keys among others takes."""
+    return listed * -math.log2(first_rate(listed, others)) / math.log(2) / 8 * 3
+
+
+def first_rate(listed: int, others: int) -> float:
+    return min(0.5, max(1e-9, listed / max(1, others)))
 
 
 class Cascade:
     """Exact membership of ``listed`` keys among the keys of ``universe`` (both with a column ``key``)."""
 
-    def __init__(self, listed: DataFrame, universe: DataFrame, most_bytes: int = MOST_BYTES):
+    def __init__(self, listed: DataFrame, universe: DataFrame):
         inside = written(universe.join(listed.select("key").distinct(), "key", "left_semi").select("key").distinct(), "listed")
         outside = written(universe.join(listed.select("key"), "key", "left_anti").select("key").distinct(), "others")
-        n, others = inside.count(), outside.count()
+        n = inside.count()
         self.levels: list[Level] = []
-        rate = min(0.5, max(1e-9, n / max(1, others)))
-        want = n * -math.log2(rate) / math.log(2) / 8 * 3
-        if want > most_bytes:
-            raise ValueError(f"{n} listed keys need about {want:.0f} bytes: build a cascade for each part of the list")
+        rate = first_rate(n, outside.count())
         while n:
             self.levels.append(level(len(self.levels) + 1, inside, n, rate))
             wrong = written(outside.filter(self.levels[-1].passes(F.col("key"))), "passed")
@@ -113,7 +126,38 @@ class Cascade:
         return sum(len(x.data) for x in self.levels)
 
 
-def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
+def part_of(key: Column, parts: int) -> Column:
+    """The part of a list that a key belongs to."""
+    return F.pmod(F.xxhash64(F.lit("part"), key), F.lit(parts))
+
+
+def keys_of_part(part: int, parts: int) -> Column:
+    return F.filter("keys", lambda k: part_of(k["key"], parts) == part)
+
+
+def best_of(cascades: dict[str, Cascade], keys: Column) -> Column:
+    """The longest listed key of a url as (size, key, allow, block), an allow before a block; null without one."""
+    verdicts = F.transform(keys, lambda k: F.struct(k["size"].alias("size"), k["key"].alias("key"), *(c.holds(k["key"]).alias(a) for a, c in cascades.items())))
+    return F.array_max(F.filter(verdicts, lambda v: v["allow"] | v["block"]))
+
+
+def longest(rows: DataFrame, listed: DataFrame, actions: Iterable[str] = ("allow", "block"), most_bytes: int = MOST_BYTES) -> DataFrame:
+    """``rows`` with best_of() their keys. Where the cascades of a whole list would take more than ``most_bytes``, rows
+    are judged by one part of the list after the other, and written between."""
+    universe = written(rows.select(F.explode("keys.key").alias("key")).distinct(), "universe")
+    n, all_ = listed.select("action", "key").distinct().count(), universe.count()
+    parts = max(1, math.ceil(bytes_of(min(n, all_), all_) / most_bytes))
+    out = rows
+    for part in range(parts):
+        mine = part_of(F.col("key"), parts) == part
+        cascades = {a: Cascade(listed.filter(mine & (F.col("action") == a)), universe.filter(mine)) for a in actions}
+        found = best_of(cascades, F.col("keys") if parts == 1 else keys_of_part(part, parts))
+        out = out.withColumn("best", found if part == 0 else F.greatest("best", found))
+        out = out if parts == 1 else written(out, "judged")
+    return out
+
+
+def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", most_bytes: int = MOST_BYTES) -> DataFrame:
     """(doc, host, path, rule, verdict) for every row, by ``rules`` (action, host, path).
 
     A rule fits its host and all subdomains where the url's path starts with the rule's; the longest wins, and an
@@ -122,17 +166,14 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     Nulls: a null url, and one without ``://``, has an empty host and path and fits no rule; null and repeated ids
     stay. Rules with a null column are left out. No rows: no rows. Other columns are not read.
     """
-    listed = rules.dropna(subset=["action", "host", "path"]).select("action", "path", F.lower("host").alias("host"), F.concat(F.lower("host"), "path").alias("key"))
+    host = F.translate("host", UPPER, LOWER)
+    listed = rules.dropna(subset=["action", "host", "path"]).select("action", "path", host.alias("host"), F.concat(host, "path").alias("key"))
     # What rules look like: the number of distinct path lengths and of labels is bounded by their maximum.
-    shape = listed.agg(F.collect_set(F.length("path")).alias("lengths"), F.max(F.size(F.split("host", "\\."))).alias("labels")).first()
-    host, path = host_path(F.col("url"))
-    rows = pages.select(F.col(id_col).alias("doc"), F.col(url_col).alias("url")).select("doc", host.alias("host"), path.alias("path"))
-    rows = rows.withColumn("keys", keys_of(F.col("host"), F.col("path"), shape["labels"] or 1, sorted(shape["lengths"], reverse=True)))
-    universe = written(rows.select(F.explode("keys.key").alias("key")).distinct(), "universe")
-    cascades = {a: Cascade(listed.filter(F.col("action") == a), universe) for a in ("allow", "block")}
-    verdicts = F.transform("keys", lambda k: F.struct(k["size"].alias("size"), k["key"].alias("key"), *(c.holds(k["key"]).alias(a) for a, c in cascades.items())))
-    best = F.array_max(F.filter(verdicts, lambda v: v["allow"] | v["block"]))
-    out = rows.withColumn("best", best)
+    size = listed.agg(F.collect_set(F.length("path")).alias("lengths"), F.max(F.size(F.split("host", "\\."))).alias("labels")).first()
+    host, path = host_path(column(url_col))
+    rows = pages.select(column(id_col).alias("doc"), host.alias("host"), path.alias("path"))
+    rows = rows.withColumn("keys", keys_of(F.col("host"), F.col("path"), size["labels"] or 1, sorted(size["lengths"], reverse=True)))
+    out = longest(rows, listed, most_bytes=most_bytes)
     return out.select("doc", "host", "path", F.col("best.key").alias("rule"), F.when(F.col("best").isNull(), F.lit(default)).when(F.col("best.allow"), "allow").otherwise("block").alias("verdict"))
 
 

@@ -98,7 +98,10 @@ def test_urls(spark, pages):
     rules = spark.createDataFrame(url_filter.RULES, "action string, host string, path string")
     got = Counter(tuple(r) for r in url_filter.judge(frame, rules).collect())
     assert got == Counter((i, *plain_verdict(u)) for i, u, _ in rows)
+    assert Counter(tuple(r) for r in url_filter.judge(frame, rules, most_bytes=3).collect()) == got  # a list in parts
     assert url_filter.judge(frame.limit(0), rules).collect() == []
+    named = frame.withColumnRenamed("url", "the url.of")
+    assert Counter(tuple(r) for r in url_filter.judge(named, rules, url_col="the url.of").collect()) == got
     assert {r["verdict"] for r in url_filter.judge(frame, rules.limit(0)).collect()} == {"allow"}
 
 
