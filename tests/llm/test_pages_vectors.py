@@ -134,3 +134,28 @@ def test_top_k(spark, monkeypatch):
     assert Counter(tuple(r) for r in topk.top_k(frame).collect()) == plain_top(rows)
     assert Counter(tuple(r) for r in topk.top_k(frame.limit(3), every=1).collect()).total() in (6, 4, 2, 0)
     assert topk.top_k(frame.limit(0)).collect() == []
+
+
+def exact_top(rows, k=5, every=50):
+    """Scores of whole-number vectors in Python's integers, beyond 64 bits cut to a long."""
+    own = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+    out = Counter()
+    for a, (i, v) in enumerate(own):
+        if i % every == 0:
+            top = sorted((-sum(x * y for x, y in zip(v, w)), j) for b, (j, w) in enumerate(own) if b != a)[:k]
+            out.update((i, r + 1, j, max(-(2**63), min(2**63 - 1, -s))) for r, (s, j) in enumerate(top))
+    return out
+
+
+def test_top_k_of_large_components(spark, monkeypatch):
+    """Components of any finite size; vectors without components score 0."""
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    rng = np.random.default_rng(8)
+    for scales in ([1e3, 1.2e7, 3e7], [1e8, 1e12], [1e150, 1e300, 1.0]):
+        rows = [(i, [float(x) for x in rng.normal(size=6) * rng.choice(scales)]) for i in range(120)]
+        frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)
+        assert Counter(tuple(r) for r in topk.top_k(frame).collect()) == exact_top(rows)
+    hollow = [(i, []) for i in range(0, 100, 10)]
+    frame = spark.createDataFrame(hollow, "vec_id bigint, embedding array<double>")
+    assert Counter(tuple(r) for r in topk.top_k(frame).collect()) == exact_top(hollow)
+    assert topk.top_k(spark.createDataFrame([(50, [1e308])], "vec_id bigint, embedding array<double>")).collect() == []
