@@ -1,28 +1,33 @@
 """Suffix-array deduplication by bucket-pointer refinement.
 
 Which substrings of ``length`` bytes start at two places or more is read off the buckets of a suffix array sorted that
-far. Buckets have 64-bit identifiers instead of ranks, so that no global sort is needed: the identifier of a 2q-gram
-at p is made from those of the q-grams at p and at the later offset p+q, and every refinement is used again by the
-next (1, 2, 4, ... bytes up to ``length``). Equal substrings have equal identifiers, so refining needs the corpus only
-where a bucket still has two members:
+far. ``refined_places`` is the method in its plain form: every place of the corpus is a row, its initial bucket is that
+of its q-gram, and a bucket is refined by sorting it on the bucket pointers at the later offset p+q; the new pointers
+are used by the next, doubled, refinement. It shuffles some hundred bytes for every byte of text in each round (figures
+in the README), so ``repeated_spans``, which the operator uses, keeps the corpus in runs and refines only what is open:
 
 1. Initial buckets: a window of ``length`` bytes falls in the bucket of the least Q-gram identifier in it, which equal
    windows share. Neighbouring windows of one bucket are one run; runs are 1 to 2 percent as many as bytes. Buckets
    with one run are done: their windows occur once.
-2. Runs of one bucket are refined by the identifiers of their first and last window. A run equal to another run is
-   done: all its windows repeat.
+2. Runs of one bucket are refined by the bytes from the first to the last window. A run equal to another run is done:
+   all its windows repeat.
 3. Only runs left in shared buckets (where a repeat begins or ends, or a Q-gram is common) are refined further. A run
    falls into pieces of at most PIECE windows, cut at distances from the least Q-gram, so that equal windows lie in
    pieces that share their core: the bytes common to all windows such a piece can have. A core that occurs once has
    no repeats; pieces that share core and extent repeat as a whole.
 4. The windows of the remaining pieces are told apart by core, place and the PIECE-1 bytes around the core.
 
-Every step counts with map-side combination; nothing is gathered by bucket, and hot ones are spread before joins.
+Q-gram identifiers (64 bits, doubled from 1, 2, 4, ... bytes) only choose buckets, where a collision costs work and no
+result. What is said to repeat is equal in 128 bits: BLAKE2b of the bytes of runs, pieces and cores, and two chained
+64-bit hashes of core digest, place and the bytes around it for windows. At 1e14 places the chance that any two
+different strings meet is below 1e-9. Every step counts with map-side combination; nothing is gathered by bucket, and
+hot ones are spread before joins.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +35,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm.common import batches_of, table
+from lotwise.llm.common import batches_of, column, shape, table
 from lotwise.operators.skew import HOT_SHARE, skew_join
 from lotwise.session import release_shuffles, written
 
 LENGTH, Q, PIECE = 200, 32, 32
-RUN = "doc_key bigint, text_key bigint, first int, last int, bucket bigint, tie boolean, extent bigint"
+RUN = "doc_key bigint, text_key bigint, first int, last int, bucket bigint, tie boolean, extent bigint, extent2 bigint"
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -69,18 +74,23 @@ def sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
     return x if size == width else pick(x[: len(x) - (width - size)], x[width - size :])
 
 
+def digests(parts: Iterator[bytes]) -> np.ndarray:
+    """Two 64-bit halves of the 128-bit digest of each part, as rows."""
+    return np.frombuffer(b"".join([blake2b(p, digest_size=16).digest() for p in parts]), np.int64).reshape(-1, 2)
+
+
 def runs_of(data: bytes, length: int = LENGTH, q: int = Q) -> tuple[np.ndarray, ...]:
-    """first, last, bucket, tie and extent of a text's runs of windows. tie: the least Q-gram stands twice in the
-    run's windows, so that windows of the run may equal one another."""
+    """first, last, bucket, tie and extent (two halves) of a text's runs of windows. tie: the least Q-gram stands twice
+    in the run's windows, so that windows of the run may equal one another."""
     if len(data) < length:
-        return tuple(np.empty(0, t) for t in (np.int32, np.int32, np.int64, bool, np.int64))
-    grams, windows = identifiers(data, (q, length))
+        return tuple(np.empty(0, t) for t in (np.int32, np.int32, np.int64, bool, np.int64, np.int64))
+    (grams,) = identifiers(data, (q,))
     span = length - q + 1
     least = sliding(grams, span, np.minimum)
     cut = np.flatnonzero(least[1:] != least[:-1]) + 1
     first = np.concatenate(([0], cut))
     last = np.concatenate((cut, [len(least)])) - 1
-    if (long := last - first >= span).any():  # two overlapping windows must cover a run, so long ones are split
+    if (long := last - first >= span).any():  # a run is never longer than what its Q-gram's windows can be
         parts = [np.arange(a, b + 1, span) for a, b in zip(first[long], last[long], strict=True)]
         ends = [np.append(p[1:] - 1, b) for p, b in zip(parts, last[long], strict=True)]
         first, last = np.concatenate([first[~long], *parts]), np.concatenate([last[~long], *ends])
@@ -94,14 +104,13 @@ def runs_of(data: bytes, length: int = LENGTH, q: int = Q) -> tuple[np.ndarray,
     at, gram = place[order], grams[place][order]
     close = (gram[1:] == gram[:-1]) & (at[1:] - at[:-1] <= 2 * span)
     tie = np.isin(bucket, gram[1:][close])
-    extent = refined(refined(windows[first], windows[last]), (last - first).astype(np.uint64))
-    return first.astype(np.int32), last.astype(np.int32), bucket.view(np.int64), tie, extent.view(np.int64)
+    extent = digests(data[a:b] for a, b in zip(first.tolist(), (last + length).tolist(), strict=True))
+    return first.astype(np.int32), last.astype(np.int32), bucket.view(np.int64), tie, extent[:, 0], extent[:, 1]
 
 
 def _packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, doc_key, text_key, raw): the two keys name a row's content; rows that share both are copies, which
     get the same answer. raw is compressed, as it is shuffled."""
-    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
@@ -109,19 +118,19 @@ def _packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             raw = [squeeze.compress((x.as_py() or "").encode()) for x in batch.column(3)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(raw, pa.binary())], names=["doc", "doc_key", "text_key", "raw"])
 
-    return _keyed(docs, id_col, text_col).mapInArrow(run, f"doc {kind}, doc_key bigint, text_key bigint, raw binary")
+    return _keyed(docs, id_col, text_col).mapInArrow(run, shape(("doc", docs.schema[id_col].dataType), ("doc_key", "bigint"), ("text_key", "bigint"), ("raw", "binary")))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("doc"), F.xxhash64(F.lit("doc"), F.col(id_col)).alias("doc_key"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    text = F.coalesce(column(text_col), F.lit(""))
+    return docs.select(column(id_col).alias("doc"), F.xxhash64(F.lit("doc"), column(id_col)).alias("doc_key"), F.xxhash64(text).alias("text_key"), text.alias("text"))
 
 
 def _runs(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in batches_of(whole, 64):
-                cols: list[list[np.ndarray]] = [[] for _ in range(7)]
+                cols: list[list[np.ndarray]] = [[] for _ in range(8)]
                 for key, text_key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                     own = runs_of(text.as_py().encode(), length)
                     for c, x in zip(cols, (np.full(len(own[0]), key, np.int64), np.full(len(own[0]), text_key, np.int64), *own), strict=True):
@@ -131,23 +140,27 @@ def _runs(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame
     return _keyed(docs, id_col, text_col).select("doc_key", "text_key", "text").mapInArrow(run, RUN)
 
 
-PIECES = "doc_key bigint, text_key bigint, first int, last int, core bigint, lead int, edge binary"
+PIECES = "doc_key bigint, text_key bigint, first int, last int, core bigint, core2 bigint, extent bigint, extent2 bigint, lead int, edge binary"
 
 
-def pieces_of(data: bytes, runs: list[tuple[int, int, int]], length: int = LENGTH, q: int = Q, most: int = PIECE) -> Iterator[tuple[int, int, int, int, bytes]]:
-    """(first, last, core, lead, edge) of the pieces of runs (first, last, bucket): lead is how far the core begins
-    behind ``first``, edge has the bytes of all windows before and after the core."""
+def pieces_of(data: bytes, runs: list[tuple[int, int, int]], length: int = LENGTH, q: int = Q, most: int = PIECE) -> Iterator[tuple]:
+    """(first, last, core, core2, extent, extent2, lead, edge) of the pieces of runs (first, last, bucket): the digests
+    of the core and of the whole piece, how far the core begins behind ``first``, and the bytes of all windows before
+    and after the core."""
     size = length - most + 1
-    grams, cores = identifiers(data, (q, size))
+    (grams,) = identifiers(data, (q,))
+    found: list[tuple[int, int, int]] = []
     for first, last, bucket in runs:
         at = first + np.flatnonzero(grams[first : last + length - q + 1].view(np.int64) == bucket)
         starts = np.arange(first, last + 1)
         anchor = at[np.searchsorted(at, starts)]  # a window's leftmost Q-gram of the bucket
         place = anchor - (anchor - starts) // most * most
         cut = np.flatnonzero(place[1:] != place[:-1]) + 1
-        for a, b in zip([0, *cut.tolist()], [*(cut - 1).tolist(), last - first], strict=True):
-            core = int(place[a])
-            yield first + a, first + b, int(cores[core].view(np.int64)), core - first - a, data[first + a : core] + data[core + size : first + b + length]
+        found += [(first + a, first + b, int(place[a])) for a, b in zip([0, *cut.tolist()], [*(cut - 1).tolist(), last - first], strict=True)]
+    cores = digests(data[c : c + size] for _, _, c in found).tolist()
+    whole = digests(data[a : b + length] for a, b, _ in found).tolist()
+    for (a, b, c), core, extent in zip(found, cores, whole, strict=True):
+        yield a, b, *core, *extent, c - a, data[a:c] + data[c + size : b + length]
 
 
 def _pieces(rows: DataFrame, length: int, most: int) -> DataFrame:
@@ -173,21 +186,22 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     docs_key = ["doc_key", "text_key"]
     runs = written(_runs(docs, id_col, text_col, length), "runs")
     # 1. Buckets with two runs or more, or with a tie.
-    buckets = runs.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("extent").alias("lo"), F.max("extent").alias("hi"), F.max("tie").alias("tie"))
-    shared = written(buckets.filter("n > 1 or tie"), "buckets")
+    ends = [f(c).alias(n) for c in ("extent", "extent2") for f, n in ((F.min, f"{c}_lo"), (F.max, f"{c}_hi"))]
+    one_extent = (F.col("extent_lo") == F.col("extent_hi")) & (F.col("extent2_lo") == F.col("extent2_hi"))
+    buckets = runs.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max("tie").alias("any_tie"), *ends)
+    shared = written(buckets.filter("n > 1 or any_tie").select("bucket", "n", "any_tie", (one_extent & ~F.col("any_tie")).alias("one")), "buckets")
     total = shared.agg(F.sum("n")).first()[0] or 0
     hot = shared.filter(F.col("n") > max(50, total // HOT_SHARE)).select("bucket")
-    one = (F.col("lo") == F.col("hi")) & ~F.col("any_tie")
-    inside = written(skew_join(runs, shared.select("bucket", "n", "lo", "hi", F.col("tie").alias("any_tie")), ["bucket"], hot=hot).select(*docs_key, "first", "last", "bucket", "extent", "any_tie", one.alias("one")), "shared")
+    inside = written(skew_join(runs, shared.select("bucket", "any_tie", "one"), ["bucket"], hot=hot).select(*docs_key, "first", "last", "bucket", "extent", "extent2", "any_tie", "one"), "shared")
     release_shuffles(docs.sparkSession)
     done = inside.filter("one").select(*docs_key, "first", "last")
     # 2. The rest by extent: equal runs are done, one of them stands for all in step 3. A tie or a run of its own
     #    in a bucket is open.
-    mixed = inside.filter("not one")
-    extents = written(mixed.groupBy("bucket", "extent").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*docs_key, "first")).alias("stand")), "extents")
+    mixed, extent = inside.filter("not one"), ["bucket", "extent", "extent2"]
+    extents = written(mixed.groupBy(*extent).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*docs_key, "first")).alias("stand")), "extents")
     open_ = extents.groupBy("bucket").agg(F.min("n").alias("least"))
-    hot_extents = extents.filter(F.col("n") > max(50, total // HOT_SHARE)).select("bucket", "extent")
-    known = written(skew_join(mixed, extents, ["bucket", "extent"], hot=hot_extents), "known")
+    hot_extents = extents.filter(F.col("n") > max(50, total // HOT_SHARE)).select(*extent)
+    known = written(skew_join(mixed, extents, extent, hot=hot_extents), "known")
     equal = known.filter("n > 1").select(*docs_key, "first", "last")
     release_shuffles(docs.sparkSession)
     stands = known.filter(F.col("stand") == F.struct(*docs_key, "first"))
@@ -197,26 +211,52 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     packed = _packed(docs, id_col, text_col)
     most = min(PIECE, length - Q)
     pieces = _pieces(packed.select(*docs_key, "raw").join(todo, docs_key).dropDuplicates(docs_key), length, most)
-    pieces = written(pieces.withColumn("extent", F.xxhash64("core", "lead", "edge")), "pieces")
+    pieces = written(pieces, "pieces")
     release_shuffles(docs.sparkSession)
-    cores = written(pieces.groupBy("core").agg(F.count(F.lit(1)).alias("n"), F.min("extent").alias("lo"), F.max("extent").alias("hi")).filter("n > 1"), "cores")
+    core = ["core", "core2"]
+    cores = written(pieces.groupBy(*core).agg(F.count(F.lit(1)).alias("n"), *ends).filter("n > 1").select(*core, "n", one_extent.alias("one")), "cores")
     total = cores.agg(F.sum("n")).first()[0] or 0
-    hot = cores.filter(F.col("n") > max(50, total // HOT_SHARE)).select("core")
-    shared_pieces = written(skew_join(pieces, cores.select("core", (F.col("lo") == F.col("hi")).alias("one")), ["core"], hot=hot), "shared")
+    hot = cores.filter(F.col("n") > max(50, total // HOT_SHARE)).select(*core)
+    shared_pieces = written(skew_join(pieces.drop("extent", "extent2"), cores.select(*core, "one"), core, hot=hot), "shared")
     whole = shared_pieces.filter("one").select(*docs_key, "first", "last")
     # 4. Window by window.
     windows = shared_pieces.filter("not one").withColumn("at", F.explode(F.sequence("first", "last")))
     around = F.substring("edge", F.col("at") - F.col("first") + 1, F.lit(most - 1))
-    windows = windows.select(*docs_key, "at", "core", F.xxhash64("core", F.col("first") + F.col("lead") - F.col("at"), around).alias("window"))
-    again = written(windows.groupBy("core", "window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "repeated")
+    place = F.col("first") + F.col("lead") - F.col("at")
+    key = ["window", "window2"]
+    windows = windows.select(*docs_key, "at", F.xxhash64(*core, place, around).alias("window"), F.xxhash64(around, place, *reversed(core)).alias("window2"))
+    again = written(windows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "repeated")
     total = again.agg(F.sum("n")).first()[0] or 0
-    hot = again.filter(F.col("n") > max(50, total // HOT_SHARE)).select("core", "window")
-    single = skew_join(windows, again.select("core", "window"), ["core", "window"], hot=hot).select(*docs_key, F.col("at").alias("first"), F.col("at").alias("last"))
+    hot = again.filter(F.col("n") > max(50, total // HOT_SHARE)).select(*key)
+    single = skew_join(windows, again.select(*key), key, hot=hot).select(*docs_key, F.col("at").alias("first"), F.col("at").alias("last"))
     single = written(single, "single")
     release_shuffles(docs.sparkSession)
     return packed, done.unionAll(equal).unionAll(whole).unionAll(single)
 
 
+def refined_places(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_key, text_key, at): the starts of all strings of ``length`` bytes that start at two places or more, by
+    bucket-pointer refinement of every place: no hashes, but rows and shuffles for every byte. Rows that are equal in
+    id and text count as one place more. A null text is empty."""
+    docs_key = ["doc_key", "text_key"]
+    place = [*docs_key, "at"]
+    raw = _keyed(docs, id_col, text_col).groupBy(*docs_key).agg(F.encode(F.first("text"), "UTF-8").alias("raw"), F.count(F.lit(1)).alias("times"))
+    ends = F.octet_length("raw") - length + 1
+    size = max(s for s in (1, 2, 4, 8) if s <= length)
+    first = raw.filter(F.octet_length("raw") >= size).select(*docs_key, "times", ends.alias("ends"), F.col("raw"), F.explode(F.sequence(F.lit(0), F.octet_length("raw") - size)).alias("at"))
+    grams = first.select(*place, "times", "ends", F.substring("raw", F.col("at") + 1, F.lit(size)).alias("gram"))
+    pointers = grams.groupBy("gram").agg(F.min(F.struct(*place)).alias("bucket"), F.sum("times").alias("n"))
+    rows = written(grams.join(pointers, "gram").drop("gram"), "places")
+    while size < length:
+        step = min(size, length - size)  # the last later offset overlaps
+        later = rows.select(*docs_key, (F.col("at") - step).alias("at"), F.col("bucket").alias("later"))
+        pairs = rows.filter("n > 1").drop("n").join(later, place)
+        pointers = pairs.groupBy("bucket", "later").agg(F.min(F.struct(*place)).alias("to"), F.sum("times").alias("n"))
+        rows = written(pairs.join(pointers, ["bucket", "later"]).select(*place, "times", "ends", F.col("to").alias("bucket"), "n"), "places")
+        size += step
+    return rows.filter("n > 1 and at < ends").select(*place)
+
+
 def cover(n: int, spans: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
     """The maximal byte ranges that windows starting in ``spans`` cover."""
     out: list[tuple[int, int]] = []
@@ -237,7 +277,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     Nulls: a null text is empty; null ids stay; repeated rows are other places, so their long strings all go. Texts
     under ``length`` bytes never change. No rows: no rows. Other columns are not read.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
     packed, spans = repeated_spans(docs, length, id_col, text_col)
     docs_key = ["doc_key", "text_key"]
     of = spans.groupBy(*docs_key).agg(F.collect_list(F.struct("first", "last")).alias("spans"))
@@ -259,7 +298,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(cuts, kinds), pa.array([k.decode(errors="ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())], names=["doc", "n_bytes", "n_removed", "spans", "kept"])
 
     joined = packed.join(of, docs_key, "left").select("doc", "raw", "spans")
-    return joined.mapInArrow(run, f"doc {kind}, n_bytes bigint, n_removed bigint, spans array<struct<start:int,stop:int>>, kept {'string' if as_text else 'binary'}")
+    return joined.mapInArrow(run, shape(("doc", docs.schema[id_col].dataType), ("n_bytes", "bigint"), ("n_removed", "bigint"), ("spans", "array<struct<start:int,stop:int>>"), ("kept", "string" if as_text else "binary")))
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -148,6 +148,21 @@ def test_suffix_dedup_small_alphabet(spark):
     assert [got[i] for i in range(len(made))] == removed(made, 200)
 
 
+@pytest.mark.parametrize("length", [9, 64, 200])
+def test_plain_refinement_finds_the_same_places(docs, none, length):
+    """Every place sorted by bucket pointers, against the runs that the operator works on and brute force."""
+    plain = bag(suffix_dedup.refined_places(docs, length), "doc_key", "text_key", "at")
+    assert max(plain.values(), default=1) == 1
+    if length > suffix_dedup.Q:
+        _, spans = suffix_dedup.repeated_spans(docs, length)
+        assert {(r["doc_key"], r["text_key"], at) for r in spans.collect() for at in range(r["first"], r["last"] + 1)} == plain.keys()
+    seen, keyed = Counter(), suffix_dedup._keyed(docs, "doc_id", "text").collect()
+    strings = [(r["doc_key"], r["text_key"], at, r["text"].encode()[at : at + length]) for r in keyed for at in range(len(r["text"].encode()) - length + 1)]
+    seen.update(x[3] for x in strings)
+    assert {x[:3] for x in strings if seen[x[3]] > 1} == plain.keys()
+    assert suffix_dedup.refined_places(none, length).collect() == []
+
+
 def test_packing(docs, rows, none):
     from tokenizers import Tokenizer
 
