@@ -5,6 +5,9 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,11 +27,14 @@ def local_session(cores: int | str = "*", name: str = "lotwise", memory: str = "
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; where it is unset (tests, one
-    machine) a temporary folder is made once and set as the checkpoint folder."""
+    """The folder of spark.checkpoint.dir, which driver and executors share. Where it is unset, a local session makes a
+    temporary folder once and sets it as the checkpoint folder; on a cluster that is an error, as every host would write
+    to a folder of its own."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="lotwise-")
         sc.setCheckpointDir(named)
     return named.rstrip("/")
@@ -39,11 +45,33 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lotwise-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: Paths of the tables made in each open temporary() block, innermost last.
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables that written() makes within the block are deleted when it ends, but for those that outlive it. What is
+    built on them must have been written by then."""
+    own: list[str] = []
+    token = _SCOPES.set((*_SCOPES.get(), own))
+    try:
+        yield
+    finally:
+        _SCOPES.reset(token)
+        for path in own:
+            remove_path(spark, path)
+
+
+def written(df: DataFrame, name: str, outlives: bool = False) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: lineage is cut there, lost executors don't matter, and
-    what reads it twice computes it once."""
+    what reads it twice computes it once. It belongs to the innermost temporary() block or, if it ``outlives`` that, to
+    the one around; without a block it stays."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    scopes = _SCOPES.get()[: -1 if outlives else None]
+    if scopes:
+        scopes[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -62,4 +90,4 @@ def remove_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-__all__ = ["fresh_path", "local_session", "release_shuffles", "remove_path", "shared_dir", "written"]
+__all__ = ["fresh_path", "local_session", "release_shuffles", "remove_path", "shared_dir", "temporary", "written"]
