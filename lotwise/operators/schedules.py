@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from lotwise.functions.values import half_up
 
 
+#: How announcements write a bonus, a face value and the words for a split (without blanks and dashes).
+BONUS_PAIR = r"bonus\s*(?:issue\s*)?[:-]?\s*\d+(?:\.\d+)?\s*:\s*\d+(?:\.\d+)?"
+MONEY = r"(?:rs|re)\.?\d+(?:\.\d+)?"
+SPLIT_WORDS = ("split", "subdivision")
+
+
 def clip(x: Column, top: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(x, top))
 
@@ -85,14 +91,20 @@ def pending_ratios(rows: DataFrame, by: list[str], order: list[str]) -> DataFram
 
 def announced_ratio(subject: Column) -> Column:
     """struct(kind, factor) of an announcement: a bonus a:b multiplies by 1 + a/b, a split by old over new face value;
-    null where either is missing, not positive or no increase."""
-    bonus = r"(?i)bonus\s*(?:issue\s*)?[:\-]?\s*(\d+(?:\.\d+)?)\s*:\s*(\d+(?:\.\d+)?)"
-    face = lambda word: F.regexp_extract(subject, rf"(?i){word}\s*(?:rs|re)\.?\s*([\d.]+)", 1).try_cast("double")
-    part = lambda i: F.regexp_extract(subject, bonus, i).try_cast("double")
-    split = subject.rlike(r"(?i)split|sub[\s-]*division")
-    return F.when(part(1).isNotNull(), F.when((part(1) > 0) & (part(2) > 0), F.struct(F.lit("BONUS").alias("kind"), (1 + part(1) / F.nullif(part(2), F.lit(0.0))).alias("factor")))).when(
-        split & (face("to") > 0) & (face("from") > face("to")), F.struct(F.lit("SPLIT").alias("kind"), (face("from") / F.nullif(face("to"), F.lit(0.0))).alias("factor"))
-    )
+    null where either is missing, not positive or no increase.
+
+    A bonus is the pair of numbers that stands behind its word, a split's face values are the numbers behind a currency
+    sign, the first after ``from`` and the first after ``to``."""
+    low = F.lower(subject)
+    numbers = lambda text: F.transform(F.regexp_extract_all(text, F.lit(r"(\d+(?:\.\d+)?)"), F.lit(1)), lambda x: x.cast("double"))
+    pair = numbers(F.regexp_extract(low, BONUS_PAIR, 0))
+    given, held = F.get(pair, F.lit(0)), F.get(pair, F.lit(1))
+    face = lambda word: F.get(numbers(F.regexp_extract(F.regexp_replace(low, r"\s+", ""), word + MONEY, 0)), F.lit(0))
+    old, new = face("from"), face("to")
+    made = lambda kind, factor: F.struct(F.lit(kind).alias("kind"), factor.alias("factor"))
+    says_split = F.exists(F.array(*map(F.lit, SPLIT_WORDS)), lambda w: F.instr(F.regexp_replace(low, r"[\s-]+", ""), w) > 0)
+    bonus = F.when((given > 0) & (held > 0), made("BONUS", 1 + given / F.nullif(held, F.lit(0.0))))
+    return F.when(held.isNotNull(), bonus).when(says_split & (new > 0) & (old > new), made("SPLIT", old / F.nullif(new, F.lit(0.0))))
 
 
 def valuation_update(register: DataFrame, updates: DataFrame, by: list[str], force: bool = False) -> DataFrame:
