@@ -17,15 +17,28 @@ def fiscal_year(day: Column) -> Column:
     return F.year(day) - (F.month(day) < 4).cast("int")
 
 
+#: The signs of names that count as blanks, and the words of company forms that a name does without.
+NAME_SIGNS, FORMS = r"[-.,()'\"]", "limited|ltd|private|pvt|the|co"
+
+
+def _squeezed(name: Column, forms: str) -> Column:
+    x = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), NAME_SIGNS, " "), r"\b(private|pvt)\b", "pvt")
+    return F.trim(F.regexp_replace(F.regexp_replace(x, rf"\b({forms})\b", " "), r"\s+", " "))
+
+
 def norm_name(name: Column) -> Column:
-    """Lower case, company forms and signs gone, single spaces."""
-    x = F.regexp_replace(F.lower(name), r"[^a-z0-9]+", " ")
-    x = F.regexp_replace(x, r"\b(limited|ltd|pvt|private|the|inc|co)\b", " ")
-    return F.trim(F.regexp_replace(x, " +", " "))
+    """Lower case, some signs and the words of company forms gone, single blanks; a null name is empty."""
+    return _squeezed(name, FORMS)
+
+
+def norm_private(name: Column) -> Column:
+    """norm_name() that keeps the word for a private company, in one spelling."""
+    return _squeezed(name, "limited|ltd|the|co")
 
 
 def tokens(norm: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.filter(F.split(norm, " "), lambda t: t != "")))
+    """The distinct words of a normalised name that tell names apart: none of one character, no numbers."""
+    return F.array_sort(F.array_distinct(F.filter(F.split(norm, " "), lambda t: (F.length(t) > 1) & ~t.rlike("^[0-9]+$"))))
 
 
 def isin_ok(isin: Column) -> Column:
@@ -49,20 +62,104 @@ def parse_date(text: Column) -> Column:
     return F.coalesce(F.try_to_timestamp(F.format_string("%04d-%02d-%02d", parts(3), parts(2), parts(1)), F.lit("yyyy-MM-dd")).cast("date"), F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).cast("date"), serial)
 
 
-#: The words that make a ledger row a sale or a purchase, tried in this order.
-SELL_WORDS, BUY_WORDS = r"sell|sale|buyback|buy back|redemp", r"buy|purchase|ipo|bonus|right|allot|split"
+#: Labels of transfers, then the words of sales, then those of purchases; in upper case, in this order.
+TRANSFER_OUT, TRANSFER_IN = r"\bTRANSFER\s*(?:OUT|DEBIT)\b|\bXFER\s*OUT\b", r"\bTRANSFER\s*(?:IN|CREDIT)\b|\bXFER\s*IN\b"
+SELL_WORDS, BUY_WORDS = r"SELL|SALE|BUY\s*-?\s*BACK|REDEEM|REDEM", "BUY|BONUS|SPLIT|IPO|RIGHT|PURCHASE|ALLOT|SUBSCRIB|PAID"
+#: The vocabulary of statements, the first class that fits.
+STATEMENT_WORDS = {
+    "RIGHT": "RIGHT",
+    "BONUS": "BONUS",
+    "SPLIT": r"SPLIT|SUB-?DIV|FACE\s*VALUE|CONSOLIDAT",
+    "SELL": r"SELL|SALE|BUY\s*-?\s*BACK|REDEM|REDEEM|SOLD",
+    "BUY": "BUY|IPO|PURCHASE|ALLOT|SUBSCRIB|BOUGHT|CREDIT",
+}
+#: How notes of the transfer tool begin, and names of temporary rights.
+TRANSFER_NOTE, RIGHTS_NAME = r"(?i)^\s*(?:transferred\s+(?:to|from)|bought\s+from|sold\s+to)\b", r"(?i)rights?\s*(issue|entitlement)|\(res?\)"
+
+
+def _upper(text: Column) -> Column:
+    return F.upper(F.coalesce(text, F.lit("")))
+
+
+def is_transfer(tx_type: Column) -> Column:
+    """Whether a label moves shares between portfolios; exactly the labels that ledger_side() takes for transfers."""
+    return _upper(tx_type).rlike(f"{TRANSFER_OUT}|{TRANSFER_IN}")
+
+
+def is_transfer_out(tx_type: Column) -> Column:
+    return _upper(tx_type).rlike(TRANSFER_OUT)
+
+
+def is_transfer_leg(tx_type: Column, note: Column) -> Column:
+    """A transfer by its label, or a sale or purchase whose note says that a transfer wrote it; for display."""
+    return is_transfer(tx_type) | F.coalesce(note, F.lit("")).rlike(TRANSFER_NOTE)
+
+
+def is_free_share(tx_type: Column) -> Column:
+    return _upper(tx_type).rlike("BONUS|SPLIT")
+
+
+def is_split(tx_type: Column) -> Column:
+    return _upper(tx_type).rlike("SPLIT")
+
+
+def is_rights_name(name: Column) -> Column:
+    """Placeholders of rights, which are no holdings."""
+    return F.coalesce(name, F.lit("")).rlike(RIGHTS_NAME)
 
 
 def ledger_side(tx_type: Column) -> Column:
     """BUY, SELL or null; transfers first, then the words of sales (a buyback is one), then those of purchases."""
-    t = F.lower(tx_type)
-    return F.when(t.rlike("transfer out"), "SELL").when(t.rlike("transfer in"), "BUY").when(t.rlike(SELL_WORDS), "SELL").when(t.rlike(BUY_WORDS), "BUY")
+    t = _upper(tx_type)
+    return F.when(t.rlike(TRANSFER_OUT), "SELL").when(t.rlike(TRANSFER_IN), "BUY").when(t.rlike(SELL_WORDS), "SELL").when(t.rlike(BUY_WORDS), "BUY")
+
+
+def nav_side(tx_type: Column) -> Column:
+    """BUY, SELL or null as the NAV timeline takes labels: fewer words, and a buyback is a purchase there."""
+    t = _upper(tx_type)
+    return F.when(t.contains("SELL") | t.rlike(TRANSFER_OUT), "SELL").when(t.rlike(f"BUY|BONUS|SPLIT|IPO|RIGHT|{TRANSFER_IN}"), "BUY")
 
 
 def statement_class(text: Column) -> Column:
     """RIGHT, BONUS, SPLIT, SELL, BUY or OTHER, first match wins: the vocabulary of statements."""
-    t = F.lower(text)
-    return F.when(t.rlike("right"), "RIGHT").when(t.rlike("bonus"), "BONUS").when(t.rlike("split"), "SPLIT").when(t.rlike("sell|sale|sold"), "SELL").when(t.rlike("buy|purchase|ipo"), "BUY").otherwise("OTHER")
+    t = _upper(text)
+    return F.coalesce(*(F.when(t.rlike(words), name) for name, words in STATEMENT_WORDS.items()), F.lit("OTHER"))
+
+
+def parse_ratio(text: Column) -> Column:
+    """struct(num, den) of ``N:M``, ``N/M`` or ``N-M``; null unless both are above zero."""
+    part = lambda i: F.regexp_extract(F.trim(text), r"^(\d+(?:\.\d+)?)\s*[:/-]\s*(\d+(?:\.\d+)?)$", i).try_cast("double")
+    return F.when((part(1) > 0) & (part(2) > 0), F.struct(part(1).alias("num"), part(2).alias("den")))
+
+
+def free_shares(tx_type: Column, ratio: Column, held: Column) -> Column:
+    """Shares that a bonus N:M or a split new:old adds to what is held; nothing for nothing."""
+    factor = ratio["num"] / ratio["den"] - is_split(tx_type).cast("int")
+    return F.when((held > 1e-9) & (held * factor > 1e-9), held * factor).otherwise(0.0)
+
+
+def buy_price(total: Column, turnover: Column, price: Column, qty: Column) -> Column:
+    """What a share cost: charges and tax included, else without them, else the printed average."""
+    return F.when((qty > 0) & (total > 0), total / qty).when((qty > 0) & (turnover > 0), turnover / qty).otherwise(price)
+
+
+def gain_price(turnover: Column, price: Column, qty: Column) -> Column:
+    """The price that gains are computed from, free of charges."""
+    return F.when((qty > 0) & (turnover > 0), turnover / qty).otherwise(price)
+
+
+def solved(edited: str, qty: Column, price: Column, amount: Column) -> dict[str, Column]:
+    """Quantity, price and amount after one of them was edited: of the other two the first that is there stays (quantity
+    before price before amount) and the last follows. Quantities and prices have six places, amounts two."""
+    have = {"qty": qty, "price": price, "amount": amount}
+    rule = {"amount": half_up(qty * price, 2), "price": half_up(amount / F.nullif(qty, F.lit(0.0)), 6), "qty": half_up(amount / F.nullif(price, F.lit(0.0)), 6)}
+    others = [c for c in have if c != edited]
+    first, last = others
+    usable = have[edited] > 0
+    out = dict(have)
+    out[last] = F.when(usable & (have[first] > 0), rule[last]).otherwise(have[last])
+    out[first] = F.when(usable & ~F.coalesce(have[first] > 0, F.lit(False)) & (have[last] > 0), rule[first]).otherwise(have[first])
+    return out
 
 
 def long_term_days(asset_class: Column) -> Column:

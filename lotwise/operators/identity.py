@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lotwise.functions.values import norm_name, tokens
+from lotwise.functions.values import norm_name, norm_private, tokens
 
 
 def generic_tokens(master: DataFrame, name: str = "name", least: int = 6) -> DataFrame:
@@ -19,28 +21,57 @@ def collisions(master: DataFrame, key: str, name: str = "name") -> DataFrame:
     return master.select(norm_name(F.col(name)).alias("norm"), F.col(key).alias("k")).groupBy("norm").agg(F.countDistinct("k").alias("n")).filter("n > 1 and norm <> ''")
 
 
-def resolve(rows: DataFrame, master: DataFrame, key: str = "key", isin: str = "isin", name: str = "name") -> DataFrame:
-    """``rows`` with (resolved, how): by ISIN, then by normalised name, then by the only entry whose name holds all
-    of the row's tokens or begins with its name (six letters or more); else null with how ``ambiguous`` or
-    ``unresolved``.
+def entries(master: DataFrame, key: str, name: str, aliases: str | None = None, private: str | None = None) -> DataFrame:
+    """(k, norm, own, private): every name an entry goes by, normalised; own is whether it is the entry's first name.
+    ``aliases`` is an array of further names; entries flagged ``private`` go by names with the word for private too."""
+    more = F.coalesce(F.col(aliases), F.array().cast("array<string>")) if aliases else F.array().cast("array<string>")
+    flag = F.coalesce(F.col(private), F.lit(False)) if private else F.lit(False)
+    said = master.select(F.col(key).alias("k"), flag.alias("private"), F.col(name).alias("first"), F.explode(F.concat(F.array(name), more)).alias("said"))
+    plain = said.select("k", norm_name(F.col("said")).alias("norm"), (norm_name(F.col("said")) == norm_name(F.col("first"))).alias("own"), F.lit(False).alias("private"))
+    twins = said.filter("private").select("k", norm_private(F.col("said")).alias("norm"), F.lit(True).alias("own"), F.lit(True).alias("private"))
+    return plain.unionAll(twins.filter(F.col("norm").rlike(r"\bpvt\b"))).filter("norm <> ''").groupBy("k", "norm").agg(F.max("own").alias("own"), F.max("private").alias("private"))
+
+
+def alias_slots(names: DataFrame) -> DataFrame:
+    """(norm, k): which entry a normalised name belongs to: one whose first name it is before one that has it as an
+    alias, then the later one (the greater key)."""
+    first = F.row_number().over(Window.partitionBy("norm").orderBy(F.desc("own"), F.desc("k")))
+    return names.withColumn("r", first).filter("r = 1").select("norm", "k")
+
 
-    Candidates of the last step come from an equi-join on each distinct name's rarest token and, for beginnings, on
-    the first six letters; both are functions of distinct names, never of all rows.
+def resolve(rows: DataFrame, master: DataFrame, key: str = "key", isin: str = "isin", name: str = "name", aliases: str | None = None, private: str | None = None) -> DataFrame:
+    """``rows`` with (resolved, how): by ISIN; by a name with the word for private, where an entry has it; by normalised
+    name or alias; then by the only entry with a name whose telling words are all among the row's, or the other way
+    round, or which begins as the row's does (six letters or more, either way). Else null, how ``ambiguous`` or
+    ``unresolved``. A single word that six entries or more have does not tell names apart.
+
+    Candidates of the last step come from equi-joins: on the rarer side's rarest word, and on whole beginnings; all are
+    functions of distinct names, never of all rows.
     """
-    m = master.select(F.col(key).alias("k"), F.col(isin).alias("i"), norm_name(F.col(name)).alias("n"))
-    by_isin = m.filter("i is not null").groupBy("i").agg(F.min("k").alias("ki"))
-    by_name = m.filter("n <> ''").groupBy("n").agg(F.min("k").alias("kn"), F.countDistinct("k").alias("c"))
-    names = rows.select(norm_name(F.col(name)).alias("q")).filter("q <> ''").distinct().join(by_name, F.col("q") == F.col("n"), "left_anti")
-    parts = m.select("k", "n", tokens(F.col("n")).alias("t"))
-    size = parts.select(F.explode("t").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("size"))
-    asked = names.withColumn("qt", tokens(F.col("q")))
-    rare = asked.select("q", "qt", F.explode("qt").alias("token")).join(size, "token").groupBy("q", "qt").agg(F.min(F.struct("size", "token")).alias("r"))
-    generic = (F.size("qt") == 1) & (F.col("r.size") >= 6)
-    subset = rare.filter(~generic).select("q", "qt", F.col("r.token").alias("token")).join(parts.select("k", "t", F.explode("t").alias("token")), "token").filter(F.size(F.array_except("qt", "t")) == 0).select("q", "k")
-    head = F.substring("q", 1, 6)
-    begins = names.filter(F.length("q") >= 6).withColumn("h", head).join(m.select("k", "n", F.substring("n", 1, 6).alias("h")), "h").filter(F.col("n").startswith(F.col("q"))).select("q", "k")
-    fuzzy = subset.unionByName(begins).groupBy("q").agg(F.countDistinct("k").alias("c"), F.min("k").alias("kf"))
-    out = rows.withColumn("__q", norm_name(F.col(name))).join(by_isin, F.col(isin) == F.col("i"), "left").join(by_name.select(F.col("n").alias("__q"), "kn", F.col("c").alias("cn")), "__q", "left").join(fuzzy.select(F.col("q").alias("__q"), "kf", F.col("c").alias("cf")), "__q", "left")
-    how = F.when(F.col("ki").isNotNull(), "isin").when(F.col("cn") == 1, "name").when((F.col("cn") > 1) | (F.col("cf") > 1), "ambiguous").when(F.col("cf") == 1, "fuzzy").otherwise("unresolved")
-    found = F.when(how == "isin", F.col("ki")).when(how == "name", F.col("kn")).when(how == "fuzzy", F.col("kf"))
-    return out.select(*rows.columns, found.alias("resolved"), how.alias("how"))
+    names = entries(master, key, name, aliases, private)
+    by_isin = master.filter(F.col(isin).isNotNull()).groupBy(F.col(isin).alias("i")).agg(F.max(key).alias("ki"))
+    slots = alias_slots(names)
+    asked = rows.select(norm_name(F.col(name)).alias("q"), norm_private(F.col(name)).alias("d")).distinct()
+    exact = asked.join(slots.select(F.col("norm").alias("d"), F.col("k").alias("kd")), "d", "left").join(slots.select(F.col("norm").alias("q"), F.col("k").alias("kq")), "q", "left")
+    exact = exact.withColumn("kn", F.coalesce(F.when(F.col("d") != F.col("q"), F.col("kd")), F.col("kq"))).select("q", "d", "kn")
+    open_ = exact.filter(F.col("kn").isNull()).select("q", tokens(F.col("q")).alias("qt")).filter(F.size("qt") > 0).distinct()
+    parts = names.select("k", "norm", tokens(F.col("norm")).alias("t"))
+    size = parts.select("k", F.explode("t").alias("token")).distinct().groupBy("token").agg(F.count(F.lit(1)).alias("size"))
+
+    def rarest(df: DataFrame, own: list[str], words: str) -> DataFrame:
+        each = df.select(*own, words, F.explode(words).alias("token")).join(size, "token", "left").withColumn("size", F.coalesce("size", F.lit(0)))
+        least = each.groupBy(*own, words).agg(F.min(F.struct("size", "token")).alias("r"))
+        return least.filter(~((F.size(words) == 1) & (F.col("r.size") >= 6))).select(*own, words, F.col("r.token").alias("token"))
+
+    held = rarest(open_, ["q"], "qt").join(parts.select("k", "t", F.explode("t").alias("token")), "token").filter(F.size(F.array_except("qt", "t")) == 0)
+    holding = rarest(parts, ["k"], "t").join(open_.select("q", "qt", F.explode("qt").alias("token")), "token").filter(F.size(F.array_except("t", "qt")) == 0)
+    heads = lambda c: F.transform(F.sequence(F.lit(6), F.length(c)), lambda n: F.substring(c, F.lit(1), n))
+    q6, n6 = open_.filter(F.length("q") >= 6), parts.filter(F.length("norm") >= 6)
+    longer = q6.select("q", F.explode(heads("q")).alias("norm")).join(n6.select("k", "norm"), "norm")
+    shorter = n6.select("k", F.explode(heads("norm")).alias("q")).join(q6.select("q"), "q")
+    fuzzy = functools.reduce(DataFrame.unionAll, (x.select("q", "k") for x in (held, holding, longer, shorter))).groupBy("q").agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
+    found = exact.join(fuzzy, "q", "left")
+    out = rows.withColumn("__q", norm_name(F.col(name))).withColumn("__d", norm_private(F.col(name))).join(by_isin, F.col(isin) == F.col("i"), "left").join(found.withColumnsRenamed({"q": "__q", "d": "__d"}), ["__q", "__d"], "left")
+    how = F.when(F.col("ki").isNotNull(), "isin").when(F.col("kn").isNotNull(), "name").when(F.col("lo") < F.col("hi"), "ambiguous").when(F.col("lo") == F.col("hi"), "fuzzy").otherwise("unresolved")
+    resolved = F.when(how == "isin", F.col("ki")).when(how == "name", F.col("kn")).when(how == "fuzzy", F.col("lo"))
+    return out.select(*rows.columns, resolved.alias("resolved"), how.alias("how"))

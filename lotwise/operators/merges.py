@@ -2,15 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import functools
+import operator
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lotwise.functions.values import statement_class
+
 
 def bag_difference(incoming: DataFrame, existing: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """Rows of ``incoming`` without their n first for each key that ``existing`` has n times."""
-    have = existing.groupBy(*key).agg(F.count(F.lit(1)).alias("__have"))
+    """Rows of ``incoming`` without their n first for each key that ``existing`` has n times. Nulls in a key are values
+    like any other."""
+    have = existing.groupBy(*(F.col(c).alias(f"__{c}") for c in key)).agg(F.count(F.lit(1)).alias("__have"))
     nth = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
-    return incoming.withColumn("__nth", nth).join(have, key, "left").filter(F.col("__nth") > F.coalesce("__have", F.lit(0))).drop("__nth", "__have")
+    same = functools.reduce(operator.and_, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in key))
+    rows = incoming.withColumn("__nth", nth).join(have, same, "left").filter(F.col("__nth") > F.coalesce("__have", F.lit(0)))
+    return rows.select(*incoming.columns)
+
+
+def statement_key(kind: Column, qty: Column, price: Column) -> list[Column]:
+    """What tells statement rows of a day apart: class, quantity to six places, price to four."""
+    return [statement_class(kind).alias("class"), F.floor(qty * 1e6 + 0.5).alias("qty6"), F.floor(price * 1e4 + 0.5).alias("price4")]
 
 
 def replace_slice(existing: DataFrame, incoming: DataFrame, day: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotwise.functions import values
@@ -13,10 +13,33 @@ from lotwise.sources import ledger
 REGISTER = Register()
 
 
-@REGISTER("SELECT s_suppkey AS key, trim(regexp_replace(lower(s_name), '[^a-z0-9]+', ' ', 'g')) AS norm FROM supplier")
+def sql_norm(x: str, forms: str = "limited|ltd|private|pvt|the|co") -> str:
+    """The normalised name in SQL."""
+    signs = f"regexp_replace(lower(coalesce({x}, '')), '[-.,()''\"]', ' ', 'g')"
+    one = f"regexp_replace({signs}, '\\b(private|pvt)\\b', 'pvt', 'g')"
+    return f"trim(regexp_replace(regexp_replace({one}, '\\b({forms})\\b', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+#: A name for every supplier, in the ways that companies write theirs.
+STYLES = ("The {} Co. Ltd.", "{} & Sons Limited", "M&M {}", "Acme-{} Inc", "Soci\u00e9t\u00e9 {} (Pvt)", "{} PRIVATE LIMITED", "Cothe {}'s", "")
+
+
+def styled(key: str, word: Column) -> Column:
+    """``word`` in the style that the key picks; null for every ninth."""
+    return F.coalesce(*(F.when(F.col(key) % 9 == i, F.concat(F.lit(x.split("{}")[0]), *([word, F.lit(x.split("{}")[1])] if "{}" in x else []))) for i, x in enumerate(STYLES)))
+
+
+def sql_styled(key: str, word: str) -> str:
+    quoted = [x.replace("'", "''").split("{}") for x in STYLES]
+    return f"CASE {key} % 9 " + " ".join(f"WHEN {i} THEN '" + (f"' || {word} || '".join(x)) + "'" for i, x in enumerate(quoted)) + " END"
+
+
+@REGISTER(f"""WITH n AS (SELECT s_suppkey AS key, {sql_styled("s_suppkey", "s_name")} AS name FROM supplier)
+SELECT key, {sql_norm("name")} AS norm, {sql_norm("name", "limited|ltd|the|co")} AS norm_private FROM n""")
 def name_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """normName over names without company forms."""
-    return ledger.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), values.norm_name(F.col("s_name")).alias("norm"))
+    """normName, normNamePrivate over names with company forms, signs, letters with accents, nulls and blanks."""
+    n = ledger.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), styled("s_suppkey", F.col("s_name")).alias("name"))
+    return n.select("key", values.norm_name(F.col("name")).alias("norm"), values.norm_private(F.col("name")).alias("norm_private"))
 
 
 @REGISTER("SELECT p_name AS norm, count(DISTINCT p_partkey) AS n FROM part GROUP BY p_name HAVING count(DISTINCT p_partkey) > 1")
@@ -25,28 +48,94 @@ def name_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.collisions(ledger.table(spark, sf_dir, "part"), "p_partkey", "p_name")
 
 
-@REGISTER("SELECT token, count(*) AS n FROM (SELECT DISTINCT p_partkey, unnest(string_split(p_name, ' ')) AS token FROM part) GROUP BY token HAVING count(*) >= 6")
+@REGISTER("SELECT token, count(*) AS n FROM (SELECT DISTINCT p_partkey, unnest(string_split(p_name, ' ')) AS token FROM part) WHERE length(token) > 1 GROUP BY token HAVING count(*) >= 6")
 def generic_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J3."""
     return identity.generic_tokens(ledger.table(spark, sf_dir, "part"), "p_name")
 
 
-@REGISTER("""WITH q AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN upper(c_name) WHEN c_custkey % 3 = 1 THEN substr(c_name, 10) ELSE 'nobody ' || c_custkey END AS name FROM customer)
-SELECT c_custkey AS id, CASE WHEN c_custkey % 3 < 2 THEN c_custkey END AS resolved, CASE c_custkey % 3 WHEN 0 THEN 'name' WHEN 1 THEN 'fuzzy' ELSE 'unresolved' END AS how FROM q""")
+#: A master of securities: a word of its own behind the part's name; half of them have an alias.
+WORD = "translate(CAST(p_partkey AS VARCHAR), '0123456789', 'abcdefghij')"
+MASTER = f"""m AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 3 = 0 THEN 'IN' || p_partkey END AS isin, p_name || ' ' || {WORD} || ' Ltd' AS name,
+  CASE WHEN p_partkey % 4 = 0 THEN 'The ' || {WORD} || {WORD} || ' Co.' WHEN p_partkey % 4 = 1 THEN p_name || ' ' || translate(CAST(p_partkey + 1 AS VARCHAR), '0123456789', 'abcdefghij') END AS alias FROM part),
+names AS (SELECT k, norm, bool_or(own) AS own FROM (SELECT k, {sql_norm("name")} AS norm, true AS own FROM m UNION ALL SELECT k, {sql_norm("alias")}, {sql_norm("alias")} = {sql_norm("name")} FROM m WHERE alias IS NOT NULL) GROUP BY ALL),
+slots AS (SELECT norm, arg_max(k, CASE WHEN own THEN 1000000000 ELSE 0 END + k) AS k FROM names WHERE norm <> '' GROUP BY norm)"""
+ASKED = f"""q AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 11 = 0 THEN 'IN' || c_custkey END AS isin, CASE c_custkey % 7 WHEN 0 THEN upper(p_name || ' ' || {WORD}) || ' Pvt. Ltd.' WHEN 1 THEN {WORD} WHEN 2 THEN p_name || ' ' || {WORD} || ' Holdings'
+  WHEN 3 THEN p_name WHEN 4 THEN 'nobody' || {WORD} WHEN 5 THEN substr(p_name || ' ' || {WORD}, 1, 11) ELSE p_name || ' ' || {WORD} || 'x' END AS name FROM customer JOIN part ON p_partkey = c_custkey)"""
+
+
+def _words(key: Column) -> Column:
+    return F.translate(key.cast("string"), "0123456789", "abcdefghij")
+
+
+def master_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(key, isin, name, aliases, private): one security for each part."""
+    k, word = F.col("p_partkey"), _words(F.col("p_partkey"))
+    alias = F.when(k % 4 == 0, F.concat(F.lit("The "), word, word, F.lit(" Co."))).when(k % 4 == 1, F.concat("p_name", F.lit(" "), _words(k + 1)))
+    isin = F.when(k % 3 == 0, F.concat(F.lit("IN"), k))
+    return ledger.table(spark, sf_dir, "part").select(k.alias("key"), isin.alias("isin"), F.concat("p_name", F.lit(" "), word, F.lit(" Ltd")).alias("name"), F.when(alias.isNotNull(), F.array(alias)).alias("aliases"))
+
+
+def asked_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, isin, name): names as notes write them."""
+    k, word = F.col("c_custkey"), _words(F.col("p_partkey"))
+    full = F.concat("p_name", F.lit(" "), word)
+    styles = (F.concat(F.upper(full), F.lit(" Pvt. Ltd.")), word, F.concat(full, F.lit(" Holdings")), F.col("p_name"), F.concat(F.lit("nobody"), word), F.substring(full, 1, 11), F.concat(full, F.lit("x")))
+    name = F.coalesce(*(F.when(k % 7 == i, x) for i, x in enumerate(styles)))
+    c, p = ledger.table(spark, sf_dir, "customer"), ledger.table(spark, sf_dir, "part")
+    return c.join(p, k == F.col("p_partkey")).select(k.alias("id"), F.when(k % 11 == 0, F.concat(F.lit("IN"), k)).alias("isin"), name.alias("name"))
+
+
+TOKENS = "[y FOR y IN list_distinct(string_split({}, ' ')) IF length(y) > 1 AND NOT regexp_matches(y, '^[0-9]+$')]"
+RESOLVED = f"""WITH {MASTER}, {ASKED},
+n AS (SELECT *, {TOKENS.format("norm")} AS t FROM names WHERE norm <> ''), a AS (SELECT DISTINCT {sql_norm("name")} AS x FROM q), o AS (SELECT x, {TOKENS.format("x")} AS xt FROM a WHERE x NOT IN (SELECT norm FROM slots)),
+g AS (SELECT token FROM (SELECT DISTINCT k, unnest(t) AS token FROM n) GROUP BY token HAVING count(*) >= 6), gl AS (SELECT coalesce(list(token), []) AS gs FROM g),
+c AS (SELECT x, count(DISTINCT k) AS c, min(k) AS k FROM o, n, gl WHERE len(xt) > 0 AND ((len(t) > 0 AND list_has_all(xt, t) AND NOT (len(t) = 1 AND list_contains(gs, t[1]))) OR (list_has_all(t, xt) AND NOT (len(xt) = 1 AND list_contains(gs, xt[1])))
+  OR (length(x) >= 6 AND length(norm) >= 6 AND (starts_with(x, norm) OR starts_with(norm, x)))) GROUP BY x)
+SELECT q.id, coalesce(m.k, slots.k, CASE WHEN c.c = 1 THEN c.k END) AS resolved, CASE WHEN m.k IS NOT NULL THEN 'isin' WHEN slots.k IS NOT NULL THEN 'name' WHEN c.c = 1 THEN 'fuzzy' WHEN c.c > 1 THEN 'ambiguous' ELSE 'unresolved' END AS how
+FROM q LEFT JOIN m ON q.isin = m.isin LEFT JOIN slots ON slots.norm = {sql_norm("q.name")} LEFT JOIN c ON c.x = {sql_norm("q.name")}"""
+
+
+@REGISTER(RESOLVED)
 def entity_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact names in other case, single tokens, and names that nobody has."""
-    c = ledger.table(spark, sf_dir, "customer")
-    master = c.select(F.col("c_custkey").alias("key"), F.lit(None).cast("string").alias("isin"), F.col("c_name").alias("name"))
-    name = F.when(F.col("c_custkey") % 3 == 0, F.upper("c_name")).when(F.col("c_custkey") % 3 == 1, F.substring("c_name", 10, 100)).otherwise(F.concat(F.lit("nobody "), "c_custkey"))
-    rows = c.select(F.col("c_custkey").alias("id"), F.lit(None).cast("string").alias("isin"), name.alias("name"))
-    return identity.resolve(rows, master).select("id", "resolved", "how")
+    """Names with forms, single words, longer and cut names, shared names, aliases; the SQL compares
+    every name with every entry."""
+    return identity.resolve(asked_names(spark, sf_dir), master_entries(spark, sf_dir), aliases="aliases").select("id", "resolved", "how")
+
+
+#: Labels, and by hand what each is: ledger side, statement class, NAV side, transfer, its leg out, free shares, a split.
+LABELS = (
+    ("Buy", "BUY", "BUY", "BUY", 0, 0, 0, 0), ("Sell", "SELL", "SELL", "SELL", 0, 0, 0, 0), ("Redeem", "SELL", "SELL", None, 0, 0, 0, 0), ("Redemption", "SELL", "SELL", None, 0, 0, 0, 0),
+    ("Buy-back", "SELL", "SELL", "BUY", 0, 0, 0, 0), ("BUY BACK", "SELL", "SELL", "BUY", 0, 0, 0, 0), ("Buyback", "SELL", "SELL", "BUY", 0, 0, 0, 0), ("Subscribed", "BUY", "BUY", None, 0, 0, 0, 0),
+    ("Transfer Debit", "SELL", "OTHER", "SELL", 1, 1, 0, 0), ("Transfer Out", "SELL", "OTHER", "SELL", 1, 1, 0, 0), ("Transfer In", "BUY", "OTHER", "BUY", 1, 0, 0, 0), ("transfer credit", "BUY", "BUY", "BUY", 1, 0, 0, 0),
+    ("Transfer Into", None, "OTHER", None, 0, 0, 0, 0), ("Transfer Sale", "SELL", "SELL", None, 0, 0, 0, 0), ("Transfer In (Rights)", "BUY", "RIGHT", "BUY", 1, 0, 0, 0), ("Xfer Out", "SELL", "OTHER", "SELL", 1, 1, 0, 0), ("XFERIN", "BUY", "OTHER", "BUY", 1, 0, 0, 0),
+    ("Bonus", "BUY", "BONUS", "BUY", 0, 0, 1, 0), ("Stock Split", "BUY", "SPLIT", "BUY", 0, 0, 1, 1), ("Sub-division", None, "SPLIT", None, 0, 0, 0, 0), ("Consolidation", None, "SPLIT", None, 0, 0, 0, 0), ("Face  Value change", None, "SPLIT", None, 0, 0, 0, 0),
+    ("Rights Issue", "BUY", "RIGHT", "BUY", 0, 0, 0, 0), ("IPO", "BUY", "BUY", "BUY", 0, 0, 0, 0), ("Allotted", "BUY", "BUY", None, 0, 0, 0, 0), ("Call money paid", "BUY", "OTHER", None, 0, 0, 0, 0), ("Off market sale", "SELL", "SELL", None, 0, 0, 0, 0),
+    ("Sold", None, "SELL", None, 0, 0, 0, 0), ("Bought", None, "BUY", None, 0, 0, 0, 0), ("Purchase", "BUY", "BUY", None, 0, 0, 0, 0), ("Dividend", None, "OTHER", None, 0, 0, 0, 0), ("", None, "OTHER", None, 0, 0, 0, 0), (None, None, "OTHER", None, 0, 0, 0, 0),
+)
+
+
+def _literal(x: str | int | None) -> str:
+    return "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x)
+
+
+def sql_labels() -> str:
+    rows = ", ".join("(" + ", ".join(map(_literal, (i, *x))) + ")" for i, x in enumerate(LABELS))
+    return f"labels(i, tx_type, side, class, nav, transfer, leg_out, free, split) AS (VALUES {rows})"
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seq, tx_type): a label for every event."""
+    label = F.get(F.array(*(F.lit(x[0]) for x in LABELS)), (F.col("event_id") % len(LABELS)).cast("int"))
+    return ledger.table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), label.alias("tx_type"), "value")
 
 
-@REGISTER("""SELECT event_type AS tx_type, count(*) AS n, CASE event_type WHEN 'purchase' THEN 'BUY' END AS side, CASE event_type WHEN 'purchase' THEN 'BUY' ELSE 'OTHER' END AS class FROM events GROUP BY event_type""")
+@REGISTER(f"""WITH {sql_labels()} SELECT event_id AS seq, tx_type, side, class, nav AS nav_side, transfer = 1 AS is_transfer, leg_out = 1 AS is_out, free = 1 AS is_free, split = 1 AS is_split FROM events JOIN labels ON event_id % {len(LABELS)} = i""")
 def side_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P1, P4 over the raw words."""
-    g = ledger.table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("tx_type")).agg(F.count(F.lit(1)).alias("n"))
-    return g.select("tx_type", "n", values.ledger_side(F.col("tx_type")).alias("side"), values.statement_class(F.col("tx_type")).alias("class"))
+    """P1, P2, P3, P4, P5 over labels whose meaning was set down by hand."""
+    t = F.col("tx_type")
+    flags = {"is_transfer": values.is_transfer(t), "is_out": values.is_transfer_out(t), "is_free": values.is_free_share(t), "is_split": values.is_split(t)}
+    return labelled(spark, sf_dir).select("seq", "tx_type", values.ledger_side(t).alias("side"), values.statement_class(t).alias("class"), values.nav_side(t).alias("nav_side"), *(c.alias(n) for n, c in flags.items()))
 
 
 @REGISTER("""WITH a AS (SELECT p_partkey AS key, CASE p_size % 5 WHEN 0 THEN 'PE' WHEN 1 THEN 'AIF' WHEN 2 THEN 'MF' ELSE NULL END AS class, DATE '2024-01-01' + CAST(p_size AS INTEGER) AS listed_from FROM part)
