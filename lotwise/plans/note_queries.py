@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lotwise.functions.values import half_up
-from lotwise.operators import allocate
+from lotwise.operators import allocate, checks
 from lotwise.plans.register import LI, Register, r2
 from lotwise.sources import ledger
 
@@ -59,16 +59,25 @@ def stt_statutory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("note", "key", half_up(0.001 * (part("b", "bt", F.col("b") - m) + part("s", "st", F.col("s") - m))).alias("delivery"), half_up(0.00025 * part("s", "st", m)).alias("intraday"))
 
 
-@REGISTER(f"""WITH {NOTE}, n AS (SELECT note, sum(CASE WHEN side='SELL' THEN turnover ELSE -turnover END) AS net, sum(brokerage + stt) AS charges, sum(stt) AS stt, sum(turnover) AS turnover FROM note GROUP BY note),
-j AS (SELECT n.*, o_totalprice AS printed FROM n JOIN orders ON o_orderkey = note)
-SELECT note, {r2("net")} AS net, {r2("charges")} AS charges, CASE WHEN abs(abs(net) - printed) > charges + 1 THEN 'OBLIGATION' WHEN stt > 0.05 * turnover THEN 'STT' ELSE 'PASSED' END AS status FROM j""")
+@REGISTER(f"""WITH {NOTE}, t AS (SELECT note, side, qty + CASE WHEN note % 50 = 7 AND pos = 1 THEN 0.5 ELSE 0 END AS qty, turnover, stt, brokerage FROM note),
+n AS (SELECT note, sum(CASE WHEN side='BUY' THEN turnover ELSE 0 END) AS buys, sum(CASE WHEN side='SELL' THEN turnover ELSE 0 END) AS sells, sum(stt) AS row_stt, sum(brokerage) AS brokerage, bool_or(abs(qty - round(qty)) > 0.000001) AS fractional FROM t GROUP BY note),
+s AS (SELECT n.*, row_stt + CASE WHEN note % 5 = 1 THEN 0.2 ELSE 0.05 END - CASE WHEN note % 7 = 3 THEN row_stt ELSE 0 END AS stt, CASE note % 4 WHEN 0 THEN sells - buys WHEN 1 THEN abs(sells - buys) + brokerage * 0.9 WHEN 2 THEN 0 ELSE o_totalprice END AS obligation FROM n JOIN orders ON o_orderkey = note),
+f AS (SELECT *, {r2("brokerage + stt")} AS charges FROM s),
+x AS (SELECT *, abs(obligation) > 0.005 AND abs(abs(sells - buys) - abs(obligation)) > charges + 1 AS om, stt < 10 AND buys + sells > 100000 AS ss, abs(row_stt - stt) > 0.10 AS sm FROM f)
+SELECT note, {r2("buys")} AS buys, {r2("sells")} AS sells, {r2("charges")} AS charges, fractional, om AS obligation_mismatch, ss AS suspicious_stt, sm AS stt_mismatch,
+  CASE WHEN fractional THEN 'Fractional quantity' WHEN om THEN 'Obligation mismatch' WHEN ss THEN 'Suspicious STT' WHEN sm THEN 'Parser uncertain' ELSE 'PASSED' END AS status FROM x""")
 def note_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The note's obligation against its printed total, then its tax."""
-    sell = F.col("side") == "SELL"
-    n = note_lines(spark, sf_dir).groupBy("note").agg(F.sum(F.when(sell, F.col("turnover")).otherwise(-F.col("turnover"))).alias("net"), F.sum(F.col("brokerage") + F.col("stt")).alias("charges"), F.sum("stt").alias("stt"), F.sum("turnover").alias("turnover"))
-    o = ledger.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("note"), F.col("o_totalprice").alias("printed"))
-    status = F.when(F.abs(F.abs("net") - F.col("printed")) > F.col("charges") + 1, "OBLIGATION").when(F.col("stt") > 0.05 * F.col("turnover"), "STT").otherwise("PASSED")
-    return n.join(o, "note").select("note", half_up(F.col("net")).alias("net"), half_up(F.col("charges")).alias("charges"), status.alias("status"))
+    """Notes that print what their rows give, or more tax, or hardly any, or another obligation, or half a
+    share."""
+    t = note_lines(spark, sf_dir).withColumn("qty", F.col("qty") + F.when((F.col("note") % 50 == 7) & (F.col("pos") == 1), 0.5).otherwise(0.0))
+    side = lambda s: F.sum(F.when(F.col("side") == s, F.col("turnover")).otherwise(0.0))
+    n = t.groupBy("note").agg(side("BUY").alias("b"), side("SELL").alias("s"), F.sum("stt").alias("x"), F.sum("brokerage").alias("brokerage"))
+    n = n.join(ledger.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("note"), "o_totalprice"), "note")
+    stt = F.col("x") + F.when(F.col("note") % 5 == 1, 0.2).otherwise(0.05) - F.when(F.col("note") % 7 == 3, F.col("x")).otherwise(0.0)
+    net, kind = F.col("s") - F.col("b"), F.col("note") % 4
+    printed = F.when(kind == 0, net).when(kind == 1, F.abs(net) + F.col("brokerage") * 0.9).when(kind == 2, 0.0).otherwise(F.col("o_totalprice"))
+    summary = n.select("note", half_up(F.col("brokerage") + stt).alias("charges"), stt.alias("stt"), printed.alias("obligation"))
+    return checks.reconciled(t, summary)
 
 
 @REGISTER(f"""WITH {NOTE}, r(ord, rate) AS (VALUES (1, 0.01), (2, 0.02), (3, 0.03), (4, 0.04), (5, 0.05), (6, 0.06)),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lotwise.functions.values import half_up
-from lotwise.operators import prices
+from lotwise.operators import prices, pricing
 from lotwise.plans.register import CLOSES, LE, Register, r2
 from lotwise.sources import ledger
 
@@ -30,16 +30,37 @@ def asof_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prices.as_of(_asks(spark, sf_dir), ledger.closes(spark, sf_dir), ["key"], "day", "session", "close", forward=True).select("key", "seq", "session", "close")
 
 
-@REGISTER(f"""WITH {CLOSES}, {ASK} SELECT a.key, a.seq, CASE WHEN date_diff('day', c.session, a.day) <= 7 THEN c.close END AS price,
-  CASE WHEN k.key IS NULL THEN 'no-column' WHEN c.session IS NULL THEN 'before-history' WHEN date_diff('day', c.session, a.day) > 7 THEN 'no-close' END AS miss
-FROM ask a ASOF LEFT JOIN closes c ON a.key = c.key AND a.day >= c.session LEFT JOIN (SELECT DISTINCT key FROM closes) k ON a.key = k.key""")
+#: Every second event asks; closes stand at every third session only, so that looking back crosses gaps.
+THIN = f"""{CLOSES}, c3 AS (SELECT * FROM closes WHERE (key + day(session)) % 9 = 0 AND key % 5 > 0), days AS (SELECT session, row_number() OVER (ORDER BY session) AS idx FROM (SELECT DISTINCT session FROM c3)),
+c4 AS (SELECT c3.*, idx FROM c3 JOIN days USING (session)),
+asks AS (SELECT user_id AS key, event_id AS seq, CAST(ts AS DATE) - CAST(event_id % 3 AS INTEGER) AS day FROM events WHERE event_type = 'error'),
+placed AS (SELECT a.*, (SELECT max(idx) FROM days WHERE session <= a.day) AS here FROM asks a),
+found AS (SELECT t.key, t.seq, max(c.idx) AS idx FROM placed t JOIN c4 c ON c.key = t.key AND c.idx BETWEEN t.here - 7 AND t.here GROUP BY t.key, t.seq),
+look AS (SELECT t.key, t.seq, t.day, c.session, c.close AS price, coalesce(f.idx < t.here, false) AS carried,
+  CASE WHEN t.key NOT IN (SELECT key FROM c4) THEN 'no-column' WHEN t.here IS NULL THEN 'before-history' WHEN f.idx IS NULL THEN 'no-close' ELSE '' END AS miss
+  FROM placed t LEFT JOIN found f USING (key, seq) LEFT JOIN c4 c ON c.key = t.key AND c.idx = f.idx)"""
+
+
+def _looked_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = ledger.closes(spark, sf_dir).filter("(key + day(session)) % 9 = 0 and key % 5 > 0")
+    ev = ledger.table(spark, sf_dir, "events").filter("event_type = 'error'")
+    asks = ev.select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.date_sub(F.col("ts").cast("date"), (F.col("event_id") % 3).cast("int")).alias("day"))
+    return pricing.session_prices(asks, grid)
+
+
+@REGISTER(f"WITH {THIN} SELECT key, seq, session, price, carried, miss FROM look")
 def price_lookback7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions are calendar days here."""
-    c = ledger.closes(spark, sf_dir)
-    out = prices.as_of(_asks(spark, sf_dir), c, ["key"], "day", "session", "close").join(c.select("key").distinct().withColumn("known", F.lit(True)), "key", "left")
-    near = F.datediff("day", "session") <= 7
-    miss = F.when(F.col("known").isNull(), "no-column").when(F.col("session").isNull(), "before-history").when(~near, "no-close")
-    return out.select("key", "seq", F.when(near, F.col("close")).alias("price"), miss.alias("miss"))
+    """Sessions of the grid are counted, not days."""
+    return _looked_up(spark, sf_dir).select("key", "seq", "session", "price", "carried", "miss")
+
+
+@REGISTER(f"""WITH {THIN}, m AS (SELECT key % 10 AS report, session, count(*) AS n FROM look WHERE session IS NOT NULL GROUP BY ALL), d AS (SELECT report, session AS pricing_date FROM m QUALIFY row_number() OVER (PARTITION BY report ORDER BY n DESC, session DESC) = 1)
+SELECT key % 10 AS report, seq, price, miss, pricing_date, coalesce(session < pricing_date, false) AS stale FROM look LEFT JOIN d ON report = key % 10""")
+def report_pricing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The date that most rows of a report are priced at, and which rows are older."""
+    rows = _looked_up(spark, sf_dir).withColumn("report", F.col("key") % 10)
+    out = rows.join(F.broadcast(pricing.modal_date(rows, ["report"])), "report", "left")
+    return out.select("report", "seq", "price", "miss", "pricing_date", F.coalesce(F.col("session") < F.col("pricing_date"), F.lit(False)).alias("stale"))
 
 
 GRID = f"""{CLOSES}, s AS (SELECT session, row_number() OVER (ORDER BY session) AS idx FROM (SELECT DISTINCT session FROM closes)),
