@@ -15,7 +15,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lotwise.llm.common import BATCH_ROWS, batches_of, column, shape, table, texts
@@ -60,7 +60,10 @@ def corpus_identifiers(docs: DataFrame, text_col: str = "text", most: int = DICT
     rows = docs.select(F.pmod(F.xxhash64(text), F.lit(64)).cast("int").alias("at"), words.alias("words"))
     each = rows.select(F.explode("words").alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("at")).alias("bit"))
     counts = each.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.bit_or("bit").alias("classes")).filter(F.bit_count("classes") >= spread)
-    top = counts.orderBy(F.desc("n"), "word").limit(most // 5).collect()  # names of four letters and a blank, at most
+    # In each of 16 classes the first names, then the first of those: the driver gets as much at any size.
+    limit = most // 5  # names of four letters and a blank, at most
+    first = F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64("word"), F.lit(16))).orderBy(F.desc("n"), "word"))
+    top = counts.select("word", "n", first.alias("r")).filter(F.col("r") <= limit).orderBy(F.desc("n"), "word").limit(limit).collect()
     size = list(itertools.accumulate(len(r["word"]) + 1 for r in top))
     return " ".join(r["word"] for r, n in reversed(list(zip(top, size, strict=True))) if n <= most)
 
