@@ -82,20 +82,23 @@ def transfer_plan(lots: DataFrame, wanted: DataFrame, by: list[str], order: list
     return out.withColumn("shortfall", F.col("wanted") - F.sum("take").over(Window.partitionBy(*by))).filter("take > 0")
 
 
-def average_cost(ledger: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """(by, qty, cost) by weighted-average release, as in the NAV engine: a sale beyond the position is cut off, one
-    without a position makes it negative."""
+def _released(state: tuple, side: str, qty: float, cash: float) -> tuple:
+    """Quantity and cost after a purchase, or a sale that releases cost at the average: one beyond the position is cut
+    off, one without a position makes it negative."""
+    held, cost = state
+    if side == "BUY":
+        return held + qty, cost + cash
+    if held <= 0:
+        return held - qty, cost
+    sold = min(held, qty)
+    left = held - sold
+    return (left, cost - cost * sold / held) if left > 1e-9 else (0.0, 0.0)
 
-    def step(state: tuple, r: dict) -> tuple:
-        q, c = state
-        if r["side"] == "BUY":
-            return q + r["qty"], c + r["qty"] * r["price"]
-        if q > 0:
-            sold = min(q, r["qty"])
-            return q - sold, c - c * sold / q
-        return q - r["qty"], c
 
-    return fold(ledger, by, order, ["side", "qty", "price"], (0.0, 0.0), step, ["qty", "cost"])
+def average_cost(ledger: DataFrame, by: list[str], order: list[str], each: bool = False) -> DataFrame:
+    """(by, qty, cost) by weighted-average release, as in the NAV engine; after every row if ``each``."""
+    rows = ledger.withColumn("__cash", F.col("qty") * F.col("price"))
+    return fold(rows, by, order, ["side", "qty", "__cash"], (0.0, 0.0), _released, ["held", "cost"], each).withColumnRenamed("held", "qty")
 
 
 def statement_average(events: DataFrame, by: list[str], order: list[str]) -> DataFrame:
@@ -103,18 +106,18 @@ def statement_average(events: DataFrame, by: list[str], order: list[str]) -> Dat
     deficit sets the average to its price, ratios spread the cost over more shares, rights add theirs at their price.
     A row without a ratio that needs one changes nothing."""
 
-    def step(state: tuple, r: dict) -> tuple:
+    def step(state: tuple, kind: str, qty: float, price: float, num: float | None, den: float | None) -> tuple:
         q, avg = state
-        kind, ratio = r["kind"], r["num"] / r["den"] if r["num"] and r["den"] else 0.0
+        ratio = num / den if num and den else 0.0
         if kind == "SELL":
-            left = q - r["qty"]
+            left = q - qty
             return left, avg if left > 1e-9 else 0.0
         if kind == "BUY":
-            total, worth = q + r["qty"], (q + r["qty"]) * r["price"] if q < 0 else q * avg + r["qty"] * r["price"]
+            total, worth = q + qty, (q + qty) * price if q < 0 else q * avg + qty * price
         elif kind == "SPLIT" and q * ratio > 0 and q > 1e-9:
             total, worth = q * ratio, q * avg
         elif kind in ("BONUS", "RIGHT") and q * ratio > 1e-9:
-            total, worth = q + q * ratio, q * avg + (q * ratio * r["price"] if kind == "RIGHT" else 0.0)
+            total, worth = q + q * ratio, q * avg + (q * ratio * price if kind == "RIGHT" else 0.0)
         else:
             return state
         return total, worth / total if total > 0 else 0.0

@@ -17,7 +17,7 @@ DIR = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for t in ("customer", "supplier", "part", "orders", "lineitem", "events"):
+    for t in ("customer", "supplier", "part", "orders", "lineitem", "events", "nation", "region", "documents", "conversations"):
         c.sql(f"create view {t} as select * from '{DIR}/{t}.parquet'")
     return c
 
