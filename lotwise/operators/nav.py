@@ -14,6 +14,14 @@ def calendar(grid: DataFrame) -> DataFrame:
     return grid.select("session").distinct().withColumn("idx", F.row_number().over(Window.orderBy("session")))
 
 
+def sessions_of(days: DataFrame, sessions: DataFrame) -> DataFrame:
+    """(trade_date, session, idx): the first session on or after each day; days behind the last session have none. As
+    many rows as there are days."""
+    one = F.lit(0).alias("one")
+    out = prices.as_of(days.select("trade_date", one), sessions.select(one, "session", "idx"), ["one"], "trade_date", "session", "idx", forward=True)
+    return out.filter("session is not null").select("trade_date", "session", "idx")
+
+
 def filled_grid(grid: DataFrame, keys: DataFrame, sessions: DataFrame, boundaries: DataFrame, most: int = 7) -> DataFrame:
     """(key, session, idx, price): closes carried over at most ``most`` sessions, never across a key's boundary (key,
     session: the first session that the old closes do not reach)."""
@@ -33,9 +41,9 @@ def timeline(ledger: DataFrame, grid: DataFrame, start: str, boundaries: DataFra
     sessions = calendar(grid)
     first = F.lit(start).cast("date")
     states = lots.average_cost(ledger, by, ["trade_date", "seq"], each=True)
-    # The first session that includes a trade, and the position after the last trade that it includes.
-    ahead = prices.as_of(states.select(*by, "trade_date", "seq", "qty", "cost", F.lit(0).alias("one")), sessions.select(F.lit(0).alias("one"), "session", "idx"), ["one"], "trade_date", "session", "idx", forward=True)
-    at = ahead.filter("session is not null").groupBy(*by, "idx").agg(F.max_by(F.struct("qty", "cost"), F.struct("trade_date", "seq")).alias("p")).select(*by, "idx", "p.*")
+    # The first session that includes a day's trades, and the position after the last trade that it includes.
+    reach = F.broadcast(sessions_of(ledger.select("trade_date").distinct(), sessions))
+    at = states.join(reach, "trade_date").groupBy(*by, "idx").agg(F.max_by(F.struct("qty", "cost"), F.struct("trade_date", "seq")).alias("p")).select(*by, "idx", "p.*")
     span = at.withColumn("until", F.coalesce(F.lead("idx").over(Window.partitionBy(*by).orderBy("idx")), F.lit(sessions.count() + 1)))
     held = span.withColumn("idx", F.explode(F.sequence(F.col("idx"), F.col("until") - 1))).filter(F.abs("qty") > 1e-9)
     px = filled_grid(grid, ledger.select("key").distinct(), sessions, boundaries)
@@ -43,8 +51,7 @@ def timeline(ledger: DataFrame, grid: DataFrame, start: str, boundaries: DataFra
     up, cost = F.greatest("cost", F.lit(0.0)), F.col("price").isNotNull()
     worth = p.groupBy("portfolio", "idx").agg(F.sum(F.when(F.col("qty") > 0, F.col("qty") * F.col("price"))).alias("nav"), F.sum(up).alias("cost"), F.sum(F.when(cost, up)).alias("priced"), F.sum(F.when(F.col("qty") < 0, -F.col("qty") * F.col("price"))).alias("discrepancy"))
     signed = F.when(F.col("side") == "BUY", 1).otherwise(-1) * F.col("qty") * F.col("price")
-    cash = prices.as_of(ledger.select("portfolio", "trade_date", signed.alias("cash"), F.lit(0).alias("one")), sessions.select(F.lit(0).alias("one"), "session", "idx"), ["one"], "trade_date", "session", "idx", forward=True)
-    flow = cash.filter(F.col("session") >= first).groupBy("portfolio", "idx").agg(F.sum("cash").alias("flow"))
+    flow = ledger.select("portfolio", "trade_date", signed.alias("cash")).join(reach.filter(F.col("session") >= first), "trade_date").groupBy("portfolio", "idx").agg(F.sum("cash").alias("flow"))
     every = ledger.select("portfolio").distinct().join(F.broadcast(sessions.filter(F.col("session") >= first)), F.lit(True))  # portfolios by sessions: the result's rows
     full = every.join(worth, ["portfolio", "idx"], "left").join(flow, ["portfolio", "idx"], "left").fillna(0.0, ["nav", "cost", "priced", "discrepancy", "flow"])
     sums = full.groupBy("session").agg(*(F.sum(c).alias(c) for c in ("nav", "cost", "priced", "discrepancy", "flow"))).withColumn("portfolio", F.lit(None).cast(full.schema["portfolio"].dataType))

@@ -5,10 +5,10 @@ from __future__ import annotations
 import functools
 import operator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lotwise.functions.values import half_up, is_free_share, ledger_side
+from lotwise.functions.values import half_up, is_free_share, ledger_side, norm_name
 
 
 def within(rows: DataFrame, day: str, first: str, last: str, undated: bool) -> DataFrame:
@@ -59,3 +59,67 @@ def held_asof(rows: DataFrame, by: list[str], day: str) -> DataFrame:
     from_ = F.greatest("trade_date", F.coalesce("transfer_date", "trade_date"))
     signed = F.when(F.col("side") == "BUY", F.col("qty")).otherwise(-F.col("qty"))
     return rows.groupBy(*by).agg(F.sum(F.when(from_ <= at, signed).otherwise(0)).alias("held"), F.count_if((F.col("trade_date") <= at) & (from_ > at)).alias("deferred"))
+
+
+def annual(rows: DataFrame, start: str, end: str, years: str) -> DataFrame:
+    """``rows`` with ``cumulative`` and ``cagr`` in percent between two levels above zero; nothing is made annual that
+    is shorter than a year."""
+    ok = (F.col(start) > 0) & (F.col(end) > 0)
+    grown = F.col(end) / F.col(start)
+    return rows.withColumns({"cumulative": F.when(F.col(start) > 0, (grown - 1) * 100), "cagr": F.when(ok & (F.col(years) >= 1), (F.pow(grown, 1 / F.col(years)) - 1) * 100)})
+
+
+def derived(rows: DataFrame) -> DataFrame:
+    """``rows`` (qty, rate, cost) with ``outcome``: ``derived`` where the cost is quantity times rate to the last unit,
+    ``near`` within one, ``off`` beyond, ``no-rate`` without a rate."""
+    gap = F.abs(half_up(F.col("qty") * F.col("rate")) - F.col("cost"))
+    return rows.withColumn("outcome", F.when(F.col("rate").isNull(), "no-rate").when(gap <= 0.01, "derived").when(gap <= 1.0, "near").otherwise("off"))
+
+
+def out_of_order(rows: DataFrame, by: list[str], batch: str) -> DataFrame:
+    """(by, batch, out_of_order) for batches of rows (side, day): a batch that sells, and buys on a day before the
+    newest purchase of the batches before it."""
+    buy = F.when(F.col("side") == "BUY", F.col("day"))
+    m = rows.groupBy(*by, batch).agg(F.bool_or(F.col("side") == "SELL").alias("sells"), F.min(buy).alias("oldest"), F.max(buy).alias("newest"))
+    seed = F.max("newest").over(Window.partitionBy(*by).orderBy(batch).rowsBetween(Window.unboundedPreceding, -1))
+    return m.withColumn("seed", seed).withColumn("out_of_order", F.coalesce(F.col("sells") & (F.col("oldest") < F.col("seed")), F.lit(False)))
+
+
+def cross_checked(rows: DataFrame, summary: DataFrame, by: list[str], most: float = 0.05) -> DataFrame:
+    """``rows`` (by, grid) with what the summary (by, printed) says: ``no-summary``, ``differs`` or ``ok``."""
+    out = rows.join(summary, by, "left")
+    status = F.when(F.col("printed").isNull(), "no-summary").when((F.col("printed") > 0) & (F.abs(F.col("grid") - F.col("printed")) > most), "differs").otherwise("ok")
+    return out.withColumn("outcome", status)
+
+
+def cash_flows(statements: DataFrame, lots: DataFrame, later: DataFrame, slack: int = 7) -> DataFrame:
+    """(portfolio, trade_date, amount, partial): money back less money out, by day. Before the cut-off a portfolio's
+    statements count if they begin at most ``slack`` days after its oldest lot, else its lots, and its flows are partial."""
+    first = lambda df, name: df.groupBy("portfolio").agg(F.min("trade_date").alias(name))
+    every = statements.select("portfolio").union(lots.select("portfolio")).union(later.select("portfolio")).distinct()
+    known = every.join(first(statements, "t0"), "portfolio", "left").join(first(lots, "l0"), "portfolio", "left")
+    whole = F.col("t0").isNotNull() & (F.col("l0").isNull() | (F.col("t0") <= F.date_add("l0", slack)))
+    known = known.select("portfolio", whole.alias("whole"))
+    cash = F.col("qty") * F.col("price") * F.when(F.col("side") == "SELL", 1).otherwise(-1)
+    flow = lambda df: df.select("portfolio", "trade_date", cash.alias("amount"))
+    old = flow(statements).join(known.filter("whole"), "portfolio", "left_semi").union(flow(lots).join(known.filter("not whole"), "portfolio", "left_semi"))
+    return old.union(flow(later)).join(known, "portfolio").groupBy("portfolio", "trade_date").agg(half_up(F.sum("amount")).alias("amount"), (~F.bool_and("whole")).alias("partial"))
+
+
+def guarded(slices: DataFrame, by: list[str], order: str) -> DataFrame:
+    """(by, order, outcome, through) of slices (first, last, resolved): the last day that is processed after each, null
+    once a slice has something unresolved."""
+    w = Window.partitionBy(*by).orderBy(order)
+    rows = slices.withColumns({"done": F.coalesce(F.max("last").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit("1900-01-01").cast("date")), "clear": F.bool_and("resolved").over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    status = F.when(~F.col("clear"), "blocked").when(F.col("first") < F.col("done"), "behind").otherwise("ok")
+    return rows.select(*by, order, status.alias("outcome"), F.when(F.col("clear"), F.greatest("last", "done")).alias("through"))
+
+
+def matched_targets(said: DataFrame, held: DataFrame) -> DataFrame:
+    """``said`` (id, code, name) with the key of the holding (key, code, symbol, name) that it means: by code, else by
+    symbol, else by normalised name; null if none."""
+    slot = lambda c, name: held.select(c.alias("__c"), F.col("key").alias(name)).filter("__c <> ''").groupBy("__c").agg(F.min(name).alias(name))
+    out = said
+    for ours, theirs, name in ((F.col("code"), F.col("code"), "__k"), (F.upper(F.trim("name")), F.upper("symbol"), "__s"), (norm_name(F.col("name")), norm_name(F.col("name")), "__n")):
+        out = out.withColumn("__c", ours).join(slot(theirs, name), "__c", "left").drop("__c")
+    return out.withColumn("key", F.coalesce("__k", "__s", "__n")).drop("__k", "__s", "__n")

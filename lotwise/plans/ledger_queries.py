@@ -193,13 +193,6 @@ def transfer_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lots.transfer_plan(buys, wanted, ["key"], ["trade_date", "seq"]).select("key", "seq", F.col("take").cast("bigint").alias("take"), F.col("shortfall").cast("bigint").alias("shortfall"))
 
 
-@REGISTER()
-def average_cost_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recursive average cost; a fold that SQL without recursion can't state (tests compare it with a loop)."""
-    out = lots.average_cost(_events(spark, sf_dir), ["key"], ["trade_date", "seq"])
-    return out.select("key", F.col("qty").cast("bigint").alias("qty"), half_up(F.col("cost")).alias("cost"))
-
-
 @REGISTER(f"""WITH {LE}, d AS (SELECT DISTINCT trade_date FROM le), f AS (SELECT key, trade_date, sum(CASE WHEN side='BUY' THEN qty*price ELSE 0 END) AS spent FROM le GROUP BY ALL)
 SELECT trade_date, {r2("sum(spent)")} AS flow, {r2("sum(sum(spent)) OVER (ORDER BY trade_date)")} AS invested FROM f GROUP BY trade_date""")
 def invested_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:

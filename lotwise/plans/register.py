@@ -44,3 +44,11 @@ SQUARED = """sq AS (SELECT key, trade_date, min(seq) AS seq, count(*) AS n, sum(
   FROM le GROUP BY key, trade_date),
 net AS (SELECT key, trade_date, seq, CASE WHEN b > s THEN 'BUY' ELSE 'SELL' END AS side, abs(b - s) AS qty,
   CASE WHEN n = 1 THEN p WHEN b > s THEN v / b ELSE 0 END AS price FROM sq WHERE b <> s)"""
+
+#: Lots and sales of lineitem matched first in, first out, with the rows they come from.
+MATCHED = f"""{LI}, t AS (SELECT *, row_number() OVER w AS rn, sum(CASE WHEN side='BUY' THEN qty ELSE 0 END) OVER (w ROWS UNBOUNDED PRECEDING) AS cb,
+  sum(CASE WHEN side='SELL' THEN qty ELSE 0 END) OVER (w ROWS UNBOUNDED PRECEDING) AS cs, year(trade_date) - CASE WHEN month(trade_date) < 4 THEN 1 ELSE 0 END AS fy FROM li WINDOW w AS (PARTITION BY portfolio, key ORDER BY {LINE_ORDER})),
+u AS (SELECT *, greatest(0, max(cs - cb) OVER (PARTITION BY portfolio, key ORDER BY rn)) AS d FROM t),
+s AS (SELECT *, cs - d AS hi, coalesce(lag(cs - d) OVER (PARTITION BY portfolio, key ORDER BY rn), 0) AS lo FROM u WHERE side='SELL'),
+mm AS (SELECT b.portfolio, b.key, b.rn AS brn, s.rn AS srn, b.trade_date AS buy_date, s.trade_date AS sale_date, s.fy AS sale_fy, least(b.cb, s.hi) - greatest(b.cb - b.qty, s.lo) AS qty, b.price AS bp, s.price AS sp
+  FROM u b JOIN s ON b.portfolio = s.portfolio AND b.key = s.key AND b.side = 'BUY' AND least(b.cb, s.hi) > greatest(b.cb - b.qty, s.lo))"""
