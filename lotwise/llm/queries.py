@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lotwise.llm import oracles
 from lotwise.llm.packing import op7_packing
 from lotwise.llm.piece_codec import op10_sentencepiece
 from lotwise.llm.quality_model import op6_quality
@@ -14,4 +15,5 @@ from lotwise.llm.url_filter import op4_url_filter
 from lotwise.llm.warc import op1_warc
 
 QUERIES = {f.__name__: f for f in (op1_warc, op2_simhash, op3_secrets, op4_url_filter, op5_suffix_dedup, op6_quality, op7_packing, op8_quality_rules, op9_top_k, op10_sentencepiece)}
-ORACLE_SQL: dict[str, str] = {}
+#: The others (fingerprints by XXH64, marginal bytes, a classifier, vocabularies) have brute force in tests/llm.
+ORACLE_SQL: dict[str, str] = {"op1_warc": oracles.OP1, "op4_url_filter": oracles.OP4, "op5_suffix_dedup": oracles.OP5, "op8_quality_rules": oracles.OP8, "op9_top_k": oracles.OP9}
