@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,7 +46,8 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lotwise-{name}-{uuid.uuid4().hex[:12]}"
 
 
-#: Paths of the tables made in each open temporary() block, innermost last.
+#: Where written() put a table, and the paths of each open temporary() block, innermost last.
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 _SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
@@ -73,7 +75,15 @@ def written(df: DataFrame, name: str, outlives: bool = False) -> DataFrame:
     if scopes:
         scopes[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _PATHS[table] = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that written() made and that nothing will read again."""
+    for table in tables:
+        remove_path(table.sparkSession, _PATHS.pop(table))
 
 
 def release_shuffles(spark: SparkSession) -> None:
@@ -90,4 +100,4 @@ def remove_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-__all__ = ["fresh_path", "local_session", "release_shuffles", "remove_path", "shared_dir", "temporary", "written"]
+__all__ = ["discard", "fresh_path", "local_session", "release_shuffles", "remove_path", "shared_dir", "temporary", "written"]
