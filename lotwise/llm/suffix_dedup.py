@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from lotwise.llm.common import batches_of, column, shape, table
 from lotwise.operators.skew import HOT_SHARE, skew_join
-from lotwise.session import release_shuffles, written
+from lotwise.session import discard, release_shuffles, written
 
 LENGTH, Q, PIECE = 200, 32, 32
 RUN = "doc_key bigint, text_key bigint, first int, last int, bucket bigint, tie boolean, extent bigint, extent2 bigint"
@@ -191,8 +191,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     buckets = runs.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max("tie").alias("any_tie"), *ends)
     shared = written(buckets.filter("n > 1 or any_tie").select("bucket", "n", "any_tie", (one_extent & ~F.col("any_tie")).alias("one")), "buckets")
     total = shared.agg(F.sum("n")).first()[0] or 0
-    hot = shared.filter(F.col("n") > max(50, total // HOT_SHARE)).select("bucket")
+    hot = written(shared.filter(F.col("n") > max(50, total // HOT_SHARE)).select("bucket"), "hot")
     inside = written(skew_join(runs, shared.select("bucket", "any_tie", "one"), ["bucket"], hot=hot).select(*docs_key, "first", "last", "bucket", "extent", "extent2", "any_tie", "one"), "shared")
+    discard(runs, shared)
     release_shuffles(docs.sparkSession)
     done = inside.filter("one").select(*docs_key, "first", "last")
     # 2. The rest by extent: equal runs are done, one of them stands for all in step 3. A tie or a run of its own
@@ -203,6 +204,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     hot_extents = extents.filter(F.col("n") > max(50, total // HOT_SHARE)).select(*extent)
     known = written(skew_join(mixed, extents, extent, hot=hot_extents), "known")
     equal = known.filter("n > 1").select(*docs_key, "first", "last")
+    found = written(done.unionAll(equal), "found")
     release_shuffles(docs.sparkSession)
     stands = known.filter(F.col("stand") == F.struct(*docs_key, "first"))
     stands = skew_join(stands, open_, ["bucket"], hot=hot).filter((F.col("least") == 1) | F.col("any_tie"))
@@ -212,12 +214,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     most = min(PIECE, length - Q)
     pieces = _pieces(packed.select(*docs_key, "raw").join(todo, docs_key).dropDuplicates(docs_key), length, most)
     pieces = written(pieces, "pieces")
+    discard(inside, extents, known, hot)
     release_shuffles(docs.sparkSession)
     core = ["core", "core2"]
     cores = written(pieces.groupBy(*core).agg(F.count(F.lit(1)).alias("n"), *ends).filter("n > 1").select(*core, "n", one_extent.alias("one")), "cores")
     total = cores.agg(F.sum("n")).first()[0] or 0
     hot = cores.filter(F.col("n") > max(50, total // HOT_SHARE)).select(*core)
     shared_pieces = written(skew_join(pieces.drop("extent", "extent2"), cores.select(*core, "one"), core, hot=hot), "shared")
+    discard(pieces, cores)
     whole = shared_pieces.filter("one").select(*docs_key, "first", "last")
     # 4. Window by window.
     windows = shared_pieces.filter("not one").withColumn("at", F.explode(F.sequence("first", "last")))
@@ -229,9 +233,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     total = again.agg(F.sum("n")).first()[0] or 0
     hot = again.filter(F.col("n") > max(50, total // HOT_SHARE)).select(*key)
     single = skew_join(windows, again.select(*key), key, hot=hot).select(*docs_key, F.col("at").alias("first"), F.col("at").alias("last"))
-    single = written(single, "single")
+    spans = written(found.unionAll(whole).unionAll(single), "spans")
+    discard(found, shared_pieces, again)
     release_shuffles(docs.sparkSession)
-    return packed, done.unionAll(equal).unionAll(whole).unionAll(single)
+    return packed, spans
 
 
 def refined_places(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
