@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotwise.llm import near_texts, packing, quality_model, secret_scan, suffix_dedup
-from lotwise.session import written
+from lotwise.session import discard, temporary, written
 
 
 def _rest(docs: DataFrame) -> Column:
@@ -78,8 +78,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
+    """All stages over the documents of ``sf_dir``. What a stage wrote on its way goes when its result is written, and
+    that when the next one's is."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.split()[0].lower())
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        before = docs
+        with temporary(spark):
+            docs = written(stage(spark, before, sf_dir), name.split()[0].lower(), outlives=True)
+        if i:
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
