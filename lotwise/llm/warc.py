@@ -3,18 +3,19 @@
 The writer makes one gzip member a record, in archives of bounded size below the folder that all executors share;
 payloads seen before become revisit records. The reader checks every record (member CRC, version line, fields,
 length, terminator, digests). Where a check fails it searches for the next place at which a member or a version line
-begins a record that passes, goes on from there, and reports the bytes between as a quarantined gap.
+begins a record that passes, goes on from there, and reports the bytes between as a quarantined gap. An archive is
+read in pages, so a task holds a few of them and one member's content, however large the archive is.
 """
 
 from __future__ import annotations
 
 import base64
-import contextlib
 import hashlib
 import re
 import zlib
+from collections import OrderedDict
 from collections.abc import Iterator
-from typing import NamedTuple
+from typing import BinaryIO, NamedTuple
 
 import pyarrow as pa
 from pyarrow import fs
@@ -22,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm.common import table
+from lotwise.llm.common import column, table
 from lotwise.operators.skew import hot_keys, skew_join
 from lotwise.session import fresh_path, written
 
@@ -32,7 +33,7 @@ REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 32 << 20
 MAGIC, VERSION, BREAK = b"\x1f\x8b\x08", b"WARC/1.", b"\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-FIELD = re.compile(rb"([!-9;-~]+):[ \t]*([^\r\n]*)\r\n")
+FIELD, VERSION_LINE = re.compile(rb"([!-9;-~]+):[ \t]*([^\r\n]*)\r\n"), re.compile(rb"WARC/1\.\d\r\n")
 
 
 class Record(NamedTuple):
@@ -53,6 +54,65 @@ class Broken(ValueError):
     """A check failed."""
 
 
+class Pages:
+    """An archive as bytes that are read where they are asked for; KEPT pages stay in memory."""
+
+    PAGE, KEPT = 4 << 20, 4
+
+    def __init__(self, file: BinaryIO, size: int):
+        self.file, self.size = file, size
+        self.pages: OrderedDict[int, bytes] = OrderedDict()
+
+    def __len__(self) -> int:
+        return self.size
+
+    def page(self, i: int) -> bytes:
+        if i not in self.pages:
+            self.file.seek(i * self.PAGE)
+            self.pages[i] = self.file.read(self.PAGE)
+            if len(self.pages) > self.KEPT:
+                self.pages.popitem(last=False)
+        self.pages.move_to_end(i)
+        return self.pages[i]
+
+    def __getitem__(self, where: slice) -> bytes:
+        at, stop, _ = where.indices(self.size)
+        if at >= stop:
+            return b""
+        first, last = at // self.PAGE, (stop - 1) // self.PAGE
+        whole = self.page(first) if first == last else b"".join(map(self.page, range(first, last + 1)))
+        return whole[at - first * self.PAGE : stop - first * self.PAGE]
+
+    def startswith(self, what: bytes, at: int) -> bool:
+        return self[at : at + len(what)] == what
+
+    def find(self, what: bytes, at: int) -> int:
+        while at < self.size:
+            stop = (at // self.PAGE + 1) * self.PAGE + len(what) - 1  # what begins in this page may end in the next
+            if (i := self[at:stop].find(what)) >= 0:
+                return at + i
+            at = stop - len(what) + 1
+        return -1
+
+
+Data = bytes | Pages
+
+
+class Next:
+    """Where member and version lines begin ahead; what was found is kept until it is passed."""
+
+    def __init__(self, data: Data):
+        self.data, self.known = data, {MAGIC: -1, VERSION: -1}
+
+    def after(self, at: int) -> int:
+        """The first such place behind ``at``, or the end."""
+        for what, i in self.known.items():
+            if i <= at:
+                found = self.data.find(what, at + 1)
+                self.known[what] = found if found >= 0 else len(self.data)
+        return min(self.known.values())
+
+
 def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
@@ -92,15 +152,19 @@ def fields_at(data: bytes, at: int) -> tuple[dict[str, str], int]:
     return out, at + 2
 
 
-def parse(data: bytes, at: int) -> Record:
+def parse(data: Data, at: int) -> Record:
     """The record whose version line is at ``at``."""
-    if not (m := re.compile(rb"WARC/1\.\d\r\n").match(data, at)):
+    if not VERSION_LINE.match(data[at : at + 10]):
         raise Broken("version line")
-    fields, body = fields_at(data, m.end())
+    if (end := data.find(BREAK + BREAK, at)) < 0:
+        raise Broken("field")
+    head = data[at : end + 4]
+    fields, size = fields_at(head, 10)
+    body = at + size
     if not {"warc-type", "warc-record-id", "content-length"} <= fields.keys() or not fields["content-length"].isdigit():
         raise Broken("missing field")
     stop = body + int(fields["content-length"])
-    if data[stop : stop + 4] != BREAK + BREAK:
+    if stop + 4 > len(data) or data[stop : stop + 4] != BREAK + BREAK:
         raise Broken("length")
     block = data[body:stop]
     if "warc-block-digest" in fields and fields["warc-block-digest"] != digest(block):
@@ -117,7 +181,7 @@ def parse(data: bytes, at: int) -> Record:
     return Record(at, stop + 4, fields, http, payload)
 
 
-def inflate(data: bytes, at: int, step: int = 1 << 16) -> tuple[bytes, int, str]:
+def inflate(data: Data, at: int, step: int = 1 << 16) -> tuple[bytes, int, str]:
     """The content of the gzip member at ``at``, where the member ends, and what is wrong with it ("" if nothing):
     of a damaged or truncated member, the content before the error and where its bytes were no longer read."""
     z, out, pos = zlib.decompressobj(31), [], at
@@ -159,32 +223,32 @@ def records_in(data: bytes) -> Iterator[Record | Gap]:
         yield Gap(bad, len(data), why)
 
 
-def next_start(data: bytes, at: int, end: int) -> int:
+def next_start(data: Data, at: int, end: int) -> int:
     """The first place after ``at`` and before ``end`` at which a record or a member with one begins, or ``end``."""
-    for m in re.compile(rb"\x1f\x8b\x08|WARC/1\.").finditer(data, at + 1, end + len(VERSION)):
-        if m.start() >= end:
-            break
-        found = records_in(inflate(data, m.start())[0]) if m[0] == MAGIC else records_in_place(data, m.start())
+    ahead = Next(data)
+    while (at := ahead.after(at)) < end:
+        found = records_in(inflate(data, at)[0]) if data.startswith(MAGIC, at) else records_in_place(data, at)
         if any(isinstance(x, Record) for x in found):
-            return m.start()
+            return at
     return end
 
 
-def records_in_place(data: bytes, at: int) -> list[Record]:
+def records_in_place(data: Data, at: int) -> list[Record]:
     """The record whose version line is at ``at``, if it passes."""
-    with contextlib.suppress(Broken):
+    try:
         return [parse(data, at)]
-    return []
+    except Broken:
+        return []
 
 
-def salvage(data: bytes) -> Iterator[Record | Gap]:
+def salvage(data: Data) -> Iterator[Record | Gap]:
     """All records of an archive that pass every check, compressed or not, and the gaps between them.
 
     A record of a gzip member has the member's start and stop. Records are searched for within the content of a member
     too, also in what comes before an error of its own; a gap inside a member is empty, lies at the member's stop and
     says where in the content it is. A damaged member stops where the next record or member begins in it, or else
     where its bytes were no longer read; a gap, maybe empty, follows it."""
-    at, bad, why = 0, None, ""
+    at, bad, why, ahead = 0, None, "", Next(data)
     while at < len(data):
         found: list[Record | Gap] = []
         wrong, reason, end = "", "", at
@@ -205,8 +269,7 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
         if not found:
             if bad is None:
                 bad, why = at, reason
-            ahead = [i for i in (data.find(MAGIC, at + 1), data.find(VERSION, at + 1)) if i >= 0]
-            at = min(ahead, default=len(data))
+            at = ahead.after(at)
             continue
         if bad is not None:
             yield Gap(bad, at, why)
@@ -225,8 +288,8 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     and revisits an equal payload that has an id. Rows that repeat an id each get a record. A task's archives appear
     at once, when all are complete; a task that runs twice leaves one set.
     """
-    payload = F.coalesce(F.col(payload_col), F.lit(""))
-    rows = pages.select(F.col(id_col).cast("string").alias("page"), F.col(id_col).alias("__id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), payload.alias("payload"), F.sha1(payload.cast("binary")).alias("digest"))
+    payload = F.coalesce(column(payload_col), F.lit(""))
+    rows = pages.select(column(id_col).cast("string").alias("page"), column(id_col).alias("__id"), F.coalesce(column(url_col), F.lit("")).alias("url"), payload.alias("payload"), F.sha1(payload.cast("binary")).alias("digest"))
     size = F.octet_length("payload")
     same = written(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("__id").alias("largest"), F.max(size).alias("size")).filter("n > 1"), "payloads")
     total = same.agg(F.sum("n")).first()[0] or 0
@@ -254,8 +317,12 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
                 size, n = size + len(data), n + 1
         if out is not None:
             out.close()
-        with contextlib.suppress(OSError):  # another attempt's are there already
+        try:
             store.move(temp, final)
+        except OSError:
+            if store.get_file_info(final).type == fs.FileType.NotFound:
+                raise
+            store.delete_dir(temp)  # another attempt's archives are there already
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
     done = joined.select("page", "url", "payload", "digest", refers.alias("refers")).mapInArrow(write, "n bigint")
@@ -269,24 +336,28 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
     """Every record and every gap of the archives below ``path`` (ENTRY; a gap has a reason and no record columns).
 
     payload_bytes and payload_digest (lower-case hex) are those of the full payload, for revisits too, as their HTTP
-    head and digest field state. An archive is read by one task. Empty archives give no rows.
+    head and digest field state. An archive is read from its start to its end by one task, as only that tells a member
+    from bytes within another that look like one; pages of it are in memory, and a member's content. Empty archives
+    give no rows. ``path`` is a URI that pyarrow can read.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([(n, {"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary()}[k]) for n, k in (x.split() for x in ENTRY.split(", "))])
         for batch in batches:
-            for name, content in zip(batch.column("path"), batch.column("content"), strict=True):
-                rows, size = [], 0
-                for x in salvage(content.as_py()):
-                    rows.append(entry(name.as_py(), x, with_payload))
-                    size += len(rows[-1]["payload"] or b"")
-                    if len(rows) >= 1000 or size > 8 << 20:
-                        yield pa.RecordBatch.from_pylist(rows, schema=schema)
-                        rows, size = [], 0
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+            for name, length in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist(), strict=True):
+                store, at = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", name))
+                with store.open_input_file(at) as file:
+                    rows, size = [], 0
+                    for x in salvage(Pages(file, length)):
+                        rows.append(entry(name, x, with_payload))
+                        size += len(rows[-1]["payload"] or b"")
+                        if len(rows) >= 1000 or size > 8 << 20:
+                            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                            rows, size = [], 0
+                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.warc*").load(path)
-    return files.select("path", "content").mapInArrow(read, ENTRY)
+    return files.select("path", "length").mapInArrow(read, ENTRY)
 
 
 def entry(path: str, x: Record | Gap, with_payload: bool) -> dict:

@@ -1,5 +1,6 @@
 """Salvage within gzip members that hold several records."""
 
+import io
 import random
 
 import pytest
@@ -41,3 +42,34 @@ def test_checksum_and_next_member():
     cut = warc.member(b"".join(MADE[:6]))
     cut = cut[: len(cut) // 2]
     assert kept(cut + warc.member(MADE[7]))[-1] == "7" and kept(cut + warc.member(MADE[7]))[:2] == ["0", "1"]
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_pages_read_as_the_whole(monkeypatch, packed):
+    """An archive in small pages gives what it gives as a whole, damaged or not."""
+    monkeypatch.setattr(warc.Pages, "PAGE", 97)
+    parts = [warc.member(m) if packed else m for m in MADE]
+    broken = bytearray(b"".join(parts))
+    for at in RNG.sample(range(len(broken)), 4):
+        broken[at] ^= 0x55
+    for data in (b"".join(parts), bytes(broken), b"junk" + bytes(broken[: len(broken) // 2]), b""):
+        assert list(warc.salvage(warc.Pages(io.BytesIO(data), len(data)))) == list(warc.salvage(data))
+    pages = warc.Pages(io.BytesIO(data := bytes(broken)), len(data))
+    for _ in range(200):
+        a, b = sorted(RNG.sample(range(len(data) + 5), 2))
+        assert pages[a:b] == data[a:b] and pages.find(data[a : a + 5], max(0, a - 300)) == data.find(data[a : a + 5], max(0, a - 300))
+    assert len(pages.pages) <= warc.Pages.KEPT
+
+
+def test_lost_archives_are_an_error(spark, tmp_path, monkeypatch):
+    """Only another attempt's finished archives excuse a move that fails."""
+    frame = spark.createDataFrame([(1, "http://a", "x")], "page_id bigint, url string, html string")
+    assert warc.write_archives(frame, f"file://{tmp_path}/a") == 1
+    assert warc.read_archives(spark, f"file://{tmp_path}/a").count() == 1
+    (tmp_path / "b").mkdir(mode=0o755)
+    for i in range(8):
+        (tmp_path / "b" / f"part-{i:06d}").mkdir()
+        (tmp_path / "b" / f"part-{i:06d}" / "other.warc.gz").write_bytes(warc.member(MADE[0]))
+    assert warc.write_archives(frame.coalesce(1), f"file://{tmp_path}/b") == 1
+    assert warc.read_archives(spark, f"file://{tmp_path}/b").filter("record_id is not null").count() == 8
+    assert not [p for p in (tmp_path / "b").iterdir() if p.name.startswith("_tmp")]
