@@ -66,7 +66,8 @@ def lots_at_year_ends(ledger: DataFrame, by: list[str], order: list[str]) -> Dat
     years = ledger.groupBy(*by).agg(F.array_distinct(F.collect_set(fiscal_year(F.col("trade_date")))).alias("years"))  # a handful of years
     rows = seg.join(years, by).withColumn("fy", F.explode("years"))
     live = (fiscal_year(F.col("lot.trade_date")) <= F.col("fy")) & (F.col("sale").isNull() | (fiscal_year(F.col("sale.trade_date")) > F.col("fy")))
-    return rows.filter(live).groupBy(*by, "fy", F.col("lot.trade_date").alias("day")).agg(F.sum("qty").alias("qty"), half_up(F.sum(F.col("qty") * F.col("lot.price"))).alias("cost"))
+    left = rows.filter(live).groupBy(*by, "fy", F.col("lot.trade_date").alias("day"), F.col("lot.price").alias("price")).agg(F.sum("qty").alias("qty"))
+    return left.groupBy(*by, "fy", "day").agg(F.sum("qty").alias("qty"), half_up(F.sum(half_up(F.col("qty") * F.col("price")))).alias("cost"))
 
 
 def uncovered_sales(ledger: DataFrame, by: list[str], order: list[str]) -> DataFrame:

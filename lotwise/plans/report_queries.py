@@ -61,7 +61,7 @@ def average_cost_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTER(f"""WITH {MATCHED}, y AS (SELECT DISTINCT portfolio, key, fy FROM t), l AS (SELECT u.portfolio, u.key, y.fy, u.trade_date, u.price, u.qty - coalesce(sum(mm.qty) FILTER (mm.sale_fy <= y.fy), 0) AS left_
   FROM u JOIN y ON y.portfolio = u.portfolio AND y.key = u.key AND u.fy <= y.fy LEFT JOIN mm ON mm.portfolio = u.portfolio AND mm.key = u.key AND mm.brn = u.rn WHERE u.side = 'BUY' GROUP BY u.portfolio, u.key, y.fy, u.trade_date, u.price, u.qty, u.rn)
-SELECT portfolio, key, fy, trade_date AS day, CAST(sum(left_) AS BIGINT) AS qty, {r2("sum(left_ * price)")} AS cost FROM l WHERE left_ > 0 GROUP BY portfolio, key, fy, trade_date""")
+SELECT portfolio, key, fy, trade_date AS day, CAST(sum(q) AS BIGINT) AS qty, {r2("sum(" + r2("q * price") + ")")} AS cost FROM (SELECT portfolio, key, fy, trade_date, price, sum(left_) AS q FROM l WHERE left_ > 0 GROUP BY ALL) GROUP BY portfolio, key, fy, trade_date""")
 def register_year_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closing lots of every fiscal year in which a key traded; the opening lots of the next."""
     return nav.lots_at_year_ends(_lines(spark, sf_dir), BY, ledger.LINE_ORDER)
@@ -74,7 +74,7 @@ def register_uncovered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nav.uncovered_sales(_lines(spark, sf_dir), BY, ledger.LINE_ORDER)
 
 
-@REGISTER(f"""WITH {MATCHED}, g AS (SELECT portfolio, key, sum(qty * (sp - bp)) AS gain, count(*) AS trades FROM mm GROUP BY ALL), x AS (SELECT portfolio, key, brn, sum(qty) AS sold FROM mm GROUP BY ALL),
+@REGISTER(f"""WITH {MATCHED}, g AS (SELECT portfolio, key, sum({r2("qty * (sp - bp)")}) AS gain, count(*) AS trades FROM mm GROUP BY ALL), x AS (SELECT portfolio, key, brn, sum(qty) AS sold FROM mm GROUP BY ALL),
 h AS (SELECT u.portfolio, u.key, sum(u.qty - coalesce(x.sold, 0)) AS held, sum(CASE WHEN date_diff('day', u.trade_date, DATE '2002-01-01') >= 365 THEN u.qty - coalesce(x.sold, 0) ELSE 0 END) AS long_term FROM u LEFT JOIN x ON x.portfolio = u.portfolio AND x.key = u.key AND x.brn = u.rn WHERE side = 'BUY' GROUP BY ALL)
 SELECT h.portfolio, h.key, CAST(held AS BIGINT) AS held, CAST(long_term AS BIGINT) AS long_term, coalesce(trades, 0) AS trades, {r2("coalesce(gain, 0)")} AS gain FROM h LEFT JOIN g USING (portfolio, key)""")
 def stock_page(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +82,7 @@ def stock_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     seg = lots.segments(_lines(spark, sf_dir), BY, ledger.LINE_ORDER, "drop").filter("lot is not null")
     live, old = F.col("sale").isNull(), F.datediff(F.lit("2002-01-01").cast("date"), "lot.trade_date") >= 365
     part = lambda c, x: F.sum(F.when(c, x).otherwise(0))
-    out = seg.groupBy(*BY).agg(part(live, F.col("qty")).alias("held"), part(live & old, F.col("qty")).alias("long_term"), F.count_if(~live).alias("trades"), half_up(part(~live, F.col("qty") * (F.col("sale.price") - F.col("lot.price")))).alias("gain"))
+    out = seg.groupBy(*BY).agg(part(live, F.col("qty")).alias("held"), part(live & old, F.col("qty")).alias("long_term"), F.count_if(~live).alias("trades"), half_up(part(~live, half_up(F.col("qty") * (F.col("sale.price") - F.col("lot.price"))))).alias("gain"))
     return out
 
 
