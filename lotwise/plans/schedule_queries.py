@@ -119,12 +119,12 @@ def statement_net(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @REGISTER(f"""WITH {STATEMENT}, l AS (SELECT *, coalesce(lag(balance) OVER (PARTITION BY key ORDER BY seq), 0) AS held FROM st),
-o AS (SELECT *, held > 0 AND balance > held AS ok FROM l WHERE kind IN ('BONUS', 'SPLIT') AND key % 3 = 0),
+o AS (SELECT *, held > 0 AND balance > held AS ok FROM l WHERE kind IN ('BONUS', 'SPLIT')),
 n AS (SELECT *, CASE WHEN NOT ok THEN 1 WHEN kind = 'SPLIT' THEN balance ELSE balance - held END AS n, CASE WHEN ok THEN held ELSE 1 END AS d FROM o)
 SELECT key, seq, kind, CAST(n // gcd(CAST(n AS BIGINT), CAST(d AS BIGINT)) AS BIGINT) AS num, CAST(d // gcd(CAST(n AS BIGINT), CAST(d AS BIGINT)) AS BIGINT) AS den FROM n""")
 def pending_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ratios that the jumps of printed balances suggest."""
-    out = schedules.pending_ratios(_statement(spark, sf_dir).filter("key % 3 = 0"), ["key"], ["seq"])
+    """Ratios that the jumps of printed balances suggest; without a printed balance the default."""
+    out = schedules.pending_ratios(_statement(spark, sf_dir), ["key"], ["seq"])
     return out.select("key", "seq", "kind", "num", "den")
 
 
@@ -154,9 +154,12 @@ def valuation_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schedules.valuation_update(register, updates, ["key"])
 
 
-@REGISTER()
+@REGISTER("""WITH RECURSIVE g AS (SELECT l_orderkey AS page, CAST(l_linenumber AS DOUBLE) AS x, CAST(l_quantity AS DOUBLE) AS y, l_extendedprice AS seq, CAST(l_partkey AS VARCHAR) AS text FROM lineitem),
+h AS (SELECT page, y, row_number() OVER (PARTITION BY page ORDER BY y DESC) AS rn FROM (SELECT DISTINCT page, y FROM g)),
+t AS (SELECT page, y, rn, y AS top, 1 AS line FROM h WHERE rn = 1 UNION ALL SELECT h.page, h.y, h.rn, CASE WHEN t.top - h.y > 5 THEN h.y ELSE t.top END, t.line + CASE WHEN t.top - h.y > 5 THEN 1 ELSE 0 END FROM t JOIN h ON h.page = t.page AND h.rn = t.rn + 1)
+SELECT g.page, line, string_agg(text, ' ' ORDER BY x, seq, text) AS text FROM g JOIN t ON t.page = g.page AND t.y = g.y GROUP BY g.page, line""")
 def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of text into lines; an order is a page, quantities are heights (tests compare it with a loop)."""
+    """Runs of text into lines; an order is a page, quantities are heights."""
     li = ledger.table(spark, sf_dir, "lineitem")
     glyphs = li.select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").cast("double").alias("x"), F.col("l_quantity").cast("double").alias("y"), F.col("l_extendedprice").alias("seq"), F.col("l_partkey").cast("string").alias("text"))
     return schedules.text_lines(glyphs, ["page"])
@@ -171,25 +174,47 @@ def statement_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("key", "at", "seq", "kind", F.col("qty").cast("double").alias("qty"), "price", num.alias("num"), den.alias("den"), F.lit(None).cast("bigint").alias("to_key"), F.lit(None).cast("double").alias("cost"))
 
 
-@REGISTER()
+#: Statement rows in the order that they act in. Held shares are followed row by row; lots are then laid out in final
+#: shares (times all later splits) and what was sold in all is taken from the oldest.
+EVENT_ROWS = f"""{STATEMENT}, se AS (SELECT st.key, CAST(e.ts AS DATE) AS day, st.seq, kind, CAST(st.qty AS DOUBLE) AS qty, e.value AS price, CAST(balance AS DOUBLE) AS balance, {{rank}} AS rank_ FROM st JOIN events e ON e.event_id = st.seq WHERE kind <> 'OTHER' AND e.value IS NOT NULL),
+sn AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY day, rank_, seq) AS rn FROM se)"""
+FIFO_ROWS = EVENT_ROWS.format(rank="CASE kind WHEN 'BUY' THEN 0 WHEN 'BONUS' THEN 0 WHEN 'SELL' THEN 2 ELSE 1 END")
+STATEMENT_LOTS = f"""WITH RECURSIVE {FIFO_ROWS}, seed AS (SELECT key, CAST(0 AS BIGINT) AS rn, CAST(0 AS DOUBLE) AS q, CAST(0 AS DOUBLE) AS moved FROM sn WHERE rn = 1),
+rc AS (SELECT * FROM seed UNION ALL SELECT n.key, n.rn, CASE n.kind WHEN 'BUY' THEN q + n.qty WHEN 'BONUS' THEN q + q / n.qty WHEN 'SPLIT' THEN q * 2 ELSE q - least(q, n.qty) END, CASE n.kind WHEN 'BUY' THEN n.qty WHEN 'BONUS' THEN q / n.qty WHEN 'SPLIT' THEN 0 ELSE least(q, n.qty) END FROM rc JOIN sn n ON n.key = rc.key AND n.rn = rc.rn + 1),
+a AS (SELECT n.*, rc.moved, power(2, count(CASE WHEN kind = 'SPLIT' THEN 1 END) OVER (PARTITION BY n.key ORDER BY n.rn DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS f FROM sn n JOIN rc ON rc.key = n.key AND rc.rn = n.rn),
+b AS (SELECT *, moved * f AS final, sum(CASE WHEN kind = 'SELL' THEN moved * f ELSE 0 END) OVER (PARTITION BY key) AS sold, sum(CASE WHEN kind IN ('BUY', 'BONUS') THEN moved * f ELSE 0 END) OVER (PARTITION BY key ORDER BY rn) AS upto FROM a),
+l AS (SELECT key, day, least(final, greatest(0, upto - sold)) AS left_, final, CASE WHEN kind = 'BUY' THEN qty * price ELSE 0 END AS paid FROM b WHERE kind IN ('BUY', 'BONUS'))
+SELECT key, day AS acquired, {r6("left_")} AS qty, {r2(r6("paid * left_ / final"))} AS cost FROM l WHERE left_ > 0.000001"""
+
+
+@REGISTER(STATEMENT_LOTS)
 def statement_lots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Surviving lots of statements with resolved ratios; what is sold beyond the lots is forgotten."""
-    out = actions.replay(statement_events(spark, sf_dir), "drop").filter("acquired is not null")
-    return out.select("key", "acquired", half_up(F.col("qty"), 6).alias("qty"), half_up(F.col("cost")).alias("cost"))
+    out = actions.replay(statement_events(spark, sf_dir), "drop").filter("acquired is not null and qty > 1e-6")
+    return out.select("key", "acquired", half_up(F.col("qty"), 6).alias("qty"), half_up(half_up(F.col("cost"), 6)).alias("cost"))
 
 
-@REGISTER()
+@REGISTER(STATEMENT_LOTS)
 def statement_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two slices, the first's lots carried into the second; equal to statement_lots."""
     events, cut = statement_events(spark, sf_dir), F.lit("2024-01-16").cast("date")
     first = actions.replay(events.filter(F.col("at") < cut), "drop").filter("acquired is not null")
     # lots that are carried in come before the slice's own rows and keep their order
     seeds = first.select("key", F.col("acquired").alias("at"), F.col("lot").alias("seq"), F.lit("BUY").alias("kind"), "qty", (F.col("cost") / F.col("qty")).alias("price"))
-    out = actions.replay(events.filter(F.col("at") >= cut).unionByName(seeds, allowMissingColumns=True), "drop").filter("acquired is not null")
-    return out.select("key", "acquired", half_up(F.col("qty"), 6).alias("qty"), half_up(F.col("cost")).alias("cost"))
+    out = actions.replay(events.filter(F.col("at") >= cut).unionByName(seeds, allowMissingColumns=True), "drop").filter("acquired is not null and qty > 1e-6")
+    return out.select("key", "acquired", half_up(F.col("qty"), 6).alias("qty"), half_up(half_up(F.col("cost"), 6)).alias("cost"))
 
 
-@REGISTER()
+AVERAGE_ROWS = EVENT_ROWS.format(rank="CASE kind WHEN 'BUY' THEN 0 WHEN 'SELL' THEN 2 ELSE 1 END")
+
+
+@REGISTER(f"""WITH RECURSIVE {AVERAGE_ROWS}, seed AS (SELECT key, CAST(0 AS BIGINT) AS rn, CAST(0 AS DOUBLE) AS q, CAST(0 AS DOUBLE) AS v FROM sn WHERE rn = 1),
+rc AS (SELECT * FROM seed UNION ALL SELECT n.key, n.rn, CASE WHEN n.kind = 'SELL' THEN q - n.qty WHEN n.kind = 'BUY' THEN q + n.qty WHEN n.kind = 'SPLIT' AND q > 0.000000001 THEN q * 2 WHEN n.kind = 'BONUS' AND q / n.qty > 0.000000001 THEN q + q / n.qty ELSE q END,
+  CASE WHEN n.kind = 'SELL' THEN CASE WHEN q - n.qty > 0.000000001 THEN v ELSE 0 END WHEN n.kind = 'BUY' THEN CASE WHEN q + n.qty <= 0 THEN 0 WHEN q < 0 THEN n.price ELSE (q * v + n.qty * n.price) / (q + n.qty) END
+  WHEN n.kind = 'SPLIT' AND q > 0.000000001 THEN v / 2 WHEN n.kind = 'BONUS' AND q / n.qty > 0.000000001 THEN q * v / (q + q / n.qty) ELSE v END FROM rc JOIN sn n ON n.key = rc.key AND n.rn = rc.rn + 1),
+e AS (SELECT key, arg_max(q, rn) AS q, arg_max(v, rn) AS v FROM rc GROUP BY key), bal AS (SELECT key, CASE WHEN bool_or(balance <> 0) THEN CAST(arg_max(balance, seq) AS DOUBLE) END AS b FROM st GROUP BY key),
+c AS (SELECT e.key, v, CASE WHEN b IS NOT NULL AND NOT (CASE WHEN q > 0.000000001 THEN b > q * 3 OR b < q / 3 ELSE abs(b) > 1 END) THEN b ELSE q END AS q FROM e JOIN bal USING (key))
+SELECT key, {r6("q")} AS qty, {r6("v")} AS avg_cost FROM c WHERE {r6("q")} > 0.000000001""")
 def statement_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Average cost by the replay, quantity as the broker settled it where that is credible."""
     avg = lots.statement_average(statement_events(spark, sf_dir).withColumn("rank", F.when(F.col("kind") == "BUY", 0).when(F.col("kind") == "SELL", 2).otherwise(1)), ["key"], ["at", "rank", "seq"])

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -16,6 +19,9 @@ def import_stream(spark: SparkSession, source: str, schema: str, target: str, ch
     def batch(rows: DataFrame, number: int) -> None:
         here = f"{target}/batch={number}"
         have = rows.sparkSession.read.schema(schema + ", batch bigint").parquet(target).filter(f"batch <> {number}").drop("batch") if number else rows.limit(0)
-        bag_difference(rows, have, key, order).write.mode("overwrite").parquet(here)
+        # Only what shares a key with the batch is counted: the batch is the small side, which Spark broadcasts by size.
+        asked = rows.select(*key).distinct()
+        same = functools.reduce(operator.and_, (have[c].eqNullSafe(asked[c]) for c in key))
+        bag_difference(rows, have.join(asked, same, "left_semi"), key, order).write.mode("overwrite").parquet(here)
 
     return spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
