@@ -9,6 +9,7 @@ records. Only the last window can be short, so padding is less than one window f
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 from collections.abc import Iterable, Iterator
@@ -35,8 +36,11 @@ def tokenizer_path() -> str:
 class ChunkEncoder:
     """Chunks between ASCII whitespace -> ids as little-endian unsigned 32-bit bytes.
 
-    The vocabulary drops whitespace before it merges, so a text's ids are its chunks' ids in turn. A batch's distinct
-    chunks that the cache does not have are tokenized together, a word between them whose one id tells them apart.
+    The vocabulary drops whitespace before it merges, so a text's ids are its chunks' ids in turn. Where it also puts
+    texts in lower case and cuts letters from signs, a word with signs behind it is its small letters and its signs, so
+    that ``Word`` and ``word,`` need no tokenizing of their own; each ends with the one id of it that ends a word. A batch's
+    distinct parts that the cache does not have are tokenized together, others with a word between them whose one id
+    tells them apart.
     """
 
     TOGETHER = 2000
@@ -48,6 +52,9 @@ class ChunkEncoder:
         words = (w[:-4] for w, _ in sorted(self.tokenizer.get_vocab().items(), key=lambda x: -x[1]) if re.fullmatch("[a-z]{9,}</w>", w))
         self.between = next(w for w in words if len(self.tokenizer.encode(w, add_special_tokens=False).ids) == 1)
         self.mark = self.tokenizer.encode(self.between, add_special_tokens=False).ids[0]
+        self.cuts = cuts_words(json.loads(self.tokenizer.to_str()))
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.last[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
 
     def tokenize(self, chunks: list[bytes]) -> Iterator[bytes]:
         """The ids of each chunk."""
@@ -63,6 +70,26 @@ class ChunkEncoder:
             for a, b in zip([0, *(x + 4 for x in ends)], [*ends, len(raw)], strict=True):
                 yield raw[a:b]
 
+    def words(self, parts: list[bytes]) -> Iterator[bytes]:
+        """The ids of parts that are one word each."""
+        groups = [[c.decode() for c in parts[i : i + self.TOGETHER]] for i in range(0, len(parts), self.TOGETHER)]
+        made = self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)
+        for group, e in zip(groups, made, strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+            if len(ends) != len(group):  # a vocabulary without ends of words
+                yield from self.tokenize([g.encode() for g in group])
+                continue
+            raw = ids.tobytes()
+            for a, b in zip([0, *ends], ends):
+                yield raw[a:b]
+
+    def parts(self, chunk: bytes) -> tuple[bytes, ...]:
+        """What a chunk's ids are put together from."""
+        if self.cuts and (m := WORD_AND_SIGNS.fullmatch(chunk)):
+            return (m[1].lower(), m[2]) if m[2] else (m[1].lower(),)
+        return (chunk,)
+
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         chunks = [t.encode().split() for t in texts]
         ids, new, cache, old = {}, [], self.cache, self.cache.old
@@ -73,11 +100,38 @@ class ChunkEncoder:
                     continue
                 cache.put(c, value)
             ids[c] = value
-        for c, value in zip(new, self.tokenize(new), strict=True):
-            ids[c] = cache.put(c, value)
+        made = [self.parts(c) for c in new]
+        known: dict[bytes, bytes] = {}
+        words, others = [], []
+        for part in set().union(*made):
+            if (value := cache.get(part)) is None and (value := old.get(part)) is None:
+                (words if self.cuts and (not part.strip(SIGNS) or WORD_AND_SIGNS.fullmatch(part)) else others).append(part)
+            else:
+                known[part] = value
+        for todo, ids_of in ((words, self.words), (others, self.tokenize)):
+            for part, value in zip(todo, ids_of(todo), strict=True):
+                known[part] = cache.put(part, value)
+        for c, own in zip(new, made, strict=True):
+            ids[c] = known[own[0]] if len(own) == 1 else known[own[0]] + known[own[1]]
+            if own[0] != c:
+                cache.put(c, ids[c])
         return [b"".join(map(ids.__getitem__, own)) for own in chunks]
 
 
+#: Letters of ASCII and Latin-1, then signs that no rule of such a vocabulary joins with letters.
+SIGNS = b".,;:!?"
+WORD_AND_SIGNS = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:!?]*)")
+
+
+def cuts_words(tokenizer: dict) -> bool:
+    """Whether a vocabulary puts all in lower case and its first step takes runs of letters, and runs of what is neither
+    letter nor number, as words of their own."""
+    steps = lambda x, of: x.get(of, [x]) if x else []
+    lower = any(n["type"] == "Lowercase" for n in steps(tokenizer["normalizer"], "normalizers"))
+    first = next(iter(steps(tokenizer["pre_tokenizer"], "pretokenizers")), {})
+    return lower and first.get("type") == "Split" and {r"[\p{L}]+", r"[^\s\p{L}\p{N}]+"} <= set(first["pattern"].get("Regex", "").split("|"))
+
+
 @functools.lru_cache(maxsize=2)
 def chunk_encoder(path: str) -> ChunkEncoder:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a worker for each core already
@@ -91,7 +145,7 @@ def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, before = chunk_encoder(path), TaskContext.get().partitionId(), 0
         for whole in batches:
-            for batch in batches_of(whole, BATCH_ROWS):
+            for batch in batches_of(whole, 4 * BATCH_ROWS):
                 ids = [x + end for x in encoder.encode(texts(batch, "text"))]
                 n = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
                 starts = before + np.cumsum(n) - n
