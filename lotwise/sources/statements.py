@@ -63,7 +63,7 @@ def placed(cells: list[str], columns: dict[str, tuple[str, ...]], required: tupl
 def read_columns(spark: SparkSession, path: str, columns: dict[str, tuple[str, ...]], required: tuple[str, ...]) -> DataFrame:
     """The columns of a statement as text, null where it has none; no rows if no line of the first HEAD_LINES is a
     header with all that is required. Lines above the header and blank lines have no values where they are looked for."""
-    raw = spark.read.option("mode", "PERMISSIVE").option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path)
+    raw = spark.read.option("mode", "PERMISSIVE").option("escape", "\"").option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path)
     for line in raw.limit(HEAD_LINES).collect():
         cells = [letters(c) for c in line]
         if (at := placed(cells, columns, required)) is not None:
