@@ -83,13 +83,13 @@ def cross_lots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTER(f"""WITH {LI}, t AS (SELECT *, sum(CASE WHEN side='BUY' THEN qty ELSE 0 END) OVER (PARTITION BY portfolio, key ORDER BY {LINE_ORDER} ROWS UNBOUNDED PRECEDING) AS cb, sum(CASE WHEN side='SELL' THEN qty ELSE 0 END) OVER (PARTITION BY portfolio, key) AS ts FROM li),
 l AS (SELECT portfolio, key, trade_date, least(qty, cb - ts) AS q, {r2("least(qty, cb - ts) * price")} AS a FROM t WHERE side='BUY' AND cb > ts)
-SELECT portfolio, key, trade_date, CAST(sum(q) AS BIGINT) AS qty, {r2("sum(a)")} AS amount, {r6("sum(a) / sum(q)")} AS rate FROM l GROUP BY GROUPING SETS ((portfolio, key, trade_date), (portfolio, key))""")
+SELECT portfolio, key, trade_date, CAST(sum(q) AS BIGINT) AS qty, {r2("sum(a)")} AS amount, {r6(r2("sum(a)") + " / sum(q)")} AS rate FROM l GROUP BY GROUPING SETS ((portfolio, key, trade_date), (portfolio, key))""")
 def lots_with_subtotals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A10: lots of a day together with their rate, and each security's subtotal."""
     seg = lots.segments(ledger.ledger_lines(spark, sf_dir), ["portfolio", "key"], ledger.LINE_ORDER).filter("lot is not null and sale is null")
     l_ = seg.select("portfolio", "key", F.col("lot.trade_date").alias("trade_date"), "qty", half_up(F.col("qty") * F.col("lot.price")).alias("a"))
     sums = l_.groupingSets([["portfolio", "key", "trade_date"], ["portfolio", "key"]], "portfolio", "key", "trade_date").agg(F.sum("qty").alias("qty"), F.sum("a").alias("a"))
-    return sums.select("portfolio", "key", "trade_date", "qty", half_up(F.col("a")).alias("amount"), half_up(F.col("a") / F.col("qty"), 6).alias("rate"))
+    return sums.select("portfolio", "key", "trade_date", "qty", half_up(F.col("a")).alias("amount"), half_up(half_up(F.col("a")) / F.col("qty"), 6).alias("rate"))
 
 
 _WHOLE = "CAST(floor(c / 100) AS BIGINT)"
