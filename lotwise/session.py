@@ -65,6 +65,22 @@ def temporary(spark: SparkSession) -> Iterator[None]:
             remove_path(spark, path)
 
 
+#: Bytes of Arrow data that Spark sends to a Python task at once while one of our tables is written.
+BATCH_BYTES = 8 << 20
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Small Arrow batches for what runs within the block; the caller's setting is back behind it."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def written(df: DataFrame, name: str, outlives: bool = False) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: lineage is cut there, lost executors don't matter, and
     what reads it twice computes it once. It belongs to the innermost temporary() block or, if it ``outlives`` that, to
@@ -74,7 +90,8 @@ def written(df: DataFrame, name: str, outlives: bool = False) -> DataFrame:
     scopes = _SCOPES.get()[: -1 if outlives else None]
     if scopes:
         scopes[-1].append(path)
-    df.write.option("compression", "zstd").parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     _PATHS[table] = path
     return table
