@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lotwise.llm import quality_rules, topk, url_filter
+from lotwise.llm import block_anchors, quality_rules, topk, turn_repair, url_filter
 
 _SPACE = r"\x20\x09-\x0D"
 
@@ -59,3 +59,41 @@ OP8 = _op8()
 OP9 = f"""WITH v AS (SELECT vec_id, [floor({topk.SCALE} * CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score FROM v q, v c WHERE q.vec_id % {topk.EVERY} = 0 AND c.vec_id <> q.vec_id), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= {topk.K}"""
+
+
+def _op11() -> str:
+    # CRC-32 by its reflected polynomial, bit by bit
+    crc = "list_reduce(list_prepend(4294967295::BIGINT, [ascii(c)::BIGINT FOR c IN string_split(k, '')]), lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda c, i: xor(c >> 1, 3988292384 * (c & 1))))"
+    states = turn_repair.STATES
+    more = lambda x, cost, letter: f"CASE WHEN {x} IS NOT NULL THEN {{'c': {x}.c + {cost}, 'a': {x}.a || '{letter}'}} END"
+    gone = {s: more(f"f.{s}", turn_repair.DELETE, "D") for s in states}
+
+    def left(x: str, initial: str) -> str:
+        return f"CASE WHEN must THEN NULL WHEN initial = '{initial}' THEN {more(x, f'extra + {turn_repair.KEEP}', 'K')} ELSE {more(x, f'extra + {turn_repair.REROLE}', 'R')} END"
+
+    system = f"CASE WHEN NOT must AND initial = 's' THEN {more('f.e', f'extra + {turn_repair.KEEP}', 'K')} END"
+    none = "NULL::STRUCT(c BIGINT, a VARCHAR)"
+    add = lambda x: more(x, turn_repair.INSERT, "I")
+    step = f"""SELECT f.conv_id, f.n + 1 AS n, {gone["e"]} AS e, least({gone["s"]}, {system}) AS s, least({gone["u"]}, {left("least(f.e, f.s, f.a)", "u")}) AS u, least({gone["a"]}, {left("f.u", "a")}) AS a FROM f JOIN t ON f.conv_id IS NOT DISTINCT FROM t.conv_id AND t.n = f.n + 1"""
+    return f"""WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+d AS (SELECT *, xor({crc}, 4294967295) % 20 AS fate FROM c),
+x AS (SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role, CASE fate WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE fate WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM d),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS n, substr(role, 1, 1) AS initial, regexp_replace(text, '[{_SPACE}]+$', '') AS body FROM x),
+p AS (SELECT *, lag(initial) OVER (PARTITION BY conv_id ORDER BY n) || initial AS pair, CASE WHEN body = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 'duplicate' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault FROM o),
+t AS (SELECT *, coalesce(fault IN ('blank', 'duplicate'), false) AS must, CASE WHEN fault = 'truncated' THEN {turn_repair.TRUNCATED} ELSE 0 END AS extra FROM p),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS turns FROM t GROUP BY conv_id),
+f AS (SELECT conv_id, CAST(0 AS BIGINT) AS n, {{'c': 0::BIGINT, 'a': ''}} AS e, {none} AS s, {{'c': {turn_repair.INSERT}::BIGINT, 'a': 'I'}} AS u, {{'c': {2 * turn_repair.INSERT}::BIGINT, 'a': 'II'}} AS a FROM (SELECT DISTINCT conv_id FROM c)
+UNION ALL SELECT conv_id, n, e, s, u2 AS u, least(a, {add("u2")}) AS a FROM (SELECT *, least(u, {add("e")}, {add("s")}, {add("a")}) AS u2 FROM ({step}))),
+b AS (SELECT f.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, least(e, a).c AS cost, least(e, a).a AS audit FROM f LEFT JOIN g ON f.conv_id IS NOT DISTINCT FROM g.conv_id WHERE f.n = coalesce(g.turns, 0)),
+l AS (SELECT conv_id, j, substr(audit, j, 1) AS letter, length(replace(substr(audit, 1, j), 'I', '')) AS row, (length(replace(substr(audit, 1, j), 'D', '')) + length(replace(audit, 'D', ''))) % 2 = 1 AS user FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS j FROM b)),
+r AS (SELECT l.conv_id, string_agg(CASE letter WHEN 'K' THEN role ELSE CASE WHEN user THEN 'user' ELSE 'assistant' END END || ':' || CASE letter WHEN 'I' THEN '' ELSE text END, chr(10) ORDER BY j) AS repaired FROM l LEFT JOIN t ON l.conv_id IS NOT DISTINCT FROM t.conv_id AND t.n = l.row WHERE letter <> 'D' GROUP BY l.conv_id)
+SELECT b.*, sha256(coalesce(repaired, '')) AS repaired_sha256 FROM b LEFT JOIN r ON b.conv_id IS NOT DISTINCT FROM r.conv_id"""
+
+
+OP11 = _op11()
+_W = block_anchors.WINDOW
+OP12 = f"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^{_SPACE}]+') AS w FROM documents), x AS (SELECT doc_id, i, md5_number(array_to_string(w[i:i + {_W - 1}], ' ')) AS s FROM d, unnest(range(1, len(w) - {_W - 2})) AS q(i)),
+c AS (SELECT doc_id, i FROM x QUALIFY count(*) OVER (PARTITION BY s) > 1), g AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {_W} THEN 0 ELSE 1 END AS cut FROM c),
+k AS (SELECT *, sum(cut) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM g), s AS (SELECT doc_id, span, min(i) AS a, max(i) + {_W} AS b FROM k GROUP BY doc_id, span), p AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 1) AS was FROM s),
+o AS (SELECT p.doc_id, sum(b - a) AS gone, count(*) AS spans, flatten(list(w[was:a - 1] ORDER BY a)) AS front, max(b) AS tail FROM p JOIN d USING (doc_id) GROUP BY p.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, sha256(array_to_string(list_concat(coalesce(front, []), w[coalesce(tail, 1):]), ' ')) AS kept_sha256, coalesce(spans, 0) AS n_spans FROM d LEFT JOIN o USING (doc_id)"""

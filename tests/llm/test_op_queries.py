@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_pages_vectors import plain_top, plain_verdict
 from test_texts import base_spans, components, plain_counts, plain_fp, removed, sha
+from test_turns_blocks_whitening import check_whitening, plain_repair, plain_windows, talks
 
 from lotwise.llm import packing, piece_codec, quality_model, quality_rules, secret_scan
 from lotwise.llm.queries import ORACLE_SQL, QUERIES
@@ -27,7 +28,7 @@ def plain(rows, names):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_like_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings", "conversations"):
         con.sql(f"create view {t} as select * from '{DIR}/{t}.parquet'")
     out, want = QUERIES[name](spark, DIR), con.sql(ORACLE_SQL[name])
     assert sorted(out.columns) == sorted(want.columns)
@@ -49,6 +50,7 @@ def tables(spark, docs, rows, tmp_path_factory):
     spark.createDataFrame(pages, "page_id bigint, url string, html string").selectExpr("*", *more).repartition(3).write.parquet(f"{at}/pages.parquet")
     vectors = [(i, [float(np.float32(rng.gauss(0, 1))) for _ in range(6)]) for i in range(120)] + [(150, None), (200, [None, 1.0]), (250, [float("nan")] * 6), (None, [1.0] * 6), (50, [0.5] * 6)]
     spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>").selectExpr("*", *more).write.parquet(f"{at}/embeddings.parquet")
+    spark.createDataFrame(talks(), "conv_id bigint, turn bigint, role string, text string").selectExpr("*", *more).repartition(3).write.parquet(f"{at}/conversations.parquet")
     return at, rows, pages, vectors
 
 
@@ -228,9 +230,25 @@ def test_op10(spark, tables):
     assert bag(QUERIES["op10_sentencepiece"](spark, at)) == want
 
 
+def test_op11(spark, tables):
+    want = {c: (*x[:-1], sha(x[-1])) for c, x in plain_repair(talks()).items()}
+    assert {r[0]: tuple(r)[1:] for r in QUERIES["op11_turn_repair"](spark, tables[0]).collect()} == want
+
+
+def test_op12(spark, tables):
+    at, rows, _, _ = tables
+    got = Counter(tuple(r)[:4] for r in QUERIES["op12_block_anchors"](spark, at).collect())
+    assert got == Counter((r[0], *x[:2], sha(x[2])) for r, x in zip(rows, plain_windows([r[1] for r in rows], 35)))
+
+
+def test_op13(spark, tables):
+    at, _, _, vectors = tables
+    check_whitening([tuple(r) for r in QUERIES["op13_whitening"](spark, at).collect()], vectors)
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_empty_tables(spark, tables, tmp_path, name):
     """No rows give no rows."""
-    for t in ("documents", "labels", "pages", "embeddings"):
+    for t in ("documents", "labels", "pages", "embeddings", "conversations"):
         spark.read.parquet(f"{tables[0]}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert QUERIES[name](spark, str(tmp_path)).collect() == []
