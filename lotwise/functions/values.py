@@ -48,11 +48,12 @@ def isin_ok(isin: Column) -> Column:
 
 
 def parse_number(text: Column) -> Column:
-    """A number with grouping commas, a Unicode minus or parentheses for negatives; null if it is none."""
-    bare = F.regexp_replace(F.trim(text), "[,₹$ ]", "")
-    bare = F.regexp_replace(bare, "−", "-")
+    """A number with grouping commas, a Unicode minus or parentheses for negatives; null if it is none. Exponents, words
+    such as NaN and letters behind the figures make it none."""
+    bare = F.translate(F.trim(text), "−,₹$ ", "-")
     inner = F.regexp_extract(bare, r"^\((.*)\)$", 1)
-    return F.when(inner != "", -inner.try_cast("double")).otherwise(bare.try_cast("double"))
+    plain = lambda x: F.when(x.rlike(r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)$"), x.try_cast("double"))
+    return F.when(inner != "", -plain(inner)).otherwise(plain(bare))
 
 
 def parse_date(text: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotwise.functions.values import norm_name, norm_private, tokens
+from lotwise.session import written
 
 
 def generic_tokens(master: DataFrame, name: str = "name", least: int = 6) -> DataFrame:
@@ -39,6 +40,51 @@ def alias_slots(names: DataFrame) -> DataFrame:
     return names.withColumn("r", first).filter("r = 1").select("norm", "k")
 
 
+def beginnings(asked: DataFrame, names: DataFrame, least: int = 6) -> DataFrame:
+    """(q, k): asked names (q) and entries' names (k, norm) of which one begins with the whole other, both of ``least``
+    letters or more. A name is cut at those lengths only that names with the same first letters have on the other side,
+    so that the equi-join on beginnings has few rows however long the names are."""
+    stem = lambda c: F.left(c, F.lit(least))
+    q, n = asked.filter(F.length("q") >= least).distinct(), names.filter(F.length("norm") >= least).distinct()
+
+    def cut(long: DataFrame, c: str, short: DataFrame, of: str) -> DataFrame:
+        sizes = short.groupBy(stem(of).alias("stem")).agg(F.collect_set(F.length(of)).alias("sizes"))  # no more than lengths of names
+        each = long.withColumn("stem", stem(c)).join(sizes, "stem").withColumn("size", F.explode(F.filter("sizes", lambda x: x <= F.length(c))))
+        return each.withColumn("head", F.substring(F.col(c), F.lit(1), F.col("size"))).drop("stem", "sizes", "size")
+
+    longer = cut(q, "q", n, "norm").join(n, F.col("head") == F.col("norm")).select("q", "k")
+    shorter = cut(n, "norm", q, "q").join(q, F.col("head") == F.col("q")).select("q", "k")
+    return longer.unionAll(shorter).distinct()
+
+
+def quote_symbols(held: DataFrame, master: DataFrame, overrides: DataFrame, least: int = 6) -> DataFrame:
+    """``held`` (..., isin, name) with (key, how, primary, fallback): the symbols that a security is quoted by.
+
+    ``overrides`` (isin, name, key; either of the first two may be null) name an entry by hand and come first, then an
+    entry of ``master`` (key, isin, name, aliases, nse, bse) with the ISIN, then one that goes by the name, an alias or
+    its symbol (the greater key of several), then the only one of which a name begins with the held one or is its
+    beginning; if several entries do, that is ``ambiguous`` and none. NSE symbols go before BSE codes; without either a
+    security has no symbols."""
+    said = F.concat(F.array("name", "nse"), F.coalesce("aliases", F.array().cast("array<string>")))
+    names = written(master.select(F.col("key").alias("k"), F.explode(said).alias("said")).select("k", norm_name(F.col("said")).alias("norm")).filter("norm <> ''").distinct(), "names")
+    rows = held.withColumns({"__q": norm_name(F.col("name")), "__i": F.upper(F.trim("isin"))})
+    by = lambda frame, c: frame.groupBy(c).agg(F.max("key").alias("key"))
+    hand_isin = by(overrides.filter("isin is not null").withColumn("__i", F.upper(F.trim("isin"))), "__i").withColumnRenamed("key", "ho")
+    hand_name = by(overrides.filter("name is not null").withColumn("__q", norm_name(F.col("name"))), "__q").withColumnRenamed("key", "hn")
+    own = by(master.filter("isin is not null").withColumn("__i", F.upper(F.trim("isin"))), "__i").withColumnRenamed("key", "ki")
+    exact = names.groupBy(F.col("norm").alias("__q")).agg(F.max("k").alias("kn"))
+    out = rows.join(hand_isin, "__i", "left").join(own, "__i", "left").join(hand_name, "__q", "left").join(exact, "__q", "left")
+    begun = beginnings(rows.select(F.col("__q").alias("q")), names, least).groupBy(F.col("q").alias("__q")).agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
+    out = out.join(begun, "__q", "left")
+    hand = F.coalesce("ho", "hn")
+    how = F.when(hand.isNotNull(), "override").when(F.col("ki").isNotNull(), "isin").when(F.col("kn").isNotNull(), "name").when(F.col("lo") < F.col("hi"), "ambiguous").when(F.col("lo") == F.col("hi"), "prefix").otherwise("unknown")
+    out = out.withColumns({"how": how, "key": F.when(F.col("lo") == F.col("hi"), F.coalesce(hand, "ki", "kn", "lo")).otherwise(F.coalesce(hand, "ki", "kn"))})
+    squeezed = lambda c: F.nullif(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", ""), F.lit(""))
+    codes = master.select("key", F.concat(F.upper(squeezed("nse")), F.lit(".NS")).alias("ns"), F.concat(squeezed("bse"), F.lit(".BO")).alias("bo"))
+    out = out.join(codes, "key", "left")
+    return out.select(*held.columns, "key", "how", F.coalesce("ns", "bo", F.lit("")).alias("primary"), F.when(F.col("ns").isNotNull(), F.coalesce("bo", F.lit(""))).otherwise("").alias("fallback"))
+
+
 def resolve(rows: DataFrame, master: DataFrame, key: str = "key", isin: str = "isin", name: str = "name", aliases: str | None = None, private: str | None = None) -> DataFrame:
     """``rows`` with (resolved, how): by ISIN; by a name with the word for private, where an entry has it; by normalised
     name or alias; then by the only entry with a name whose telling words are all among the row's, or the other way
@@ -48,13 +94,13 @@ def resolve(rows: DataFrame, master: DataFrame, key: str = "key", isin: str = "i
     Candidates of the last step come from equi-joins: on the rarer side's rarest word, and on whole beginnings; all are
     functions of distinct names, never of all rows.
     """
-    names = entries(master, key, name, aliases, private)
+    names = written(entries(master, key, name, aliases, private), "names")
     by_isin = master.filter(F.col(isin).isNotNull()).groupBy(F.col(isin).alias("i")).agg(F.max(key).alias("ki"))
     slots = alias_slots(names)
     asked = rows.select(norm_name(F.col(name)).alias("q"), norm_private(F.col(name)).alias("d")).distinct()
     exact = asked.join(slots.select(F.col("norm").alias("d"), F.col("k").alias("kd")), "d", "left").join(slots.select(F.col("norm").alias("q"), F.col("k").alias("kq")), "q", "left")
     exact = exact.withColumn("kn", F.coalesce(F.when(F.col("d") != F.col("q"), F.col("kd")), F.col("kq"))).select("q", "d", "kn")
-    open_ = exact.filter(F.col("kn").isNull()).select("q", tokens(F.col("q")).alias("qt")).filter(F.size("qt") > 0).distinct()
+    open_ = written(exact.filter(F.col("kn").isNull()).select("q", tokens(F.col("q")).alias("qt")).filter(F.size("qt") > 0).distinct(), "asked")
     parts = names.select("k", "norm", tokens(F.col("norm")).alias("t"))
     size = parts.select("k", F.explode("t").alias("token")).distinct().groupBy("token").agg(F.count(F.lit(1)).alias("size"))
 
@@ -65,11 +111,8 @@ def resolve(rows: DataFrame, master: DataFrame, key: str = "key", isin: str = "i
 
     held = rarest(open_, ["q"], "qt").join(parts.select("k", "t", F.explode("t").alias("token")), "token").filter(F.size(F.array_except("qt", "t")) == 0)
     holding = rarest(parts, ["k"], "t").join(open_.select("q", "qt", F.explode("qt").alias("token")), "token").filter(F.size(F.array_except("t", "qt")) == 0)
-    heads = lambda c: F.transform(F.sequence(F.lit(6), F.length(c)), lambda n: F.substring(c, F.lit(1), n))
-    q6, n6 = open_.filter(F.length("q") >= 6), parts.filter(F.length("norm") >= 6)
-    longer = q6.select("q", F.explode(heads("q")).alias("norm")).join(n6.select("k", "norm"), "norm")
-    shorter = n6.select("k", F.explode(heads("norm")).alias("q")).join(q6.select("q"), "q")
-    fuzzy = functools.reduce(DataFrame.unionAll, (x.select("q", "k") for x in (held, holding, longer, shorter))).groupBy("q").agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
+    begun = beginnings(open_.select("q"), parts.select("k", "norm"))
+    fuzzy = functools.reduce(DataFrame.unionAll, (x.select("q", "k") for x in (held, holding, begun))).groupBy("q").agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
     found = exact.join(fuzzy, "q", "left")
     out = rows.withColumn("__q", norm_name(F.col(name))).withColumn("__d", norm_private(F.col(name))).join(by_isin, F.col(isin) == F.col("i"), "left").join(found.withColumnsRenamed({"q": "__q", "d": "__d"}), ["__q", "__d"], "left")
     how = F.when(F.col("ki").isNotNull(), "isin").when(F.col("kn").isNotNull(), "name").when(F.col("lo") < F.col("hi"), "ambiguous").when(F.col("lo") == F.col("hi"), "fuzzy").otherwise("unresolved")

@@ -21,6 +21,16 @@ def bag_difference(incoming: DataFrame, existing: DataFrame, key: list[str], ord
     return rows.select(*incoming.columns)
 
 
+def union_by_signature(held: DataFrame, incoming: DataFrame, sign: list[str]) -> DataFrame:
+    """(sign, is_new, skipped): every signature once, whatever side has it and how often; is_new where ``held`` lacks it,
+    skipped the rows of ``incoming`` that add nothing, so that uploading a report again adds no row. Nulls in a signature
+    are values like any other; nothing but counts of a signature is gathered."""
+    rows = held.select(*sign, F.lit(0).alias("__in")).unionByName(incoming.select(*sign, F.lit(1).alias("__in")))
+    out = rows.groupBy(*sign).agg(F.min("__in").alias("__first"), F.sum("__in").alias("__n"))
+    is_new = F.col("__first") == 1
+    return out.select(*sign, is_new.alias("is_new"), (F.col("__n") - is_new.cast("bigint")).alias("skipped"))
+
+
 def statement_key(kind: Column, qty: Column, price: Column) -> list[Column]:
     """What tells statement rows of a day apart: class, quantity to six places, price to four."""
     return [statement_class(kind).alias("class"), F.floor(qty * 1e6 + 0.5).alias("qty6"), F.floor(price * 1e4 + 0.5).alias("price4")]

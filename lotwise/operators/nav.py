@@ -42,7 +42,7 @@ def timeline(ledger: DataFrame, grid: DataFrame, start: str, boundaries: DataFra
     first = F.lit(start).cast("date")
     states = lots.average_cost(ledger, by, ["trade_date", "seq"], each=True)
     # The first session that includes a day's trades, and the position after the last trade that it includes.
-    reach = F.broadcast(sessions_of(ledger.select("trade_date").distinct(), sessions))
+    reach = sessions_of(ledger.select("trade_date").distinct(), sessions)  # a row a day: Spark broadcasts it by its size
     at = states.join(reach, "trade_date").groupBy(*by, "idx").agg(F.max_by(F.struct("qty", "cost"), F.struct("trade_date", "seq")).alias("p")).select(*by, "idx", "p.*")
     span = at.withColumn("until", F.coalesce(F.lead("idx").over(Window.partitionBy(*by).orderBy("idx")), F.lit(sessions.count() + 1)))
     held = span.withColumn("idx", F.explode(F.sequence(F.col("idx"), F.col("until") - 1))).filter(F.abs("qty") > 1e-9)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotwise.functions.values import norm_name
+from lotwise.operators import prices
 
 
 def last_of(rows: DataFrame, key: Column, value: str, order: str) -> DataFrame:
@@ -53,10 +54,12 @@ def session_prices(asks: DataFrame, grid: DataFrame, most: int = 7) -> DataFrame
     grid does not have, ``before-history`` for a day before its first session, else ``no-close``."""
     days = grid.select("session").distinct()
     line = Window.orderBy("session")  # one row for each session of the grid
-    idx = days.withColumn("idx", F.row_number().over(line)).withColumn("next", F.lead("session").over(line))
-    seen = asks.withColumn("__ask", F.monotonically_increasing_id())
-    at = seen.join(F.broadcast(idx.select(F.col("idx").alias("at"), F.col("session").alias("__from"), "next")), (F.col("day") >= F.col("__from")) & (F.col("next").isNull() | (F.col("day") < F.col("next"))), "left").drop("__from", "next")
-    closes = grid.filter("close is not null").join(F.broadcast(idx.select("session", "idx")), "session")
+    idx = days.withColumn("idx", F.row_number().over(line))
+    one = F.lit(0).alias("one")
+    # The last session up to each distinct day, by one sort of days and sessions.
+    reached = prices.as_of(asks.select("day", one).distinct(), idx.select(one, F.col("session").alias("__from"), F.col("idx").alias("at")), ["one"], "day", "__from", "at").select("day", "at")
+    at = asks.join(reached, "day", "left")
+    closes = grid.filter("close is not null").join(idx, "session")
     reach = closes.select("key", "session", "close", "idx", F.explode(F.sequence(F.col("idx"), F.col("idx") + most)).alias("at"))
     best = reach.groupBy("key", "at").agg(F.max(F.struct("idx", "session", "close")).alias("c"))
     keys = grid.select("key").distinct().withColumn("known", F.lit(True))

@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 from lotwise.functions.values import half_up
 
 
-#: How announcements write a bonus, a face value and the words for a split (without blanks and dashes).
-BONUS_PAIR = r"bonus\s*(?:issue\s*)?[:-]?\s*\d+(?:\.\d+)?\s*:\s*\d+(?:\.\d+)?"
-MONEY = r"(?:rs|re)\.?\d+(?:\.\d+)?"
-SPLIT_WORDS = ("split", "subdivision")
+#: The words of announcements: a bonus, a split (begun so, or as two words), what its face values stand
+#: behind, and the currency.
+BONUS, SPLITS, SUBDIVISION, FACES, CURRENCY = "bonus", ("split", "subdivision"), ("sub", "division"), ("from", "to"), ("rs", "re")
 
 
 def clip(x: Column, top: Column) -> Column:
@@ -93,18 +92,31 @@ def announced_ratio(subject: Column) -> Column:
     """struct(kind, factor) of an announcement: a bonus a:b multiplies by 1 + a/b, a split by old over new face value;
     null where either is missing, not positive or no increase.
 
-    A bonus is the pair of numbers that stands behind its word, a split's face values are the numbers behind a currency
-    sign, the first after ``from`` and the first after ``to``."""
-    low = F.lower(subject)
-    numbers = lambda text: F.transform(F.regexp_extract_all(text, F.lit(r"(\d+(?:\.\d+)?)"), F.lit(1)), lambda x: x.cast("double"))
-    pair = numbers(F.regexp_extract(low, BONUS_PAIR, 0))
-    given, held = F.get(pair, F.lit(0)), F.get(pair, F.lit(1))
-    face = lambda word: F.get(numbers(F.regexp_extract(F.regexp_replace(low, r"\s+", ""), word + MONEY, 0)), F.lit(0))
-    old, new = face("from"), face("to")
+    The text is taken apart into words, numbers and colons. A bonus is two numbers with a colon between them behind its
+    word (with ``issue`` or a colon in between), a split's face values are the first numbers behind ``from`` and ``to``
+    and the currency."""
+    words = F.regexp_extract_all(F.lower(subject), F.lit(r"([a-z]+|[0-9]+(?:\.[0-9]+)?|:)"), F.lit(1))
+    number = lambda at: F.get(words, at).try_cast("double")
+    places = F.sequence(F.lit(0), F.size(words) - 1)
+
+    def pair(i: Column) -> Column:
+        at = i + 1 + (F.get(words, i + 1) == "issue").cast("int")
+        at = at + (F.get(words, at) == ":").cast("int")
+        return F.when((F.get(words, i) == BONUS) & (F.get(words, at + 1) == ":") & number(at + 2).isNotNull(), F.struct(number(at).alias("given"), number(at + 2).alias("held")))
+
+    def face(word: str) -> Column:
+        found = F.transform(places, lambda i: F.when((F.get(words, i) == word) & F.get(words, i + 1).isin(*CURRENCY), number(i + 2)))
+        return F.get(F.filter(found, lambda x: x.isNotNull()), F.lit(0))
+
+    bonus = F.get(F.filter(F.transform(places, pair), lambda x: x["given"].isNotNull()), F.lit(0))
+    given, held = bonus["given"], bonus["held"]
+    old, new = (face(w) for w in FACES)
     made = lambda kind, factor: F.struct(F.lit(kind).alias("kind"), factor.alias("factor"))
-    says_split = F.exists(F.array(*map(F.lit, SPLIT_WORDS)), lambda w: F.instr(F.regexp_replace(low, r"[\s-]+", ""), w) > 0)
-    bonus = F.when((given > 0) & (held > 0), made("BONUS", 1 + given / F.nullif(held, F.lit(0.0))))
-    return F.when(held.isNotNull(), bonus).when(says_split & (new > 0) & (old > new), made("SPLIT", old / F.nullif(new, F.lit(0.0))))
+    begins = F.exists(words, lambda w: w.startswith(SPLITS[0]) | w.startswith(SPLITS[1]))
+    says_split = begins | F.exists(places, lambda i: (F.get(words, i) == SUBDIVISION[0]) & F.get(words, i + 1).startswith(SUBDIVISION[1]))
+    first = F.when((given > 0) & (held > 0), made("BONUS", 1 + given / F.nullif(held, F.lit(0.0))))
+    ratio = F.when(given.isNotNull(), first).when(says_split & (new > 0) & (old > new), made("SPLIT", old / F.nullif(new, F.lit(0.0))))
+    return F.when(F.size(words) > 0, ratio)
 
 
 def valuation_update(register: DataFrame, updates: DataFrame, by: list[str], force: bool = False) -> DataFrame:

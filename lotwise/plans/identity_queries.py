@@ -103,6 +103,30 @@ def entity_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.resolve(asked_names(spark, sf_dir), master_entries(spark, sf_dir), aliases="aliases").select("id", "resolved", "how")
 
 
+#: Symbols: three of five entries have one for the NSE, half a code for the BSE; some held names are named by hand.
+SYMBOLS = f"""{MASTER}, {ASKED}, sm AS (SELECT m.*, CASE WHEN k % 5 < 3 THEN ' s ' || name END AS nse, CASE WHEN k % 2 = 0 THEN CAST(500000 + k AS VARCHAR) END AS bse FROM m),
+hand AS (SELECT 'in' || k AS isin, NULL AS name, k + 2 AS key FROM m WHERE k % 33 = 0 UNION ALL SELECT NULL, upper(name), k - 1 FROM m WHERE k % 50 = 1),
+an AS (SELECT DISTINCT k, norm FROM (SELECT k, {sql_norm("name")} AS norm FROM sm UNION ALL SELECT k, {sql_norm("alias")} FROM sm UNION ALL SELECT k, {sql_norm("nse")} FROM sm) WHERE norm <> ''),
+h AS (SELECT *, {sql_norm("name")} AS x FROM q), ho AS (SELECT upper(isin) AS i, max(key) AS ho FROM hand WHERE isin IS NOT NULL GROUP BY 1), hn AS (SELECT {sql_norm("name")} AS x, max(key) AS hn FROM hand WHERE name IS NOT NULL GROUP BY 1),
+ki AS (SELECT isin AS i, max(k) AS ki FROM m WHERE isin IS NOT NULL GROUP BY 1), kn AS (SELECT norm AS x, max(k) AS kn FROM an GROUP BY 1),
+pre AS (SELECT x, min(k) AS lo, max(k) AS hi FROM (SELECT DISTINCT x FROM h) d JOIN an ON length(x) >= 6 AND length(norm) >= 6 AND (starts_with(x, norm) OR starts_with(norm, x)) GROUP BY x),
+z AS (SELECT h.id, CASE WHEN coalesce(ho, hn) IS NOT NULL THEN 'override' WHEN ki IS NOT NULL THEN 'isin' WHEN kn IS NOT NULL THEN 'name' WHEN lo < hi THEN 'ambiguous' WHEN lo = hi THEN 'prefix' ELSE 'unknown' END AS how, coalesce(ho, hn, ki, kn, CASE WHEN lo = hi THEN lo END) AS key FROM h LEFT JOIN ho ON ho.i = h.isin LEFT JOIN hn ON hn.x = h.x LEFT JOIN ki ON ki.i = h.isin LEFT JOIN kn ON kn.x = h.x LEFT JOIN pre ON pre.x = h.x),
+w AS (SELECT z.*, upper(replace(nse, ' ', '')) || '.NS' AS ns, bse || '.BO' AS bo FROM z LEFT JOIN sm ON sm.k = z.key)"""
+
+
+@REGISTER(f"WITH {SYMBOLS} SELECT id, key, how, coalesce(ns, bo, '') AS \"primary\", CASE WHEN ns IS NOT NULL THEN coalesce(bo, '') ELSE '' END AS fallback FROM w")
+def quote_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names as notes write them to the symbols that they are quoted by; the SQL compares every name with every
+    entry's."""
+    k = F.col("key")
+    master = master_entries(spark, sf_dir).withColumns({"nse": F.when(k % 5 < 3, F.concat(F.lit(" s "), "name")), "bse": F.when(k % 2 == 0, (k + 500000).cast("string"))})
+    none = F.lit(None).cast("string")
+    by_isin = master.filter(k % 33 == 0).select(F.concat(F.lit("in"), k).alias("isin"), none.alias("name"), (k + 2).alias("key"))
+    by_name = master.filter(k % 50 == 1).select(none.alias("isin"), F.upper("name").alias("name"), (k - 1).alias("key"))
+    out = identity.quote_symbols(asked_names(spark, sf_dir), master, by_isin.unionAll(by_name))
+    return out.select("id", "key", "how", "primary", "fallback")
+
+
 #: Labels, and by hand what each is: ledger side, statement class, NAV side, transfer, its leg out, free shares, a split.
 LABELS = (
     ("Buy", "BUY", "BUY", "BUY", 0, 0, 0, 0), ("Sell", "SELL", "SELL", "SELL", 0, 0, 0, 0), ("Redeem", "SELL", "SELL", None, 0, 0, 0, 0), ("Redemption", "SELL", "SELL", None, 0, 0, 0, 0),

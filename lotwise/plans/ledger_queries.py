@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lotwise.functions.values import fiscal_year, half_up
-from lotwise.operators import lots
+from lotwise.operators import checks, lots
 from lotwise.plans.register import LE, LI, LINE_ORDER, SQUARED, Register, r2, r6
 from lotwise.sources import ledger
 
@@ -203,11 +203,11 @@ def invested_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return all_.select("trade_date", half_up(F.col("spent")).alias("flow"), half_up(F.sum("spent").over(w)).alias("invested"))
 
 
-@REGISTER(f"""WITH {GAINS}, h AS (SELECT portfolio, key, sum(CASE WHEN side='BUY' THEN qty ELSE 0 END) AS bought FROM li GROUP BY ALL), g AS (SELECT portfolio, key, sum(qty) AS matched, sum(CASE WHEN term='ST' THEN gain ELSE 0 END) + sum(CASE WHEN term='LT' THEN gain ELSE 0 END) - sum(gain) AS drift FROM gains GROUP BY ALL)
-SELECT count(*) AS keys, count(CASE WHEN matched <= bought THEN 1 END) AS conserved, count(CASE WHEN abs(drift) < 0.01 THEN 1 END) AS partitioned FROM g JOIN h USING (portfolio, key)""")
+@REGISTER(f"""WITH {GAINS}, c AS (SELECT portfolio, key, sum(qty) AS matched, sum(CASE WHEN term IN ('ST', 'LT') THEN qty ELSE 0 END) AS split, sum(CASE WHEN term IN ('ST', 'LT') THEN sale_amount ELSE 0 END) AS sold_for FROM gains GROUP BY ALL),
+k AS (SELECT portfolio, key, max(cb) AS bought, max(cs) - max(d) AS due FROM u GROUP BY ALL), v AS (SELECT portfolio, key, sum((hi - lo) * price) AS due_for, count(*) AS n FROM s GROUP BY ALL)
+SELECT count(*) AS keys, count(CASE WHEN coalesce(matched, 0) <= bought THEN 1 END) AS conserved, count(CASE WHEN coalesce(split, 0) = due THEN 1 END) AS partitioned, count(CASE WHEN abs(coalesce(sold_for, 0) - coalesce(due_for, 0)) <= 0.01 * (1 + coalesce(n, 0)) * 20 THEN 1 END) AS amounts FROM k LEFT JOIN c USING (portfolio, key) LEFT JOIN v USING (portfolio, key)""")
 def partition_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q14: matched shares never exceed those bought, and short and long term add up to all."""
-    h = ledger.ledger_lines(spark, sf_dir).groupBy("portfolio", "key").agg(F.sum(F.when(F.col("side") == "BUY", F.col("qty")).otherwise(0)).alias("bought"))
-    of = lambda t: F.sum(F.when(F.col("term") == t, F.col("gain")).otherwise(0.0))
-    g = _gains(spark, sf_dir).groupBy("portfolio", "key").agg(F.sum("qty").alias("matched"), (of("ST") + of("LT") - F.sum("gain")).alias("drift"))
-    return g.join(h, ["portfolio", "key"]).agg(F.count(F.lit(1)).alias("keys"), F.count_if(F.col("matched") <= F.col("bought")).alias("conserved"), F.count_if(F.abs("drift") < 0.01).alias("partitioned"))
+    """Q14: gains by term against the register that they come from, which is worked out from running sums of the ledger
+    and not from lots: short and long term take up all of every sale that purchases cover, in shares and in money
+    (paise are rounded for each lot), and no more is matched than was bought."""
+    return checks.partitioned(ledger.ledger_lines(spark, sf_dir), _gains(spark, sf_dir), ["portfolio", "key"], ledger.LINE_ORDER)

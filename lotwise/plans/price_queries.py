@@ -59,7 +59,7 @@ SELECT key % 10 AS report, seq, price, miss, pricing_date, coalesce(session < pr
 def report_pricing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The date that most rows of a report are priced at, and which rows are older."""
     rows = _looked_up(spark, sf_dir).withColumn("report", F.col("key") % 10)
-    out = rows.join(F.broadcast(pricing.modal_date(rows, ["report"])), "report", "left")
+    out = rows.join(pricing.modal_date(rows, ["report"]), "report", "left")
     return out.select("report", "seq", "price", "miss", "pricing_date", F.coalesce(F.col("session") < F.col("pricing_date"), F.lit(False)).alias("stale"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lotwise.functions import values
 from lotwise.functions.values import half_up
-from lotwise.operators import lots, nav, prices, reports
+from lotwise.operators import lots, merges, nav, prices, reports
 from lotwise.plans.identity_queries import LABELS, labelled, sql_labels, sql_norm
 from lotwise.plans.note_queries import NOTE, note_lines
 from lotwise.plans.price_queries import INDEX, _nav
@@ -224,13 +224,14 @@ def announcement_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.matched_targets(said, held).select("id", "key")
 
 
-@REGISTER(f"""WITH {LI} SELECT portfolio, key, trade_date, CAST(qty AS BIGINT) AS qty, {r6("price")} AS price, count(*) AS rows FROM li WHERE side = 'BUY' GROUP BY portfolio, key, trade_date, qty, {r6("price")}""")
+@REGISTER(f"""WITH {LI}, b AS (SELECT portfolio, key, trade_date, CAST(qty AS BIGINT) AS qty, {r6("price")} AS price, l_orderkey % 3 > 0 AS held, l_orderkey % 5 > 0 AS sent FROM li WHERE side = 'BUY'),
+g AS (SELECT portfolio, key, trade_date, qty, price, bool_or(held) AS had, CAST(count(*) FILTER (sent) AS BIGINT) AS n FROM b WHERE held OR sent GROUP BY ALL)
+SELECT portfolio, key, trade_date, qty, price, NOT had AS is_new, n - CASE WHEN had THEN 0 ELSE 1 END AS skipped FROM g""")
 def lot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lots by signature, so that uploading a report again adds none."""
+    """A report uploaded onto lots of which it repeats most, lacks some and brings others."""
     buys = _lines(spark, sf_dir).filter("side = 'BUY'").withColumn("price", half_up(F.col("price"), 6))
     sign = ["portfolio", "key", "trade_date", "qty", "price"]
-    twice = buys.unionAll(buys)  # the same report, uploaded twice
-    return twice.groupBy(*sign).agg((F.count(F.lit(1)) / 2).cast("bigint").alias("rows"))
+    return merges.union_by_signature(buys.filter("l_orderkey % 3 > 0"), buys.filter("l_orderkey % 5 > 0"), sign)
 
 
 @REGISTER(f"""WITH {LI}, n AS (SELECT l_orderkey, l_linenumber, key, qty, 'S' || key AS name, CASE WHEN l_orderkey % 4 = 0 THEN NULL ELSE 'IN' || key END AS isin FROM li), g AS (SELECT name, min(isin) AS isin FROM n WHERE isin IS NOT NULL GROUP BY name)

@@ -130,7 +130,7 @@ def pending_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTER("""WITH s AS (SELECT p_partkey AS key, CASE p_partkey % 4 WHEN 0 THEN 'Bonus issue ' || p_size || ':' || p_partkey % 5 WHEN 1 THEN 'Sub-division From Rs ' || p_size || '/- To Re ' || p_partkey % 7 || '/-'
   WHEN 2 THEN 'Stock split' ELSE 'Dividend' END AS subject FROM part),
-x AS (SELECT key, TRY_CAST(nullif(regexp_extract(subject, 'bonus\\s*(?:issue\\s*)?[:\\-]?\\s*(\\d+):(\\d+)', 1, 'i'), '') AS DOUBLE) AS a, TRY_CAST(nullif(regexp_extract(subject, 'bonus\\s*(?:issue\\s*)?[:\\-]?\\s*(\\d+):(\\d+)', 2, 'i'), '') AS DOUBLE) AS b,
+x AS (SELECT key, TRY_CAST(nullif(regexp_extract(subject, '^Bonus issue (\\d+):(\\d+)$', 1), '') AS DOUBLE) AS a, TRY_CAST(nullif(regexp_extract(subject, '^Bonus issue (\\d+):(\\d+)$', 2), '') AS DOUBLE) AS b,
   TRY_CAST(nullif(regexp_extract(subject, 'from rs (\\d+)', 1, 'i'), '') AS DOUBLE) AS f, TRY_CAST(nullif(regexp_extract(subject, 'to re (\\d+)', 1, 'i'), '') AS DOUBLE) AS t FROM s)
 SELECT key, CASE WHEN a > 0 AND b > 0 THEN 'BONUS' WHEN t > 0 AND f > t THEN 'SPLIT' END AS kind, CASE WHEN a > 0 AND b > 0 THEN 1 + a / b WHEN t > 0 AND f > t THEN f / t END AS factor FROM x""")
 def announced_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,9 +17,20 @@ REGISTER = Register()
 
 
 def _file(rows: DataFrame, columns: dict[str, Column]) -> str:
-    """A CSV file in the shared folder, with that header."""
+    """A folder of CSV files in the shared folder, with two lines above the header; every other row goes to files that
+    have the columns in reverse order."""
     path = fresh_path(rows.sparkSession, "statement")
-    rows.select(*(c.cast("string").alias(n) for n, c in columns.items())).write.option("header", True).csv(path)
+    cells = rows.select(*(c.cast("string").alias(n) for n, c in columns.items()))
+    half = F.pmod(F.xxhash64(*(F.col(f"`{n}`") for n in columns)), F.lit(2))
+    for i, names in enumerate((list(columns), list(columns)[::-1])):
+        head = ",".join(f'"{n}"' if "," in n else n for n in names)
+
+        def below(batches: Iterator[pa.RecordBatch], head: str = head) -> Iterator[pa.RecordBatch]:
+            yield pa.RecordBatch.from_pydict({"value": ["Statement of a portfolio", "", head]})
+            yield from batches
+
+        lines = cells.filter(half == i).select(F.to_csv(F.struct(*(F.col(f"`{n}`") for n in names)), {"escape": '"'}).alias("value"))
+        lines.mapInArrow(below, "value string").write.mode("append").text(path)
     return path
 
 

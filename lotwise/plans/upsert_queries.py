@@ -9,6 +9,7 @@ from lotwise.functions.values import half_up
 from lotwise.operators import identity, pricing, upserts
 from lotwise.plans.identity_queries import MASTER, RESOLVED, asked_names, master_entries, sql_norm
 from lotwise.plans.register import CLOSES, LE, Register, r2
+from lotwise.session import written
 from lotwise.sources import ledger
 
 REGISTER = Register()
@@ -143,7 +144,11 @@ def action_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = _events(spark, sf_dir)
     a = ev.filter("event_type = 'signup'").select(F.col("event_id").alias("action_id"), F.col("user_id").alias("key"), F.col("value").alias("cost"))
     u = ev.filter("event_type = 'error'").select(F.col("user_id").alias("key"), F.col("event_id").alias("at"), F.col("value").alias("new"))
-    hit = a.join(u, "key").filter(F.col("at").between(F.col("action_id") + 1, F.col("action_id") + 20)).groupBy("action_id").agg(F.max_by("new", "at").alias("cost"))
+    # Both sides are put in buckets of 20 ids, so that a key's actions meet the updates near them only.
+    bucket = lambda x: F.floor(x / 20)
+    near = u.withColumn("bucket", F.explode(F.sequence(bucket(F.col("at") - 20), bucket(F.col("at") - 1))))
+    pairs = a.withColumn("bucket", bucket(F.col("action_id"))).join(near, ["key", "bucket"])
+    hit = pairs.filter(F.col("at").between(F.col("action_id") + 1, F.col("action_id") + 20)).groupBy("action_id").agg(F.max_by("new", "at").alias("cost"))
     return upserts.upsert(a.select("action_id", "cost"), hit, ["action_id"], ["cost"]).join(a.select("action_id", "key"), "action_id").select("action_id", "key", half_up(F.col("cost")).alias("cost"))
 
 
@@ -159,8 +164,12 @@ def _resolver(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
     k = F.col("p_partkey")
     p = ledger.table(spark, sf_dir, "part").filter((k % 3 > 0) | (k % 6 == 0))
     rows = p.select(k.alias("row"), F.when(k % 6 == 0, F.concat(F.lit("in"), k)).alias("isin"), F.concat("p_name", F.lit(" "), F.translate(k.cast("string"), "0123456789", "abcdefghij"), F.lit(" Limited")).alias("name"), F.when(k % 16 == 0, 0.0).otherwise(F.col("p_retailprice")).alias("price"), (k % 5 == 0).alias("except"))
-    quotes = identity.resolve(rows.withColumn("isin", F.upper("isin")), master, aliases="aliases").withColumnRenamed("resolved", "k").drop("how")
-    held = identity.resolve(asked_names(spark, sf_dir), master, aliases="aliases").withColumnRenamed("resolved", "k")
+    # Quotes and holdings are resolved together, once; the result is written as both are read from it.
+    q = rows.select(F.col("row").alias("id"), F.upper("isin").alias("isin"), "name", "price", "except", F.lit(True).alias("quote"))
+    h = asked_names(spark, sf_dir).select("id", "isin", "name", F.lit(None).cast("double").alias("price"), F.lit(None).cast("boolean").alias("except"), F.lit(False).alias("quote"))
+    found = written(identity.resolve(q.unionByName(h), master, aliases="aliases"), "resolved").withColumnRenamed("resolved", "k")
+    quotes = found.filter("quote").withColumnRenamed("id", "row").drop("how", "quote")
+    held = found.filter("not quote").drop("price", "except", "quote")
     i = F.col("id")
     held = held.select("id", "k", "isin", "name", F.when(F.col("k") % 5 == 1, "PE").alias("asset_class"), F.when(i % 4 == 0, 11.5).alias("valuation"), F.when(i % 3 == 0, 7.25).alias("last_trade"))
     return held, quotes, slots

@@ -20,7 +20,8 @@ NUVAMA = [["inz000005231"], ["nuvama wealth"], ["edelweiss broking"]]
 NUVAMA_V3 = [["wap mkt rate"], ["net obligation for"], ["contract note cum bill", "ucc/backoffice code"]]
 #: Instrument codes are one of KINDS and one of UNDERLYINGS.
 KINDS, UNDERLYINGS = ("OPT", "FUT"), ("IDX", "STK", "CUR", "IRD", "IVX")
-MONTHS = "JAN|FEB|MAR|APR|MAY|JUN|JUL|AUG|SEP|OCT|NOV|DEC"
+MONTHS = ("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC")
+RIGHTS = ("CE", "PE", "FUT")
 DEFAULT_SENDER = "zerodha"
 
 ROW_START = r"\d{2}-\d{2}-\d{4} (?:BUY|SELL|DIVIDEND) "
@@ -49,12 +50,24 @@ def sender(text: Column) -> Column:
 
 
 def contract(word: Column) -> Column:
-    """struct(day, month, year, strike, right) of an exchange contract symbol: an underlying, then an expiry of day,
-    month name and year, then for options a strike, and what it is (right); null fields where there is no expiry."""
-    parts = rf"^[A-Z][A-Z0-9&-]*?(\d{{2}})({MONTHS})(\d{{4}}|\d{{2}})(\d*\.?\d*)(CE|PE|FUT|)$"
-    field = lambda i: F.regexp_extract(word, parts, i)
-    day, strike = field(1).try_cast("int"), F.nullif(field(4), F.lit(""))
-    return F.struct(day.alias("day"), field(2).alias("month"), field(3).alias("year"), strike.alias("strike"), field(5).alias("right"))
+    """struct(day, month, year, strike, right) of an exchange contract symbol, read from its right end: what it is
+    (right, may be empty), a strike and a year in one run of figures (a year of four digits where there are so many), a
+    month's name, two figures of the day, and an underlying that begins with a letter; null fields where it is none."""
+    right = F.coalesce(*(F.when(word.endswith(r), r) for r in RIGHTS), F.lit(""))
+    body = F.left(word, F.length(word) - F.length(right))
+
+    def dated(month: Column) -> Column:
+        figures = F.call_function("substring_index", body, month, F.lit(-1))
+        before = F.left(body, F.length(body) - F.length(figures) - 3)
+        whole = F.substring_index(figures, ".", 1)
+        digits = F.when(F.length(whole) >= 4, 4).otherwise(2)
+        name = F.left(before, F.length(before) - 2)
+        fits = (F.instr(body, month) > 0) & (F.length(whole) >= 2) & (F.translate(whole, "0123456789", "") == "") & (F.size(F.split(figures, "[.]")) <= 2) & figures.rlike("^[0-9.]+$")
+        fits &= F.right(before, F.lit(2)).rlike("^[0-9][0-9]$") & F.left(name, F.lit(1)).rlike("^[A-Z]$") & (F.translate(name, "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789&-", "") == "")
+        strike = F.nullif(F.substring(figures, digits + 1, F.length(figures)), F.lit(""))
+        return F.when(fits, F.struct(F.right(before, F.lit(2)).try_cast("int").alias("day"), month.alias("month"), F.left(figures, digits).alias("year"), strike.alias("strike"), right.alias("right")))
+
+    return F.get(F.filter(F.transform(F.array(*map(F.lit, MONTHS)), dated), lambda x: x.isNotNull()), F.lit(0))
 
 
 def is_derivative(name: Column) -> Column:

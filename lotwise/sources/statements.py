@@ -1,28 +1,33 @@
-"""Statements as CSV files, read by what their header says: any order of columns, further columns, lines above the
-header."""
+"""Statements as CSV files, read by what the header of each file says: any order of columns, further columns, lines
+above the header, and folders of files whose headers differ."""
 
 from __future__ import annotations
 
+import csv
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lotwise.functions.values import is_rights_name, isin_ok, norm_name, parse_date, parse_number
+from lotwise.session import written
 
-#: What columns are called, in upper case and letters only; the first name that a header has counts, and a
-#: name that ends in * may go on.
+#: What columns are called, in upper case and letters only; the first cell of a header that has one of the
+#: names counts, and a name that ends in * may go on.
 NAMES = ("NAME", "SECURITY", "SCRIP", "STOCK", "COMPANY", "COMPANYNAME", "ASSETNAME", "SCRIPNAME", "SECURITYNAME")
-HOLDING = {"name": NAMES, "sector": ("SECTOR", "INDUSTRY"), "qty": ("QTY", "QUANTITY", "SHARES", "BALQTY"), "invested": ("AMOUNTINVESTED*", "INVESTED", "INVESTEDVALUE", "INVESTEDAMOUNT", "COST")}
+HOLDING = {"name": ("NAME", "SECURITY", "SCRIP", "STOCK", "COMPANY", "ASSETNAME"), "sector": ("SECTOR", "INDUSTRY"), "qty": ("QTY", "QUANTITY", "SHARES", "BALQTY"), "invested": ("AMOUNTINVESTED*", "INVESTED", "INVESTEDVALUE", "INVESTEDAMOUNT", "COST")}
 TRANSACTION = {
     "date": ("DATE", "TRADEDATE", "TRANSDATE"),
     "type": ("TRANSTYPE", "TYPE", "TRANSACTIONTYPE", "TXNTYPE"),
-    "name": ("ASSETNAME", *NAMES),
+    "name": ("ASSETNAME", "NAME", "SECURITY", "SCRIP", "STOCK"),
     "qty": ("QTY", "QUANTITY", "SHARES"),
     "price": ("PRICE", "RATE"),
     "amount": ("AMOUNT", "VALUE", "NETAMOUNT"),
     "balance": ("BALQTY", "BALANCE", "BALANCEQTY", "CLOSINGQTY"),
 }
 PERIOD = {
-    "name": NAMES,
+    "name": ("COMPANYNAME", "COMPANY", "SECURITY", "SCRIP", "STOCK", "SCRIPNAME", "ASSETNAME"),
     "date": ("DATE", "PURCHASEDATE", "BUYDATE", "ACQDATE", "ACQUISITIONDATE"),
     "qty": ("QTY", "QUANTITY", "SHARES"),
     "price": ("PURCHASEPRICE", "BUYPRICE", "RATE", "AVGPRICE"),
@@ -40,38 +45,65 @@ TRADES = {
 }
 SCREENER = {"isin": ("ISINCODE", "ISIN"), "name": NAMES, "price": ("CURRENTPRICE*", "PRICE", "LTP", "CMP*"), "bse": ("BSECODE", "BSE"), "nse": ("NSECODE", "NSE", "NSESYMBOL", "SYMBOL"), "industry": ("INDUSTRY*", "SECTOR*")}
 END_OF_DAY = {"code": ("SCCODE", "SYMBOL", "TCKRSYMB", "FININSTRMID"), "isin": ("ISIN", "ISINCODE"), "series": ("SERIES", "SCTYSRS"), "close": ("CLOSE", "CLSPRIC", "CLOSEPRICE")}
-#: Lines in which a header is looked for.
-HEAD_LINES = 10
+#: Lines with anything on them among which a header is looked for.
+HEAD_LINES = 8
 
 
 def letters(cell: str | None) -> str:
     return "".join(c for c in (cell or "").upper() if "A" <= c <= "Z")
 
 
-def placed(cells: list[str], columns: dict[str, tuple[str, ...]], required: tuple[str, ...]) -> dict[str, int] | None:
-    """Where a header line has each column; None if it lacks one of ``required``."""
-    found = {}
-    for column, names in columns.items():
-        for name in names:
-            fits = [i for i, c in enumerate(cells) if (c.startswith(name[:-1]) if name.endswith("*") else c == name)]
-            if fits:
-                found[column] = fits[0]
-                break
-    return found if all(c in found for c in required) else None
-
-
-def read_columns(spark: SparkSession, path: str, columns: dict[str, tuple[str, ...]], required: tuple[str, ...]) -> DataFrame:
-    """The columns of a statement as text, null where it has none; no rows if no line of the first HEAD_LINES is a
-    header with all that is required. Lines above the header and blank lines have no values where they are looked for."""
-    raw = spark.read.option("mode", "PERMISSIVE").option("escape", "\"").option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path)
-    for line in raw.limit(HEAD_LINES).collect():
-        cells = [letters(c) for c in line]
-        if (at := placed(cells, columns, required)) is not None:
-            same = F.lit(True)
-            for c in required:
-                same &= F.upper(F.coalesce(raw.columns[at[c]], F.lit(""))) == (line[at[c]] or "").upper()
-            return raw.filter(~same).select(*((F.col(raw.columns[at[c]]) if c in at else F.lit(None).cast("string")).alias(c) for c in columns))
-    return spark.createDataFrame([], ", ".join(f"{c} string" for c in columns))
+def placed(cells: list[str], columns: dict[str, tuple[str, ...]], required: tuple[str | tuple[str, ...], ...]) -> dict[str, int] | None:
+    """Where a header line has each column, the first cell that any of its names fits; None if it lacks one of
+    ``required``, of which a tuple asks for one of several."""
+    fits = lambda cell, name: cell.startswith(name[:-1]) if name.endswith("*") else cell == name
+    first = {column: next((i for i, c in enumerate(cells) if any(fits(c, n) for n in names)), None) for column, names in columns.items()}
+    found = {column: i for column, i in first.items() if i is not None}
+    return found if all(any(x in found for x in ((c,) if isinstance(c, str) else c)) for c in required) else None
+
+
+def headers(lines: DataFrame, columns: dict[str, tuple[str, ...]], required: tuple[str | tuple[str, ...], ...]) -> DataFrame:
+    """(file, at: column -> cell, width, header, above: the lines over it) for each file of ``lines`` (file, block,
+    line); at is null where none of the first HEAD_LINES lines is a header."""
+    w = Window.partitionBy("file").orderBy("id")
+    heads = lines.filter("block = 0").withColumn("id", F.monotonically_increasing_id()).withColumn("no", F.row_number().over(w)).filter(F.col("no") <= HEAD_LINES)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("file", pa.string()), ("at", pa.map_(pa.string(), pa.int32())), ("width", pa.int32()), ("header", pa.string()), ("above", pa.list_(pa.string()))])
+        for batch in batches:
+            rows = []
+            for row in batch.to_pylist():
+                out = {"file": row["file"], "at": None, "width": 0, "header": None, "above": []}
+                for i, line in enumerate(own := [x["line"] for x in row["lines"]]):
+                    cells = next(csv.reader([line]), [])
+                    if (at := placed([letters(c) for c in cells], columns, required)) is not None:
+                        out |= {"at": list(at.items()), "width": len(cells), "header": line, "above": own[:i]}
+                        break
+                rows.append(out)
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    few = heads.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("no", "line"))).alias("lines"))
+    return few.mapInArrow(find, "file string, at map<string,int>, width int, header string, above array<string>")
+
+
+def read_columns(spark: SparkSession, path: str, columns: dict[str, tuple[str, ...]], required: tuple[str | tuple[str, ...], ...]) -> DataFrame:
+    """The columns of a statement file, or of a folder of them, as text, null where a file has none. Each file is read by
+    its own header; the header and the lines above it give no rows, nor do blank lines. A file with lines of which none is
+    a header with all that is required is an error; an empty file has no rows. A row is one line."""
+    text = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
+    lines = text.filter(F.trim("line") != "")
+    known = written(headers(lines, columns, required), "headers")
+    if lost := [r["file"] for r in known.filter("at is null").select("file").limit(5).collect()]:
+        raise ValueError(f"no header with {required} in the first {HEAD_LINES} lines of {', '.join(lost)}")
+    width = known.agg(F.max("width")).first()[0] or 1
+    options = {"escape": '"', "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true", "maxColumns": str(max(20480, 4 * width))}
+    rows = lines.join(known.select("file", "at", "header", "above"), "file")
+    top = (F.col("block") == 0) & F.array_contains("above", F.col("line"))
+    rows = rows.filter((F.col("line") != F.col("header")) & ~top)
+    rows = rows.select("at", F.from_csv("line", ", ".join(f"c{i} string" for i in range(width)), options).alias("c"))
+    cells = F.array(*(F.col(f"c.c{i}") for i in range(width)))
+    rows = rows.select("at", cells.alias("cells"))
+    return rows.select(*(F.get("cells", F.try_element_at("at", F.lit(c))).alias(c) for c in columns))
 
 
 def number(text: Column) -> Column:
@@ -96,7 +128,7 @@ def read_transaction_statement(spark: SparkSession, path: str) -> DataFrame:
 def read_holding_period(spark: SparkSession, path: str) -> DataFrame:
     """(name, day, qty, cost_per_share, invested) of lots: the amount paid counts before price times quantity; lots with
     neither are left out."""
-    r = read_columns(spark, path, PERIOD, ("name", "date", "qty"))
+    r = read_columns(spark, path, PERIOD, ("name", "date", "qty", ("price", "amount")))
     amount, price = number(F.col("amount")), number(F.col("price"))
     rows = r.select(F.trim("name").alias("name"), parse_date(F.trim("date")).alias("day"), number(F.col("qty")).alias("qty"), amount.alias("amount"), price.alias("price"))
     rows = rows.filter((F.col("name") != "") & (F.col("qty") > 0) & ~is_rights_name(F.col("name")) & F.coalesce("amount", "price").isNotNull())

@@ -2,7 +2,8 @@
 
 from collections import Counter
 
-from lotwise.functions import formats
+import pytest
+from lotwise.functions import formats, values
 from lotwise.sources import statements
 from pyspark.sql import functions as F
 
@@ -13,9 +14,26 @@ def test_header_below_other_lines(spark, tmp_path):
     assert got == Counter([("ACME, Ltd", "", 1000.0, 12500.5), ("Free", "", 7.0, 0.0), ('Say "x"', "", 2.0, 0.0)])
 
 
-def test_no_header_no_rows(spark, tmp_path):
+def test_title_above_the_header(spark, tmp_path):
+    """A first line with fewer cells than the header costs no column and no row."""
+    (tmp_path / "h.csv").write_text("Statement of holdings\n\nName,Qty,Amount Invested\nAcme,5,100\nBeta,2,40\n")
+    assert Counter(tuple(r) for r in statements.read_holding_statement(spark, str(tmp_path)).collect()) == Counter([("Acme", "", 5.0, 100.0), ("Beta", "", 2.0, 40.0)])
+
+
+def test_each_file_by_its_own_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Name,Qty,Cost\nAcme,5,100\n")
+    (tmp_path / "b.csv").write_text("Report\nQty,Sector,Stock,Name,Invested\n7,Steel,Gamma,ignored,70\n")
+    (tmp_path / "c.csv").write_text("")
+    assert Counter(tuple(r) for r in statements.read_holding_statement(spark, str(tmp_path)).collect()) == Counter([("Acme", "", 5.0, 100.0), ("Gamma", "Steel", 7.0, 70.0)])
+
+
+def test_no_header_is_an_error(spark, tmp_path):
     (tmp_path / "x.csv").write_text("a,b\n1,2\n")
-    assert statements.read_transaction_statement(spark, str(tmp_path)).collect() == []
+    with pytest.raises(ValueError, match="x.csv"):
+        statements.read_transaction_statement(spark, str(tmp_path))
+    (tmp_path / "x.csv").write_text("Company,Date,Qty,Value\nAcme,01-04-2024,5,1\n")
+    with pytest.raises(ValueError, match="x.csv"):  # lots need a price or an amount
+        statements.read_holding_period(spark, str(tmp_path))
     assert statements.unmapped(["#", "Name", "Qty", "P/E", " "], statements.HOLDING) == ["#", "P/E"]
 
 
@@ -35,5 +53,13 @@ def test_formats(spark):
 
 
 def test_kinds_of_columns(spark):
-    frame = spark.createDataFrame([("1", "x", "1,5", "2.5", "3", "")], "`Bal Qty` string, Remark string, a string, b string, `Trade Date` string, e string")
-    assert formats.column_kinds(frame) == {"Bal Qty": "int", "Remark": "text", "a": "int", "b": "money", "Trade Date": "date", "e": "text"}
+    frame = spark.createDataFrame([("1", "x", "1,5", "2.5", "3", "", "7", "12d", "8")], "`Bal Qty` string, Remark string, a string, b string, `Trade Date` string, e string, `ISIN total` string, f string, `Value Date` string")
+    assert formats.column_kinds(frame) == {"Bal Qty": "int", "Remark": "text", "a": "int", "b": "money", "Trade Date": "date", "e": "text", "ISIN total": "text", "f": "text", "Value Date": "date"}
+    said = {"Avg Buy Price": "rate", "Cost per share": "rate", "P&L": "money", "Gain %": "pct", "Net Shares": "int", "Scrip Code": "text", "Company Name": "text", "Charges": "money", "foo": None}
+    assert {h: formats.header_kind(h) for h in said} == said
+
+
+def test_numbers(spark):
+    said = {"12d": None, "NaN": None, "Infinity": None, "1e5": None, "(1,234.50)": -1234.5, "−5": -5.0, "+.5": 0.5, "₹ 7": 7.0, "": None, "()": None}
+    rows = spark.createDataFrame([(x,) for x in said], "t string").select("t", values.parse_number(F.col("t"))).collect()
+    assert dict(map(tuple, rows)) == said
