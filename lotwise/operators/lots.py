@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotwise.functions.values import half_up
+from lotwise.operators import scans
 from lotwise.operators.folds import fold
+from lotwise.session import written
 
 
 def square_off(ledger: DataFrame, by: list[str], day: str = "trade_date") -> DataFrame:
@@ -82,6 +84,10 @@ def transfer_plan(lots: DataFrame, wanted: DataFrame, by: list[str], order: list
     return out.withColumn("shortfall", F.col("wanted") - F.sum("take").over(Window.partitionBy(*by))).filter("take > 0")
 
 
+#: Rows of a key from which on its average cost is followed by ranges.
+HOT_ROWS = 1_000_000
+
+
 def _released(state: tuple, side: str, qty: float, cash: float) -> tuple:
     """Quantity and cost after a purchase, or a sale that releases cost at the average: one beyond the position is cut
     off, one without a position makes it negative."""
@@ -96,8 +102,19 @@ def _released(state: tuple, side: str, qty: float, cash: float) -> tuple:
 
 
 def average_cost(ledger: DataFrame, by: list[str], order: list[str], each: bool = False) -> DataFrame:
-    """(by, qty, cost) by weighted-average release, as in the NAV engine; after every row if ``each``."""
+    """(by, qty, cost) by weighted-average release, as in the NAV engine; (by, order, qty, cost) after every row if
+    ``each``. Keys of over HOT_ROWS rows are cut into ranges that are followed in parallel (scans.average_cost), others
+    take one task each."""
+    counts = written(ledger.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > HOT_ROWS).select(*by), "hot")
     rows = ledger.withColumn("__cash", F.col("qty") * F.col("price"))
+    if counts.isEmpty():
+        return _followed(rows, by, order, each)
+    same = lambda frame: [frame[c].eqNullSafe(counts[c]) for c in by]
+    hot = scans.average_cost(ledger.join(counts, same(ledger), "left_semi"), by, order, each)
+    return _followed(rows.join(counts, same(rows), "left_anti"), by, order, each).unionByName(hot)
+
+
+def _followed(rows: DataFrame, by: list[str], order: list[str], each: bool) -> DataFrame:
     return fold(rows, by, order, ["side", "qty", "__cash"], (0.0, 0.0), _released, ["held", "cost"], each).withColumnRenamed("held", "qty")
 
 
