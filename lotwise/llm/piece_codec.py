@@ -3,8 +3,8 @@
 The agenda holds adjacent symbol pairs whose concatenation is a piece; the best score (leftmost on ties) merges
 first, and the new symbol's pairs enter the agenda. No symbol can span two characters that stand side by side in no
 piece, so a text falls apart there (before U+2581, at line feeds, between most letters and signs) and a worker merges
-each distinct part once. Every text is checked against the sentencepiece library, its ids and what they decode to; the
-library's answer stands where the two should ever differ.
+each distinct part once. Every text is checked against the sentencepiece library, its ids and what they decode to: a
+difference is an error that names the texts, so that a wrong encoder or decoder cannot go unseen.
 """
 
 from __future__ import annotations
@@ -35,6 +35,10 @@ def model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+class Differs(RuntimeError):
+    """The codec and the library give different answers."""
+
+
 class PieceCodec:
     """Encoder and decoder of one vocabulary (BPE with byte fallback, identity normalization, dummy prefix)."""
 
@@ -126,13 +130,13 @@ class PieceCodec:
             return self.end
         return b"".join(map(self.chunks.__getitem__, CHUNK.findall(SPACE + text.replace(" ", SPACE)))) + self.end
 
-    def checked(self, rows: list[str]) -> tuple[list[bytes], list[str]]:
-        """Ids and decoded text of every row, compared with the library's, which stand where they differ."""
+    def checked(self, rows: list[str]) -> tuple[list[bytes], list[str], list[int]]:
+        """Ids and decoded text of every row, and the places of rows of which the library says otherwise."""
         ids = [self.encode(t) for t in rows]
         want = self.library.encode(rows, add_eos=True, num_threads=1)
-        ids = [a if a == b else b for a, b in zip(ids, (array("i", x).tobytes() for x in want), strict=True)]
         back = [self.decode(np.frombuffer(x, "<i4")) for x in ids]
-        return ids, [a if a == b else b for a, b in zip(back, self.library.decode(want, num_threads=1), strict=True)]
+        said = zip(ids, back, want, self.library.decode(want, num_threads=1), strict=True)
+        return ids, back, [i for i, (a, b, c, d) in enumerate(said) if a != array("i", c).tobytes() or b != d]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text: pieces in turn, bytes put together as UTF-8 (a byte that fits nowhere is U+FFFD), the dummy
@@ -167,7 +171,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
     """(doc, ids array<int> with the end id, decoded string) for every row.
 
     Nulls: a null text is empty (the end id alone, decoded empty); null and repeated document ids stay. No rows:
-    no rows. Other columns are not read.
+    no rows. Other columns are not read. A text that the library encodes or decodes otherwise fails the job, with its id.
     """
     path = path or model_path()
 
@@ -175,7 +179,9 @@ def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
         own = codec(path)
         for whole in batches:
             for batch in batches_of(whole, BATCH_ROWS // 4):
-                ids, back = own.checked(list(texts(batch, "text")))
+                ids, back, wrong = own.checked(list(texts(batch, "text")))
+                if wrong:
+                    raise Differs(f"the library differs for documents {[batch.column(0)[i].as_py() for i in wrong[:20]]}")
                 yield pa.RecordBatch.from_arrays([batch.column(0), lists(ids, np.int32, pa.int32()), pa.array(back, pa.string())], names=["doc", "ids", "decoded"])
 
     rows = docs.select(column(id_col).alias("doc"), column(text_col).alias("text"))

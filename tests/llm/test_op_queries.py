@@ -246,6 +246,27 @@ def test_op13(spark, tables):
     check_whitening([tuple(r) for r in QUERIES["op13_whitening"](spark, at).collect()], vectors)
 
 
+def test_op10_fails_where_the_codec_is_wrong(spark, tables):
+    """A merge that goes wrong in the workers is not covered up by the library's answer."""
+    rows = spark.read.parquet(f"{tables[0]}/documents.parquet").filter("text is not null")
+    broken = piece_codec.PieceCodec(piece_codec.model_path())
+    broken.score = dict(list(broken.score.items())[:400])
+    ids, _, wrong = broken.checked([r["text"] for r in rows.collect()])
+    assert wrong and len(wrong) <= len(ids)
+
+    def wrongly(path):
+        from lotwise.llm.piece_codec import PieceCodec
+
+        own = PieceCodec(path)
+        own.decode = lambda ids: "x"
+        return own
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(piece_codec, "codec", wrongly)
+        with pytest.raises(Exception, match="the library differs for documents"):
+            piece_codec.encode_decode(rows).collect()
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_empty_tables(spark, tables, tmp_path, name):
     """No rows give no rows."""
