@@ -31,6 +31,8 @@ from lotwise.session import fresh_path, written
 REVISIT_BYTES = 1000
 #: An archive is closed when it has this many bytes, so that a reading task holds few bytes at once.
 ARCHIVE_BYTES = 32 << 20
+#: A record's fields have so many bytes at most, and a member's content; what is longer is quarantined.
+HEAD_BYTES, MEMBER_BYTES = 1 << 16, 1 << 30
 MAGIC, VERSION, BREAK = b"\x1f\x8b\x08", b"WARC/1.", b"\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FIELD, VERSION_LINE = re.compile(rb"([!-9;-~]+):[ \t]*([^\r\n]*)\r\n"), re.compile(rb"WARC/1\.\d\r\n")
@@ -51,7 +53,11 @@ class Gap(NamedTuple):
 
 
 class Broken(ValueError):
-    """A check failed."""
+    """A check failed. No record begins before ``until``, if that is known."""
+
+    def __init__(self, why: str, until: int = 0):
+        super().__init__(why)
+        self.until = until
 
 
 class Pages:
@@ -104,11 +110,12 @@ class Next:
     def __init__(self, data: Data):
         self.data, self.known = data, {MAGIC: -1, VERSION: -1}
 
-    def after(self, at: int) -> int:
-        """The first such place behind ``at``, or the end."""
+    def after(self, at: int, until: int = 0) -> int:
+        """The first such place behind ``at``, or the end; version lines before ``until`` are passed over."""
         for what, i in self.known.items():
-            if i <= at:
-                found = self.data.find(what, at + 1)
+            start = max(at + 1, until if what == VERSION else 0)
+            if i < start:
+                found = self.data.find(what, start)
                 self.known[what] = found if found >= 0 else len(self.data)
         return min(self.known.values())
 
@@ -146,21 +153,35 @@ def fields_at(data: bytes, at: int) -> tuple[dict[str, str], int]:
     out = {}
     while data[at : at + 2] != BREAK:
         if not (m := FIELD.match(data, at)):
-            raise Broken("field")
+            raise Broken("field", at)
         out[m[1].decode("latin-1").lower()] = m[2].decode("utf-8", "replace").strip()
         at = m.end()
     return out, at + 2
 
 
+def head_at(data: Data, at: int) -> tuple[dict[str, str], int]:
+    """The fields behind the version line at ``at`` and where they end. Few bytes are looked at first, as most version
+    lines among damaged bytes have no fields behind them; HEAD_BYTES at most.
+
+    A line that is no field breaks the head of every version line above it, as their fields are the same lines: none of
+    them begins a record, and the search need not look at them again."""
+    for size in (1 << 10, HEAD_BYTES):
+        head = data[at : at + size]
+        try:
+            fields, stop = fields_at(head, 10)
+        except Broken as e:
+            if size < HEAD_BYTES and head.find(BREAK, e.until) < 0:
+                continue  # the line may only be cut
+            raise Broken("field", at + e.until) from None
+        return fields, at + stop
+    raise Broken("field")
+
+
 def parse(data: Data, at: int) -> Record:
     """The record whose version line is at ``at``."""
     if not VERSION_LINE.match(data[at : at + 10]):
         raise Broken("version line")
-    if (end := data.find(BREAK + BREAK, at)) < 0:
-        raise Broken("field")
-    head = data[at : end + 4]
-    fields, size = fields_at(head, 10)
-    body = at + size
+    fields, body = head_at(data, at)
     if not {"warc-type", "warc-record-id", "content-length"} <= fields.keys() or not fields["content-length"].isdigit():
         raise Broken("missing field")
     stop = body + int(fields["content-length"])
@@ -174,7 +195,10 @@ def parse(data: Data, at: int) -> Record:
         line = block.find(BREAK)
         if line < 0 or not block.startswith(b"HTTP/"):
             raise Broken("status line")
-        http, rest = fields_at(block, line + 2)
+        try:
+            http, rest = fields_at(block, line + 2)
+        except Broken:
+            raise Broken("field") from None
         payload = block[rest:]
     if fields["warc-type"] == "response" and "warc-payload-digest" in fields and fields["warc-payload-digest"] != digest(payload):
         raise Broken("payload digest")
@@ -183,14 +207,19 @@ def parse(data: Data, at: int) -> Record:
 
 def inflate(data: Data, at: int, step: int = 1 << 16) -> tuple[bytes, int, str]:
     """The content of the gzip member at ``at``, where the member ends, and what is wrong with it ("" if nothing):
-    of a damaged or truncated member, the content before the error and where its bytes were no longer read."""
-    z, out, pos = zlib.decompressobj(31), [], at
+    of a damaged or truncated member, the content before the error and where its bytes were no longer read; of one with
+    more than MEMBER_BYTES of content those, as if the rest were damaged."""
+    z, out, pos, room = zlib.decompressobj(31), [], at, MEMBER_BYTES
     while not z.eof:
         if pos >= len(data):
             return b"".join(out), len(data), "member cut short"
         before = z.copy()
         try:
-            out.append(z.decompress(data[pos : pos + step]))
+            out.append(z.decompress(data[pos : pos + step], room + 1))
+            room -= len(out[-1])
+            if room < 0:
+                out[-1] = out[-1][: room + len(out[-1])]
+                return b"".join(out), min(pos + step, len(data)), "member too large"
         except zlib.error:  # the bytes of this step one by one, up to the error
             for i in range(pos, min(pos + step, len(data))):
                 try:
@@ -211,7 +240,7 @@ def records_in(data: bytes) -> Iterator[Record | Gap]:
         except Broken as e:
             if bad is None:
                 bad, why = at, str(e)
-            ahead = data.find(VERSION, at + 1)
+            ahead = data.find(VERSION, max(at + 1, e.until))
             at = ahead if ahead >= 0 else len(data)
             continue
         if bad is not None:
@@ -251,7 +280,7 @@ def salvage(data: Data) -> Iterator[Record | Gap]:
     at, bad, why, ahead = 0, None, "", Next(data)
     while at < len(data):
         found: list[Record | Gap] = []
-        wrong, reason, end = "", "", at
+        wrong, reason, end, until = "", "", at, 0
         if data.startswith(MAGIC, at):
             content, end, wrong = inflate(data, at)
             inner = list(records_in(content))
@@ -265,11 +294,11 @@ def salvage(data: Data) -> Iterator[Record | Gap]:
                 found = [parse(data, at)]
                 end = found[0].stop
             except Broken as e:
-                reason = str(e)
+                reason, until = str(e), e.until
         if not found:
             if bad is None:
                 bad, why = at, reason
-            at = ahead.after(at)
+            at = ahead.after(at, until)
             continue
         if bad is not None:
             yield Gap(bad, at, why)
@@ -337,8 +366,8 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
 
     payload_bytes and payload_digest (lower-case hex) are those of the full payload, for revisits too, as their HTTP
     head and digest field state. An archive is read from its start to its end by one task, as only that tells a member
-    from bytes within another that look like one; pages of it are in memory, and a member's content. Empty archives
-    give no rows. ``path`` is a URI that pyarrow can read.
+    from bytes within another that look like one; pages of it are in memory, and a member's content (MEMBER_BYTES at most). Empty
+    archives give no rows. ``path`` is a URI that pyarrow can read.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

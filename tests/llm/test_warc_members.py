@@ -73,3 +73,29 @@ def test_lost_archives_are_an_error(spark, tmp_path, monkeypatch):
     assert warc.write_archives(frame.coalesce(1), f"file://{tmp_path}/b") == 1
     assert warc.read_archives(spark, f"file://{tmp_path}/b").filter("record_id is not null").count() == 8
     assert not [p for p in (tmp_path / "b").iterdir() if p.name.startswith("_tmp")]
+
+
+@pytest.mark.parametrize("line", [b"WARC/1.0\r\n", b"A: WARC/1.0\r\n", b"WARC/1.0\r\nA: b\r\n"])
+def test_damage_takes_linear_time(line):
+    """Version lines without a record behind them: each byte is looked at a few times, however many there are, and the
+    record behind them is found."""
+    import time
+
+    took = []
+    for size in (1 << 20, 4 << 20):
+        data = line * (size // len(line)) + b"\r\nxx" + MADE[3]
+        began = time.process_time()
+        assert kept(data) == ["3"]
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * max(took[0], 0.05) and took[1] < 8
+
+
+def test_large_fields_and_members(monkeypatch):
+    """Fields beyond the bound are no record; a member beyond it gives what comes first, and a gap."""
+    long = MADE[1].replace(b"WARC-Date", b"X: " + b"y" * (1 << 17) + b"\r\nWARC-Date", 1)
+    assert kept(MADE[0] + long + MADE[2]) == ["0", "2"]
+    wide = MADE[1].replace(b"WARC-Date", b"X: " + b"y" * 30_000 + b"\r\nWARC-Date", 1)
+    assert kept(MADE[0] + wide + MADE[2]) == ["0", "1", "2"]
+    monkeypatch.setattr(warc, "MEMBER_BYTES", 2500)
+    data = warc.member(b"".join(MADE[:9])) + warc.member(MADE[10])
+    assert kept(data)[:2] == ["0", "1"] and kept(data)[-1] == "10" and "member too large" in " ".join(reasons(data))
