@@ -71,7 +71,7 @@ KINDS: tuple[tuple[str, tuple[str, ...]], ...] = (
 
 def singular(word: str) -> str:
     """A header's word without its plural: companies, series, charges, shares."""
-    return word[:-3] + "y" if word.endswith("ies") else word[:-1] if word.endswith("s") and not word.endswith("ss") else word
+    return word[:-3] + "y" if word.endswith("ies") else word[:-1] if len(word) > 2 and word.endswith("s") and not word.endswith("ss") else word
 
 
 def header_kind(header: str) -> str | None:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotwise.functions import values
-from lotwise.operators import identity
+from lotwise.operators import classes, identity
 from lotwise.plans.register import Register
 from lotwise.sources import ledger
 
@@ -127,6 +129,48 @@ def quote_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", "key", "how", "primary", "fallback")
 
 
+#: Rows of a class tab: listed names with and without ISINs, private namesakes, new companies by ISIN and by name.
+CLASS_ROWS = f"""{MASTER}, cm AS (SELECT m.*, CASE WHEN k % 5 < 3 THEN 'S' || k END AS nse, CASE WHEN k % 10 = 4 THEN 'AIF' END AS own_class, CASE WHEN k % 6 = 0 THEN 'Steel' END AS own_industry FROM m),
+pr AS (SELECT p_partkey AS row, p_partkey % 8 AS kind, p_name || ' ' || {WORD} AS full_name, {WORD} AS word, translate(CAST(p_partkey - 1 AS VARCHAR), '0123456789', 'abcdefghij') AS word1, CASE WHEN p_partkey % 9 > 0 THEN p_retailprice END AS valuation, CASE WHEN p_partkey % 4 > 0 THEN DATE '2024-03-31' - CAST(p_size AS INTEGER) END AS valuation_date, p_partkey % 3 = 0 AS by_isin FROM part),
+cr AS (SELECT row, CASE kind WHEN 0 THEN full_name || ' Ltd' WHEN 1 THEN full_name || ' Pvt Ltd' WHEN 2 THEN full_name WHEN 3 THEN 'newco' || word || ' Pvt. Ltd.' WHEN 4 THEN 'Newco' || word1 || ' Limited' WHEN 5 THEN full_name || ' Private Limited' WHEN 6 THEN 'fresh ' || word ELSE full_name || ' Pvt' END AS company,
+  CASE WHEN kind = 0 AND by_isin THEN 'IN' || row WHEN kind = 3 THEN 'INX' || row WHEN kind = 7 THEN 'INY' || row END AS isin, CASE WHEN kind = 5 THEN DATE '2024-01-01' + CAST(row % 300 AS INTEGER) END AS listed_from, valuation, valuation_date FROM pr),
+b AS (SELECT cr.*, {sql_norm("company")} AS nk, {sql_norm("company", "limited|ltd|the|co")} AS dk FROM cr), t AS (SELECT b.*, mi.k AS ki, s.k AS kn, d.k AS kd, coalesce(o.nse, '') <> '' AS ticker FROM b LEFT JOIN (SELECT isin, max(k) AS k FROM cm WHERE isin IS NOT NULL GROUP BY isin) mi ON mi.isin = b.isin LEFT JOIN slots s ON s.norm = nk LEFT JOIN slots d ON d.norm = dk LEFT JOIN cm o ON o.k = s.k),
+f AS (SELECT nk, arg_min(isin, row) AS new_isin FROM t WHERE isin IS NOT NULL AND ki IS NULL GROUP BY nk),
+h AS (SELECT t.*, new_isin, CASE WHEN ki IS NOT NULL THEN 'isin' WHEN isin IS NULL AND kn IS NOT NULL AND ticker AND listed_from IS NULL THEN CASE WHEN dk <> nk AND kd IS NULL THEN 'twin' ELSE 'skipped' END WHEN isin IS NULL AND kn IS NOT NULL THEN 'name' ELSE 'new' END AS how FROM t LEFT JOIN f USING (nk)),
+pl AS (SELECT *, CASE how WHEN 'isin' THEN CAST(ki AS VARCHAR) WHEN 'twin' THEN dk WHEN 'name' THEN CAST(kn AS VARCHAR) WHEN 'new' THEN coalesce(isin, new_isin, nk) END AS key FROM h),
+fo AS (SELECT key, arg_min(company, row) AS company, arg_min(isin, row) AS row_isin, CASE WHEN bool_or(how <> 'new') THEN arg_min(how, row) FILTER (how <> 'new') ELSE 'new' END AS as_, arg_max(listed_from, row) FILTER (listed_from IS NOT NULL) AS listed_from, arg_max(valuation, row) FILTER (valuation IS NOT NULL) AS valuation, arg_max(valuation_date, row) FILTER (valuation_date IS NOT NULL) AS valuation_date FROM pl WHERE how <> 'skipped' GROUP BY key)"""
+
+
+@REGISTER(f"""WITH {CLASS_ROWS} SELECT coalesce(CAST(k AS VARCHAR), key) AS key, coalesce(name, company) AS name, coalesce(cm.isin, row_isin) AS isin, coalesce(own_class, CASE WHEN as_ IS NOT NULL THEN 'PE' END) AS asset_class, listed_from, as_ IS NOT NULL AND NOT coalesce(listed_from <= DATE '2024-07-01', false) AS price_except, valuation, valuation_date,
+  coalesce(own_industry, CASE WHEN as_ IS NOT NULL AND NOT coalesce(listed_from <= DATE '2024-07-01', false) THEN 'Private Equity' END) AS industry, CASE WHEN k IS NOT NULL AND as_ IS NOT NULL THEN 'folded' WHEN k IS NOT NULL THEN 'kept' ELSE as_ END AS how FROM cm FULL JOIN fo ON fo.key = CAST(k AS VARCHAR)""")
+def class_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of a tab, read by its headers, in the master: by ISIN, by name, as twins of listed namesakes, new."""
+    out, _, _ = _class_fold(spark, sf_dir)
+    return out.select("key", "name", "isin", "asset_class", "listed_from", "price_except", "valuation", "valuation_date", "industry", "how")
+
+
+@REGISTER(f"WITH {CLASS_ROWS} SELECT row, company, CAST(kn AS VARCHAR) AS key FROM pl WHERE how = 'skipped'")
+def class_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the tab whose name nothing tells from a listed entry's."""
+    return _class_fold(spark, sf_dir)[2]
+
+
+def _class_fold(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    k, word = F.col("p_partkey"), _words(F.col("p_partkey"))
+    full, kind = F.concat("p_name", F.lit(" "), word), F.col("p_partkey") % 8
+    names = (F.concat(full, F.lit(" Ltd")), F.concat(full, F.lit(" Pvt Ltd")), full, F.concat(F.lit("newco"), word, F.lit(" Pvt. Ltd.")), F.concat(F.lit("Newco"), _words(k - 1), F.lit(" Limited")), F.concat(full, F.lit(" Private Limited")), F.concat(F.lit("fresh "), word), F.concat(full, F.lit(" Pvt")))
+    company = F.coalesce(*(F.when(kind == i, x) for i, x in enumerate(names)))
+    isin = F.when((kind == 0) & (k % 3 == 0), F.concat(F.lit("in"), k)).when(kind == 3, F.concat(F.lit("INX"), k)).when(kind == 7, F.concat(F.lit("INY"), k))
+    listed = F.when(kind == 5, F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (k % 300).cast("int")), "dd/MM/yyyy")).when(kind == 6, "soon")
+    dated = F.when(k % 4 > 0, F.date_format(F.date_sub(F.lit("2024-03-31").cast("date"), F.col("p_size").cast("int")), "dd-MM-yyyy"))
+    part = ledger.table(spark, sf_dir, "part")
+    tab = part.select(k.alias("sheet row"), isin.alias("ISIN"), company.alias("Name of the Company"), F.when(k % 9 > 0, F.col("p_retailprice").cast("string")).alias("CMP"), dated.alias("Valuation Date"), listed.alias("Listed As On"), F.lit("10").alias("Face Value Per Share"))
+    master = master_entries(spark, sf_dir)
+    key = F.col("key")
+    master = master.withColumns({"nse": F.when(key % 5 < 3, F.concat(F.lit("S"), key)), "bse": F.lit(None).cast("string"), "asset_class": F.when(key % 10 == 4, "AIF"), "industry": F.when(key % 6 == 0, "Steel"), "price_except": F.lit(False)})
+    return classes.fold_classes(master, classes.class_rows(tab, "PE", "sheet row"), datetime.date(2024, 7, 1))
+
+
 #: Labels, and by hand what each is: ledger side, statement class, NAV side, transfer, its leg out, free shares, a split.
 LABELS = (
     ("Buy", "BUY", "BUY", "BUY", 0, 0, 0, 0), ("Sell", "SELL", "SELL", "SELL", 0, 0, 0, 0), ("Redeem", "SELL", "SELL", None, 0, 0, 0, 0), ("Redemption", "SELL", "SELL", None, 0, 0, 0, 0),
