@@ -4,15 +4,18 @@ A candidate is a long unbroken string in a sensitive context (a word such as pas
 before it). Its novelty is its marginal cost: the bytes zstandard needs for context and candidate together, less
 those for the context alone, with a dictionary of identifiers and the document's own surroundings as prefix. The
 dictionary holds the corpus's most frequent identifiers, counted over all texts, behind a few that every code base has.
-Names, words and repeated strings cost little; random keys cost about as much as they are long.
+
+A short word costs nearly as many bytes as it is long whatever it says, so the cost is held against a control: what the
+candidate's own characters cost in the same place in random order. Names, words and paths share beginnings and endings
+with the dictionary and cost less than their control; random keys have nothing to lose and cost as much.
 """
 
 from __future__ import annotations
 
 import functools
-import itertools
+import random
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -32,8 +35,10 @@ LEAST = 16
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=-]{{{LEAST},}}")
 #: A candidate begins at most REACH characters behind its sensitive word; AROUND characters on either side prime it.
 REACH, AROUND = 48, 256
-#: Bytes that a character of a candidate must cost at least (see costly() for long ones).
-NOVELTY = 0.55
+#: Bytes that a character of a candidate must cost at least (see costly() for long ones), and its share of what its
+#: SHUFFLES random orders cost on average.
+NOVELTY, OF_CONTROL, SHUFFLES = 0.5, 0.92, 8
+LEVEL, CONTROLLED = 19, 256
 IDENTIFIERS = (
     "username password passwd secret token api_key apikey access_key secret_key private_key public_key client_id client_secret "
     "authorization bearer basic credential credentials session cookie config configuration environment variable default example "
@@ -46,7 +51,7 @@ IDENTIFIERS = (
 
 
 #: Bytes of identifiers that the corpus gives to the dictionary, which goes to every task: its bound at any size.
-DICTIONARY_BYTES = 16 << 10
+DICTIONARY_BYTES = 110 << 10
 #: Texts are dealt to 64 classes by their content. An identifier has to stand in texts of SPREAD classes, so that what
 #: stands in copies of one text only, a key say, never becomes a known name.
 SPREAD = 8
@@ -60,12 +65,14 @@ def corpus_identifiers(docs: DataFrame, text_col: str = "text", most: int = DICT
     rows = docs.select(F.pmod(F.xxhash64(text), F.lit(64)).cast("int").alias("at"), words.alias("words"))
     each = rows.select(F.explode("words").alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("at")).alias("bit"))
     counts = each.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.bit_or("bit").alias("classes")).filter(F.bit_count("classes") >= spread)
-    # In each of 16 classes the first names, then the first of those: the driver gets as much at any size.
+    # In each of 16 classes the first names, then the first of those in one task: as many at any size, and the driver
+    # gets what the dictionary takes.
     limit = most // 5  # names of four letters and a blank, at most
     first = F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64("word"), F.lit(16))).orderBy(F.desc("n"), "word"))
-    top = counts.select("word", "n", first.alias("r")).filter(F.col("r") <= limit).orderBy(F.desc("n"), "word").limit(limit).collect()
-    size = list(itertools.accumulate(len(r["word"]) + 1 for r in top))
-    return " ".join(r["word"] for r, n in reversed(list(zip(top, size, strict=True))) if n <= most)
+    few = counts.select("word", "n", first.alias("r")).filter(F.col("r") <= limit)
+    before = F.sum(F.length("word") + 1).over(Window.orderBy(F.desc("n"), "word").rowsBetween(Window.unboundedPreceding, 0))
+    top = few.select("word", "n", before.alias("size")).filter(F.col("size") <= most).select("word", "n").collect()
+    return " ".join(r["word"] for r in sorted(top, key=lambda r: (r["n"], r["word"])))
 
 
 @functools.lru_cache(maxsize=4)
@@ -73,15 +80,21 @@ def compressor(dictionary: str = IDENTIFIERS):
     import zstandard
 
     primed = zstandard.ZstdCompressionDict(dictionary.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    primed.precompute_compress(level=9)
-    return zstandard.ZstdCompressor(level=9, dict_data=primed, write_content_size=False, write_checksum=False)
+    primed.precompute_compress(level=LEVEL)
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=primed, write_content_size=False, write_checksum=False)
+
+
+def added(text: str, start: int, end: int, dictionary: str = IDENTIFIERS) -> Callable[[str], int]:
+    """How many compressed bytes a string adds to the surroundings of text[start:end]."""
+    size = compressor(dictionary).compress
+    around = (text[max(0, start - AROUND) : start] + text[end : end + AROUND] + "\n").encode()
+    alone = len(size(around))
+    return lambda x: len(size(around + x.encode())) - alone
 
 
 def marginal(text: str, start: int, end: int, dictionary: str = IDENTIFIERS) -> float:
     """Compressed bytes that text[start:end] adds to its surroundings, for each of its characters."""
-    size = compressor(dictionary).compress
-    around = (text[max(0, start - AROUND) : start] + text[end : end + AROUND]).encode()
-    return (len(size(around + b"\n" + text[start:end].encode())) - len(size(around + b"\n"))) / (end - start)
+    return added(text, start, end, dictionary)(text[start:end]) / (end - start)
 
 
 def base_spans(text: str, low: str) -> list[tuple[int, int, int]]:
@@ -96,9 +109,17 @@ def base_spans(text: str, low: str) -> list[tuple[int, int, int]]:
 
 
 def costly(text: str, start: int, end: int, novelty: float = NOVELTY, dictionary: str = IDENTIFIERS) -> bool:
-    """Whether each character costs ``novelty`` bytes or, in a string of over 100, what random digits cost at least:
-    zstandard stores short strings as they are and codes longer ones down to their entropy (0.415 for digits)."""
-    return marginal(text, start, end, dictionary) >= min(novelty, 0.42 + 13 / (end - start))
+    """Whether each character costs ``novelty`` bytes or, in a string of over 100, what random digits cost at least
+    (zstandard stores short strings as they are and codes longer ones down to their entropy, 0.415 for digits), and the
+    string OF_CONTROL of what its characters cost in random order. The orders follow from the string, so that a text is
+    judged alike wherever it is read again; of a long string the first CONTROLLED characters are shuffled."""
+    own, cost = text[start:end], added(text, start, end, dictionary)
+    if cost(own) < min(novelty, 0.42 + 13 / len(own)) * len(own):
+        return False
+    sample = own[:CONTROLLED]
+    order = random.Random(sample)
+    control = sum(cost("".join(order.sample(sample, len(sample)))) for _ in range(SHUFFLES)) / SHUFFLES
+    return cost(sample) >= OF_CONTROL * control
 
 
 def novel_spans(text: str, low: str, novelty: float = NOVELTY, dictionary: str = IDENTIFIERS) -> list[tuple[int, int, int]]:
