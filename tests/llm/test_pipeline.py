@@ -3,6 +3,7 @@
 from collections import Counter
 
 import corpus_pipeline
+import numpy as np
 from pyspark.sql import functions as F
 from test_texts import components, plain_fp
 
@@ -65,3 +66,46 @@ def test_all_stages(spark):
         assert (r["sequence_id"], r["offset"]) == divmod(at, 2048) and len(r["ids"]) == 4 * r["length"]
         at += r["length"]
     assert {r["doc_id"] for r in out} == {r["doc_id"] for r in docs.collect()}
+
+
+def test_quality_keeps_what_the_model_accepts(spark, docs, rows, none):
+    """Nulls, empty and repeated rows and clashing names go through; a row stays as it is or goes by its score."""
+    from lotwise.llm import quality_model
+
+    model = quality_model.fit(docs, spark.read.parquet(f"{DIR}/labels.parquet"))
+    scored = quality_model.score(docs.select("doc_id", "text"), model).collect()
+    want = Counter(r["doc"] for r in scored if r["score"] >= quality_model.THRESHOLD)
+    out = corpus_pipeline.quality(spark, docs, DIR)
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert Counter(r["doc_id"] for r in got) == want and Counter(map(tuple, got)) <= Counter(map(tuple, docs.collect()))
+    assert corpus_pipeline.quality(spark, none, DIR).collect() == []
+
+
+def test_packed_holds_every_id_once(spark, docs, rows, none):
+    from lotwise.llm import packing
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.tokenizer_path())
+    want = Counter((r[0], tuple([*tok.encode(r[1] or "", add_special_tokens=False).ids, packing.END_ID])) for r in rows)
+    pieces = sorted(corpus_pipeline.packed(spark, docs, DIR).collect(), key=lambda r: (r["sequence_id"], r["offset"]))
+    got, ids = Counter(), []
+    for i, r in enumerate(pieces):
+        assert (r["sequence_id"] * packing.WINDOW + r["offset"]) == sum(p["length"] for p in pieces[:i]) and r["start"] == len(ids)
+        ids += np.frombuffer(r["ids"], "<u4").tolist()
+        if len(ids) == r["doc_tokens"]:
+            got[r["doc_id"], tuple(ids)] += 1
+            ids = []
+    assert got == want and not ids
+    assert corpus_pipeline.packed(spark, none, DIR).collect() == []
+
+
+def test_stages_take_clashing_columns(spark, docs, none):
+    """Further columns, whatever they are called, stay with their rows."""
+    more = docs.selectExpr("*", "9 as doc", "10 as rest", "11 as kept", "12 as row", "13 as `a.b`", "14 as clean", "15 as h", "16 as id")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, more, DIR)
+        assert out.columns == more.columns, name
+        kept = {(r["doc"], r["rest"], r["kept"], r["row"], r["a.b"], r["clean"], r["h"], r["id"], r["key"], r["fp"]) for r in out.collect()}
+        assert kept <= {(9, 10, 11, 12, 13, 14, 15, 16, 2, 6)}, name
+        assert stage(spark, more.limit(0), DIR).collect() == [], name
