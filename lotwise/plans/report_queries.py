@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from lotwise.functions import values
 from lotwise.functions.values import half_up
-from lotwise.operators import lots, merges, nav, prices, reports
+from lotwise.operators import lots, merges, nav, prices, registers, reports
 from lotwise.plans.identity_queries import LABELS, labelled, sql_labels, sql_norm
 from lotwise.plans.note_queries import NOTE, note_lines
 from lotwise.plans.price_queries import INDEX, _nav
-from lotwise.plans.register import CLOSES, LE, LI, MATCHED, Register, r2, r6
+from lotwise.plans.register import CLOSES, LE, LI, LINE_ORDER, MATCHED, Register, r2, r6
 from lotwise.sources import ledger
 
 REGISTER = Register()
@@ -52,6 +52,33 @@ def nav_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nav.timeline(_ledger(spark, sf_dir), ledger.closes(spark, sf_dir), START, cuts)
 
 
+#: A register over splits: every third key doubles its shares in 1997, every sixth makes five of one in 1999; classes by
+#: key, of which one has no rule for long terms.
+_SPLIT = "CASE WHEN key % 3 = 0 AND (trade_date < DATE '1997-07-01' OR trade_date = DATE '1997-07-01' AND ord = 0) THEN 2.0 ELSE 1.0 END * CASE WHEN key % 6 = 0 AND (trade_date < DATE '1999-01-15' OR trade_date = DATE '1999-01-15' AND ord = 0) THEN 5.0 ELSE 1.0 END"
+SALES = f"""{LI}, a AS (SELECT *, {_SPLIT} AS later, CASE WHEN key % 5 = 1 THEN 730 WHEN key % 5 = 2 THEN NULL ELSE 365 END AS lt_days, row_number() OVER w AS rn FROM li WINDOW w AS (PARTITION BY portfolio, key ORDER BY {LINE_ORDER})),
+t AS (SELECT *, qty * later AS q, sum(CASE WHEN side='BUY' THEN qty * later ELSE 0 END) OVER (PARTITION BY portfolio, key ORDER BY rn) AS cb, sum(CASE WHEN side='SELL' THEN qty * later ELSE 0 END) OVER (PARTITION BY portfolio, key ORDER BY rn) AS cs FROM a),
+u AS (SELECT *, greatest(0, max(cs - cb) OVER (PARTITION BY portfolio, key ORDER BY rn)) AS d FROM t), s AS (SELECT *, cs - d AS hi, coalesce(lag(cs - d) OVER (PARTITION BY portfolio, key ORDER BY rn), 0) AS lo FROM u WHERE side='SELL'),
+x AS (SELECT s.portfolio, s.key, s.rn, b.rn AS lot, b.trade_date AS bought, (least(b.cb, s.hi) - greatest(b.cb - b.q, s.lo)) / s.later AS n, b.price / b.later * s.later AS rate, s.price / s.later * s.later AS price, s.lt_days, CASE WHEN s.lt_days IS NULL THEN 'NONE' WHEN date_diff('day', b.trade_date, s.trade_date) >= s.lt_days THEN 'LT' ELSE 'ST' END AS term
+  FROM u b JOIN s ON b.portfolio = s.portfolio AND b.key = s.key AND b.side = 'BUY' AND least(b.cb, s.hi) > greatest(b.cb - b.q, s.lo)),
+f AS (SELECT portfolio, key, rn, term, sum(n) AS n, {r2("sum(CASE WHEN lt_days IS NULL THEN 0 ELSE " + r2("n * price") + " - " + r2("n * rate") + " END)")} AS pnl, true AS covered, string_agg(CAST(bought AS VARCHAR) || ':' || CAST(CAST(n AS BIGINT) AS VARCHAR) || '@' || CAST(CAST(floor(rate * 100 + 0.5) AS BIGINT) AS VARCHAR), ' ' ORDER BY lot) AS matched FROM x GROUP BY ALL),
+k AS (SELECT portfolio, key, rn, sum(n) AS taken FROM f GROUP BY ALL), z AS (SELECT * FROM f UNION ALL SELECT s.portfolio, s.key, s.rn, CASE WHEN lt_days IS NULL THEN 'NONE' ELSE 'ST' END, qty - coalesce(taken, 0), 0, false, '' FROM s LEFT JOIN k ON k.portfolio = s.portfolio AND k.key = s.key AND k.rn = s.rn WHERE qty - coalesce(taken, 0) > 0.000000001)"""
+
+
+@REGISTER(f"""WITH {SALES} SELECT z.portfolio, z.key, CAST(z.rn AS INTEGER) AS sale, year(s.trade_date) - CASE WHEN month(s.trade_date) < 4 THEN 1 ELSE 0 END AS fy, CASE z.key % 5 WHEN 1 THEN 'PE' WHEN 2 THEN 'MF' ELSE 'LISTED' END AS tab, term, CAST(n AS DOUBLE) AS qty, {r2("s.price * n")} AS turnover, {r2("s.brokerage * n / s.qty")} AS brokerage, {r2("s.stt * n / s.qty")} AS stt, CAST(pnl AS DOUBLE) AS pnl, covered, matched FROM z JOIN s ON s.portfolio = z.portfolio AND s.key = z.key AND s.rn = z.rn""")
+def register_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The register's sales by term with the lots that paid for each, across splits, by class and fiscal year;
+    uncovered shares and a class without a rule have no profit."""
+    k = F.col("key")
+    rows = _lines(spark, sf_dir).withColumn("lt_days", F.when(k % 5 == 1, 730).when(k % 5 != 2, 365))
+    part = ledger.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"))
+    held = rows.select("portfolio", "key").distinct().join(part, "key", "left_semi")
+    split = lambda of, day, factor: held.filter(k % of == 0).select("portfolio", "key", F.lit(day).cast("date").alias("trade_date"), F.lit(factor).alias("factor"))
+    out = registers.sale_rows(rows, BY, ledger.LINE_ORDER, split(3, "1997-07-01", 2.0).unionAll(split(6, "1999-01-15", 5.0)), ["brokerage", "stt"])
+    tab = F.when(k % 5 == 1, "PE").when(k % 5 == 2, "MF").otherwise("LISTED")
+    said = F.array_join(F.transform("matched", lambda m: F.concat(m["bought"].cast("string"), F.lit(":"), m["qty"].cast("bigint"), F.lit("@"), F.floor(m["rate"] * 100 + 0.5).cast("bigint"))), " ")
+    return out.select("portfolio", "key", "sale", values.fiscal_year(F.col("trade_date")).alias("fy"), tab.alias("tab"), "term", "qty", "turnover", "brokerage", "stt", "pnl", "covered", said.alias("matched"))
+
+
 @REGISTER(f"""WITH RECURSIVE {AVERAGE} SELECT key, CAST(arg_max(q, rn) AS BIGINT) AS qty, {r2("arg_max(c, rn)")} AS cost FROM st GROUP BY key""")
 def average_cost_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positions by average cost after all trades."""
