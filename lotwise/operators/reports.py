@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotwise.functions.values import half_up, is_free_share, ledger_side, norm_name
+from lotwise.operators import prices
 
 
 def within(rows: DataFrame, day: str, first: str, last: str, undated: bool) -> DataFrame:
@@ -69,6 +70,38 @@ def annual(rows: DataFrame, start: str, end: str, years: str) -> DataFrame:
     return rows.withColumns({"cumulative": F.when(F.col(start) > 0, (grown - 1) * 100), "cagr": F.when(ok & (F.col(years) >= 1), (F.pow(grown, 1 / F.col(years)) - 1) * 100)})
 
 
+def returns(points: DataFrame, flows: DataFrame, benchmark: DataFrame, stretch: float = 1.0) -> DataFrame:
+    """A row for each portfolio of ``points`` (portfolio, session, nav, index) and one, of a null portfolio, for all
+    together: (portfolio, first, last, years, cumulative, cagr, xirr, n_flows, ambiguous, terminal, benchmark, excess, note).
+
+    All together are worth what portfolios are, and their index compounds the change of that net of flows. cagr is
+    between the first and the last session with an index and a value, not annual below a year (years times ``stretch``).
+    xirr is that of the ``flows`` (portfolio, ts, amount; negative: invested) up to the last session, closed by the value
+    there; flows of all portfolios are on one line for the total. The total is held against the benchmark (session,
+    index) at the last sessions up to its own first and last. Percents; null where something is lacking, and ``note`` says
+    what."""
+    live = points.filter("index is not null and index > 0 and nav > 0")
+    ends = live.groupBy("portfolio").agg(F.min("session").alias("first"), F.max("session").alias("last"), F.min_by("index", "session").alias("__x"), F.max_by("index", "session").alias("__y"), F.max_by("nav", "session").alias("terminal"))
+    rows = annual(ends.withColumn("years", F.datediff("last", "first") * stretch / 365.0), "__x", "__y", "years")
+    who = ends.select("portfolio", "last", "terminal")
+    none = F.lit(None).cast(points.schema["portfolio"].dataType)
+    all_flows = flows.select("portfolio", "ts", "amount").unionByName(flows.select(none.alias("portfolio"), "ts", "amount")).filter("amount <> 0")
+    dated = all_flows.join(who.withColumnRenamed("portfolio", "__p"), F.col("portfolio").eqNullSafe(F.col("__p"))).filter(F.col("ts") <= F.col("last")).select("portfolio", "ts", "amount")
+    counts = dated.groupBy("portfolio").agg(F.count(F.lit(1)).alias("n_flows"))
+    rates = prices.xirr(dated.unionByName(who.select("portfolio", F.col("last").alias("ts"), F.col("terminal").alias("amount"))), ["portfolio"])
+    same = lambda frame, name: F.col("portfolio").eqNullSafe(frame[name])
+    c, r = counts.withColumnRenamed("portfolio", "__c"), rates.withColumnsRenamed({"portfolio": "__r", "rate": "__rate"})
+    out = rows.join(c, same(c, "__c"), "left").join(r, same(r, "__r"), "left")
+    total = ends.filter("portfolio is null").select("first", "last")
+    level = lambda c: F.max_by(F.when(F.col("session") <= F.col(c), F.col("index")), F.when(F.col("session") <= F.col(c), F.col("session")))
+    bench = benchmark.join(total, F.col("session") <= F.col("last")).agg(level("first").alias("__b0"), level("last").alias("__b1"))  # one row
+    out = out.join(F.broadcast(bench), F.col("portfolio").isNull(), "left")
+    annualised = F.when((F.col("__b0") > 0) & (F.col("__b1") > 0) & F.col("cagr").isNotNull(), (F.pow(F.col("__b1") / F.col("__b0"), 1 / F.col("years")) - 1) * 100)
+    out = out.withColumns({"benchmark": annualised, "n_flows": F.coalesce("n_flows", F.lit(0)), "ambiguous": F.coalesce("ambiguous", F.lit(False)), "xirr": F.col("__rate") * 100})
+    notes = F.array_join(F.array_compact(F.array(F.when(F.col("cagr").isNull(), "cumulative, not annualised"), F.when(F.col("n_flows") == 0, "no cash-flow history for XIRR").when(F.col("xirr").isNull(), "XIRR: unsolvable"), F.when(F.col("ambiguous"), "capital left and re-entered"))), "; ")
+    return out.select("portfolio", "first", "last", "years", "cumulative", "cagr", "xirr", "n_flows", "ambiguous", "terminal", "benchmark", (F.col("cagr") - F.col("benchmark")).alias("excess"), notes.alias("note"))
+
+
 def derived(rows: DataFrame) -> DataFrame:
     """``rows`` (qty, rate, cost) with ``outcome``: ``derived`` where the cost is quantity times rate to the last unit,
     ``near`` within one, ``off`` beyond, ``no-rate`` without a rate."""

@@ -187,6 +187,39 @@ def returns_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("portfolio", F.round("years", 6).alias("years"), F.round("cumulative", 6).alias("cumulative"), F.round("cagr", 6).alias("cagr"), F.round(F.col("cumulative") - F.col("bench"), 6).alias("excess"), F.when(F.col("years") < 1, "cumulative, not annualised").otherwise("").alias("note"))
 
 
+#: Points of portfolios and of all together (-1), their flows with the closing value, and a benchmark.
+_RETURNS = f"""{INDEX}, tn AS (SELECT session, sum(nav) AS nav, sum(flow) AS flow FROM nav GROUP BY session), tr AS (SELECT *, (nav - flow) / lag(nav) OVER (ORDER BY session) AS r FROM tn),
+pt AS (SELECT portfolio, session, nav, idx FROM ix UNION ALL SELECT -1, session, nav, 1000 * exp(sum(CASE WHEN r > 0 THEN ln(r) ELSE 0 END) OVER (ORDER BY session)) FROM tr),
+e AS (SELECT portfolio AS key, min(session) AS a, max(session) AS b, arg_min(idx, session) AS x, arg_max(idx, session) AS y, arg_max(nav, session) AS last_nav FROM pt WHERE nav > 0 GROUP BY portfolio),
+cf AS (SELECT portfolio AS key, trade_date AS ts, CASE side WHEN 'SELL' THEN qty * price ELSE -qty * price END AS amount FROM le WHERE portfolio <> 3), fl AS (SELECT * FROM cf UNION ALL SELECT -1, ts, amount FROM cf),
+ff AS (SELECT key, ts, sum(amount) AS amount FROM (SELECT * FROM fl UNION ALL SELECT key, b, last_nav FROM e) GROUP BY ALL), yy AS (SELECT *, date_diff('day', min(ts) OVER (PARTITION BY key), ts) / 365.0 AS years, sum(amount) OVER (PARTITION BY key ORDER BY ts) AS run FROM ff),
+zz AS (SELECT key, ts, sign(run) AS sg, lag(sign(run)) OVER (PARTITION BY key ORDER BY ts) AS was FROM yy WHERE run <> 0), tt AS (SELECT key, count(CASE WHEN sg <> was THEN 1 END) > 1 AS ambiguous FROM zz GROUP BY key),
+gg AS (SELECT key, list({{'y': CAST(years AS DOUBLE), 'a': amount}} ORDER BY ts) AS fs, count(*) AS n, min(amount) AS lo_, max(amount) AS hi_ FROM yy GROUP BY key), ss AS (SELECT gg.*, sign(list_sum([q.a / power(1 - 0.9999999, q.y) FOR q IN fs])) AS sl FROM gg),
+cc AS (SELECT key, min(i) AS i FROM ss, range(0, 14) AS r(i) WHERE sign(list_sum([q.a / power(1 + (0.2 * power(2.0, i) - 0.1), q.y) FOR q IN fs])) <> sl GROUP BY key),
+bb AS (SELECT ss.key, 0 AS step, CAST(-0.9999999 AS DOUBLE) AS lo, CAST(0.2 * power(2.0, cc.i) - 0.1 AS DOUBLE) AS hi FROM ss JOIN cc USING (key) UNION ALL
+  SELECT bb.key, step + 1, CASE WHEN sign(list_sum([q.a / power(1 + (lo + hi) / 2, q.y) FOR q IN fs])) = sl THEN (lo + hi) / 2 ELSE lo END, CASE WHEN sign(list_sum([q.a / power(1 + (lo + hi) / 2, q.y) FOR q IN fs])) = sl THEN hi ELSE (lo + hi) / 2 END FROM bb JOIN ss USING (key) WHERE step < 60),
+xx AS (SELECT gg.key, CASE WHEN n >= 2 AND lo_ < 0 AND hi_ > 0 THEN (lo + hi) / 2 * 100 END AS xirr, coalesce(ambiguous, false) AS ambiguous FROM gg LEFT JOIN (SELECT * FROM bb WHERE step = 60) USING (key) LEFT JOIN tt USING (key)), nf AS (SELECT key, count(*) AS n_flows FROM fl GROUP BY key),
+bm AS (SELECT session, 500 + row_number() OVER (ORDER BY session) * 7 AS idx FROM tn), b2 AS (SELECT arg_max(idx, session) FILTER (session <= a) AS b0, arg_max(idx, session) FILTER (session <= b) AS b1 FROM bm, e WHERE e.key = -1),
+rt AS (SELECT e.*, date_diff('day', a, b) * 13 / 365.0 AS years, xirr, ambiguous, coalesce(n_flows, 0) AS n_flows FROM e LEFT JOIN xx USING (key) LEFT JOIN nf USING (key)),
+rv AS (SELECT *, CASE WHEN years >= 1 AND x > 0 AND y > 0 THEN (power(y / x, 1 / years) - 1) * 100 END AS cagr FROM rt)"""
+
+
+@REGISTER(f"""WITH RECURSIVE {_RETURNS} SELECT nullif(rv.key, -1) AS portfolio, a AS first, b AS last, round(years, 6) AS years, round((y / x - 1) * 100, 6) AS cumulative, round(cagr, 6) AS cagr, round(xirr, 4) AS xirr, n_flows, ambiguous, {r2("last_nav")} AS terminal,
+  CASE WHEN rv.key = -1 AND cagr IS NOT NULL THEN round((power(b1 / b0, 1 / years) - 1) * 100, 6) END AS benchmark, CASE WHEN rv.key = -1 THEN round(cagr - (power(b1 / b0, 1 / years) - 1) * 100, 6) END AS excess,
+  concat_ws('; ', CASE WHEN cagr IS NULL THEN 'cumulative, not annualised' END, CASE WHEN n_flows = 0 THEN 'no cash-flow history for XIRR' WHEN xirr IS NULL THEN 'XIRR: unsolvable' END, CASE WHEN ambiguous THEN 'capital left and re-entered' END) AS note FROM rv, b2""")
+def returns_with_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q4, Q5: returns of portfolios and of all together, annual and money-weighted, the total against a benchmark; one
+    portfolio has no flows, a month stands for thirteen."""
+    nav_points, le = _nav(spark, sf_dir), _ledger(spark, sf_dir)
+    none = F.lit(None).cast(nav_points.schema["portfolio"].dataType)
+    whole = nav_points.groupBy("session").agg(F.sum("nav").alias("nav"), F.sum("flow").alias("flow")).select(none.alias("portfolio"), "session", "nav", "flow")
+    points = prices.twr(nav_points.unionByName(whole), ["portfolio"])
+    flows = le.filter("portfolio <> 3").select("portfolio", F.col("trade_date").alias("ts"), (F.when(F.col("side") == "SELL", 1).otherwise(-1) * F.col("qty") * F.col("price")).alias("amount"))
+    bench = whole.select("session", (500 + F.row_number().over(Window.orderBy("session")) * 7).cast("double").alias("index"))  # a row a session
+    out = reports.returns(points, flows, bench, stretch=13.0)
+    return out.select("portfolio", "first", "last", *(F.round(c, 6).alias(c) for c in ("years", "cumulative", "cagr")), F.round("xirr", 4).alias("xirr"), "n_flows", "ambiguous", half_up(F.col("terminal")).alias("terminal"), F.round("benchmark", 6).alias("benchmark"), F.round("excess", 6).alias("excess"), "note")
+
+
 @REGISTER(f"""WITH {LI}, c AS (SELECT l_orderkey, l_linenumber, key, qty, price, turnover, {r2("turnover")} + CASE WHEN l_orderkey % 9 = 0 THEN 1 ELSE 0 END AS cost, CASE WHEN l_orderkey % 10 = 1 THEN NULL ELSE {r6("price")} END AS rate FROM li)
 SELECT CASE WHEN rate IS NULL THEN 'no-rate' WHEN abs({r2("qty * rate")} - cost) <= 0.01 THEN 'derived' WHEN abs({r2("qty * rate")} - cost) <= 1.0 THEN 'near' ELSE 'off' END AS outcome, count(*) AS n, {r2("sum(cost)")} AS cost FROM c GROUP BY 1""")
 def cost_derivation(spark: SparkSession, sf_dir: str) -> DataFrame:
