@@ -85,7 +85,7 @@ def transfer_plan(lots: DataFrame, wanted: DataFrame, by: list[str], order: list
 
 
 #: Rows of a key from which on its average cost is followed by ranges.
-HOT_ROWS = 1_000_000
+HOT_ROWS = 20_000_000
 
 
 def _released(state: tuple, side: str, qty: float, cash: float) -> tuple:
