@@ -51,16 +51,17 @@ def parse_number(text: Column) -> Column:
     """A number with grouping commas, a Unicode minus or parentheses for negatives; null if it is none. Exponents, words
     such as NaN and letters behind the figures make it none."""
     bare = F.translate(F.trim(text), "−,₹$ ", "-")
+    form = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)$"
     inner = F.regexp_extract(bare, r"^\((.*)\)$", 1)
-    plain = lambda x: F.when(x.rlike(r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)$"), x.try_cast("double"))
-    return F.when(inner != "", -plain(inner)).otherwise(plain(bare))
+    return F.when(bare.rlike(form), bare.try_cast("double")).when(bare.startswith("(") & inner.rlike(form), -inner.try_cast("double"))
 
 
 def parse_date(text: Column) -> Column:
     """d-m-y with -, / or ., or y-m-d, or a serial day since 1899-12-30."""
-    parts = lambda i: F.regexp_extract(text, r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})$", i).try_cast("int")
-    serial = F.date_add(F.lit("1899-12-30").cast("date"), F.when(text.rlike(r"^\d{4,6}$"), text.try_cast("int")))
-    return F.coalesce(F.try_to_timestamp(F.format_string("%04d-%02d-%02d", parts(3), parts(2), parts(1)), F.lit("yyyy-MM-dd")).cast("date"), F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).cast("date"), serial)
+    written = r"^(\d{1,2})[-/.](\d{1,2})[-/.](?!0000)(\d{4})$"
+    serial = F.date_add(F.lit("1899-12-30").cast("date"), text.try_cast("int"))
+    turned = F.when(text.rlike(written), F.regexp_replace(text, written, "$3-$2-$1").try_cast("date"))
+    return turned.when(text.rlike(r"^(?!0000)\d{4}-\d{2}-\d{2}\z"), text.try_cast("date")).when(text.rlike(r"^\d{4,6}$"), serial)
 
 
 #: Labels of transfers, then the words of sales, then those of purchases; in upper case, in this order.

@@ -88,8 +88,10 @@ def report_rows(notes: DataFrame, note: str = "note", text: str = "text") -> Dat
     where a dated row begins; dividends and rows that lack a figure are left out. A null text has no rows."""
     flat = F.trim(F.regexp_replace(F.col(text), r"\s+", " "))
     piece = notes.select(F.col(note).alias("note"), F.posexplode(F.split(flat, rf"(?={ROW_START})")).alias("pos", "piece"))
-    at = lambda i: F.regexp_extract("piece", ROW, i)
-    rows = piece.filter(F.col("piece").rlike(ROW))
+    # A flat text has no line ends, so they can part what one match of a row found.
+    found = F.split(F.regexp_replace("piece", ROW + ".*", "\n".join(f"${i}" for i in range(1, 9))), "\n")
+    rows = piece.filter(F.col("piece").rlike(ROW)).select("note", "pos", found.alias("found"))
+    at = lambda i: F.get("found", F.lit(i - 1))
     numbers = {"qty": 4, "price": 5, "brokerage": 6, "amount": 7, "balance": 8}
     return rows.select("note", "pos", parse_date(at(1)).alias("trade_date"), at(2).alias("side"), at(3).alias("name"), *(parse_number(at(i)).alias(n) for n, i in numbers.items()))
 
