@@ -103,7 +103,13 @@ def read_columns(spark: SparkSession, path: str, columns: dict[str, tuple[str, .
     rows = rows.select("at", F.from_csv("line", ", ".join(f"c{i} string" for i in range(width)), options).alias("c"))
     cells = F.array(*(F.col(f"c.c{i}") for i in range(width)))
     rows = rows.select("at", cells.alias("cells"))
-    return rows.select(*(F.get("cells", F.try_element_at("at", F.lit(c))).alias(c) for c in columns))
+    return once(rows, {c: F.get("cells", F.try_element_at("at", F.lit(c))) for c in columns})
+
+
+def once(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``columns`` of ``rows``, each worked out once a row: as a generator makes them, Spark does not copy their
+    expressions into the filters and columns that use them."""
+    return rows.select(F.inline(F.array(F.struct(*(x.alias(c) for c, x in columns.items())))))
 
 
 def number(text: Column) -> Column:
@@ -129,8 +135,7 @@ def read_holding_period(spark: SparkSession, path: str) -> DataFrame:
     """(name, day, qty, cost_per_share, invested) of lots: the amount paid counts before price times quantity; lots with
     neither are left out."""
     r = read_columns(spark, path, PERIOD, ("name", "date", "qty", ("price", "amount")))
-    amount, price = number(F.col("amount")), number(F.col("price"))
-    rows = r.select(F.trim("name").alias("name"), parse_date(F.trim("date")).alias("day"), number(F.col("qty")).alias("qty"), amount.alias("amount"), price.alias("price"))
+    rows = once(r, {"name": F.trim("name"), "day": F.trim("date"), **{c: number(F.col(c)) for c in ("qty", "amount", "price")}}).withColumn("day", parse_date(F.col("day")))
     rows = rows.filter((F.col("name") != "") & (F.col("qty") > 0) & ~is_rights_name(F.col("name")) & F.coalesce("amount", "price").isNotNull())
     return rows.select("name", "day", "qty", F.coalesce(F.col("amount") / F.col("qty"), F.col("price")).alias("cost_per_share"), F.coalesce(F.col("amount"), F.col("price") * F.col("qty")).alias("invested"))
 

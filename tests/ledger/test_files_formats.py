@@ -79,3 +79,11 @@ def test_dates_and_report_rows_take_one_match_each(spark):
     assert [tuple(map(str, r))[2:] for r in out.collect()] == [("2024-02-05", "BUY", "A $1 LTD", "1000.0", "2.5", "0.1", "9.0", "7.0")]
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract(piece" not in plan(out) and "gettimestamp" not in plan(dates) and "try_to_timestamp" not in plan(dates)
+
+
+def test_a_line_is_parsed_once(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('Company,Date,Qty,Cost,Rate\nALPHA,01/02/2020,"1,000",2000,9\nBETA,02/02/2020,5,,3\nGAMMA,02/02/2020,5,,\n')
+    rows = statements.read_holding_period(spark, str(tmp_path))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_csv(") == 1 or plan.count("csvtostructs(") == 1, plan
+    assert sorted((r["name"], r["day"].day, r["cost_per_share"], r["invested"]) for r in rows.collect()) == [("ALPHA", 1, 2.0, 2000.0), ("BETA", 2, 3.0, 15.0)]
