@@ -18,22 +18,28 @@ def fiscal_year(day: Column) -> Column:
 
 
 #: The signs of names that count as blanks, and the words of company forms that a name does without.
-NAME_SIGNS, FORMS = r"[-.,()'\"]", "limited|ltd|private|pvt|the|co"
+NAME_SIGNS, FORMS = r"-.,()'\"", "limited|ltd|private|pvt|the|co"
+#: Runs of signs and blanks, and single ones that are no plain blank: what is a plain blank already is left in place.
+_GAPS = rf"[{NAME_SIGNS}\s]{{2,}}|[{NAME_SIGNS}\t\n\x0B\f\r]"
 
 
 def _squeezed(name: Column, forms: str) -> Column:
-    x = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), NAME_SIGNS, " "), r"\b(private|pvt)\b", "pvt")
-    return F.trim(F.regexp_replace(F.regexp_replace(x, rf"\b({forms})\b", " "), r"\s+", " "))
+    """Words end at a sign as at a blank, so that forms are taken out before both become one blank."""
+    return F.trim(F.regexp_replace(F.regexp_replace(name, rf"\b({forms})\b", " "), _GAPS, " "))
+
+
+def _lower(name: Column) -> Column:
+    return F.lower(F.coalesce(name, F.lit("")))
 
 
 def norm_name(name: Column) -> Column:
     """Lower case, some signs and the words of company forms gone, single blanks; a null name is empty."""
-    return _squeezed(name, FORMS)
+    return _squeezed(_lower(name), FORMS)
 
 
 def norm_private(name: Column) -> Column:
     """norm_name() that keeps the word for a private company, in one spelling."""
-    return _squeezed(name, "limited|ltd|the|co")
+    return _squeezed(F.regexp_replace(_lower(name), r"\b(private|pvt)\b", "pvt"), "limited|ltd|the|co")
 
 
 def tokens(norm: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lotwise.functions.values import norm_name
 from lotwise.operators import prices
+from lotwise.operators.skew import apart
 
 
 def last_of(rows: DataFrame, key: Column, value: str, order: str) -> DataFrame:
@@ -14,23 +15,26 @@ def last_of(rows: DataFrame, key: Column, value: str, order: str) -> DataFrame:
     return rows.withColumn("slot", key).filter("slot is not null and slot <> ''").groupBy("slot").agg(F.max_by(value, order).alias("value"))
 
 
-def owns_name(slots: DataFrame, rows: DataFrame) -> DataFrame:
-    """``rows`` (k, name, ...) with ``norm`` and whether that name is no other entry's."""
-    out = rows.withColumn("norm", norm_name(F.col("name"))).join(slots.select("norm", F.col("k").alias("owner")), "norm", "left")
+def owns_name(slots: DataFrame | None, rows: DataFrame) -> DataFrame:
+    """``rows`` (k, name, ...) with ``norm`` and whether that name is no other entry's; without ``slots``, rows have
+    (norm, owner) as identity.resolve() gives them."""
+    out = rows if slots is None else rows.withColumn("norm", norm_name(F.col("name"))).join(slots.select("norm", F.col("k").alias("owner")), "norm", "left")
     return out.withColumn("own", F.col("owner").isNull() | F.col("k").isNull() | (F.col("owner") == F.col("k"))).drop("owner")
 
 
-def by_identity(holdings: DataFrame, facts: DataFrame, slots: DataFrame, value: str, order: str) -> DataFrame:
+def by_identity(holdings: DataFrame, facts: DataFrame, slots: DataFrame | None, value: str, order: str) -> DataFrame:
     """``holdings`` (k, isin, name, ...) with ``found``, the value that ``facts`` (k, isin, name, value, order) has for
-    the entry, else for the ISIN, else for the name, where neither side uses a name that is another entry's."""
+    the entry, else for the ISIN, else for the name, where neither side uses a name that is another entry's. Without
+    ``slots`` both have (norm, owner) instead."""
     f = owns_name(slots, facts)
     h = owns_name(slots, holdings)
+    columns = h.columns
     for i, (theirs, ours) in enumerate(((F.col("k").cast("string"), F.col("k").cast("string")), (F.upper("isin"), F.upper("isin")), (F.when(F.col("own"), F.col("norm")), F.when(F.col("own"), F.col("norm"))))):
-        h = h.withColumn("slot", ours).join(last_of(f, theirs, value, order).withColumnRenamed("value", f"__{i}"), "slot", "left").drop("slot")
+        h = h.withColumn("slot", apart(ours, *columns)).join(last_of(f, theirs, value, order).withColumnRenamed("value", f"__{i}"), "slot", "left").drop("slot")
     return h.withColumn("found", F.coalesce("__0", "__1", "__2")).drop("__0", "__1", "__2", "norm", "own")
 
 
-def priced(holdings: DataFrame, prices: DataFrame, slots: DataFrame) -> DataFrame:
+def priced(holdings: DataFrame, prices: DataFrame, slots: DataFrame | None) -> DataFrame:
     """``holdings`` (k, isin, name, asset_class, valuation, last_trade) with ``price``: a quote above zero by identity;
     for securities of a class that is not listed, else their valuation, else what they last traded at."""
     out = by_identity(holdings, prices.filter("price > 0"), slots, "price", "row")
@@ -38,7 +42,7 @@ def priced(holdings: DataFrame, prices: DataFrame, slots: DataFrame) -> DataFram
     return out.withColumn("price", F.coalesce("found", fair)).drop("found")
 
 
-def flagged(holdings: DataFrame, flags: DataFrame, slots: DataFrame) -> DataFrame:
+def flagged(holdings: DataFrame, flags: DataFrame, slots: DataFrame | None) -> DataFrame:
     """``holdings`` with ``flagged``: whether any identity of theirs (ISIN, own name, entry) carries a flag."""
     f = owns_name(slots, flags)
     every = [F.concat(F.lit("isin:"), F.upper("isin")), F.when(F.col("own"), F.concat(F.lit("name:"), "norm")), F.concat(F.lit("key:"), F.col("k").cast("string"))]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A key is hot when it has more than 1/HOT_SHARE of the rows, so there are fewer than HOT_SHARE hot keys: a
@@ -33,3 +33,9 @@ def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inne
     every = F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
     spread = right.join(hot, on, "left").withColumn("__salt", every).drop("__hot")
     return salted.join(spread, [*on, "__salt"], how).drop("__salt")
+
+
+def apart(key: Column, *columns: str) -> Column:
+    """The text ``key`` of a left join's left side, or where it is null one that no row has on the other side, by the
+    row's ``columns``: rows without a key find nothing, and would otherwise meet in one task."""
+    return F.coalesce(key, F.concat(F.lit("\u0000"), F.xxhash64(*columns)))

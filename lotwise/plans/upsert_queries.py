@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lotwise.functions.values import half_up
-from lotwise.operators import identity, pricing, upserts
+from lotwise.operators import identity, pricing, skew, upserts
 from lotwise.plans.identity_queries import MASTER, RESOLVED, asked_names, master_entries, sql_norm
 from lotwise.plans.register import CLOSES, LE, Register, r2
 from lotwise.session import written
@@ -158,21 +158,20 @@ pk AS (SELECT pr.*, {sql_norm("pr.name")} AS n, coalesce(mi.k, s.k) AS k, s.k AS
 h AS (SELECT r.id, r.resolved AS k, q.isin, q.name, {sql_norm("q.name")} AS n, s.k AS owner, CASE WHEN r.resolved % 5 = 1 THEN 'PE' END AS asset_class, CASE WHEN r.id % 4 = 0 THEN 11.5 END AS valuation, CASE WHEN r.id % 3 = 0 THEN 7.25 END AS last_trade FROM r JOIN q USING (id) LEFT JOIN slots s ON s.norm = {sql_norm("q.name")})"""
 
 
-def _resolver(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _resolver(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     master = master_entries(spark, sf_dir)
-    slots = identity.alias_slots(identity.entries(master, "key", "name", "aliases"))
     k = F.col("p_partkey")
     p = ledger.table(spark, sf_dir, "part").filter((k % 3 > 0) | (k % 6 == 0))
     rows = p.select(k.alias("row"), F.when(k % 6 == 0, F.concat(F.lit("in"), k)).alias("isin"), F.concat("p_name", F.lit(" "), F.translate(k.cast("string"), "0123456789", "abcdefghij"), F.lit(" Limited")).alias("name"), F.when(k % 16 == 0, 0.0).otherwise(F.col("p_retailprice")).alias("price"), (k % 5 == 0).alias("except"))
     # Quotes and holdings are resolved together, once; the result is written as both are read from it.
     q = rows.select(F.col("row").alias("id"), F.upper("isin").alias("isin"), "name", "price", "except", F.lit(True).alias("quote"))
     h = asked_names(spark, sf_dir).select("id", "isin", "name", F.lit(None).cast("double").alias("price"), F.lit(None).cast("boolean").alias("except"), F.lit(False).alias("quote"))
-    found = written(identity.resolve(q.unionByName(h), master, aliases="aliases"), "resolved").withColumnRenamed("resolved", "k")
+    found = written(identity.resolve(q.unionByName(h), master, aliases="aliases", named=True), "resolved").withColumnRenamed("resolved", "k")
     quotes = found.filter("quote").withColumnRenamed("id", "row").drop("how", "quote")
     held = found.filter("not quote").drop("price", "except", "quote")
     i = F.col("id")
-    held = held.select("id", "k", "isin", "name", F.when(F.col("k") % 5 == 1, "PE").alias("asset_class"), F.when(i % 4 == 0, 11.5).alias("valuation"), F.when(i % 3 == 0, 7.25).alias("last_trade"))
-    return held, quotes, slots
+    held = held.select("id", "k", "isin", "name", "norm", "owner", F.when(F.col("k") % 5 == 1, "PE").alias("asset_class"), F.when(i % 4 == 0, 11.5).alias("valuation"), F.when(i % 3 == 0, 7.25).alias("last_trade"))
+    return held, quotes
 
 
 def _found(value: str, where: str = "true") -> str:
@@ -187,24 +186,24 @@ R = RESOLVED[len("WITH ") :].replace("\nSELECT q.id, coalesce", ",\nr AS (SELECT
 @REGISTER(f"""WITH {R}, {QUOTES}, {_found("price", "price > 0")} SELECT id, coalesce(v, CASE WHEN asset_class IS NOT NULL THEN coalesce(valuation, last_trade) END) AS price FROM f""")
 def price_resolver(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entry, ISIN, own name, then for unlisted classes the valuation and the last trade."""
-    held, quotes, slots = _resolver(spark, sf_dir)
-    return pricing.priced(held, quotes, slots).select("id", "price")
+    held, quotes = _resolver(spark, sf_dir)
+    return pricing.priced(held, quotes, None).select("id", "price")
 
 
 @REGISTER(f"""WITH {R}, {QUOTES}, own AS (SELECT * FROM pk WHERE except_) SELECT h.id, (h.isin IS NOT NULL AND upper(h.isin) IN (SELECT upper(isin) FROM own WHERE isin IS NOT NULL)) OR (h.k IS NOT NULL AND h.k IN (SELECT k FROM own WHERE k IS NOT NULL))
   OR ((h.owner IS NULL OR h.k IS NULL OR h.owner = h.k) AND h.n IN (SELECT n FROM own WHERE owner IS NULL OR k IS NULL OR owner = k)) AS flagged FROM h""")
 def price_exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A flag on any identity of a holding counts."""
-    held, quotes, slots = _resolver(spark, sf_dir)
-    return pricing.flagged(held, quotes.filter("except"), slots).select("id", "flagged")
+    held, quotes = _resolver(spark, sf_dir)
+    return pricing.flagged(held, quotes.filter("except"), None).select("id", "flagged")
 
 
 @REGISTER(f"""WITH {R}, {QUOTES}, {_found("'I' || (row % 7)")} SELECT id, coalesce(v, 'Unclassified') AS industry FROM f""")
 def industry_resolver(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J13."""
-    held, quotes, slots = _resolver(spark, sf_dir)
+    held, quotes = _resolver(spark, sf_dir)
     rows = quotes.withColumn("industry", F.concat(F.lit("I"), F.col("row") % 7))
-    return pricing.by_identity(held, rows, slots, "industry", "row").select("id", F.coalesce("found", F.lit("Unclassified")).alias("industry"))
+    return pricing.by_identity(held, rows, None, "industry", "row").select("id", F.coalesce("found", F.lit("Unclassified")).alias("industry"))
 
 
 @REGISTER(f"""WITH {R}, cols AS (SELECT CASE WHEN p_partkey % 3 = 0 THEN 'IN' || p_partkey WHEN p_partkey % 3 = 1 THEN CAST(p_partkey AS VARCHAR) ELSE p_name END AS col FROM part WHERE p_partkey % 2 = 0), h AS (SELECT r.id, r.resolved AS k, q.isin, q.name, m.isin AS entry_isin FROM r JOIN q USING (id) LEFT JOIN m ON m.k = r.resolved)
@@ -214,7 +213,8 @@ def column_resolver(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     cols = ledger.table(spark, sf_dir, "part").filter(k % 2 == 0).select(F.when(k % 3 == 0, F.concat(F.lit("IN"), k)).when(k % 3 == 1, k.cast("string")).otherwise(F.col("p_name")).alias("col")).distinct()
     master = master_entries(spark, sf_dir)
-    held = identity.resolve(asked_names(spark, sf_dir), master, aliases="aliases").join(master.select(F.col("key").alias("resolved"), F.col("isin").alias("entry_isin")), "resolved", "left")
+    held = identity.resolve(asked_names(spark, sf_dir), master, aliases="aliases").withColumn("__k", skew.apart(F.col("resolved").cast("string"), "id"))
+    held = held.join(master.select(F.col("key").cast("string").alias("__k"), F.col("isin").alias("entry_isin")), "__k", "left")
     for i, c in enumerate(("isin", "entry_isin", "resolved", "name")):
-        held = held.withColumn("__c", F.col(c).cast("string")).join(cols.select(F.col("col").alias("__c"), F.col("col").alias(f"__{i}")), "__c", "left")
+        held = held.withColumn("__c", skew.apart(F.col(c).cast("string"), "id")).join(cols.select(F.col("col").alias("__c"), F.col("col").alias(f"__{i}")), "__c", "left")
     return held.select("id", F.coalesce("__0", "__1", "__2", "__3").alias("col"))
