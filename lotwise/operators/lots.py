@@ -37,12 +37,9 @@ def round_trips(ledger: DataFrame, by: list[str], day: str = "trade_date") -> Da
     return g.select(*by, day, "buys", "sells", "matched", gain.alias("intraday_gain"), side.alias("residual_side"), F.abs("left").alias("residual_qty"), half_up(F.when(F.col("left") > 0, F.col("pb")).when(F.col("left") < 0, F.col("ps")), 6).alias("residual_price"))
 
 
-def segments(ledger: DataFrame, by: list[str], order: list[str | Column], oversold: str = "carry", keep: tuple[str, ...] = ("trade_date", "price")) -> DataFrame:
-    """(by, lot, sale, qty): every segment of shares with the struct of its lot or its sale (null where it has none;
-    fields ``keep``).
-
-    ``oversold``: ``carry`` lets later buys cover a deficit (positions), ``drop`` forgets it (gains).
-    """
+def cuts(ledger: DataFrame, by: list[str], order: list[str | Column], oversold: str = "carry", keep: tuple[str, ...] = ("trade_date", "price")) -> DataFrame:
+    """``ledger`` with ``__n``, a row's number in its key, and the segment that ends at its cut: ``lot`` and ``sale``,
+    the structs of fields ``keep`` that it belongs to, and ``__d``, its length (zero where cuts fall together)."""
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     buy = F.col("side") == "BUY"
     rows = ledger.withColumns({"__b": F.sum(F.when(buy, F.col("qty")).otherwise(0)).over(w), "__s": F.sum(F.when(buy, 0).otherwise(F.col("qty"))).over(w), "__n": F.row_number().over(Window.partitionBy(*by).orderBy(*order))})
@@ -51,8 +48,16 @@ def segments(ledger: DataFrame, by: list[str], order: list[str | Column], overso
     line = Window.partitionBy(*by).orderBy(F.desc("__at"), F.desc("__n"))  # backwards, so that what lies ahead is a growing frame
     ahead = line.rowsBetween(Window.unboundedPreceding, 0)
     item = F.struct(*keep)
-    out = rows.withColumns({"lot": F.last(F.when(buy, item), ignorenulls=True).over(ahead), "sale": F.last(F.when(~buy, item), ignorenulls=True).over(ahead), "__d": F.col("__at") - F.coalesce(F.lead("__at").over(line), F.lit(0))})
-    return out.filter("__d > 0").select(*by, "lot", "sale", F.col("__d").alias("qty"))
+    return rows.withColumns({"lot": F.last(F.when(buy, item), ignorenulls=True).over(ahead), "sale": F.last(F.when(~buy, item), ignorenulls=True).over(ahead), "__d": F.col("__at") - F.coalesce(F.lead("__at").over(line), F.lit(0))})
+
+
+def segments(ledger: DataFrame, by: list[str], order: list[str | Column], oversold: str = "carry", keep: tuple[str, ...] = ("trade_date", "price")) -> DataFrame:
+    """(by, lot, sale, qty): every segment of shares with the struct of its lot or its sale (null where it has none;
+    fields ``keep``).
+
+    ``oversold``: ``carry`` lets later buys cover a deficit (positions), ``drop`` forgets it (gains).
+    """
+    return cuts(ledger, by, order, oversold, keep).filter("__d > 0").select(*by, "lot", "sale", F.col("__d").alias("qty"))
 
 
 def holdings(ledger: DataFrame, by: list[str], order: list[str | Column]) -> DataFrame:

@@ -30,23 +30,32 @@ def sale_rows(ledger: DataFrame, by: list[str], order: list[str], splits: DataFr
     rates are given in shares of the sale's day, so that a split changes neither turnover nor cost. term: ``LT`` from
     lt_days of the sale on, else ``ST``; a sale without lt_days takes its lots but has one row ``NONE`` without profit.
     What no lot covers is a row ``ST`` of its own without profit, not ``covered``. matched: structs (lot, bought, qty, rate),
-    oldest first. ``sale`` and ``lot`` number a key's rows in order. Money is rounded for each lot, rates are not."""
-    line = Window.partitionBy(*by).orderBy(*order)
-    rows = restated(ledger, splits, by).withColumn("sale", F.row_number().over(line))
-    now = rows.withColumns({"qty": F.col("qty") * F.col("later"), "price": F.col("price") / F.col("later")})
-    seg = lots.segments(now, by, ["sale"], "drop", keep=("trade_date", "price", "later", "sale", "lt_days")).filter("lot is not null and sale is not null")
-    part = F.col("qty") / F.col("sale.later")
+    oldest first. ``sale`` and ``lot`` number a key's rows in order. Money is rounded for each lot, rates are not. Rows
+    without a key are none.
+
+    The ledger is dealt out once, by key: a sale's own row and the segments that it takes meet in one aggregate."""
+    held = restated(ledger.na.drop(subset=by), splits, by)
+    held = held.withColumns({f"__o{i}": F.col(c) for i, c in enumerate(order)})  # quantities are restated, the order is not
+    line = [f"__o{i}" for i in range(len(order))]
+    now = held.withColumns({"__no": F.row_number().over(Window.partitionBy(*by).orderBy(*line)), "__whole": F.col("qty"), "__price": F.col("price"), "qty": F.col("qty") * F.col("later"), "price": F.col("price") / F.col("later")})
+    cut = lots.cuts(now, by, line, "drop", keep=("trade_date", "price", "later", F.col("__no").alias("no"), "lt_days"))
+    own, hit = F.col("side") == "SELL", (F.col("__d") > 0) & F.col("lot").isNotNull() & F.col("sale").isNotNull()
+    part = F.col("__d") / F.col("sale.later")
     rate = F.col("lot.price") * F.col("sale.later")
-    days = F.datediff("sale.trade_date", "lot.trade_date")
-    term = F.when(F.col("sale.lt_days").isNull(), "NONE").when(days >= F.col("sale.lt_days"), "LT").otherwise("ST")
     price = F.col("sale.price") * F.col("sale.later")
     gain = F.when(F.col("sale.lt_days").isNotNull(), half_up(part * price) - half_up(part * rate)).otherwise(0.0)
-    hits = seg.select(*by, F.col("sale.sale").alias("sale"), term.alias("term"), part.alias("part"), gain.alias("gain"), F.struct(F.col("lot.sale").alias("lot"), F.col("lot.trade_date").alias("bought"), part.alias("qty"), rate.alias("rate")).alias("hit"))
-    filed = hits.groupBy(*by, "sale", "term").agg(F.sum("part").alias("n"), half_up(F.sum("gain")).alias("pnl"), F.array_sort(F.collect_list("hit")).alias("matched")).withColumn("covered", F.lit(True))
-    sales = rows.filter("side = 'SELL'")
-    taken = filed.groupBy(*by, "sale").agg(F.sum("n").alias("__taken"))
-    bare = sales.join(taken, [*by, "sale"], "left").withColumn("n", F.col("qty") - F.coalesce("__taken", F.lit(0.0))).filter("n > 1e-9")
-    bare = bare.select(*by, "sale", F.when(F.col("lt_days").isNull(), "NONE").otherwise("ST").alias("term"), "n", F.lit(0.0).alias("pnl"), F.array().cast(filed.schema["matched"].dataType).alias("matched"), F.lit(False).alias("covered"))
-    out = sales.select(*by, "sale", "trade_date", F.col("qty").alias("__whole"), "price", *charges).join(filed.unionByName(bare), [*by, "sale"])
-    scaled = [half_up(F.col(c) * F.col("n") / F.col("__whole")).alias(c) for c in charges]
-    return out.select(*by, "sale", "trade_date", "term", F.col("n").alias("qty"), "price", half_up(F.col("price") * F.col("n")).alias("turnover"), *scaled, "pnl", "covered", "matched")
+    long = F.coalesce(F.datediff("sale.trade_date", "lot.trade_date") >= F.col("sale.lt_days"), F.lit(False))
+    taken = F.struct(F.col("lot.no").alias("lot"), F.col("lot.trade_date").alias("bought"), part.alias("qty"), rate.alias("rate"))
+    parts = cut.filter(own | hit).select(*by, F.when(hit, F.col("sale.no")).otherwise(F.col("__no")).alias("sale"), *(F.when(own, F.col(c)).alias(c) for c in ("trade_date", "lt_days", "__whole", "__price", *charges)), F.when(hit, part).alias("part"), F.when(hit, gain).alias("gain"), F.when(hit, taken).alias("taken"), F.when(hit, long).alias("long"))
+    once = [F.max(c).alias(c) for c in ("trade_date", "lt_days", "__whole", "__price", *charges)]
+    terms = ((F.col("long"), "lt"), (~F.col("long"), "st"))
+    sums = [f for is_, t in terms for f in (F.sum(F.when(is_, F.col("part"))).alias(f"{t}_n"), F.sum(F.when(is_, F.col("gain"))).alias(f"{t}_gain"), F.collect_list(F.when(is_, F.col("taken"))).alias(f"{t}_matched"))]
+    sales = parts.groupBy(*by, "sale").agg(*once, *sums).filter("__whole is not null")
+    short = F.when(F.col("lt_days").isNull(), "NONE").otherwise("ST")
+    left = F.col("__whole") - (F.coalesce("lt_n", F.lit(0.0)) + F.coalesce("st_n", F.lit(0.0)))
+    filed = lambda term, n, gain, matched, covered: F.struct(term.alias("term"), n.alias("n"), gain.alias("pnl"), matched.alias("matched"), F.lit(covered).alias("covered"))
+    rows = [F.when(F.col(f"{t}_n").isNotNull(), filed(term, F.col(f"{t}_n"), half_up(F.col(f"{t}_gain")), F.array_sort(f"{t}_matched"), True)) for t, term in (("lt", F.lit("LT")), ("st", short))]
+    bare = F.when(left > 1e-9, filed(short, left, F.lit(0.0), F.slice("st_matched", 1, 0), False))
+    out = sales.select(*by, "sale", "trade_date", "__whole", "__price", *charges, F.explode(F.array_compact(F.array(*rows, bare))).alias("f"))
+    scaled = [half_up(F.col(c) * F.col("f.n") / F.col("__whole")).alias(c) for c in charges]
+    return out.select(*by, "sale", "trade_date", "f.term", F.col("f.n").alias("qty"), F.col("__price").alias("price"), half_up(F.col("__price") * F.col("f.n")).alias("turnover"), *scaled, "f.pnl", "f.covered", "f.matched")

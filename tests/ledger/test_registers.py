@@ -62,3 +62,20 @@ def test_ratios_go_and_come_back(spark):
     back = spark.createDataFrame([("a", 10), ("b", 20)], "key string, num int")
     assert sorted((r["key"], r["num"]) for r in derived.without(table, gone, ["key"]).collect()) == [("b", 2)]
     assert sorted((r["key"], r["num"]) for r in derived.without(table, gone, ["key"], back).collect()) == [("a", 10), ("b", 2)]
+
+
+def test_a_ledger_is_dealt_out_once(spark):
+    """Sales, lots and what nobody bought come from one shuffle by key; rows without a key are none."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = [(k, date(2020, 1, d), 0 if side == "BUY" else 2, side, q, 3.0, 365, 1.0) for k in ("a", "b", None) for d, side, q in ((1, "SELL", 2.0), (2, "BUY", 4.0), (3, "SELL", 1.0), (3, "SELL", 5.0), (4, "SELL", 7.0))]
+        splits = spark.createDataFrame([("b", date(2020, 1, 3), 2.0)], "key string, trade_date date, factor double")
+        out = registers.sale_rows(spark.createDataFrame(rows, LEDGER), ["key"], ["trade_date", "ord", "qty"], splits, ["fee"])
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = sorted((r["key"], r["sale"], r["qty"], r["fee"], r["covered"], [(m["lot"], m["qty"]) for m in r["matched"]]) for r in out.collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    a = [("a", 1, 2.0, 1.0, False, []), ("a", 3, 1.0, 1.0, True, [(2, 1.0)]), ("a", 4, 2.0, 0.4, False, []), ("a", 4, 3.0, 0.6, True, [(2, 3.0)]), ("a", 5, 7.0, 1.0, False, [])]
+    b = [("b", 1, 2.0, 1.0, False, []), ("b", 3, 1.0, 1.0, True, [(2, 1.0)]), ("b", 4, 5.0, 1.0, True, [(2, 5.0)]), ("b", 5, 2.0, 0.29, True, [(2, 2.0)]), ("b", 5, 5.0, 0.71, False, [])]
+    assert got == a + b
