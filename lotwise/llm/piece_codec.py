@@ -69,15 +69,15 @@ class PieceCodec:
     def _merge_short(self, part: str) -> list[str]:
         """The agenda as a list of every adjacent pair's score: one pass finds the best, the leftmost of equals."""
         symbol, known = list(part), self.score.get
-        agenda = [known(a + b, NONE) for a, b in zip(symbol, symbol[1:])]
+        agenda = [known(pair, NONE) for pair in map(str.__add__, part, part[1:])]
         while agenda and (top := max(agenda)) != NONE:
             i = agenda.index(top)
-            symbol[i : i + 2] = [symbol[i] + symbol[i + 1]]
+            symbol[i] = both = symbol[i] + symbol.pop(i + 1)
             del agenda[i]
             if i:
-                agenda[i - 1] = known(symbol[i - 1] + symbol[i], NONE)
+                agenda[i - 1] = known(symbol[i - 1] + both, NONE)
             if i < len(agenda):
-                agenda[i] = known(symbol[i] + symbol[i + 1], NONE)
+                agenda[i] = known(both + symbol[i + 1], NONE)
         return symbol
 
     def _merge_long(self, part: str) -> list[str]:
@@ -106,13 +106,11 @@ class PieceCodec:
         return [s for s in symbol if s]
 
     def _chunk(self, chunk: str) -> bytes:
-        beside, out, at = self.beside, [], 0
-        for i, pair in enumerate(map(str.__add__, chunk, chunk[1:]), 1):
-            if pair not in beside:
-                out.append(self.parts[chunk[at:i]])
-                at = i
-        out.append(self.parts[chunk[at:]])
-        return b"".join(out)
+        beside, parts = self.beside, self.parts
+        ends = [i for i, pair in enumerate(map(str.__add__, chunk, chunk[1:]), 1) if pair not in beside]
+        if not ends:
+            return parts[chunk]
+        return b"".join([parts[chunk[at:end]] for at, end in zip([0, *ends], [*ends, None])])
 
     def _part(self, part: str) -> bytes:
         ids: list[int] = []
@@ -133,10 +131,10 @@ class PieceCodec:
     def checked(self, rows: list[str]) -> tuple[list[bytes], list[str], list[int]]:
         """Ids and decoded text of every row, and the places of rows of which the library says otherwise."""
         ids = [self.encode(t) for t in rows]
-        want = self.library.encode(rows, add_eos=True, num_threads=1)
+        want = self.library.encode(rows, add_eos=True, num_threads=1, return_type="numpy")  # arrays, not an object an id
         back = [self.decode(np.frombuffer(x, "<i4")) for x in ids]
         said = zip(ids, back, want, self.library.decode(want, num_threads=1), strict=True)
-        return ids, back, [i for i, (a, b, c, d) in enumerate(said) if a != array("i", c).tobytes() or b != d]
+        return ids, back, [i for i, (a, b, c, d) in enumerate(said) if a != c.tobytes() or b != d]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text: pieces in turn, bytes put together as UTF-8 (a byte that fits nowhere is U+FFFD), the dummy
