@@ -80,3 +80,10 @@ class ChunkCache(dict):
             self.clear()
         self[chunk] = value
         return value
+
+    def add(self, made: dict) -> None:
+        """Many at once; a generation is larger than ``most`` only if they are."""
+        if len(self) + len(made) > self.most:
+            self.old = dict(self)
+            self.clear()
+        self.update(made)

@@ -3,7 +3,8 @@
 The agenda holds adjacent symbol pairs whose concatenation is a piece; the best score (leftmost on ties) merges
 first, and the new symbol's pairs enter the agenda. No symbol can span two characters that stand side by side in no
 piece, so a text falls apart there (before U+2581, at line feeds, between most letters and signs) and a worker merges
-each distinct part once. Every text is checked against the sentencepiece library, its ids and what they decode to: a
+each distinct part once. The short chunks that are new in a slice of rows have their agendas in common arrays: a round
+merges the best pair of each of them. Every text is checked against the sentencepiece library, its ids and what they decode to: a
 difference is an error that names the texts, so that a wrong encoder or decoder cannot go unseen.
 """
 
@@ -15,6 +16,7 @@ import heapq
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +26,12 @@ from pyspark.sql import functions as F
 from lotwise.llm.common import BATCH_ROWS, ChunkCache, batches_of, column, lists, shape, table, texts
 
 SPACE = "▁"
-#: Parts of up to that many characters have their agenda in a list; a pair that is no piece has the score NONE.
+#: Parts of up to that many characters have their agenda in a list or in arrays; a pair that is no piece has the score NONE.
 SHORT, NONE = 40, float("-inf")
+#: Characters of texts, and of new chunks, that are taken at once at the most (but for a longer text).
+AT_ONCE = 1 << 20
+#: In arrays a symbol is a number below 1 << BITS, and what is none is NEVER.
+BITS, CHARS, NEVER, ODD = 21, 0x110000, np.iinfo(np.int32).max, np.uint64(0x9E3779B97F4A7C15)
 CHUNK = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 
 
@@ -39,6 +45,99 @@ class Differs(RuntimeError):
     """The codec and the library give different answers."""
 
 
+class Agendas:
+    """The agendas of many short chunks in arrays. A piece's number is its place by falling score, its rank the least number of
+    that score, so the least rank is the best; a character that is no piece has the number of pieces plus its code point."""
+
+    def __init__(self, score: dict[str, float], ids: dict[str, int]):
+        ranked = sorted(score, key=score.get, reverse=True)
+        self.n, number = len(ranked), dict(zip(ranked, range(len(ranked))))
+        if self.n + CHARS > 1 << BITS:
+            raise ValueError("the vocabulary has too many pieces")
+        fall = np.array([score[p] for p in ranked])
+        rank = np.searchsorted(-fall, -fall).astype(np.int32)
+        self.shared = np.bincount(rank, minlength=self.n) > 1
+        self.ids = np.array([ids[p] for p in ranked], np.int32)
+        self.number = np.arange(self.n, self.n + CHARS, dtype=np.int32)
+        self.number[[ord(p) for p in ranked if len(p) == 1]] = [number[p] for p in ranked if len(p) == 1]
+        halves, whole = [], []
+        for p in ranked:
+            for i in range(1, len(p)):
+                if (a := self._of(number, p[:i])) is not None and (b := self._of(number, p[i:])) is not None:
+                    halves.append(a << BITS | b)
+                    whole.append(number[p])
+        self.shift = np.uint64(64 - max(4, (3 * len(halves)).bit_length()))
+        self.keys = np.full(1 << (64 - int(self.shift)), -1)
+        self.whole, self.rank = (np.full(len(self.keys), NEVER, np.int32) for _ in range(2))
+        left, whole = np.array(halves, np.int64), np.array(whole, np.int32)
+        slot = self._slot(left)
+        while len(left):  # a pair goes to its slot, or to the next that is free
+            free = self.keys[slot] < 0
+            self.keys[slot[free]] = left[free]
+            more = self.keys[slot] != left
+            self.whole[slot[~more]], self.rank[slot[~more]] = whole[~more], rank[whole[~more]]
+            left, whole, slot = left[more], whole[more], (slot[more] + 1) % len(self.keys)
+
+    def _of(self, number: dict[str, int], s: str) -> int | None:
+        return number.get(s, self.n + ord(s) if len(s) == 1 else None)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * ODD >> self.shift).view(np.int64)
+
+    def joined(self, values: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The number (values: whole) or rank (values: rank) of the piece that two neighbours make, or NEVER."""
+        keys = left.astype(np.int64) << BITS | right
+        slot = self._slot(keys)
+        there, out = self.keys[slot], values[slot]
+        other = np.flatnonzero(there != keys)
+        out[other] = NEVER
+        other = other[there[other] >= 0]
+        slot = slot[other]
+        while len(other):
+            slot = (slot + 1) % len(self.keys)
+            there, found = self.keys[slot], values[slot]
+            same = there == keys[other]
+            out[other[same]] = found[same]
+            more = ~same & (there >= 0)
+            other, slot = other[more], slot[more]
+        return out
+
+    def merge(self, chunks: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Groups of chunks as they come to an end: their places, how many symbols each has, and all their symbols."""
+        who, size = np.arange(len(chunks)), np.array([len(c) for c in chunks])
+        symbol = self.number[np.frombuffer("".join(chunks).encode("utf-32-le"), "<u4")]
+        ends = np.cumsum(size)
+        agenda = np.full(len(symbol), NEVER, np.int32)
+        agenda[:-1] = self.joined(self.rank, symbol[:-1], symbol[1:])
+        agenda[ends - 1] = NEVER
+        while len(who):
+            best = np.minimum.reduceat(agenda, ends - size)
+            going = best != NEVER
+            if not going.all():
+                stay = np.repeat(going, size)
+                yield who[~going], size[~going], symbol[~stay]
+                who, size, best, symbol, agenda = who[going], size[going], best[going], symbol[stay], agenda[stay]
+                if not len(who):
+                    return
+                ends = np.cumsum(size)
+            at = np.flatnonzero(agenda == np.repeat(best, size))
+            if len(at) > len(who):  # the leftmost of equals
+                at = at[np.searchsorted(at, ends - size)]
+            if len(equal := np.flatnonzero(self.shared[best])):
+                i = at[equal]
+                best[equal] = self.joined(self.whole, symbol[i], symbol[i + 1])
+            symbol[at] = best
+            stay = np.ones(len(symbol), bool)
+            stay[at + 1] = False
+            symbol, agenda = symbol[stay], agenda[stay]
+            gone = np.arange(len(who))
+            at, size, ends = at - gone, size - 1, ends - gone - 1
+            agenda[at] = NEVER
+            right, left = at[at < ends - 1], at[at > ends - size] - 1
+            pairs = np.concatenate([right, left])
+            agenda[pairs] = self.joined(self.rank, symbol[pairs], symbol[pairs + 1])
+
+
 class PieceCodec:
     """Encoder and decoder of one vocabulary (BPE with byte fallback, identity normalization, dummy prefix)."""
 
@@ -56,12 +155,18 @@ class PieceCodec:
             raise ValueError("the vocabulary needs byte fallback and pieces that stay within chunks")
         back = {i: bytes([b]) for b, i in self.bytes.items()}
         unknown = " \u2047 ".encode()  # what the library writes for an unknown piece
-        self.text = [unknown if sp.is_unknown(i) else b"" if special[i] else back[i] if i in back else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
+        written = [unknown if sp.is_unknown(i) else b"" if special[i] else back[i] if i in back else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
+        self.text, self.size = np.frombuffer(b"".join(written), np.uint8), np.array(list(map(len, written)))
+        self.start = np.cumsum(self.size) - self.size
         self.dummy = np.array([not special[i] and p.startswith(SPACE) for i, p in enumerate(pieces)])
         self.end = np.array([sp.eos_id()], "<i4").tobytes()
         self.beside = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
         self.chunks, self.parts = ChunkCache(self._chunk, 400_000), ChunkCache(self._part, 200_000)
 
+    @functools.cached_property
+    def agendas(self) -> Agendas:
+        return Agendas(self.score, self.id)
+
     def merge(self, part: str) -> list[str]:
         """The part's symbols when no pair of the agenda is left."""
         return self._merge_short(part) if len(part) <= SHORT else self._merge_long(part)
@@ -122,24 +227,64 @@ class PieceCodec:
                 ids += [self.bytes[b] for b in s.encode()]
         return array("i", ids).tobytes()
 
+    def _new(self, chunks: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Chunks of up to SHORT characters with their ids."""
+        own, most = self.agendas, AT_ONCE // SHORT
+        for some in (chunks[at : at + most] for at in range(0, len(chunks), most)):
+            for who, size, symbol in own.merge(some):
+                ends = np.cumsum(size)
+                ids, named = own.ids[np.minimum(symbol, own.n - 1)].tobytes(), map(some.__getitem__, who.tolist())
+                odd = set(np.searchsorted(ends, np.flatnonzero(symbol >= own.n), "right").tolist())
+                each = [ids[a:b] for a, b in zip((4 * (ends - size)).tolist(), (4 * ends).tolist(), strict=True)]
+                for k in odd:
+                    each[k] = self._spelt(symbol[ends[k] - size[k] : ends[k]])
+                yield from zip(named, each, strict=True)
+
+    def _spelt(self, symbols: np.ndarray) -> bytes:
+        """Ids of symbols with characters among them that are no piece: these are written in bytes."""
+        ids: list[int] = []
+        for s in symbols.tolist():
+            if s < self.agendas.n:
+                ids.append(self.agendas.ids[s])
+            else:
+                ids += [self.bytes[b] for b in chr(s - self.agendas.n).encode()]
+        return array("i", ids).tobytes()
+
+    def encode_all(self, rows: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian signed 32-bit items, the end id last."""
+        group = (np.cumsum([len(t) for t in rows]) // AT_ONCE).tolist()
+        return [ids for _, places in groupby(range(len(rows)), group.__getitem__) for ids in self._encoded([cut(rows[i]) for i in places])]
+
+    def _encoded(self, apart: list[list[str]]) -> list[bytes]:
+        distinct = set().union(*apart)
+        here = dict(zip(distinct, map(self.chunks.get, distinct), strict=True))
+        rest = [c for c, ids in here.items() if ids is None]
+        here |= zip(rest, map(self.chunks.old.get, rest), strict=True)
+        here |= self._new([c for c in rest if here[c] is None and 0 < len(c) <= SHORT])
+        here |= [(c, self._chunk(c)) for c in rest if here[c] is None]
+        self.chunks.add({c: here[c] for c in rest})
+        return [b"".join(map(here.__getitem__, x)) + self.end for x in apart]
+
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian signed 32-bit items, the end id last."""
-        if not text:
-            return self.end
-        return b"".join(map(self.chunks.__getitem__, CHUNK.findall(SPACE + text.replace(" ", SPACE)))) + self.end
+        return self.encode_all([text])[0]
 
     def checked(self, rows: list[str]) -> tuple[list[bytes], list[str], list[int]]:
         """Ids and decoded text of every row, and the places of rows of which the library says otherwise."""
-        ids = [self.encode(t) for t in rows]
+        ids = self.encode_all(rows)
         want = self.library.encode(rows, add_eos=True, num_threads=1, return_type="numpy")  # arrays, not an object an id
         back = [self.decode(np.frombuffer(x, "<i4")) for x in ids]
         said = zip(ids, back, want, self.library.decode(want, num_threads=1), strict=True)
         return ids, back, [i for i, (a, b, c, d) in enumerate(said) if a != c.tobytes() or b != d]
 
+    def _written(self, ids: np.ndarray) -> bytes:
+        size = self.size[ids]
+        ends = np.cumsum(size)
+        return self.text[np.repeat(self.start[ids] - ends + size, size) + np.arange(ends[-1])].tobytes()
+
     def decode(self, ids: np.ndarray) -> str:
         """The text: pieces in turn, bytes put together as UTF-8 (a byte that fits nowhere is U+FFFD), the dummy
         prefix gone."""
-        raw = b"".join(map(self.text.__getitem__, ids.tolist()))
+        raw = b"".join([self._written(ids[at : at + AT_ONCE // SHORT]) for at in range(0, len(ids), AT_ONCE // SHORT)])
         if len(ids) and raw[:1] == b" " and self.dummy[ids[0]]:
             raw = raw[1:]
         try:
@@ -148,6 +293,15 @@ class PieceCodec:
             return loose(raw)
 
 
+def cut(text: str) -> list[str]:
+    """The chunks of a text whose spaces are U+2581, one more before it. Empty ones may stand between them."""
+    if not text:
+        return []
+    if text[0] == " " or "  " in text or SPACE in text:
+        return CHUNK.findall(SPACE + text.replace(" ", SPACE))
+    return (SPACE + text).replace(" ", " " + SPACE).replace("\n", " \n ").split(" ")
+
+
 def _single(error: UnicodeError) -> tuple[str, int]:
     return "\ufffd", error.start + 1
 
