@@ -39,3 +39,13 @@ def test_new_words_share_rounds(monkeypatch):
     codec.chunks.most = 2
     rows = [f"w{i} q{i}. w{i}" for i in range(20)]
     assert [x.tobytes() for x in codec.library.encode(rows, add_eos=True, return_type="numpy")] == codec.encode_all(rows) == codec.encode_all(rows)
+
+
+def test_slices_of_what_is_taken_at_once(monkeypatch):
+    """The bounds on memory change nothing: rows, new chunks and ids in slices of two or three."""
+    monkeypatch.setattr(piece_codec, "AT_ONCE", 2 * piece_codec.SHORT)
+    codec = piece_codec.PieceCodec(piece_codec.model_path())
+    rows = ["", "one two three four", "x" * 300, "", "fünf ᚠ sechs\n" * 20, " é", ""]
+    ids, back, wrong = codec.checked(rows)
+    assert wrong == [] and back == [codec.library.decode(x) for x in codec.library.encode(rows)]
+    assert [np.frombuffer(x, "<i4").tolist() for x in ids] == codec.library.encode(rows, add_eos=True)
